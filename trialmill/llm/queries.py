@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, simhash, topk
-from .common import table
+from . import bpe, mixing, quality_rules, simhash, topk, warc
+from .common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,15 +41,39 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archive")
+    warc.archive(warc.page_records(table(spark, sf_dir, "pages")), path)
+    back = warc.read(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    return back.select(
+        warc.page_id_of("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        "record_type",
+        warc.page_id_of("refers_to").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_top_k": op3_top_k,
     "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+    SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 1000""",
     "op3_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
