@@ -16,13 +16,14 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import map_text
+
 #: Pieces of more characters go by tree concatenation; leaves hold that many at most.
 LEAF = 2048
 #: A task's cache of encoded pieces is emptied at this size.
@@ -121,27 +122,28 @@ def tokenizer(path: str, leaf: int = LEAF) -> Bpe:
     return Bpe(path, leaf)
 
 
-def _map(docs: DataFrame, path: str, schema: str, row: Callable[[object, bytes, str], tuple]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(", ")]
-        bpe = tokenizer(path)
-        for batch in batches:
-            rows = [row(i, *x) for i, x in zip(batch.doc_id.array, bpe.encode(batch.text.tolist()), strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, ids array<int> and decoded string: a row for each row of docs.
+
+    Null and empty texts have no ids and decode to the empty string. Repeated
+    rows and null ids stay; other columns are ignored.
+    """
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    def run(texts: list[str | None]) -> list[list]:
+        found = list(tokenizer(path).encode(texts))
+        return [[np.frombuffer(ids, "<i4") for ids, _ in found], [text for _, text in found]]
 
+    return map_text(docs, keep, run, "ids array<int>, decoded string")
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: a row for each row of docs(doc_id, text).
 
-    Null and empty texts have no ids and decode to the empty string. Repeated
-    rows and null ids stay; columns besides doc_id and text are ignored.
-    """
-    return _map(docs, path, "doc_id long, ids array<int>, decoded string", lambda i, ids, text: (i, np.frombuffer(ids, "<i4"), text))
+def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of what encode() gives, without moving the ids."""
 
+    def run(texts: list[str | None]) -> list[list]:
+        out: list[list] = [[], [], []]
+        for ids, text in tokenizer(path).encode(texts):
+            for column, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), strict=True):
+                column.append(x)
+        return out
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode() gives, without moving the ids."""
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _map(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda i, ids, text: (i, len(ids) // 4, sha(ids), sha(text.encode())))
+    return map_text(docs, keep, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

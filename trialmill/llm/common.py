@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of code points other than these six; Java, Python and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,3 +68,23 @@ def sampled(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     """About `rows` rows of df, chosen by a hash of the key: all rows, where there are no more."""
     n = df.count()
     return df if n <= rows else df.where(share(key, seed=seed) < rows / n)
+
+
+def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[[list[str | None]], Sequence[Sequence]], fields: str, column: str = "text") -> DataFrame:
+    """The columns `keep` of df as they are, and new `fields` (DDL) that fn makes of a batch of texts, one sequence for each field.
+
+    Columns of df that share a name with a field are replaced.
+    """
+    new = StructType.fromDDL(fields)
+    keep = [c for c in keep if c not in new.names]
+    schema = StructType([*df.select(*keep).schema.fields, *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in new.fields]
+        for b in batches:
+            made = fn(b.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=schema.names)
+
+    return df.select(*keep, F.col(column).cast("string").alias("_text_")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, save
+from .common import WORDS, map_text, save
 
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_lines", "n_same_next"]
@@ -65,12 +65,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and STATS, a row for each row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            stats = pd.DataFrame([text_stats(t) for t in b.text], columns=STATS, dtype="int64")
-            yield pd.concat([b[["doc_id", "lang", "source"]], stats], axis=1)
-
-    return docs.select("doc_id", "lang", "source", "text").mapInPandas(run, "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS))
+    return map_text(docs, ["doc_id", "lang", "source"], lambda texts: list(zip(*map(text_stats, texts), strict=True)) or [[]] * len(STATS), ", ".join(f"{s} long" for s in STATS))
 
 
 def transformed() -> list[Column]:

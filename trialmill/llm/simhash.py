@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, forget, save
+from .common import LOWER, WORDS, forget, map_text, save
 
 RADIUS = 4
 #: Variants that a task lists at once.
@@ -50,12 +50,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp long (the 64 bits as a signed number), a row for each row of docs(doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.text], "u8").view("i8")
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": fps})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return map_text(docs, ["doc_id"], lambda texts: [np.array([fingerprint(t, shingle) for t in texts], "u8").view("i8")], "fp long")
 
 
 def masks(bits: range, most: int) -> np.ndarray:
