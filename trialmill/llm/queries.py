@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality_rules, simhash, topk, warc
+from . import bpe, cotrain, langid, mixing, quality_rules, simhash, topk, warc
 from .common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     warc.archive(warc.page_records(table(spark, sf_dir, "pages")), path)
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_cotraining": op9_cotraining,
     "op10_warc": op10_warc,
 }
 
