@@ -137,11 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", meta_columns
     return Model(meta_columns, models[0], models[1], scales[0], scales[1], odds)
 
 
-def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), least: float = 0.25) -> DataFrame:
     """The columns `keep`, text_odds, meta_odds, quality_score and kept: a row for each row of docs.
 
     quality_score adds the views' calibrated log-odds and takes off one prior.
-    kept: a score of at least `least`. Null text is scored as empty; null
+    kept: a score of at least `least`, which by default rejects only what is
+    surely poor. Null text is scored as empty; null
     metadata is a value of its own; repeated rows get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
