@@ -42,6 +42,7 @@ class Node:
     parent: int
     depth: int
     words: set[str]
+    given: str | None = None  # a label in data-part, in pages made for training; no feature
     children: list[int] = field(default_factory=list)
     runs: list[int] = field(default_factory=list)
     links: int = 0
@@ -116,7 +117,7 @@ class Page(HTMLParser):
             return
         words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in TOKENS.findall(v.lower())}
         self.nodes[self.here].children.append(len(self.nodes))
-        self.nodes.append(Node(tag, self.here, self.nodes[self.here].depth + 1, words))
+        self.nodes.append(Node(tag, self.here, self.nodes[self.here].depth + 1, words, dict(attrs).get("data-part")))
         self.open.append((tag, len(self.nodes) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

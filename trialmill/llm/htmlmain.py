@@ -42,19 +42,22 @@ NAMES = {
 SEMANTIC = {"content": ("article", "main"), "top": ("header",), "menu": ("nav",), "side": ("aside",), "ad": ("aside",), "notice": ("aside", "dialog"), "comments": ("section",), "form": ("form",), "foot": ("footer",)}
 
 
-OWN_GOOD = {w for name in NAMES["content"].split() for w in name.split("-")}
-OWN_BAD = {w for kind, names in NAMES.items() if kind != "content" for name in names.split() for w in name.split("-")} - OWN_GOOD
+def labels_of(page: Page, given: bool = False) -> np.ndarray:
+    """1 within an article, 0 within other parts, -1 where the mark-up doesn't say or a subtree holds both.
 
-
-def labels_of(page: Page, good: set[str] = frozenset(), bad: set[str] = BAD_WORDS) -> np.ndarray:
-    """1 within an article, 0 within other parts, -1 where the mark-up doesn't say or a subtree holds both."""
+    given: by data-part alone, as in the layouts made here.
+    """
     n = len(page.nodes)
     own = np.full(n, -1)
     for i, node in enumerate(page.nodes):
-        if i:
-            above = own[node.parent]
-            aside = node.tag in ASIDE or bool(node.words & bad)
-            own[i] = 0 if aside or above == 0 else 1 if node.tag in MAIN or node.words & good or above == 1 else -1
+        if not i:
+            continue
+        above = own[node.parent]
+        if given:
+            own[i] = above if node.given is None else int(node.given)
+        else:
+            aside = node.tag in ASIDE or bool(node.words & BAD_WORDS)
+            own[i] = 0 if aside or above == 0 else 1 if node.tag in MAIN or above == 1 else -1
     kinds: list[set[int]] = [set() for _ in range(n)]
     for node, _, _ in page.runs:
         kinds[node].add(int(own[node]))
@@ -72,7 +75,7 @@ def laid_out(main: list[str], other: list[str], rng: random.Random) -> str:
     def part(kind: str, inside: str) -> str:
         tag = rng.choice(SEMANTIC[kind]) if rng.random() < 0.4 else rng.choice(("div", "div", "section"))
         name = "" if tag in MAIN | ASIDE and rng.random() < 0.5 else f' {rng.choice(("class", "id"))}="{rng.choice(NAMES[kind].split())}"'
-        return f"<{tag}{name}>{inside}</{tag}>"
+        return f'<{tag}{name} data-part="{int(kind == "content")}">{inside}</{tag}>'
 
     items = lambda: "<ul>" + "".join(f'<li><a href="/x">{pick(rng.randint(1, 4))}</a></li>' for _ in range(rng.randint(3, 9))) + "</ul>"
     talk = lambda: "".join(f"<{t}>{say()}</{t}>" for t in rng.choices(("p", "div"), k=rng.randint(1, 4)))
@@ -81,13 +84,15 @@ def laid_out(main: list[str], other: list[str], rng: random.Random) -> str:
     blocks = []
     for i, text in enumerate(main):
         tag = rng.choice(("h1", "h2", "p")) if not i else rng.choice(("p",) * 12 + ("div", "li", "blockquote", "h2"))
-        blocks.append(f"<{tag}>{esc(text)}</{tag}>")
+        blocks.append(f'<{tag} data-part="1">{esc(text)}</{tag}>')
         if rng.random() < 0.08:
             blocks.append(make(rng.choice(("ad", "side", "notice"))))
-    before = [make(k) for k in ("notice", "top", "menu", "ad") if rng.random() < 0.6]
+    before = [make(k) for k in ("notice", "top", "menu", "ad") if rng.random() < 0.55]
     after = [make(k) for k in ("side", "comments", "form", "ad", "notice") if rng.random() < 0.5]
     rng.shuffle(after)
-    body = "".join(before) + part("content", "".join(blocks)) + "".join(after) + (make("foot") if rng.random() < 0.9 else "")
+    inside = "".join(blocks)
+    plain = rng.choice((inside, f"<section>{inside}</section>", f"<div>{inside}</div>", f"<table><tr><td>{inside}</td></tr></table>"))
+    body = "".join(before) + (plain if rng.random() < 0.35 else part("content", inside)) + "".join(after) + (make("foot") if rng.random() < 0.85 else "")
     for _ in range(rng.randint(0, 2)):
         body = f"<div>{body}</div>"
     return f"<html><head><title>{pick(4)}</title></head><body>{body}</body></html>"
@@ -106,7 +111,7 @@ def training_rows(html: str, seed: int, layouts: int) -> Iterator[tuple[list[flo
     for _ in range(layouts if main else 0):
         some = main[: rng.randint(1, 40)]
         new = Page(laid_out(some, other, rng))
-        keep = labels_of(new, OWN_GOOD, OWN_BAD)
+        keep = labels_of(new, given=True)
         for x, y in zip(features(new), keep, strict=True):
             if y >= 0 and x[1] > 0:
                 yield x.tolist(), float(y)
