@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, htmlmain, langid, mixing, quality_rules, simhash, topk, warc
+from . import bpe, cotrain, htmlmain, langid, lm, mixing, quality_rules, simhash, topk, warc
 from .common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_html_text": op2_html_text,
     "op3_top_k": op3_top_k,
     "op4_simhash": op4_simhash,
+    "op5_lm_scores": op5_lm_scores,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
