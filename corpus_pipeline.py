@@ -3,11 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trialmill.llm import bpe, cotrain, langid, mixing, simhash
 from trialmill.llm.common import new_path, table
+from trialmill.llm.queries import tokenizer_path
+
+#: A document is rejected where its language can't be told: no letters, or a score below this.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps; it learns from docs and labels."""
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model, keep=[*docs.columns]).where("kept").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told from their text; it learns from docs that carry a language."""
+    found = langid.identify(docs, langid.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: a row for each copy."""
+    return mixing.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row with its token ids (`ids`) and the text that they decode to (`decoded`)."""
+    return bpe.encode(docs, tokenizer_path(), keep=[c for c in docs.columns if c != "text"])
+
 
 #: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
-STAGES: list = []
+STAGES = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("mix", mix), ("tokens", tokens)]
 
 #: The classifiers and the tokenizer can't be said in SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None

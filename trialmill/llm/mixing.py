@@ -84,6 +84,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     return run.select(*keep, "size", "source_size", "target", copies.alias("copies"))
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs(doc_id, text, source, ...) as often as it is taken, with the columns of docs.
+
+    Copies are found on thin rows; texts are shuffled once, to meet them. Rows
+    that agree in doc_id, source and size share out their copies by a hash of
+    the text.
+    """
+    key = F.xxhash64("doc_id", "source", "_size")
+    thin = docs.select("doc_id", "source", n_words("text").alias("_size")).select(key.alias("_key"), "doc_id", "source", F.col("_size").alias("size"))
+    taken = mix(save(thin, "sizes"), **options).where("copies > 0")
+    taken = save(taken.groupBy("_key").agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("_copies")), "taken")
+    same = Window.partitionBy("_key").orderBy("_text_hash")
+    rows = docs.withColumn("_size", n_words("text")).withColumns({"_key": key, "_text_hash": F.xxhash64("text")}).withColumn("_n", F.row_number().over(same))
+    copies = F.coalesce(F.try_element_at("_copies", F.col("_n")), F.lit(0))
+    met = rows.join(taken, "_key").withColumn("_times", copies).where("_times > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
