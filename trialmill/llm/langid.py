@@ -76,7 +76,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int = 42) -> Model:
+def fit(docs: DataFrame, dims: int = 1024, sample_rows: int = 6000, seed: int = 42) -> Model:
     """Fits on about sample_rows rows of docs(doc_id, text, lang), chosen by a hash of doc_id.
 
     Rows with a null language or without a letter don't count. The sample is
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
     rows = rows.sort_values(["lang", "x"], kind="stable")
     x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), dims)
     lang = rows.lang.to_numpy()
+    del rows
     families: dict[str, list[str]] = {}
     for code in sorted(set(lang)):
         families.setdefault(FAMILY_OF.get(code.lower().split("-")[0], code), []).append(code)

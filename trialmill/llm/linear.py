@@ -33,25 +33,30 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> n
 
     y is -1 or 1; each class has equal total weight.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     y = np.where(np.asarray(y) > 0, 1.0, -1.0)
     each = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y) * cost
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+
+    # the rows stay as they are, single precision and without a column of ones: the sample is in memory once
+    def times(v: np.ndarray) -> np.ndarray:
+        return (x @ v[:-1].astype(x.dtype)).astype(np.float64) + v[-1]
+
+    def back(c: np.ndarray) -> np.ndarray:
+        return np.append((c.astype(x.dtype) @ x).astype(np.float64), c.sum())
 
     def loss(v: np.ndarray) -> float:
-        return 0.5 * v @ v + (each * np.maximum(1 - y * (x @ v), 0) ** 2).sum()
+        return 0.5 * v @ v + (each * np.maximum(1 - y * times(v), 0) ** 2).sum()
 
     for _ in range(rounds):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        xs, cs = x[on], each[on]
-        grad = w - 2 * xs.T @ (cs * y[on] * gap[on])
+        gap = 1 - y * times(w)
+        cs = each * (gap > 0)
+        grad = w - 2 * back(cs * y * gap)
         if np.linalg.norm(grad) < 1e-3 * max(1.0, np.sqrt(len(y))):
             break
         step, r = np.zeros_like(w), -grad
         p, rr = r.copy(), r @ r
         for _ in range(40):
-            hp = p + 2 * xs.T @ (cs * (xs @ p))
+            hp = p + 2 * back(cs * times(p))
             alpha = rr / (p @ hp)
             step, r = step + alpha * p, r - alpha * hp
             new = r @ r
