@@ -24,7 +24,7 @@ SAFE = 1 << 20
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, v array<long>, d): floor(scale * x) of each component.
 
-    Without: null vectors, null ids, and vectors that hold null or non-finite
+    Scores are exact while they fit in 63 bits. Without: null vectors, null ids, and vectors that hold null or non-finite
     components. Rows that share an id count once, the least vector staying.
     """
     fine = F.forall(vec_col, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))

@@ -165,7 +165,7 @@ class WarcWriter(DataSourceWriter):
             if out is None:
                 name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gz
                 system.create_dir(f"{path}/_temporary-{self.job}", recursive=True)
-                out = system.open_output_stream(f"{path}/_temporary-{self.job}/{name}")
+                out = system.open_output_stream(f"{path}/_temporary-{self.job}/{name}", compression=None)  # else a .gz name would compress twice
             record = header(row) + bytes(row.get("payload") or b"") + b"\r\n\r\n"
             out.write(gzip.compress(record, 1) if self.gz else record)
         if out is not None:
