@@ -820,6 +820,42 @@ def apply_fitted_test(spark, sf):
     return phases.apply_fitted(spark, new, path)
 
 
+@query(f"WITH {PAIRS}, w AS (SELECT label, count(*) AS n FROM p GROUP BY label) SELECT label, n FROM w")
+def append_sink_counts(spark, sf):
+    """Two appended batches are one table."""
+    path, x = store.scratch(spark, "pool"), pairs(spark, sf).select("seq", "label", "blank_seq")
+    for part in (x.where("seq % 2 = 0"), x.where("seq % 2 = 1")):
+        back = store.write(part, path)
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TRIALS}, {SPLIT}, {LONG}, {matrix_sql(bandpass_matrix(64))} SELECT split, count(DISTINCT g.trial_id) AS n_trials, round(avg(abs(list_dot_product(w, signal))), 6) AS mean_abs FROM g JOIN t ON t.trial_id = g.trial_id JOIN b USING (sessionnum, blocknum), mx GROUP BY split")
+def filtered_sink_counts(spark, sf):
+    """Filtered signals in a sink by variant and split, read back."""
+    x = trials(spark, sf)
+    filtered = spectral.bandpass(long_signals(spark, sf)).join(split.with_split(x, split.assign_blocks(x)).select("trial_id", "split"), "trial_id")
+    back = store.write(filtered.withColumn("variant", F.lit("all")), store.scratch(spark, "filtered"), ("variant", "split"))
+    values = back.where("variant = 'all'").select("split", "trial_id", F.explode("signal").alias("v"))
+    return round_all(values.groupBy("split").agg(F.count_distinct("trial_id").alias("n_trials"), F.avg(F.abs("v")).alias("mean_abs")))
+
+
+@query(f"WITH {TRIALS}, {SPLIT}, {SAMPLES}, {MOMENTS.format('x')}, z AS (SELECT split, trial_id, mean FROM st JOIN t USING (trial_id) JOIN b USING (sessionnum, blocknum)) SELECT split, count(*) AS n_rows, round(avg(mean), 6) + 0.0 AS mean FROM z GROUP BY split")
+def feature_sink_counts(spark, sf):
+    """Features in a sink by split, read back."""
+    x = trials(spark, sf)
+    rows_ = features.statistics(signals(spark, sf)).join(split.with_split(x, split.assign_blocks(x)).select("trial_id", "split"), "trial_id")
+    back = store.write(rows_, store.scratch(spark, "features"), ("split",))
+    return round_all(back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("mean").alias("mean")))
+
+
+@query(f"WITH {BINARY}, {CONFUSION} SELECT 'all' AS variant_tag, 'stage1' AS stage, 'not_toxic' AS model, 'val' AS split, unnest(['accuracy', 'precision', 'recall', 'f1']) AS metric, round(unnest([{ACCURACY}, precision, recall, f1]), 6) AS value FROM pf WHERE label = 1")
+def results_sink(spark, sf):
+    """A result row in the sink by variant, stage and model, read back by its keys."""
+    row = phases.result_rows(evaluate.metrics(binary(spark, sf)), "all", "stage1", "not_toxic", "val")
+    back = store.write(row, store.scratch(spark, "results"), ("variant_tag", "stage", "model"))
+    return round_all(back.where("variant_tag = 'all' AND stage = 'stage1'").select("variant_tag", "stage", "model", "split", "metric", "value"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
