@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,6 +22,10 @@ WORDS = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes of text, about, that a task turns into Python objects at once.
+AT_ONCE = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -42,6 +48,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are written: its cleaner waits for a collection, which a calm driver puts off."""
+    for _ in range(2):  # the end of the last query is told to listeners with the query itself, a moment after it
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that save() wrote and that no later plan reads."""
     spark = df.sparkSession
@@ -78,13 +92,18 @@ def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[[list[str | None]]
     new = StructType.fromDDL(fields)
     keep = [c for c in keep if c not in new.names]
     schema = StructType([*df.select(*keep).schema.fields, *new.fields])
+    at = keep.index(column) if column in keep and df.schema[column].dataType.simpleString() == "string" else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in new.fields]
-        for b in batches:
-            made = fn(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=schema.names)
-
-    return df.select(*keep, F.col(column).cast("string").alias("_text_")).mapInArrow(run, schema)
+        for whole in batches:
+            rows = max(1, int(len(whole) * AT_ONCE / max(whole.column(at).nbytes, 1)))
+            for start in range(0, len(whole), rows):
+                b = whole.slice(start, rows)
+                made = fn(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=schema.names)
+
+    text = [F.col(column).cast("string").alias("_text_")] if at == len(keep) else []
+    return df.select(*keep, *text).mapInArrow(run, schema)

@@ -29,23 +29,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, forget, save
+from .common import LOWER, WORDS, forget, release, save
 
 HELD, COUNTED, TUNING = 0, 1, 2
-BLOCK = 400_000
+BLOCK = 800_000
 #: Tokens of the corpus to a key range: bounds what a task holds of it.
-RANGE = 4_000_000
+RANGE = 1_500_000
 BLOCK_FIELDS = "block long, role int, doc_ids array<long>, n_tokens array<int>, tokens binary, words binary"
 #: Stand for the end of a text and for its start as a context; no word holds white space.
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"\n")
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed by byte planes: the high bytes of small numbers are nearly all zero."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Rising 64-bit numbers, as differences."""
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype="u8")
 
 
 class Vocabulary(dict):
@@ -72,8 +84,11 @@ def tokenised(docs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
             nonlocal made
             ids, counts, tokens, vocabulary, _ = held.pop(role)
             words = np.array([END, *[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in vocabulary]], "u8")
+            order = np.argsort(words, kind="stable")  # words are numbered anew in order of their hash, which packs well
+            number = np.empty(len(words), np.int32)
+            number[order] = np.arange(len(words), dtype=np.int32)
             made += 1
-            row = {"block": [(part << 32) | made], "role": [role], "doc_ids": [ids], "n_tokens": [counts], "tokens": [pack(np.concatenate(tokens))], "words": [words.tobytes()]}
+            row = {"block": [(part << 32) | made], "role": [role], "doc_ids": [ids], "n_tokens": [counts], "tokens": [pack(number[np.concatenate(tokens)])], "words": [pack_sorted(words[order])]}
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
@@ -133,12 +148,12 @@ def sent(blocks: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                g = Grams.of(unpack(row.tokens, "<i4"), np.asarray(row.n_tokens), np.frombuffer(row.words, "<u8"))
+                g = Grams.of(unpack(row.tokens, "<i4"), np.asarray(row.n_tokens), unpack_sorted(row.words))
                 counts = g.counts()
                 where = (g.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
                 cuts = np.searchsorted(where, np.arange(ranges + 1, dtype="u8"))
                 yield pd.DataFrame(
-                    [(i, row.block, row.role, g.keys[a:z].tobytes(), pack(counts[a:z])) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a],
+                    [(i, row.block, row.role, pack_sorted(g.keys[a:z]), pack(counts[a:z])) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a],
                     columns=["range", "block", "role", "keys", "counts"],
                 )
 
@@ -152,7 +167,7 @@ def totalled(parts: DataFrame) -> DataFrame:
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, "<u8") for k in rows["keys"]]
+        keys = [unpack_sorted(k) for k in rows["keys"]]
         cuts = np.cumsum([0, *map(len, keys)])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros((2, len(distinct)), np.int64)
@@ -170,18 +185,18 @@ def totalled(parts: DataFrame) -> DataFrame:
     return parts.groupBy("range").applyInPandas(run, "block long, range int, counted binary, all binary, known long")
 
 
-def beside(blocks: DataFrame, totals: DataFrame) -> DataFrame:
-    """Each block with its pieces of totals, as many as it has key ranges."""
-    pieces = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "counted", "all")).alias("pieces"))
+def beside(blocks: DataFrame, totals: DataFrame, which: str) -> DataFrame:
+    """Each block with its pieces of one kind of totals, as many as it has key ranges."""
+    pieces = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", F.col(which).alias("n"))).alias("pieces"))
     return blocks.join(pieces, "block")
 
 
-def looked_up(row, which: str) -> tuple[Grams, np.ndarray, np.ndarray]:
+def looked_up(row) -> tuple[Grams, np.ndarray, np.ndarray]:
     """The grams of a block, and the totals of its unigrams and of its bigrams."""
-    g = Grams.of(unpack(row.tokens, "<i4"), np.asarray(row.n_tokens), np.frombuffer(row.words, "<u8"))
+    g = Grams.of(unpack(row.tokens, "<i4"), np.asarray(row.n_tokens), unpack_sorted(row.words))
     pieces = sorted(row.pieces, key=lambda p: p["range"])
     found = np.empty(len(g.order), np.int64)
-    found[g.order] = np.concatenate([unpack(p[which], "<i8") for p in pieces])
+    found[g.order] = np.concatenate([unpack(p["n"], "<i8") for p in pieces])
     return g, found[: g.size], found[g.size :]
 
 
@@ -196,7 +211,7 @@ def tuning_cells(joined: DataFrame, start_count: int, n: int, v: int) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                g, ones, twos = looked_up(row, "counted")
+                g, ones, twos = looked_up(row)
                 context = np.where(g.context_of < 0, start_count, ones[g.context_of])
                 times = np.bincount(g.pair_of, minlength=len(twos))
                 word = np.zeros(len(twos), np.int64)
@@ -240,7 +255,7 @@ def scores(joined: DataFrame, mix: np.ndarray, start_count: int, n: int, v: int)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                g, ones, twos = looked_up(row, "all")
+                g, ones, twos = looked_up(row)
                 sizes = np.asarray(row.n_tokens)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 context = np.where(g.context_of < 0, start_count, ones[g.context_of])
@@ -281,11 +296,12 @@ def score(docs: DataFrame, block_tokens: int = BLOCK, range_tokens: int = RANGE)
     d = {r: by_role[r].d if r in by_role else 0 for r in (HELD, COUNTED, TUNING)}
     ranges = max(1, -(-sum(n.values()) // range_tokens))
     totals = save(totalled(sent(blocks, ranges)), "totals")
+    release(docs.sparkSession)
     known = totals.where("block < 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    tuned = tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals), d[COUNTED], n[COUNTED], known)
+    tuned = tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, "counted"), d[COUNTED], n[COUNTED], known)
     mix = weights(tuned.toPandas())
     train = n[COUNTED] + n[TUNING]
-    out = save(scores(beside(blocks, totals), mix, d[COUNTED] + d[TUNING], train, known), "scores")
+    out = save(scores(beside(blocks, totals, "all"), mix, d[COUNTED] + d[TUNING], train, known), "scores")
     forget(blocks)
     forget(totals)
     return out
