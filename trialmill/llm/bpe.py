@@ -17,7 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,8 +26,8 @@ from .common import map_text
 
 #: Pieces of more characters go by tree concatenation; leaves hold that many at most.
 LEAF = 2048
-#: A task's cache of encoded pieces is emptied at this size.
-CACHE = 400_000
+#: Encoded pieces that a worker keeps at hand; as many older ones stay until they are asked for again or give way.
+CACHE = 60_000
 ASCII_SPACE = re.compile(r"[ \t\n\r]+")
 
 
@@ -41,18 +41,29 @@ class Bpe:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec["model"]["end_of_word_suffix"] = None
-        spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "truncation": None, "padding": None}
-        self.inner = Tokenizer.from_str(json.dumps(spec))  # symbols in, tokens without a word end out
-        spec["model"]["end_of_word_suffix"] = self.suffix = self.whole.model.end_of_word_suffix
-        self.last = Tokenizer.from_str(json.dumps(spec)) if self.suffix else self.inner
+        self.path, self.suffix = path, self.whole.model.end_of_word_suffix
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.names = [self.whole.id_to_token(i) or "" for i in range(size)]
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.leaf, self.cache = leaf, {}
+        self.leaf, self.cache, self.older = leaf, {}, {}
+
+    def bare(self, suffix: str | None):
+        """The model alone: symbols in, tokens out, the last with the word end if a suffix is given."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["model"]["end_of_word_suffix"] = suffix
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "truncation": None, "padding": None}))
+
+    @cached_property
+    def inner(self):
+        return self.bare(None)
+
+    @cached_property
+    def last(self):
+        return self.bare(self.suffix) if self.suffix else self.inner
 
     def symbols(self, ids: list[int]) -> str:
         """The symbols that the tokens stand for, without a word end."""
@@ -90,20 +101,21 @@ class Bpe:
         return ids
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes pieces that the cache lacks."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = list(pieces)
-        short = [p for p in new if len(p) <= self.leaf]
+        """Sees that the cache holds the ids of all these pieces."""
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        short = []
+        for piece in pieces:
+            if piece in self.cache:
+                continue
+            if piece in self.older:
+                self.cache[piece] = self.older[piece]
+            elif len(piece) > self.leaf:
+                self.cache[piece] = np.array(self.long_piece(piece), "<u4").tobytes()
+            else:
+                short.append(piece)
         for piece, e in zip(short, self.whole.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            self.keep(piece, e.ids)
-        for piece in new:
-            if len(piece) > self.leaf:
-                self.keep(piece, self.long_piece(piece))
-
-    def keep(self, piece: str, ids: list[int]) -> None:
-        self.cache[piece] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
+            self.cache[piece] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Of each text, the ids as little-endian 32-bit integers and the decoded text."""
@@ -112,8 +124,8 @@ class Bpe:
             some = pieces[i : i + 256]
             self.learn({p for x in some for p in x})
             for x in some:
-                found = [self.cache[p] for p in x if p]
-                yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+                ids = b"".join([self.cache[p] for p in x])
+                yield ids, " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 @lru_cache(maxsize=2)

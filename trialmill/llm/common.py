@@ -24,6 +24,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text, about, that a task turns into Python objects at once.
 AT_ONCE = 4 << 20
+ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,11 +85,15 @@ def sampled(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     return df if n <= rows else df.where(share(key, seed=seed) < rows / n)
 
 
-def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[[list[str | None]], Sequence[Sequence]], fields: str, column: str = "text") -> DataFrame:
+def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[..., Sequence[Sequence]], fields: str, column: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """The columns `keep` of df as they are, and new `fields` (DDL) that fn makes of a batch of texts, one sequence for each field.
 
-    Columns of df that share a name with a field are replaced.
+    With `beside`, fn also gets a batch of those columns. Columns of df that
+    share a name with a field are replaced. The session's Arrow batches are
+    limited to ARROW_ROWS from then on, as texts can be long.
     """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     new = StructType.fromDDL(fields)
     keep = [c for c in keep if c not in new.names]
     schema = StructType([*df.select(*keep).schema.fields, *new.fields])
@@ -98,12 +103,13 @@ def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[[list[str | None]]
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in new.fields]
+        more = lambda b: [pa.RecordBatch.from_arrays(b.columns[-len(beside) :], names=list(beside))] if beside else []
         for whole in batches:
             rows = max(1, int(len(whole) * AT_ONCE / max(whole.column(at).nbytes, 1)))
             for start in range(0, len(whole), rows):
                 b = whole.slice(start, rows)
-                made = fn(b.column(at).to_pylist())
+                made = fn(b.column(at).to_pylist(), *more(b))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=schema.names)
 
     text = [F.col(column).cast("string").alias("_text_")] if at == len(keep) else []
-    return df.select(*keep, *text).mapInArrow(run, schema)
+    return df.select(*keep, *text, *[F.col(c).alias(f"_{i}_") for i, c in enumerate(beside)]).mapInArrow(run, schema)

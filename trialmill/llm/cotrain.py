@@ -148,12 +148,10 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), leas
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
     meta = list(model.meta_columns)
 
-    @F.pandas_udf("double")
-    def meta_odds(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series(shared.value.meta_odds(rows))
+    def odds_of(texts: list[str | None], rows) -> list:
+        return [shared.value.text_odds(texts), shared.value.meta_odds(rows.to_pandas())]
 
-    base = docs.withColumn("_meta_odds", meta_odds(F.struct(*meta)))
-    out = map_text(base, [*keep, "_meta_odds"], lambda texts: [shared.value.text_odds(texts)], "text_odds double").withColumnRenamed("_meta_odds", "meta_odds")
+    out = map_text(docs, keep, odds_of, "text_odds double, meta_odds double", beside=meta)
     odds = F.col("text_odds") + F.col("meta_odds") - F.lit(model.prior)
     out = out.withColumn("quality_score", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", F.col("quality_score") >= least)
