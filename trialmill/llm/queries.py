@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, cotrain, htmlmain, langid, lm, mixing, quality_rules, simhash, topk, warc
-from .common import new_path, table
+from .common import new_path, save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,8 +46,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("size"))
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    sizes = save(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("size")), "sizes")
+    return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
