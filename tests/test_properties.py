@@ -8,7 +8,7 @@ from trialmill.functions.design import bandpass_matrix, butterworth_bandpass, ze
 from trialmill.functions.quantiles import exact_quantiles
 from trialmill.functions.ranks import places
 from trialmill.operators import acquire, artifacts, evaluate, features, models, permute, robust, spectral, split
-from trialmill.plans import phases
+from trialmill.plans import phases, queries
 from trialmill.sources import store, wide
 
 
@@ -155,6 +155,14 @@ def test_models_learn_and_reject_unknown_names(spark, tmp_path):
         features.stage_view(data, "stage3")
 
 
+def test_svm_is_held_against_ten_shuffles(spark, monkeypatch):
+    rows = [(i, "val" if i % 5 == 0 else "train", i % 2, [1.0]) for i in range(20)]
+    data = spark.createDataFrame(rows, "trial_id long, split string, y int, features array<double>")
+    monkeypatch.setattr(queries, "model_data", lambda spark, sf: data)
+    monkeypatch.setattr(queries.models, "fit", lambda name, train: lambda val: val.withColumn("yhat", F.lit(1)))
+    assert sorted(r.perm for r in queries.QUERIES["perm_test_svm"](spark, "").collect()) == list(range(11))
+
+
 def test_phases_are_idempotent_and_need_parameters(spark, tmp_path):
     made = []
 

@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 CAP, CLASSES = 100, [0, 1, 2, 3]
 DIGITS = [-1, *range(1, 10)]
+SHUFFLES_OF_A_MODEL = 10  # as in the reference, for classical models
 FIT_UNTIL = 400  # trials below it are training data where a query has no split of its own
 BANDS = (("low", 0.0, 16.0), ("middle", 16.0, 40.0), ("high", 40.0, 80.0), ("top", 80.0, 125.0))
 N = 32  # samples to a segment of the 64-sample signals
@@ -792,7 +793,7 @@ def test_eval(spark, sf):
 def perm_test_svm(spark, sf):
     data = model_data(spark, sf).select("trial_id", "split", "y", "features")
     fit = lambda train: models.fit("svm_cheap", train)
-    return permute.model_runs(fit, data.where("split = 'train'"), data.where("split = 'val'"), 3)
+    return permute.model_runs(fit, data.where("split = 'train'"), data.where("split = 'val'"), SHUFFLES_OF_A_MODEL)
 
 
 # --- whole phases -----------------------------------------------------------------------------------------------------------------------
