@@ -230,6 +230,20 @@ def test_language_id(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"} and langid.predict_held_out(table.where("false")).count() == 0
 
 
+def test_language_id_learns_rare_languages(spark):
+    rng = np.random.default_rng(19)
+    many = [(i, " ".join(rng.choice(WORDS_OF[c].split(), 12)), c, "x", 1) for i, c in enumerate(["en", "de", "fr"] * 1500)]
+    many += [(5000 + i, " ".join(rng.choice(WORDS_OF["es"].split(), 12)), "es", "x", 1) for i in range(4)]
+    many += [(6000 + i, "1 2 3", "es", "x", 1) for i in range(2000)]  # without a letter: they take no part of the sample
+    table = spark.createDataFrame(many, DOCS)
+    model = langid.fit(table, sample_rows=60)
+    assert sorted(c for codes in model.families.values() for c in codes) == ["de", "en", "es", "fr"]
+    told = {r.doc_id: r.lang_pred for r in langid.identify(table.where("doc_id < 6000"), model, ["doc_id"]).collect()}
+    for code in WORDS_OF:
+        mine = [told[i] == c for i, _, c, _, _ in many if i < 6000 and c == code]
+        assert sum(mine) / len(mine) > 0.95, code
+
+
 def test_mixing(spark, empty):
     rng = np.random.default_rng(10)
     rows = [(i, prose(rng, int(rng.integers(1, 30))), "en", f"s{i % 5}" if i % 3 else "s0", 1) for i in range(1500)]

@@ -85,6 +85,26 @@ def sampled(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     return df if n <= rows else df.where(share(key, seed=seed) < rows / n)
 
 
+def sampled_by(df: DataFrame, key: str, by: str, rows: int, least: int, seed: int = 42) -> DataFrame:
+    """About `rows` rows of df, dealt evenly over the values of `by`: all rows of a value that has no more than its part.
+
+    What small values leave goes to larger ones. A part is never below `least`,
+    so that no value is left out where there are many: rows are then `least` for
+    each value at most. Rows are chosen by a hash of the key and the text.
+    """
+    sizes = sorted((r["count"], r[by]) for r in df.groupBy(by).count().collect())  # a row for each value
+    rates, left = {}, rows
+    for i, (n, value) in enumerate(sizes):
+        part = max(left // (len(sizes) - i), least)
+        left = max(left - min(n, part), 0)
+        if n > part:
+            rates[value] = part / n
+    if not rates:
+        return df
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col(by)]
+    return df.where(share(key, "text", seed=seed) < F.coalesce(rate, F.lit(1.0)))
+
+
 def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[..., Sequence[Sequence]], fields: str, column: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """The columns `keep` of df as they are, and new `fields` (DDL) that fn makes of a batch of texts, one sequence for each field.
 

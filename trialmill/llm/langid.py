@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_text, sampled
+from .common import crc_mod, map_text, sampled_by
 from .linear import byte_grams, decide, sigmoid, svm
 
 # ISO 639-1 codes by language family. A code that is not listed is a family of its own.
@@ -39,6 +39,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 LETTER = re.compile(r"[^\W\d_]")
+LETTER_IN_JAVA = r"[\p{L}\p{Nl}\p{No}]"
+LEAST_ROWS = 100  # of a language in the sample, where it has as many
 
 
 @dataclass
@@ -76,12 +78,15 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, dims: int = 1024, sample_rows: int = 6000, seed: int = 42) -> Model:
-    """Fits on about sample_rows rows of docs(doc_id, text, lang), chosen by a hash of doc_id.
+def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int = 42) -> Model:
+    """Fits on about sample_rows rows of docs(doc_id, text, lang), dealt evenly over languages and chosen by a hash.
 
-    Rows with a null language or without a letter don't count. The sample is
-    the only thing that comes to the driver: sample_rows * dims floats. Each
-    pair of languages, and each family, is a machine of dims weights.
+    Rows with a null language or without a letter don't count. A rare language
+    gives all its rows, and none gets a part below LEAST_ROWS, so every language
+    is learned at any size. The sample is the only thing that comes to the
+    driver, besides a count for each language: sample_rows * dims floats, or
+    LEAST_ROWS * dims for each language if that is more. Each pair of languages,
+    and each family, is a machine of dims weights.
     """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,8 +94,8 @@ def fit(docs: DataFrame, dims: int = 1024, sample_rows: int = 6000, seed: int =
             b = b[[bool(LETTER.search(t)) for t in b.text]]
             yield pd.DataFrame({"lang": b.lang, "x": [byte_grams(t, dims).tobytes() for t in b.text]})
 
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rows = sampled(labelled, "doc_id", sample_rows, seed).select("text", "lang").mapInPandas(features, "lang string, x binary").toPandas()
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER_IN_JAVA)).select("doc_id", "text", "lang")
+    rows = sampled_by(labelled, "doc_id", "lang", sample_rows, LEAST_ROWS, seed).select("text", "lang").mapInPandas(features, "lang string, x binary").toPandas()
     if rows.empty:
         return Model(dims, {}, {}, {})
     rows = rows.sort_values(["lang", "x"], kind="stable")
