@@ -105,6 +105,24 @@ def test_html_text(spark):
     assert htmlmain.extract(pages.where("page_id < 0").withColumn("url", F.lit("u")), none).count() == 0
 
 
+def texts_of(html):
+    return [text for _, text, _ in Page(html).runs]
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=x>", "<head><title>T<body>", "<head><noscript><link rel=x></noscript><script>a</script>", "<head><noscript><img src=x><body>", "<head><style>p {}</style></head>"])
+@pytest.mark.parametrize("body", ["<body><p>one</p><p>two</p></body></html>", "<p>one<p>two", "<div><p>one</p>two</div>"])
+def test_an_open_head_takes_no_text(head, body):
+    assert texts_of(f"<html>{head}{body}") == ["one", "two"]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "noscript", "iframe", "svg", "object", "video", "template", "textarea"])
+def test_an_open_silent_element_takes_no_block(tag):
+    assert texts_of(f"<body><p>one</p><{tag}>lost<p>two</p><div>three</div></body>") == ["one", "two", "three"]
+    assert texts_of(f"<body><div>one<{tag}>lost</div>two") == ["one", "two"]
+    assert texts_of(f"<body><{tag}>lost<p>one</p><{tag}>gone<p>gone</p></{tag}><p>two</p>") == ["one", "two"]
+    assert texts_of(f"<body><p>one</p><{tag}>gone<p>gone</p><div>gone</div></{tag}><p>two</p>") == ["one", "two"]
+
+
 def test_decoding_contradicts_no_ancestor():
     page = Page("<body><div><p>one</p><p>two</p></div><div>three<p>four</p></div></body>")
     for seed in range(50):

@@ -12,7 +12,13 @@ import numpy as np
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("audio button canvas datalist head iframe math noscript object script select style svg template textarea title video".split())
+#: Silent elements that can hold their own kind; the start of another one ends any other.
+NESTS = set("audio canvas math object svg template video".split())
+#: What an open head can hold; any other start ends it.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: The start of one of these ends a silent element that the page never closes.
+BLOCKS = CLOSES_P - {"hr"} | set("body caption dd dt li tbody td tfoot th thead tr".split())
 #: An open element of the key is closed by the start of one of these, unless one of the walls is between.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 WALLS = set("ul ol dl table menu div section article body".split())
@@ -49,19 +55,32 @@ class Node:
 
 
 class Page(HTMLParser):
-    """nodes: block elements in page order; runs: (node, text) of the inline text between block borders."""
+    """nodes: block elements in page order; runs: (node, text) of the inline text between block borders.
+
+    A silent element without an end would take the rest of the page: which ones
+    have none is known at the end only, and such a page is read a second time.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.endless: set[int] = set()  # silent elements, by place among all of them, that the page never closes
+        self.read(html)
+        if self.endless:
+            self.read(html)
+
+    def read(self, html: str) -> None:
+        self.reset()
         self.nodes = [Node("#page", -1, 0, set())]
         self.runs: list[tuple[int, str, int]] = []
         self.open: list[tuple[str, int]] = [("#page", 0)]
-        self.silent: list[str] = []
+        self.silent: list[tuple[str, int]] = []
+        self.n_silent = 0
         self.text: list[str] = []
         self.linked = self.in_link = 0
         self.feed(html)
         self.close()
         self.flush()
+        self.unsilence(0)
 
     @property
     def here(self) -> int:
@@ -80,13 +99,32 @@ class Page(HTMLParser):
         self.in_link -= sum(tag == "a" for tag, _ in self.open[at:])
         del self.open[at:]
 
+    def unsilence(self, at: int) -> None:
+        """Silent elements from `at` on end, without an end tag of their own."""
+        self.endless.update(k for tag, k in self.silent[at:] if tag != "head")
+        del self.silent[at:]
+
+    def end_endless(self) -> None:
+        while self.silent and self.silent[-1][1] in self.endless:
+            self.silent.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCKS:
+            self.end_endless()
+        for at, (name, _) in enumerate(self.silent):
+            if name == tag and tag not in NESTS:
+                self.unsilence(at)
+                break
+        if self.silent and self.silent[-1][0] == "head" and tag not in IN_HEAD:
+            self.silent.pop()
         if self.silent:
             if tag in SILENT and tag not in VOID:
-                self.silent.append(tag)
+                self.silent.append((tag, self.n_silent))
+                self.n_silent += 1
             return
         if tag in SILENT:
-            self.silent.append(tag)
+            self.silent.append((tag, self.n_silent))
+            self.n_silent += 1
             if tag not in {"script", "style"}:
                 self.text.append(" ")
             return
@@ -126,11 +164,15 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in BLOCKS and any(name == tag for name, _ in self.open):
+            self.end_endless()
         if self.silent:
-            if tag in self.silent:
-                del self.silent[self.silent.index(tag) :]
-            elif tag in {"head", "body", "html"}:
-                self.silent = []
+            for at in range(len(self.silent) - 1, -1, -1):
+                if self.silent[at][0] == tag:
+                    del self.silent[at:]
+                    return
+            if tag in {"head", "body", "html"}:
+                self.unsilence(0)
             return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
@@ -140,6 +182,8 @@ class Page(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.silent[-1][0] == "head" and data.strip():  # text ends an open head, too
+            self.silent.pop()
         if not self.silent:
             self.text.append(data)
             if self.in_link:
