@@ -332,6 +332,29 @@ def test_tree_concatenation(leaf):
             assert tree.long_piece(word) == t.encode(word, add_special_tokens=False).ids
 
 
+def test_every_text_is_joined_from_halves(docs):
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) > 1]
+    t, tree = library(), bpe.Bpe(tokenizer_path())
+    assert tree.grown(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tree.joins >= len(texts)
+    before = tree.joins
+    long = "word and another " * 40_000 + "x" * 30_000 + " end"
+    assert tree.grown([long])[0] == t.encode(long, add_special_tokens=False).ids
+    assert tree.joins - before > len(long) / bpe.LEAF / 2
+
+
+def test_cuts_may_fall_anywhere():
+    """Contractions, special tokens, marks that join the letter before, and white space of all kinds, under every cut."""
+    t, tree = library(), bpe.Bpe(tokenizer_path())
+    rng = np.random.default_rng(31)
+    symbols = ["a", "b", "th", "ing", "'s", "'", "'ll", "1", "2", " ", "  ", "\n", "\t", "é", "e\u0301", "\u0301", "\u0316\u0300", "日", "😀", "!", "<|endoftext|>", "Σ", "İ", "ß", "\x1c", "\u200b", "가", "\u1100", "\u1161", "\u11a8", "DON", "x" * 9]
+    for _ in range(200):
+        tree.leaf = int(rng.choice([1, 2, 3, 9, 17, 40]))
+        some = rng.choice(symbols, int(rng.integers(2, 12)), replace=False)
+        texts = ["".join(rng.choice(some, int(rng.integers(1, 60)))) for _ in range(6)]
+        assert tree.grown(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_cotraining(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i < 160)) for i in [*range(0, 160, 2), *range(160, 172)]] + [(0, None), (1000, 1)], "doc_id long, quality int")
     model = cotrain.fit(docs, labels)

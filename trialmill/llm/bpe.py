@@ -1,13 +1,21 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
-White space never joins two pre-tokens of this kind of tokenizer, so a text is
-the concatenation of its unsplit pieces, and each distinct piece is encoded
-once for each task. A long unsplit piece goes by tree concatenation: its halves, and theirs, are
-encoded in parallel without the word end, and neighbours are joined by encoding
-a window around the join again. A window is right once its first token is the
-one that the left side had there and its last the one that the right side had:
-a token sequence is the encoding exactly if each neighbouring pair of tokens
-is, and every pair then comes from an encoding. Until that, the window grows.
+Every text goes by tree concatenation. It is halved, wherever its middle falls,
+until a part holds `leaf` characters at most, at least once; the parts are
+encoded as they are, unsplit and side by side, and neighbours are joined level
+by level. A join encodes a window around the cut again, from a word before it
+to a word behind it, and beside that the window's two sides alone. The window
+takes the place of the sides' tokens once it starts as the left side does and
+ends as the right side does; until then it grows. It reaches from white space
+to white space, which no token of such a tokenizer spans, so nothing outside
+it can change.
+
+A cut that would fall into a piece of more than `leaf` characters without white
+space goes around it. Such a piece has a tree of its own, over its symbols and
+without the word end: a window is right once its first token is the one that
+the left side had there and its last the one that the right side had. A token
+sequence is the encoding exactly if each neighbouring pair of tokens is, and
+every pair then comes from an encoding.
 """
 
 from __future__ import annotations
@@ -24,18 +32,20 @@ from pyspark.sql import DataFrame
 
 from .common import map_text
 
-#: Pieces of more characters go by tree concatenation; leaves hold that many at most.
+#: Leaves of the trees hold so many characters at most.
 LEAF = 2048
-#: Encoded pieces that a worker keeps at hand; as many older ones stay until they are asked for again or give way.
-CACHE = 60_000
-ASCII_SPACE = re.compile(r"[ \t\n\r]+")
+#: Characters to either side of a cut that a window holds at least, at first.
+REACH = 16
+#: Texts whose trees grow side by side: their leaves, and then their windows, are encoded in one call.
+TOGETHER = 256
 
 
 class Bpe:
     """The tokenizer of one file, in one task."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")  # the halves of a text are encoded by two threads
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -46,7 +56,7 @@ class Bpe:
         self.names = [self.whole.id_to_token(i) or "" for i in range(size)]
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.leaf, self.cache, self.older = leaf, {}, {}
+        self.leaf, self.joins = leaf, 0
 
     def bare(self, suffix: str | None):
         """The model alone: symbols in, tokens out, the last with the word end if a suffix is given."""
@@ -100,32 +110,82 @@ class Bpe:
                     ids += self.tree(word) if len(word) > self.leaf else self.last.encode(word, add_special_tokens=False).ids
         return ids
 
-    def learn(self, pieces: set[str]) -> None:
-        """Sees that the cache holds the ids of all these pieces."""
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
-        short = []
-        for piece in pieces:
-            if piece in self.cache:
+    def parts(self, text: str) -> list[tuple[int, int, bool]]:
+        """(start, end, long) of the leaves of a text; long ones are pieces without white space."""
+        leaf, out, todo = max(1, min(self.leaf, (len(text) + 1) // 2)), [], [(0, len(text))]
+        while todo:
+            start, end = todo.pop()
+            if end - start <= leaf:
+                out.append((start, end, False))
                 continue
-            if piece in self.older:
-                self.cache[piece] = self.older[piece]
-            elif len(piece) > self.leaf:
-                self.cache[piece] = np.array(self.long_piece(piece), "<u4").tobytes()
-            else:
-                short.append(piece)
-        for piece, e in zip(short, self.whole.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(e.ids, "<u4").tobytes()
+            cut = (start + end) // 2
+            if cut - start > self.leaf and end - cut > self.leaf:
+                a, b = space_before(text, start, cut), space_after(text, cut, end)
+                if b - a > self.leaf:
+                    out.append((a, b, True))
+                    todo += [x for x in ((b, end), (start, a)) if x[0] < x[1]]
+                    continue
+            todo += [(cut, end), (start, cut)]
+        return sorted(out)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def window(self, text: str, start: int, cut: int, end: int, reach: int) -> tuple[int, int]:
+        """From white space to white space around a cut, `reach` characters to either side at least if the pieces there aren't long."""
+        a, b = space_before(text, start, max(start, cut - reach)), space_after(text, min(end, cut + reach), end)
+        a = a if cut - a <= reach + self.leaf else space_before(text, start, cut)
+        b = b if b - cut <= reach + self.leaf else space_after(text, cut, end)
+        return a, b
+
+    def joined(self, jobs: list[tuple[str, int, int, int, list[int], list[int]]]) -> list[list[int]]:
+        """The tokens of text[start:end] for each (text, start, cut, end, left tokens, right tokens)."""
+        out: list[list[int]] = [[]] * len(jobs)
+        self.joins += len(jobs)
+        todo, reach = list(range(len(jobs))), REACH
+        while todo:
+            spans = [self.window(*jobs[i][:4], reach) for i in todo]
+            asked = [x for i, (a, b) in zip(todo, spans, strict=True) for x in (jobs[i][0][a:b], jobs[i][0][a : jobs[i][2]], jobs[i][0][jobs[i][2] : b])]
+            found, grow = self.ids(asked), []
+            for n, (i, (a, b)) in enumerate(zip(todo, spans, strict=True)):
+                _, start, _, end, left, right = jobs[i]
+                inside, before, after = found[3 * n : 3 * n + 3]
+                agree = (a == start or inside[:1] == before[:1]) and (b == end or inside[-1:] == after[-1:])
+                if agree or reach > end - start:
+                    out[i] = left[: len(left) - len(before)] + inside + right[len(after) :]
+                else:
+                    grow.append(i)
+            todo, reach = grow, reach * 2
+        return out
+
+    def grown(self, texts: list[str]) -> list[list[int]]:
+        """The tokens of each text, by halves."""
+        levels = [self.parts(t) for t in texts]
+        short = self.ids([t[a:b] for t, parts in zip(texts, levels, strict=True) for a, b, long in parts if not long])
+        at = iter(short)
+        trees = [[(a, b, self.long_piece(t[a:b]) if long else next(at)) for a, b, long in parts] for t, parts in zip(texts, levels, strict=True)]
+        while any(len(x) > 1 for x in trees):
+            jobs = [(t, x[i][0], x[i][1], x[i + 1][1], x[i][2], x[i + 1][2]) for t, x in zip(texts, trees, strict=True) for i in range(0, len(x) - 1, 2)]
+            done = iter(self.joined(jobs))
+            trees = [[(x[i][0], x[i + 1][1], next(done)) if i + 1 < len(x) else x[i] for i in range(0, len(x), 2)] for x in trees]
+        return [x[0][2] if x else [] for x in trees]
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Of each text, the ids as little-endian 32-bit integers and the decoded text."""
-        pieces = [ASCII_SPACE.split(t or "") for t in texts]
-        for i in range(0, len(pieces), 256):
-            some = pieces[i : i + 256]
-            self.learn({p for x in some for p in x})
-            for x in some:
-                ids = b"".join([self.cache[p] for p in x])
-                yield ids, " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        for i in range(0, len(texts), TOGETHER):
+            for ids in self.grown([t or "" for t in texts[i : i + TOGETHER]]):
+                yield np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
+
+
+def space_before(text: str, start: int, at: int) -> int:
+    """The place behind the last space or line feed of text[start:at]; start, if there is none."""
+    return max(text.rfind(" ", start, at), text.rfind("\n", start, at), start - 1) + 1
+
+
+def space_after(text: str, at: int, end: int) -> int:
+    """The place of the first space or line feed of text[at:end]; end, if there is none."""
+    a, b = text.find(" ", at, end), text.find("\n", at, end)
+    return min(a if a >= 0 else end, b if b >= 0 else end)
 
 
 @lru_cache(maxsize=2)

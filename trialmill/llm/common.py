@@ -22,15 +22,16 @@ WORDS = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Bytes of text, about, that a task turns into Python objects at once.
+#: Bytes of text, about, that a task turns into Python objects at once. Spark bounds an Arrow batch by bytes already.
 AT_ONCE = 4 << 20
-ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, our own in a local session, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -105,15 +106,19 @@ def sampled_by(df: DataFrame, key: str, by: str, rows: int, least: int, seed: in
     return df.where(share(key, "text", seed=seed) < F.coalesce(rate, F.lit(1.0)))
 
 
+def apart(docs: DataFrame, used: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but `used` under a name that no operator has, and a function that gives back the columns of docs."""
+    hidden = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]), lambda out: out.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[..., Sequence[Sequence]], fields: str, column: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """The columns `keep` of df as they are, and new `fields` (DDL) that fn makes of a batch of texts, one sequence for each field.
 
     With `beside`, fn also gets a batch of those columns. Columns of df that
-    share a name with a field are replaced. The session's Arrow batches are
-    limited to ARROW_ROWS from then on, as texts can be long.
+    share a name with a field are replaced; apart() keeps them. A text of any
+    length is one value of one batch: fn sees it whole.
     """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     new = StructType.fromDDL(fields)
     keep = [c for c in keep if c not in new.names]
     schema = StructType([*df.select(*keep).schema.fields, *new.fields])
