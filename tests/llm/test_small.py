@@ -73,12 +73,72 @@ def test_quality_rules(docs, empty):
 def test_mcd_holds_against_outliers():
     rng = np.random.default_rng(5)
     d = len(quality_rules.FEATURES)
-    cells = []
-    for x in [*rng.normal(0, 1, (300, d)), *rng.normal(9, 0.1, (60, d))]:
-        cells.append([1.0, *x, *[x[i] * x[j] for i in range(d) for j in range(i, d)]])
-    sums = np.array(cells)
-    mean, root, _ = quality_rules._estimate(sums, 270)
-    assert np.abs(mean).max() < 0.3 and np.allclose(root, np.tril(root))
+    x = rng.permutation(np.vstack([rng.normal(0, 1, (300, d)), rng.normal(9, 0.1, (60, d))]))
+    products = lambda r: [1.0, *r, *[r[i] * r[j] for i in range(d) for j in range(i, d)]]
+    far = np.linalg.norm(x - np.median(x, axis=0), axis=1)
+    mean, cov, logdet = quality_rules._estimate(np.array([products(r) for r in x[np.argsort(far)]]), 270)
+    near = x[np.argsort(far)[:270]]
+    want = np.cov(near.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+    assert np.allclose(mean, near.mean(axis=0)) and np.allclose(cov, want) and np.isclose(logdet, np.linalg.slogdet(want)[1])
+    assert np.abs(mean).max() < 0.3
+    half, _, _ = quality_rules._estimate(np.array([[2.0, *[3.0] * d, *[5.0] * (d * (d + 1) // 2)], [2.0, *[9.0] * d, *[50.0] * (d * (d + 1) // 2)]]), 3)
+    assert np.allclose(half, (3 + 4.5) / 3)  # half of the second cell counts
+
+
+def mcd_by_loop(x, share):
+    """C-steps by sorting, from many starts, until nothing changes: the least determinant."""
+    rng = np.random.default_rng(0)
+    floors, h, best = np.diag(np.square(quality_rules.FLOORS)), share * len(x), None
+    for start in range(12):
+        some = x if start == 0 else x[rng.choice(len(x), min(len(x), 16), replace=False)]
+        mean, cov = some.mean(axis=0), np.cov(some.T, bias=True) + floors
+        for _ in range(30):
+            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            order = np.argsort(far)
+            w = np.zeros(len(x))
+            w[order] = np.clip(h - np.arange(len(x)), 0, 1)
+            mean = w @ x / w.sum()
+            cov = (x * w[:, None]).T @ x / w.sum() - np.outer(mean, mean) + floors
+        if best is None or np.linalg.slogdet(cov)[1] < best[2]:
+            best = mean, cov, np.linalg.slogdet(cov)[1]
+    return best[:2]
+
+
+def test_small_groups_are_judged_by_their_own_estimate(spark):
+    """Verdicts of groups of 8 to 150 rows, against sorting in plain numpy and the same shrinkage."""
+    rng = np.random.default_rng(17)
+    rows, i = [], 0
+    for lang, source, n in (("en", "a", 150), ("en", "b", 12), ("fr", "a", 40), ("fr", None, 8), (None, "a", 25)):
+        for k in range(n):
+            words = [str(rng.choice("of river stone bridge walk light".split())) + str(rng.choice(["", "s", "ing", "er"])) for _ in range(int(rng.integers(15, 80)))]
+            if k % 9 == 0:
+                words = [w + str(rng.choice(["", "#", "%%&", "$$$$"])) for w in words]
+            rows.append((i, " ".join(words).title() if source == "b" else " ".join(words), lang, source, 1))
+            i += 1
+    docs = spark.createDataFrame(rows, DOCS)
+    stats = quality_rules.statistics(docs).select("doc_id", "lang", "source", *quality_rules.transformed()).toPandas()
+    x, d = stats[quality_rules.FEATURES].to_numpy(), len(quality_rules.FEATURES)
+    key = lambda v: "-" if v is None or v != v else v
+    lang, source = stats.lang.map(key), stats.source.map(key)
+    limit = 1.6**2 * quality_rules.chi2_quantile(1 - 1e-4, d) * 0.75 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, d), d + 2)
+    want = {}
+    for pair in set(zip(lang, source)):
+        masks = [np.ones(len(x), bool), (lang == pair[0]).to_numpy(), ((lang == pair[0]) & (source == pair[1])).to_numpy()]
+        now = None
+        for m in masks:
+            mine = mcd_by_loop(x[m], 0.75)
+            now = mine if now is None else quality_rules._shrunk(m.sum(), mine, now, 50)
+        gap = x[masks[2]] - now[0]
+        want |= dict(zip(stats.doc_id[masks[2]], np.sqrt(np.einsum("ij,jk,ik->i", gap, np.linalg.inv(now[1]), gap)), strict=True))
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    differ = [i for i, r in got.items() if not r.base_failed and r.kept != (want[i] <= math.sqrt(limit))]
+    assert len(differ) <= 2 and np.median([abs(got[i].distance / want[i] - 1) for i in got]) < 0.1
+    params = quality_rules.mcd(quality_rules.statistics(docs)).collect()
+    assert sorted(r.rows for r in params) == [8, 12, 25, 40, 150]
+
+
+def test_kinds_of_letters_beyond_the_first_plane():
+    assert quality_rules.kind_counts("aB1!\U00010400\U00020000\U0001F600") == (2, 2, 1)
 
 
 PARAGRAPHS = ["The council met on Tuesday to discuss the new bridge, which will open next year.", "Members agreed that the costs, though high, were justified by the traffic &amp; the trade.", "A second meeting will follow in spring, and the public may attend it, too."]
@@ -371,15 +431,53 @@ def test_cotraining(spark, docs, empty):
     assert cotrain.score(empty, cotrain.fit(empty, labels)).count() == 0
 
 
-def test_exchange_labels_for_each_other():
+def test_views_label_for_each_other_in_every_round(spark):
+    """Two informative views: both hand rows over in each round, never one twice, and accuracy on unseen labels doesn't fall."""
     rng = np.random.default_rng(13)
-    y = np.array([0.0, 1.0] * 10)
-    views = [rng.normal(size=(20, 2)) + 3 * y[:, None], rng.normal(size=(20, 2)) + 3 * y[:, None]]
-    truth = rng.integers(0, 2, 200)
-    pool = [rng.normal(size=(200, 2)) + 3 * truth[:, None] for _ in range(2)]
-    models = cotrain.exchange(views, y, pool, rounds=3, share=0.2, sure=0.9)
-    for x, w in zip(pool, models, strict=True):
-        assert ((cotrain.decide(x, w) > 0) == truth).mean() > 0.95
+    rows, labels = [], []
+    for i in range(1200):
+        good = rng.random() < 0.8
+        text = prose(rng, int(rng.integers(5, 30)))
+        if not good:
+            text = " ".join(w if rng.random() < 0.7 else w + "&&%" for w in text.split())
+        rows.append((i, text, "en", ("news" if rng.random() < 0.8 else "dump") if good else ("dump" if rng.random() < 0.8 else "news"), int(rng.integers(1, 500))))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("text_odds", F.lit("clash"))
+    some = spark.createDataFrame(labels[:160], "doc_id long, quality int")
+    right = []
+    for rounds in (0, 3):
+        model = cotrain.fit(docs, some, rounds=rounds, per_round=60)
+        said = {r.doc_id: r.quality_score > 0.5 for r in cotrain.score(docs, model).collect()}
+        right.append(sum(said[i] == bool(y) for i, y in labels[160:]))
+    assert right[1] >= right[0] and right[1] > 0.9 * len(labels[160:])
+    for r in range(3):
+        for view in ("text", "meta"):
+            assert sum(n for at, v, _, n, w in model.handed if (at, v) == (r, view) and w > 0) >= 30
+
+
+def test_the_surest_rows_are_those_of_a_sort(spark, docs):
+    kinds = (("source", False), ("n_chars", True))
+    rng = np.random.default_rng(2)
+    pool = cotrain.viewed(docs, kinds).cache()
+    rows = pool.toPandas().drop_duplicates("_t")
+    x = cotrain.arrays(rows, kinds)
+    model = cotrain.Model(kinds, [rng.normal(size=a.shape[1] + 1) for a in x], [(1.0, 0.0)] * 2, 0.0)
+    given = [set(rows._t[:40]), set()]
+    got = cotrain.surest(pool, model, given, (7, 11))
+    for v in (0, 1):
+        free = rows.assign(odds=model.odds(v, x[v]))
+        free = free[~free._t.isin(given[v])]
+        for label, n in ((0, 7), (1, 11)):
+            want = free.iloc[np.lexsort((free._t, -free.odds if label else free.odds))[:n]]
+            assert set(got[(got["view"] == v) & (got["label"] == label)]._t) == set(want._t)
+
+
+def test_metadata_may_be_missing(spark, docs):
+    labels = spark.createDataFrame([(i, int(i < 160)) for i in [*range(0, 160, 2), *range(160, 172)]], "doc_id long, quality int")
+    bare = docs.drop("n_chars", "source")
+    scores = cotrain.score(bare, cotrain.fit(bare, labels))
+    assert scores.count() == docs.count() and scores.where("quality_score IS NULL").count() == 0
+    assert cotrain.score(bare, cotrain.fit(docs, labels)).where("quality_score IS NULL").count() == 0
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
