@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
 
 # Elements by their part in HTML.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("audio button canvas datalist head iframe math noscript object script select style svg template textarea title video".split())
+#: Elements whose text isn't the page's: not shown, or part of a form or of a drawing. What math, noscript, object, audio, video and canvas hold stays.
+SILENT = set("button datalist head iframe script select style svg template textarea title".split())
 #: Silent elements that can hold their own kind; the start of another one ends any other.
-NESTS = set("audio canvas math object svg template video".split())
+NESTS = {"svg", "template"}
 #: What an open head can hold; any other start ends it.
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: The start of one of these ends a silent element that the page never closes.
 BLOCKS = CLOSES_P - {"hr"} | set("body caption dd dt li tbody td tfoot th thead tr".split())
-#: An open element of the key is closed by the start of one of these, unless one of the walls is between.
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: The start of the key closes open elements of these kinds, down to the nearest wall.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "tbody": ("tr", "td", "th"), "tfoot": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 WALLS = set("ul ol dl table menu div section article body".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXTUAL = {"p", "pre", "blockquote", "td", "dd", "figcaption"} | HEADINGS
@@ -49,6 +52,7 @@ class Node:
     depth: int
     words: set[str]
     given: str | None = None  # a label in data-part, in pages made for training; no feature
+    place: int = 0  # among its siblings
     children: list[int] = field(default_factory=list)
     runs: list[int] = field(default_factory=list)
     links: int = 0
@@ -57,6 +61,11 @@ class Node:
 class Page(HTMLParser):
     """nodes: block elements in page order; runs: (node, text) of the inline text between block borders.
 
+    Any text is a page: an unclosed comment or tag takes the rest, a declaration
+    ends at the next `>`, an end tag without its start does nothing. Time is
+    linear in the text, whatever is left open: where an open element of a kind
+    stands is looked up, not searched for.
+
     A silent element without an end would take the rest of the page: which ones
     have none is known at the end only, and such a page is read a second time.
     """
@@ -64,6 +73,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.endless: set[int] = set()  # silent elements, by place among all of them, that the page never closes
+        self.last_end = html.rfind(">")
         self.read(html)
         if self.endless:
             self.read(html)
@@ -72,16 +82,36 @@ class Page(HTMLParser):
         self.reset()
         self.nodes = [Node("#page", -1, 0, set())]
         self.runs: list[tuple[int, str, int]] = []
-        self.open: list[tuple[str, int]] = [("#page", 0)]
+        self.open: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, node, inline
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in open, of each tag
+        self.blocks = [0]  # places in open of what isn't inline
         self.silent: list[tuple[str, int]] = []
+        self.silent_at: defaultdict[str, list[int]] = defaultdict(list)
         self.n_silent = 0
         self.text: list[str] = []
-        self.linked = self.in_link = 0
+        self.linked = 0
         self.feed(html)
         self.close()
         self.flush()
         self.unsilence(0)
 
+    # What the parser leaves open at the end of the text, or doesn't know.
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = self.rawdata.find("-->", i + 2)
+        return len(self.rawdata) if end < 0 else end + 3
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        mark = "]]>" if self.rawdata[i + 3 : i + 9].lower() == "cdata[" and self.rawdata.find("]]>", i) >= 0 else ">"
+        end = self.rawdata.find(mark, i)
+        return len(self.rawdata) if end < 0 else end + len(mark)
+
+    def parse_starttag(self, i: int) -> int:
+        return len(self.rawdata) if i > self.last_end else super().parse_starttag(i)
+
+    def parse_endtag(self, i: int) -> int:
+        return len(self.rawdata) if i > self.last_end else super().parse_endtag(i)
+
     @property
     def here(self) -> int:
         return self.open[-1][1]
@@ -93,70 +123,82 @@ class Page(HTMLParser):
             self.runs.append((self.here, text, min(self.linked, len(text))))
         self.text, self.linked = [], 0
 
+    def push(self, tag: str, node: int, inline: bool) -> None:
+        self.at[tag].append(len(self.open))
+        if not inline:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node, inline))
+
     def pop_to(self, at: int) -> None:
-        if any(tag not in INLINE for tag, _ in self.open[at:]):
+        if self.blocks[-1] >= at:
             self.flush()
-        self.in_link -= sum(tag == "a" for tag, _ in self.open[at:])
-        del self.open[at:]
+        while len(self.open) > at:
+            tag, _, inline = self.open.pop()
+            self.at[tag].pop()
+            if not inline:
+                self.blocks.pop()
+
+    def hush(self, tag: str) -> None:
+        self.silent_at[tag].append(len(self.silent))
+        self.silent.append((tag, self.n_silent))
+        self.n_silent += 1
+
+    def speak(self, at: int) -> None:
+        """Silent elements from `at` on end."""
+        while len(self.silent) > at:
+            self.silent_at[self.silent.pop()[0]].pop()
 
     def unsilence(self, at: int) -> None:
         """Silent elements from `at` on end, without an end tag of their own."""
         self.endless.update(k for tag, k in self.silent[at:] if tag != "head")
-        del self.silent[at:]
+        self.speak(at)
 
     def end_endless(self) -> None:
         while self.silent and self.silent[-1][1] in self.endless:
-            self.silent.pop()
+            self.speak(len(self.silent) - 1)
+
+    def is_inline(self, tag: str) -> bool:
+        if tag == "noscript":  # as inline as what is around it
+            return self.open[-1][2] or self.open[self.blocks[-1]][0] in TEXTUAL or any(map(str.strip, self.text))
+        return tag in INLINE or bool(self.at["math"])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.end_endless()
-        for at, (name, _) in enumerate(self.silent):
-            if name == tag and tag not in NESTS:
-                self.unsilence(at)
-                break
+        if self.silent_at[tag] and tag not in NESTS:
+            self.unsilence(self.silent_at[tag][0])
         if self.silent and self.silent[-1][0] == "head" and tag not in IN_HEAD:
-            self.silent.pop()
+            self.speak(len(self.silent) - 1)
         if self.silent:
-            if tag in SILENT and tag not in VOID:
-                self.silent.append((tag, self.n_silent))
-                self.n_silent += 1
+            if tag in SILENT:
+                self.hush(tag)
             return
         if tag in SILENT:
-            self.silent.append((tag, self.n_silent))
-            self.n_silent += 1
+            self.hush(tag)
             if tag not in {"script", "style"}:
                 self.text.append(" ")
             return
         if tag == "br":
             self.text.append(" ")
-        if tag in INLINE:
+        if self.is_inline(tag):
             if tag not in VOID:
-                self.open.append((tag, self.here))
-                self.in_link += tag == "a"
+                self.push(tag, self.here, True)
                 self.nodes[self.here].links += tag == "a"
             return
-        if tag in CLOSES_P:
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at][0] == "p":
-                    self.pop_to(at)
-                    break
-                if self.open[at][0] not in INLINE:
-                    break
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.open[at][0]
-            if tag in CLOSED_BY.get(name, ()):
-                self.pop_to(at)
-                break
-            if name in WALLS:
-                break
+        if tag in CLOSES_P and self.open[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
+        wall = max((self.at[w][-1] for w in WALLS if self.at[w]), default=0)
+        inside = [self.at[name][k] for name in CLOSES.get(tag, ()) if (k := bisect_right(self.at[name], wall)) < len(self.at[name])]
+        if inside:
+            self.pop_to(min(inside))
         self.flush()
         if tag in VOID:
             return
         words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in TOKENS.findall(v.lower())}
-        self.nodes[self.here].children.append(len(self.nodes))
-        self.nodes.append(Node(tag, self.here, self.nodes[self.here].depth + 1, words, dict(attrs).get("data-part")))
-        self.open.append((tag, len(self.nodes) - 1))
+        above = self.nodes[self.here]
+        self.nodes.append(Node(tag, self.here, above.depth + 1, words, dict(attrs).get("data-part"), len(above.children)))
+        above.children.append(len(self.nodes) - 1)
+        self.push(tag, len(self.nodes) - 1, False)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -164,29 +206,23 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS and any(name == tag for name, _ in self.open):
+        if tag in BLOCKS and self.at[tag]:
             self.end_endless()
         if self.silent:
-            for at in range(len(self.silent) - 1, -1, -1):
-                if self.silent[at][0] == tag:
-                    del self.silent[at:]
-                    return
-            if tag in {"head", "body", "html"}:
+            if self.silent_at[tag]:
+                self.speak(self.silent_at[tag][-1])
+            elif tag in {"head", "body", "html"}:
                 self.unsilence(0)
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self.pop_to(at)
-                break
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                break
+        if self.at[tag] and (self.at[tag][-1] > self.blocks[-1] or not self.open[self.at[tag][-1]][2]):
+            self.pop_to(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.silent and self.silent[-1][0] == "head" and data.strip():  # text ends an open head, too
-            self.silent.pop()
+            self.speak(len(self.silent) - 1)
         if not self.silent:
             self.text.append(data)
-            if self.in_link:
+            if self.at["a"]:
                 self.linked += len(data)
 
 
@@ -218,16 +254,16 @@ def features(page: Page) -> np.ndarray:
     density = chars / size
     out = np.zeros((n, len(FEATURES)))
     above = [(0, 0, 0, 0)] * n  # nearest part, aside above, bad words above, good words above
+    tags = [Counter(page.nodes[c].tag for c in node.children) for node in page.nodes]
     for i, node in enumerate(page.nodes):
         p = node.parent
-        peers = page.nodes[p].children if p >= 0 else [i]
-        place = peers.index(i) if len(peers) < 50 else int(np.searchsorted(peers, i))
+        peers, place = (page.nodes[p].children, node.place) if p >= 0 else ([i], 0)
         if p >= 0:
             part, aside, bad, good = above[p]
             mine = page.nodes[p]
             part = 1 if mine.tag in MAIN else -1 if mine.tag in ASIDE else part
             above[i] = (part, aside or mine.tag in ASIDE, bad + len(mine.words & BAD_WORDS), good + len(mine.words & GOOD_WORDS))
-        same = sum(page.nodes[k].tag == node.tag for k in peers[max(0, place - 25) : place + 25]) / min(len(peers), 50)
+        same = tags[p][node.tag] / len(peers) if p >= 0 else 1
         out[i] = [
             node.depth, np.log1p(chars[i]), np.log1p(own[i]), linked[i] / max(chars[i], 1), density[i], marks[i] / max(words[i], 1), words[i] / max(runs[i], 1), chars[i] / total, start[i] / total, end[i] / total,
             len(node.children), len(peers), place / len(peers), same, np.log1p(chars[peers[place - 1]]) if place else 0, np.log1p(chars[peers[place + 1]]) if place + 1 < len(peers) else 0, density[p] if p >= 0 else 0,

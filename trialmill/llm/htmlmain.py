@@ -1,8 +1,10 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 Training rows come from a bounded sample of the pages themselves. A page whose
-own mark-up names its article labels its nodes; besides, its article and the
-rest of its text are laid out anew in other mark-up, so that the trees learn
+own elements tell its article from other parts labels its nodes, by element
+alone; besides, its article and the
+rest of its text are laid out anew in other mark-up, where each part's label is
+known because it was put there, so that the trees learn
 from densities, places and attribute words rather than from one template.
 Decoding gives each subtree one choice: keep all of it, drop all of it, or let
 its children choose, at a small cost. An ancestor that is dropped or
@@ -45,7 +47,8 @@ SEMANTIC = {"content": ("article", "main"), "top": ("header",), "menu": ("nav",)
 def labels_of(page: Page, given: bool = False) -> np.ndarray:
     """1 within an article, 0 within other parts, -1 where the mark-up doesn't say or a subtree holds both.
 
-    given: by data-part alone, as in the layouts made here.
+    Elements alone tell: attribute words are features, so within an article
+    they leave a node without a label. given: by data-part alone, as in the layouts made here.
     """
     n = len(page.nodes)
     own = np.full(n, -1)
@@ -56,14 +59,14 @@ def labels_of(page: Page, given: bool = False) -> np.ndarray:
         if given:
             own[i] = above if node.given is None else int(node.given)
         else:
-            aside = node.tag in ASIDE or bool(node.words & BAD_WORDS)
-            own[i] = 0 if aside or above == 0 else 1 if node.tag in MAIN or above == 1 else -1
+            unsure = bool(node.words & BAD_WORDS) or above == -2
+            own[i] = 0 if node.tag in ASIDE or above == 0 else -2 if unsure else 1 if node.tag in MAIN or above == 1 else -1
     kinds: list[set[int]] = [set() for _ in range(n)]
     for node, _, _ in page.runs:
         kinds[node].add(int(own[node]))
     for i in range(n - 1, 0, -1):
         kinds[page.nodes[i].parent] |= kinds[i]
-    return np.array([next(iter(k)) if len(k) == 1 else -1 for k in kinds])
+    return np.array([max(next(iter(k)), -1) if len(k) == 1 else -1 for k in kinds])
 
 
 def laid_out(main: list[str], other: list[str], rng: random.Random) -> str:
@@ -102,9 +105,10 @@ def training_rows(html: str, seed: int, layouts: int) -> Iterator[tuple[list[flo
     """Features and labels of a page's nodes, as it is and laid out anew."""
     page = Page(html)
     given = labels_of(page)
-    for x, y in zip(features(page), given, strict=True):
-        if y >= 0 and x[1] > 0:
-            yield x.tolist(), float(y)
+    if (given == 1).any():  # else nothing says which parts are asides of an article
+        for x, y in zip(features(page), given, strict=True):
+            if y >= 0 and x[1] > 0:
+                yield x.tolist(), float(y)
     main = [text for node, text, _ in page.runs if given[node] == 1] or sorted((t for _, t, _ in page.runs), key=len)[-3:]
     other = [text for node, text, _ in page.runs if given[node] == 0]
     rng = random.Random(seed)
@@ -187,7 +191,13 @@ def fit(pages: DataFrame, sample_pages: int = 300, layouts: int = 3, trees: int
 
 
 def decode(page: Page, odds: np.ndarray, split_cost: float = 1.0) -> list[str]:
-    """The kept runs: the best of keeping, dropping and splitting each subtree, bottom up."""
+    """The kept runs of the likeliest choices, found bottom up.
+
+    A node is kept, dropped or split. Below a kept or dropped one all are the
+    same; a split one costs split_cost and leaves the choice to each child, and
+    to its own runs, if it has any. Each choice of a node, and of a split one's
+    own runs, adds its log-probability. Nodes without text have no part in it.
+    """
     n = len(page.nodes)
     keep_log, drop_log = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     keep, drop, best = [0.0] * n, [0.0] * n, [0.0] * n
@@ -199,7 +209,8 @@ def decode(page: Page, odds: np.ndarray, split_cost: float = 1.0) -> list[str]:
             continue
         keep[i] = keep_log[i] + sum(keep[c] for c in node.children)
         drop[i] = drop_log[i] + sum(drop[c] for c in node.children)
-        best[i] = max(keep[i], drop[i], sum(best[c] for c in node.children) - split_cost if node.children else -np.inf)
+        own = max(keep_log[i], drop_log[i]) if node.runs else 0.0
+        best[i] = max(keep[i], drop[i], own + sum(best[c] for c in node.children) - split_cost if node.children else -np.inf)
     kept = [False] * n
     fate = [0] * n  # 1 and -1: settled by an ancestor
     for i in range(n):
@@ -238,7 +249,8 @@ def extract(pages: DataFrame, model: Trees) -> DataFrame:
 
     Null and empty html have the empty text. Character references are decoded,
     white space inside a block becomes one space, blocks are trimmed and joined
-    in page order by one line feed; blocks that are equal all stay.
+    in page order by one line feed; blocks that are equal all stay. Malformed,
+    very deep and very long pages are pages like others, see dom.Page.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred tree nodes
 
