@@ -266,18 +266,28 @@ def test_labels_come_from_elements_alone():
 def test_top_k(spark, wide):
     rng = np.random.default_rng(3)
     rows = [(i, ((1e5 if wide else 1) * rng.normal(size=8)).tolist(), "extra") for i in range(400)]
-    rows += [(400, [1.0] * 8, "x"), (401, [1.0] * 8, "tie"), (450, [1.0] * 8, "tie"), (500, None, "x"), (501, [float("nan")] + [0.0] * 7, "x"), (502, [None] + [0.0] * 7, "x"), (550, [float("inf")] * 8, "x"), (600, [1.0, 2.0], "short"), (601, [3.0, 4.0], "short"), (400, [1.0] * 8, "again")]
+    rows += [(400, [1.0] * 8, "x"), (401, [1.0] * 8, "tie"), (450, [1.0] * 8, "tie"), (500, None, "x"), (501, [float("nan")] + [0.0] * 7, "x"), (502, [None] + [0.0] * 7, "x"), (550, [float("inf")] * 8, "x"), (600, [1.0, 2.0], "short"), (601, [3.0, 4.0], "short"), (650, [], "none"), (651, [], "none")]
+    rows += [(401, [9.0] * 8, "again"), (401, [9.0] * 8, "again"), (7, [-9.0] * 8, "again")]
     vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"))
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, block_rows=90, query_rows=4)
-    v = {i: [math.floor(256 * x) for x in e] for i, e, _ in rows if e and all(x is not None and math.isfinite(x) for x in e)}
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e, _ in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
     want = []
-    for q in (i for i in v if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))[:5]
-        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    for q, x in v:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in v if c != q and len(y) == len(x))[:5]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(vectors.where("vec_id < 0"), vectors.where("vec_id < 0")).count() == 0
 
 
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    _, read = topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, block_rows=500)
+    assert 60 * 5 <= read.count() < 60 * 60  # of 60 queries by 3000 rows
+
+
 def fingerprint_by_loop(text, n=4):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

@@ -1,91 +1,160 @@
 """Exact top-k inner products with vector-approximation files.
 
-Vectors are dealt into blocks. A block's approximation file holds a cell
-number for each component; a cell's edges bound each product. A query scans
-the cells of a block, reads exact vectors in the order of their bounds, and
-stops when the kth exact score is above every bound left. The blocks' winners
-are then ranked. Each pair of a query and a row is bounded once, in blocks of
-fixed size, so memory doesn't grow with the input.
+The approximation file holds, for blocks of rows, a cell number of one byte for
+each component, and a block's cell edges. A scan of a block by a block of
+queries gives each row's highest and lowest possible score; only rows whose
+highest isn't below the block's kth lowest stay candidates. Over all blocks, a
+query's candidates are then cut at its kth highest lower bound. Exact vectors
+are read of these alone, in the order of their bounds: first the `k` best, and
+then those whose bound isn't below the kth exact score found. Queries and rows meet in blocks of
+bounded size, and what crosses the network for them are cells, not vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import forget, save
 
 #: Products of integers below this, summed over 4096 components, are exact in doubles.
 SAFE = 1 << 20
+#: Bounds that a task holds at once.
+BOUNDS = 1 << 21
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, v array<long>, d): floor(scale * x) of each component.
 
-    Scores are exact while they fit in 63 bits. Without: null vectors, null ids, and vectors that hold null or non-finite
-    components. Rows that share an id count once, the least vector staying.
+    Scores are exact while they fit in 63 bits. Without: null vectors, null ids,
+    and vectors that hold null or non-finite components. Rows that share an id all stay.
     """
     fine = F.forall(vec_col, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
     ints = F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
     rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & fine)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, bits: int) -> list[tuple]:
-    """The k best rows of one block for each query, ties to the smaller id, without the query's own id."""
-    order = np.argsort(vid, kind="stable")
-    vid, v = vid[order], v[order]
-    exact = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) < SAFE
-    v, q = (v.astype(np.float64), q.astype(np.float64)) if exact else (v, q)
-    low = v.min(axis=0)
-    width = np.ceil((v.max(axis=0) - low + 1) / (1 << bits)) if exact else -(-(v.max(axis=0) - low + 1) // (1 << bits))
-    cells = ((v - low) // width).astype(np.uint16)  # the approximation file
-    edges = cells * width
-    slack = np.maximum(q * (width - 1), 0).sum(axis=1) + (q * low).sum(axis=1)
-    out, n = [], len(vid)
-    for i in range(len(qid)):
-        bound = edges @ q[i] + slack[i]
-        bound[vid == qid[i]] = -np.inf if exact else np.iinfo(np.int64).min
-        others = n - int((vid == qid[i]).sum())
-        take = min(others, 4 * k)
-        while take:
-            near = np.argpartition(-bound, take - 1)[:take] if take < n else np.arange(n)
-            near = near[vid[near] != qid[i]]
-            score = v[near] @ q[i]
-            best = np.lexsort((vid[near], -score))[:k]
-            if take >= others or (len(best) == k and bound[near].min() < score[best[-1]]):  # bounds left are at most the least one read
-                out += [(qid[i], vid[near[j]], int(score[j])) for j in best]
-                break
-            take = min(others, take * 4)
-    return out
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).withColumn("d", F.size("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block_rows: int = 2048, query_rows: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest inner products among the other ids.
+def approximated(vectors: DataFrame, bits: int, block_rows: int) -> DataFrame:
+    """(block, d, low, width, rows, ids, cells): the approximation file of vectors(row, vec_id, v, d), without a shuffle.
 
-    Both inputs as integer_vectors() gives them; only vectors of as many
-    components are compared. Fewer than k rows: all of them. Empty: no rows.
+    A block holds rows of one task and dimension. low and width (64-bit) are of
+    each component, rows and ids (64-bit) and cells (one byte, row-major) of each row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[pd.DataFrame]] = {}
+
+        def block(d: int) -> pd.DataFrame:
+            b = pd.concat(held.pop(d))
+            v = np.stack(b.v).astype(np.int64).reshape(len(b), d)
+            low = v.min(axis=0)
+            width = -(-(v.max(axis=0) - low + 1) // (1 << bits))
+            cells = ((v - low) // width).astype(np.uint8)
+            return pd.DataFrame([(int(b.row.iloc[0]), d, *[x.tobytes() for x in (low, width, b.row.to_numpy(np.int64), b.vec_id.to_numpy(np.int64), cells)])], columns=["block", "d", "low", "width", "rows", "ids", "cells"])
+
+        for batch in batches:
+            for d, b in batch.groupby("d"):
+                held.setdefault(d, []).append(b)
+                if sum(map(len, held[d])) >= block_rows:
+                    yield block(d)
+        for d in list(held):
+            yield block(d)
+
+    return vectors.mapInPandas(run, "block long, d int, low binary, width binary, rows binary, ids binary, cells binary")
+
+
+def candidates(queries: np.ndarray, qid: np.ndarray, low: np.ndarray, width: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, rows, highest, lowest possible scores) of one block: every row that can be among the query's k best of the block, its own id left out.
+
+    With values beyond SAFE, sums are of 64-bit integers: exact while scores are.
     """
-    vectors, queries = save(vectors, "vectors"), save(queries, "queries")
-    blocks = max(1, -(-vectors.count() // block_rows))
+    exact = max(np.abs(queries).max(initial=0), np.abs(low).max(initial=0), np.abs(low + width * 256).max(initial=0)) < SAFE
+    kind = np.float64 if exact else np.int64
+    q = queries.astype(kind)
+    edges = (cells.astype(np.int64) * width + low).astype(kind)
+    rise = q * (width - 1).astype(kind)
+    above, below = np.maximum(rise, 0).sum(axis=1), np.minimum(rise, 0).sum(axis=1)
+    step = max(1, BOUNDS // max(len(ids), 1))
+    for at in range(0, len(qid), step):
+        base = q[at : at + step] @ edges.T
+        own = ids[None, :] == qid[at : at + step, None]
+        for i in range(len(base)):
+            rows = np.flatnonzero(~own[i])
+            score = base[i, rows]
+            if len(rows) > k:
+                kth = np.partition(score, len(rows) - k)[len(rows) - k]
+                few = score + above[at + i] >= kth + below[at + i]
+                rows, score = rows[few], score[few]
+            yield at + i, rows, (score + above[at + i]).astype(np.int64), (score + below[at + i]).astype(np.int64)
+
+
+def bounded(vectors: DataFrame, queries: DataFrame, k: int, bits: int, block_rows: int, query_rows: int) -> DataFrame:
+    """(qrow, query_id, row, upper): the rows that can be among each query's k best; vectors and queries have a number for each row in `row`."""
+    file = save(approximated(vectors, bits, block_rows), "cells")
     q_blocks = max(1, -(-queries.count() // query_rows))
-    deal = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", deal("vec_id", q_blocks)).withColumn("b", every(blocks))
-    right = vectors.withColumn("b", deal("vec_id", blocks)).withColumn("qb", every(q_blocks))
+    blocks = file.select(F.col("block").alias("b"), F.col("d").alias("_d"))  # two numbers for each block_rows rows
+    blocks = F.broadcast(blocks) if blocks.count() <= 1_000_000 else blocks
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int"))
+    left = asked.join(blocks, F.col("d") == F.col("_d"))  # each query meets each block of its dimension: the work that is asked for
+    right = file.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(a) and len(b) and a.d.iloc[0]:
-            rows = search_block(a.vec_id.to_numpy(), np.stack(a.v).astype(np.int64), b.vec_id.to_numpy(), np.stack(b.v).astype(np.int64), k, bits)
-        elif len(a) and len(b):
-            ids = np.sort(b.vec_id.to_numpy())
-            rows = [(q, v, 0) for q in a.vec_id for v in ids[ids != q][:k]]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["b", "qb", "d"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = []
+        if len(a) and len(b):
+            d, file = int(a.d.iloc[0]), b.iloc[0]
+            whole = lambda x: np.frombuffer(x, np.int64)
+            rows, ids = whole(file.rows), whole(file.ids)
+            found = candidates(np.stack(a.v).astype(np.int64).reshape(len(a), d), a.vec_id.to_numpy(), whole(file.low), whole(file.width), ids, np.frombuffer(file.cells, np.uint8).reshape(len(ids), d), k)
+            for i, at, upper, lower in found:
+                out.append(pd.DataFrame({"qrow": a.row.iloc[i], "query_id": a.vec_id.iloc[i], "row": rows[at], "upper": upper, "lower": lower}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("qrow", "query_id", "row", "upper", "lower")})
+
+    met = left.groupBy("b", "qb").cogroup(right.groupBy("block", "qb")).applyInPandas(scan, "qrow long, query_id long, row long, upper long, lower long")
+    met = save(met, "bounds")
+    # the kth highest lower bound over all blocks; each block has sent those of its k best
+    place = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("lower")))
+    least = met.select("qrow", "lower", place.alias("_n")).where(F.col("_n") <= k).groupBy("qrow").agg(F.min("lower").alias("_least"), F.count(F.lit(1)).alias("_have")).withColumnRenamed("qrow", "_q")
+    cut = met.join(least, F.col("qrow") == F.col("_q")).where((F.col("_have") < k) | (F.col("upper") >= F.col("_least")))
+    out = save(cut.select("qrow", "query_id", "row", "upper"), "candidates")
+    for x in (file, met):
+        forget(x)
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block_rows: int = 8192, query_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(query_id, rank, vec_id, score) as top_k(), and (query_id, qrow, row, score) of every exact vector read."""
+    numbered = lambda df, name: save(df.withColumn("row", F.monotonically_increasing_id()), name)
+    vectors, queries = numbered(vectors, "vectors"), numbered(queries, "queries")
+    near = bounded(vectors, queries, k, bits, block_rows, query_rows)
+    exact = vectors.select(F.col("row").alias("_row"), "vec_id", "v")
+    asked = queries.select(F.col("row").alias("_qrow"), F.col("v").alias("q"))
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def read(some: DataFrame) -> DataFrame:
+        return some.join(exact, F.col("row") == F.col("_row")).join(asked, F.col("qrow") == F.col("_qrow")).select("query_id", "qrow", "row", "vec_id", dot.alias("score"))
+
+    order = Window.partitionBy("qrow").orderBy(F.desc("upper"), "row")
+    near = save(near.withColumn("_n", F.row_number().over(order)), "ordered")
+    first = save(read(near.where(F.col("_n") <= k)), "first")
+    kth = first.groupBy("qrow").agg(F.min("score").alias("_kth")).withColumnRenamed("qrow", "_q")
+    rest = near.where(F.col("_n") > k).join(kth, F.col("qrow") == F.col("_q")).where(F.col("upper") >= F.col("_kth"))
+    scored = save(first.unionAll(read(rest)), "scored")
+    forget(near)
+    forget(first)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), scored.select("query_id", "qrow", "row", "score")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, **options: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest inner products among rows of other ids, ties to the smaller id.
+
+    Both inputs as integer_vectors() gives them; only vectors of as many
+    components are compared. Fewer than k rows: all of them. Rows that repeat
+    an id are rows like others; queries that do share one ranking. Empty: no rows.
+    """
+    return search(vectors, queries, **options)[0]
