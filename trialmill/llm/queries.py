@@ -62,14 +62,8 @@ def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     warc.archive(warc.page_records(table(spark, sf_dir, "pages")), path)
-    back = warc.read(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
-    return back.select(
-        warc.page_id_of("record_id").alias("page_id"),
-        F.col("payload_length").alias("payload_bytes"),
-        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
-        "record_type",
-        warc.page_id_of("refers_to").alias("refers_to"),
-    )
+    back = warc.resolved(warc.read(spark, path))
+    return back.select(warc.page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id_of("refers_to").alias("refers_to"))
 
 
 QUERIES: dict[str, Query] = {

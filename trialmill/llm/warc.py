@@ -7,6 +7,11 @@ record if no payload column is asked for, is skipped by seeking past it.
 Writing gives one file for each task, moved into place when the job commits,
 so a lost executor leaves no half-written archive behind. Files are opened
 through pyarrow's file systems, which take local and remote URIs alike.
+
+The block of a record of type application/http is an HTTP head and the payload
+behind it; any other block is the payload. A file that is cut short, or holds
+what is no record, raises by default; with the option on_error=stop the
+records before that place are returned and the rest of the file is left out.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import new_path
+from .common import new_path, save
 
 #: Header field of each column; the order is that of a written header.
 FIELDS = {
@@ -38,7 +43,10 @@ FIELDS = {
     "profile": "WARC-Profile",
     "payload_length": "WARC-Payload-Length",
 }
-SCHEMA = ", ".join(f"{c} string" for c in FIELDS if c != "payload_length") + ", payload_length long, content_length long, payload binary"
+SCHEMA = ", ".join(f"{c} string" for c in FIELDS if c != "payload_length") + ", payload_length long, content_length long, http_head string, payload binary"
+HTTP = "application/http"
+#: A header of more bytes, or a line of more, is no WARC header.
+HEADER_BYTES = 1 << 20
 VERSION = b"WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,49 +55,89 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def header(row: dict) -> bytes:
-    """The header of one record, for a row of SCHEMA."""
+def block(row: dict) -> bytes:
+    """A record's content: the payload, behind its HTTP head if it has one."""
+    head = row.get("http_head")
+    return (b"" if head is None else head.encode() + b"\r\n\r\n") + bytes(row.get("payload") or b"")
+
+
+def header(row: dict, length: int) -> bytes:
+    """The header of one record, for a row of SCHEMA and the length of its content."""
     lines = [VERSION]
     for column, name in FIELDS.items():
         if row.get(column) is not None:
             lines.append(f"{name}: {str(row[column]).replace('\r', ' ').replace('\n', ' ')}".encode())
-    lines.append(b"Content-Length: %d" % len(row.get("payload") or b""))
+    lines.append(b"Content-Length: %d" % length)
     return b"\r\n".join(lines) + b"\r\n\r\n"
 
 
+def number(text: str, name: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(f"{name} is no length: {text[:40]!r}")
+    return int(text)
+
+
+def passed_over(source: io.BufferedIOBase, length: int) -> bool:
+    """Moves past `length` bytes; False if there are fewer."""
+    if not length:
+        return True
+    source.seek(length - 1, 1)
+    return len(source.read(1)) == 1
+
+
 def parse(source: io.BufferedIOBase, wanted: dict[str, set | None], payload: bool) -> Iterator[dict]:
     """Records whose header passes `wanted` (allowed values, or None for any value but null).
 
-    Names of fields are matched without regard to case, unknown ones ignored.
-    Ends at the end of the file; a header that is no WARC header raises.
+    Names of fields are matched without regard to case, unknown ones ignored,
+    lines that begin with white space go on with the one before. Ends at the end of the file; a header that is no WARC header, one
+    without a right Content-Length, and content that is cut short raise ValueError.
     """
     columns = {name.lower(): column for column, name in FIELDS.items()}
     while True:
-        line = source.readline()
+        line = source.readline(HEADER_BYTES)
         while line in (b"\r\n", b"\n"):
-            line = source.readline()
+            line = source.readline(HEADER_BYTES)
         if not line:
             return
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {line[:60]!r}")
         row: dict = dict.fromkeys(FIELDS)
-        length = 0
-        while (line := source.readline().rstrip(b"\r\n")):
+        length, column, size = None, None, 0
+        while True:
+            line = source.readline(HEADER_BYTES)
+            size += len(line)
+            if not line.endswith(b"\n") or size > HEADER_BYTES:
+                raise ValueError(f"a WARC header that doesn't end: {line[:60]!r}")
+            line = line.rstrip(b"\r\n")
+            if not line:
+                break
+            if line[:1] in b" \t":
+                if column:
+                    row[column] += " " + line.decode("utf-8", "replace").strip()
+                continue
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            if name.lower() == "content-length":
-                length = int(value)
-            elif column := columns.get(name.lower()):
+            column = columns.get(name.strip().lower())
+            if name.strip().lower() == "content-length":
+                length = number(value.strip(), "Content-Length")
+            elif column:
                 row[column] = value.strip()
-        row["payload_length"] = int(row["payload_length"]) if row["payload_length"] is not None else length
-        row |= {"content_length": length, "payload": None}
-        if all(row[c] is not None and (values is None or row[c] in values) for c, values in wanted.items()):
-            if payload:
-                row["payload"] = source.read(length)
-            else:
-                source.seek(length, 1)
-            yield row
-        else:
-            source.seek(length, 1)
+        if length is None:
+            raise ValueError("a WARC record without Content-Length")
+        row["payload_length"] = number(row["payload_length"], FIELDS["payload_length"]) if row["payload_length"] is not None else length
+        row |= {"content_length": length, "http_head": None, "payload": None}
+        if not all(row[c] is not None and (values is None or row[c] in values) for c, values in wanted.items()):
+            if not passed_over(source, length):
+                raise ValueError("a WARC record that is cut short")
+            continue
+        if payload:
+            content = source.read(length)
+            if len(content) < length:
+                raise ValueError("a WARC record that is cut short")
+            head, found, rest = content.partition(b"\r\n\r\n") if (row["content_type"] or "").startswith(HTTP) else (b"", b"", content)
+            row |= {"http_head": head.decode("utf-8", "replace"), "payload": rest} if found else {"payload": content}
+        elif not passed_over(source, length):
+            raise ValueError("a WARC record that is cut short")
+        yield row
 
 
 @dataclass
@@ -101,7 +149,8 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.columns, self.path = schema.names, options["path"]
         self.size, self.wanted = int(options.get("partition_bytes", 64 << 20)), {}
-        self.payload = "payload" in self.columns and options.get("payload", "true") == "true"
+        self.payload = bool({"payload", "http_head"} & set(self.columns)) and options.get("payload", "true") == "true"
+        self.stop = {"raise": False, "stop": True}[options.get("on_error", "raise")]
 
     def pushFilters(self, filters: Sequence) -> Iterator:
         """Takes equality, IN and IS NOT NULL on header columns; Spark keeps the others."""
@@ -130,6 +179,13 @@ class WarcReader(DataSourceReader):
             left -= size
         return [Files(tuple(x)) for x in plan] or [Files(())]
 
+    def records(self, source: io.BufferedIOBase, name: str) -> Iterator[dict]:
+        try:
+            yield from parse(source, self.wanted, self.payload)
+        except (ValueError, EOFError, OSError) as error:  # gzip tells of a cut with the latter two
+            if not self.stop or isinstance(error, OSError) and not isinstance(error, gzip.BadGzipFile):
+                raise ValueError(f"{name}: {error}") from error
+
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
         types = {c: pa.int64() if c.endswith("_length") else pa.binary() if c == "payload" else pa.string() for c in self.columns}
@@ -137,7 +193,7 @@ class WarcReader(DataSourceReader):
             raw = system.open_input_file(name)
             with gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw, 1 << 16) as source:
                 rows, size = [], 0
-                for row in parse(source, self.wanted, self.payload):
+                for row in self.records(source, name):
                     rows.append(row)
                     size += 200 + (row["content_length"] if self.payload else 0)
                     if size > 4 << 20:
@@ -166,7 +222,8 @@ class WarcWriter(DataSourceWriter):
                 name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gz
                 system.create_dir(f"{path}/_temporary-{self.job}", recursive=True)
                 out = system.open_output_stream(f"{path}/_temporary-{self.job}/{name}", compression=None)  # else a .gz name would compress twice
-            record = header(row) + bytes(row.get("payload") or b"") + b"\r\n\r\n"
+            content = block(row)
+            record = header(row, len(content)) + content + b"\r\n\r\n"
             out.write(gzip.compress(record, 1) if self.gz else record)
         if out is not None:
             out.close()
@@ -215,8 +272,10 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     The payload is the html in UTF-8, null counting as empty. Of records with
     equal payloads of least_bytes or more, the one with the largest page_id is
     the response and the others revisit it, without a payload of their own;
-    shorter ones are all responses. Rows without a page_id are responses and
-    are revisited by none; rows that repeat the largest page_id are responses.
+    shorter ones are all responses. Rows without a page_id are responses under
+    record ids of their own and are revisited by none; rows that repeat the largest
+    page_id are responses, and share a record id. A response's content is an HTTP
+    response: a status line, its type and length, and the payload.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     x = pages.select("page_id", "url", body.alias("payload")).withColumns({"payload_length": F.length("payload").cast("long"), "digest": F.sha1("payload")})
@@ -230,15 +289,16 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
     return x.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
-        urn(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
+        F.coalesce(urn(F.col("page_id").cast("string")), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("record_id"),
         F.lit("2024-01-01T00:00:00Z").alias("warc_date"),
         F.col("url").alias("target_uri"),
-        F.lit("text/html; charset=utf-8").alias("content_type"),
+        F.lit("application/http; msgtype=response").alias("content_type"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
         F.when(again, urn(F.col("first"))).alias("refers_to"),
         F.when(again, F.lit(SAME_PAYLOAD)).alias("profile"),
         "payload_length",
         F.lit(0).cast("long").alias("content_length"),
+        F.when(~again, F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_length").cast("string"))).alias("http_head"),
         F.when(~again, F.col("payload")).alias("payload"),
     )
 
@@ -249,10 +309,27 @@ def archive(records: DataFrame, path: str, compression: str = "none") -> None:
     records.write.format("warc").mode("append").option("compression", compression).save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True, on_error: str = "raise") -> DataFrame:
     """Rows of SCHEMA; without payloads, each is skipped by its length, never read."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").options(payload=str(payload).lower(), on_error=on_error).load(path)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """record_id, record_type, refers_to, payload_bytes, payload_digest (bare hexadecimal SHA-1): a row for each response and revisit.
+
+    Length and digest are of the payload that was read: a response's own, a
+    revisit's from the response that it refers to, or null if that isn't there.
+    The headers' figures are not looked at.
+    """
+    thin = records.where(F.col("record_type").isin("response", "revisit")).select("record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    thin = save(thin, "read")  # payloads are read once; and a response with most revisits can be split in the join
+    asked = thin.where("record_type = 'revisit'").select(F.col("refers_to").alias("_id")).distinct()
+    own = thin.where("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(F.first("payload_bytes").alias("_bytes"), F.first("payload_digest").alias("_digest"))
+    found = save(own.join(asked, "_id", "left_semi"), "resolved")
+    x = thin.join(found, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("_id")), "left")
+    again = F.col("record_type") == "revisit"
+    return x.select("record_id", "record_type", "refers_to", *[F.when(again, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("_bytes", "payload_bytes"), ("_digest", "payload_digest"))])
 
 
 def page_id_of(urn: str) -> F.Column:
