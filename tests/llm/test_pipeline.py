@@ -59,3 +59,29 @@ def test_run(spark, world):
     out = corpus_pipeline.run(spark, path).collect()
     ids = {r.doc_id for r in out}
     assert ids and ids <= set(range(120)) and all(r.decoded for r in out)
+
+
+def test_stages_change_no_column(spark, world):
+    """Columns with the names that operators use come through as they are; rows that share an id, too."""
+    path, rows = world
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = "score kept lang_pred quality_score text_odds meta_odds _key _size _n _th fp root component_id size target copies _m0 _x doc".split()
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.reverse("text")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        got = out.select("doc_id", *names).distinct().collect()
+        assert got and all(r[n] == f"{n}:{'' if r.doc_id is None else r.doc_id}" for r in got for n in names), name
+        if name == "near_dedup":
+            assert out.where("doc_id = 1").count() == 2
+
+
+def test_a_very_long_text_passes_every_stage(spark, world):
+    path, _ = world
+    long = "the and river with light stone over " * 400_000  # 14 MB
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(9000, long, "en", "s1", len(long))], DOCS))
+    for name, stage in corpus_pipeline.STAGES:
+        if name in {"near_dedup", "tokens"}:
+            assert stage(spark, docs, path).where("doc_id = 9000").count() == 1, name

@@ -315,6 +315,23 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and 200 not in ids and ids.count(3) == 1 and None in ids
 
 
+def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
+    a, b = "one two three four five six seven", "a wholly unlike text about other things than those"
+    rows = [(1, a, "p", "x"), (1, b, "q", "x"), (1, b, "q", "x"), (2, a, "r", "x"), (3, b, "s", "x"), (None, a, "t", "x"), (None, None, "u", "x"), (4, None, "v", None), (5, "", "w", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _th string, fp string")
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[5], rows[6], rows[7]]))
+
+
+def test_an_odd_radius_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), radius=3)
+    assert simhash.bits_for(1) == 12 and simhash.bits_for(10**9) > 20
+    fps = np.array([0, 0b1111, 0b11111, 0b11111 << 30], "u8")
+    assert {tuple(map(int, x)) for x in simhash.meet(np.zeros(4, np.int64), fps, 12, 2)} == {(0, 0b1111), (0, 0b11111)}
+
+
 def test_ball_hashing_finds_every_link(spark):
     rng = np.random.default_rng(8)
     fps = rng.integers(0, 1 << 63, 60).tolist()
@@ -372,7 +389,7 @@ WORDS_OF = {"en": "the and thing over river with light", "de": "und der schön 
 def test_language_id(spark):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(rng.choice(WORDS_OF[c].split(), 12)), c, "x", 1) for i, c in enumerate(list(WORDS_OF) * 60)]
-    rows += [(900, None, "en", "x", 1), (901, "123 456 !!", "en", "x", 1), (902, "", None, None, None), (903, "und der fluss über licht", None, "x", 1), (None, "les et chose sur", "fr", "x", 1)]
+    rows += [(900, None, "en", "x", 1), (901, "123 456 !! ² ½ ① Ⅷ", "en", "x", 1), (902, "", None, None, None), (903, "und der fluss über licht", None, "x", 1), (None, "les et chose sur", "fr", "x", 1)]
     table = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash"))
     got = langid.predict_held_out(table).collect()
     assert len(got) == len(rows)
@@ -430,8 +447,16 @@ def test_mixing(spark, empty):
     assert all(abs(taken[s] - target[s]) <= 40 for s in order)
     again = mixing.mix(table.repartition(7)).collect()
     assert sorted((str(r.doc_id), r.source or "", r.copies) for r in out) == sorted((str(r.doc_id), r.source or "", r.copies) for r in again)
-    emitted = mixing.mixed_rows(table)
-    assert emitted.columns == table.columns and emitted.count() == sum(r.copies for r in out)
+    odd = table.withColumns({"_size": F.lit("a"), "_key": F.lit("b"), "_n": F.lit("c"), "_copy": F.lit("d"), "size": F.lit(-1)})
+    emitted = mixing.mixed_rows(odd)
+    assert emitted.columns == odd.columns and emitted.count() == sum(r.copies for r in out)
+    assert [tuple(r) for r in emitted.select("target", "copies", "_size", "_key", "_n", "_copy", "size").distinct().collect()] == [("clash", 9, "a", "b", "c", "d", -1)]
+    times, want = Counter(), Counter()
+    for r in emitted.collect():
+        times[r.doc_id, r.source, len(WORD.findall(r.text or ""))] += 1
+    for r in out:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert times == +want
 
 
 def library():

@@ -28,6 +28,7 @@ from .quality_rules import kind_counts
 
 GRAMS, BUCKETS = 256, 64
 VIEWS = ("text", "meta")
+META = ("source", "lang", "n_chars")
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -123,7 +124,7 @@ def surest(pool: DataFrame, model: Model, given: list[set[int]], n: tuple[int, i
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", meta: tuple[str, ...] = ("source", "lang", "n_chars"), sample_rows: int = 6000, rounds: int = 3, per_round: int = 200, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", meta: tuple[str, ...] = META, sample_rows: int = 6000, rounds: int = 3, per_round: int = 200, seed: int = 42) -> Model:
     """Fits on about sample_rows labelled rows, chosen by a hash of doc_id, and on what the views hand over from all unlabelled rows.
 
     labels(doc_id, <label> 0 or 1); null labels don't count, and a doc_id with

@@ -10,13 +10,13 @@ sample of labelled rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +38,8 @@ FAMILIES = {
     "dravidian": "kn ml ta te",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
-LETTER_IN_JAVA = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = regex.compile(r"\p{L}")
+LETTER_IN_JAVA = r"\p{L}"
 LEAST_ROWS = 100  # of a language in the sample, where it has as many
 
 

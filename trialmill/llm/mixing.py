@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from .common import WORD, apart, save
 
 UNIT = 1 << 32
+#: Sources that one task may sort: a hundred bytes each.
+MOST_SOURCES = 5_000_000
 
 
 def n_words(text: Column | str) -> Column:
@@ -34,7 +36,7 @@ def offset_units(source: Column, seed: int) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
     """sizes(source, source_size) to (source, source_size, target): one small row for each source.
 
-    Sources in code-point order, null last, take the weights in turn. A target
+    All sources meet in one task, which sorts them: MOST_SOURCES at most, or ValueError. Sources in code-point order, null last, take the weights in turn. A target
     is min(cap * size, level * weight); the level spends the budget exactly.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -64,7 +66,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     keep = [c for c in docs.columns if c not in ("source_size", "target", "copies", "size")]
     size = F.col("size").cast("long") if "size" in docs.columns else n_words("text")
     parts = docs.select(*keep, F.coalesce(size, F.lit(0)).alias("size"))
-    thin = parts.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    thin = save(parts.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    if thin.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     targets = save(source_targets(thin, weights, budget, cap), "targets")
     units = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(F.lit(0)).cast("decimal(20,0)")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -87,16 +91,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs(doc_id, text, source, ...) as often as it is taken, with the columns of docs.
 
-    Copies are found on thin rows; texts are shuffled once, to meet them. Rows
-    that agree in doc_id, source and size share out their copies by a hash of
-    the text.
+    Copies are found on thin rows; texts are shuffled once, to meet them by
+    doc_id, source and size. Rows that agree in all three
+    share out their copies by a hash of the text. Other columns are carried, whatever their names.
     """
-    key = F.xxhash64("doc_id", "source", "_size")
-    thin = docs.select("doc_id", "source", n_words("text").alias("_size")).select(key.alias("_key"), "doc_id", "source", F.col("_size").alias("size"))
-    taken = mix(save(thin, "sizes"), **options).where("copies > 0")
-    taken = save(taken.groupBy("_key").agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("_copies")), "taken")
-    same = Window.partitionBy("_key").orderBy("_text_hash")
-    rows = docs.withColumn("_size", n_words("text")).withColumns({"_key": key, "_text_hash": F.xxhash64("text")}).withColumn("_n", F.row_number().over(same))
-    copies = F.coalesce(F.try_element_at("_copies", F.col("_n")), F.lit(0))
-    met = rows.join(taken, "_key").withColumn("_times", copies).where("_times > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    docs, back = apart(docs, ["doc_id", "text", "source"])
+    key = lambda i, s, z: F.xxhash64(i, s, z).alias("__key")
+    hashed = docs.select("*", n_words("text").alias("__size"), F.xxhash64("text").alias("__hash")).select("*", key("doc_id", "source", "__size"))
+    thin = save(hashed.select("doc_id", "source", F.col("__size").alias("size")), "sizes")
+    taken = mix(thin, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("n"))
+    # joined by a hash, which the window then goes by too: texts move once; who shares a hash is told apart by the columns themselves
+    taken = save(taken.groupBy(key("doc_id", "source", "size")).agg(F.collect_list(F.struct("doc_id", "source", "size", "n")).alias("__taken")), "taken")
+    same = lambda e: e["doc_id"].eqNullSafe(F.col("doc_id")) & e["source"].eqNullSafe(F.col("source")) & (e["size"] == F.col("__size"))
+    place = F.row_number().over(Window.partitionBy("__key", "doc_id", "source", "__size").orderBy("__hash"))
+    met = hashed.join(taken, "__key").withColumn("__mine", F.get(F.filter("__taken", same), F.lit(0))["n"])
+    met = met.withColumn("__times", F.coalesce(F.try_element_at("__mine", place), F.lit(0))).where("__times > 0")
+    return back(met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))))

@@ -3,14 +3,16 @@
 Two fingerprints at most four bits apart have a common variant at most two
 bits from each. Every fingerprint therefore emits its 2081 variants within two
 bits, variants are shuffled, and fingerprints that meet at a variant are
-linked. Whoever shares a variant is within four bits by the triangle
-inequality, so a star from the least fingerprint loses no link between groups,
-and no group is expanded into pairs.
+compared and linked. Whoever shares a variant is within four bits by the triangle
+inequality, so a chain through a variant's fingerprints loses no link between groups,
+and no group is expanded into pairs. A variant has 2081 fingerprints at most,
+as each is there once.
 
 Variants are dealt by their first `key_bits` bits. A fingerprint has variants
 under 1 + b + b(b-1)/2 keys of b bits (79 of 12), and a row for each key stands
 for all of its variants under it: the receiving task lists them again. The
-variants themselves never cross the network.
+variants themselves never cross the network. The more fingerprints there are,
+the longer the keys, so that a key has about PER_KEY of them at any size.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, forget, map_text, save
+from .common import LOWER, WORDS, apart, forget, map_text, save
 
 RADIUS = 4
 #: Variants that a task lists at once.
 AT_ONCE = 4_000_000
+#: Fingerprints under a key, on average, at most.
+PER_KEY = 8000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -48,9 +52,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp long (the 64 bits as a signed number), a row for each row of docs(doc_id, text)."""
-
-    return map_text(docs, ["doc_id"], lambda texts: [np.array([fingerprint(t, shingle) for t in texts], "u8").view("i8")], "fp long")
+    """doc_id, text_hash, fp long (the 64 bits as a signed number), a row for each row of docs(doc_id, text)."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return map_text(rows, ["doc_id", "text_hash"], lambda texts: [np.array([fingerprint(t, shingle) for t in texts], "u8").view("i8")], "fp long")
 
 
 def masks(bits: range, most: int) -> np.ndarray:
@@ -61,12 +65,12 @@ def masks(bits: range, most: int) -> np.ndarray:
 def keyed(fps: DataFrame, key_bits: int, half: int) -> DataFrame:
     """(key, fp): a row for each key under which a fingerprint has variants."""
     flips = masks(range(64 - key_bits, 64), half).view("i8").tolist()
-    key = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("flip")), 64 - key_bits).cast("int")
+    key = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("flip")), 64 - key_bits).cast("long")
     return fps.withColumn("flip", F.explode(F.array(*[F.lit(x) for x in flips]))).select(key.alias("key"), "fp")
 
 
 def meet(key: np.ndarray, fp: np.ndarray, key_bits: int, half: int) -> np.ndarray:
-    """Links (first, other) among fingerprints that share a variant under the same key; at most one for each fingerprint and key.
+    """Links (first, other) among fingerprints that share a variant under the same key and differ in 2 * half bits at most; one for each fingerprint and key at most.
 
     The rows must hold all fingerprints of their keys.
     """
@@ -87,6 +91,8 @@ def meet(key: np.ndarray, fp: np.ndarray, key_bits: int, half: int) -> np.ndarra
         return np.zeros((0, 2), "u8")
     pairs = np.unique(np.minimum(a, b).astype(np.int64) * len(fp) + np.maximum(a, b))
     a, b = pairs // len(fp), pairs % len(fp)
+    near = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * half
+    a, b = a[near], b[near]
     label = np.arange(len(fp))
     while True:  # the least row of each chain, chains of chains included
         before = label.copy()
@@ -99,14 +105,21 @@ def meet(key: np.ndarray, fp: np.ndarray, key_bits: int, half: int) -> np.ndarra
     return np.unique(np.stack([fp[label[linked]], fp[linked]], axis=1), axis=0)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, key_bits: int = 12) -> DataFrame:
+def bits_for(fingerprints: int, half: int = RADIUS // 2, per_key: int = PER_KEY) -> int:
+    """Key bits with which so many fingerprints come to per_key under a key, on average."""
+    return next(b for b in range(12, 41) if b == 40 or fingerprints * len(masks(range(b), half)) <= per_key << b)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, key_bits: int | None = None) -> DataFrame:
     """(a, b): links among distinct fingerprints whose components are those of all pairs within the radius.
 
     Every link joins fingerprints of one component; fps(fp) holds each
-    fingerprint once. Tasks take whole keys, about AT_ONCE variants at a time.
-    Memory of a task grows with the fingerprints under one key, about
-    79 in 4096; use more key bits from some ten million fingerprints on.
+    fingerprint once. Tasks take whole keys, about AT_ONCE variants at a time. The radius
+    is even: two balls of half an odd one don't meet for every pair.
     """
+    if radius < 0 or radius % 2:
+        raise ValueError(f"the radius must be even, not {radius}")
+    key_bits = bits_for(fps.count(), radius // 2) if key_bits is None else key_bits
     half = radius // 2
     each = len(masks(range(64), half)) / len(masks(range(64 - key_bits, 64), half))
 
@@ -164,8 +177,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, key_bits: int = 12) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id: a row for each row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, key_bits: int | None = None) -> DataFrame:
+    """doc_id, fp, root (of its class of fingerprints), fingerprint (16 hex digits), component_id: a row for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id among the documents reachable by links,
     the document itself included. Null and empty texts, and texts of white
@@ -179,17 +192,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, key
     placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = save(placed, "placed")
     named = save(placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_r"), "named")
-    of_fp = placed.join(named, F.col("root") == F.col("_r")).select(F.col("fp").alias("_fp"), "component_id")
+    of_fp = placed.join(named, F.col("root") == F.col("_r")).select(F.col("fp").alias("_fp"), "root", "component_id")
     out = marked.join(of_fp, F.col("fp") == F.col("_fp"))
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*[c for c in marked.columns if c != "fp"], "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
-    """docs without the near copies: of each component the row of the smallest doc_id stays.
+    """docs without the near copies: of each component one row stays, that of the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id all stay:
-    nothing tells which of them to keep.
+    Rows of different components that share a doc_id all stay; of rows of one
+    component that share the smallest, the text of the least hash stays, once.
+    Rows without a doc_id all stay: nothing tells which of them to keep.
+    Texts aren't compared or shuffled to find this out, but meet the list of
+    what goes; only rows that are there twice over meet each other.
     """
-    keep = save(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    docs, back = apart(docs, ["doc_id", "text"])
+    key = ["doc_id", "text_hash"]
+    rows = near_duplicates(docs, **options).where("doc_id is not null").groupBy(*key, "root").agg(F.count(F.lit(1)).alias("_n"))
+    rows = save(rows, "rows")
+    first = save(rows.groupBy("root").agg(F.min(F.struct(*key)).alias("_first")).withColumnRenamed("root", "_root"), "first")
+    told = rows.join(first, F.col("root") == F.col("_root")).withColumn("_stays", F.struct(*key) == F.col("_first"))
+    told = save(told.where((~F.col("_stays")) | (F.col("_n") > 1)).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "_stays"), "told")
+    small = told.count() <= 1_000_000
+    hashed = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    on = lambda t: (F.col("doc_id") == F.col("_i")) & (F.col("_th") == F.col("_h"))
+    met = F.broadcast(told) if small else told  # 17 bytes a row
+    kept = hashed.join(met, on(told), "left_anti").select(*docs.columns)
+    twice = told.where("_stays")
+    again = hashed.join(F.broadcast(twice) if small else twice, on(twice), "left_semi").dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    for x in (rows, first):
+        forget(x)
+    return back(kept.unionByName(again))
