@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialmill.llm import bpe, cotrain, langid, mixing, simhash
-from trialmill.llm.common import new_path, table
+from trialmill.llm.common import apart, new_path, table
 from trialmill.llm.queries import tokenizer_path
 
 #: A document is rejected where its language can't be told: no letters, or a score below this.
@@ -16,13 +16,15 @@ LEAST_LANGUAGE_SCORE = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps; it learns from docs and labels."""
     model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
-    return cotrain.score(docs, model, keep=[*docs.columns]).where("kept").select(*docs.columns)
+    rows, back = apart(docs, ["text", *cotrain.META])
+    return back(cotrain.score(rows, model, keep=rows.columns).where("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told from their text; it learns from docs that carry a language."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    rows, back = apart(docs, ["text"])
+    found = langid.identify(rows, langid.fit(docs))
+    return back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its token ids (`ids`) and the text that they decode to (`decoded`)."""
+    """Each row without its text, with its token ids (`ids`) and the text that they decode to (`decoded`); columns of these names give way."""
     return bpe.encode(docs, tokenizer_path(), keep=[c for c in docs.columns if c != "text"])
 
 
