@@ -56,6 +56,26 @@ def test_exact_quantiles(spark, at_once):
         assert np.allclose(got[k], np.percentile(v, [100 * p for p in probs.values()]), atol=1e-12)
 
 
+def test_quantiles_of_ties_end(spark):
+    """Values that meet at the rank, each far more often than a task may hold: half and half, and three heavy values."""
+    rows = spark.range(3000).select((F.col("id") % 2).cast("double").alias("half"), F.element_at(F.array(F.lit(-1.0), F.lit(0.0), F.lit(0.0), F.lit(5.0)), (F.col("id") % 4 + 1).cast("int")).alias("three"), F.lit(0).alias("k"))
+    for column in ("half", "three"):
+        x = [r[0] for r in rows.select(column).collect()]
+        got = exact_quantiles(rows, ["k"], column, {"m": 0.5, "a": 0.25, "b": 0.995}, at_once=50).first()
+        assert np.allclose([got.m, got.a, got.b], np.percentile(x, [50, 25, 99.5]))
+    none = rows.select(F.lit(None).cast("int").alias("k"), F.lit(float("nan")).alias("x"))
+    assert exact_quantiles(none, ["k"], "x", {"m": 0.5}).count() == 0
+    odd = rows.select(F.when(F.col("half") == 1, 7).alias("k"), F.col("three").alias("x"))
+    assert {r.k for r in exact_quantiles(odd, ["k"], "x", {"m": 0.5}, at_once=50).collect()} == {None, 7}
+
+
+def test_quantiles_behind_a_sketch(spark):
+    x = np.random.default_rng(12).normal(size=60_000).round(3)
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(7).withColumn("k", F.lit("a"))
+    got = exact_quantiles(rows, ["k"], "x", {"a": 0.5, "b": 0.995, "c": 0.00001, "d": 0.0, "e": 1.0}, at_once=100).first()
+    assert np.allclose([got.a, got.b, got.c, got.d, got.e], np.percentile(x, [50, 99.5, 0.001, 0, 100]), atol=1e-12)
+
+
 def test_places_are_ranks(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 3).alias("k"))
     got = places(rows, ["k"], ["v"]).collect()

@@ -27,13 +27,11 @@ def metrics(signals: DataFrame) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, high: float = 0.995, low: float = 0.005) -> DataFrame:
-    """One row: exact quantiles over all trials and channels of the training data; undefined kurtosis doesn't count."""
-    x = measured.withColumn("_all", F.lit(0))
-    parts = [exact_quantiles(x, ["_all"], c, {name: p}) for c, name, p in (("amplitude", "amplitude", high), ("jump", "jump", high), ("kurtosis", "kurtosis", high), ("std", "flatline", low))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "_all", "left")
-    return out.drop("_all")
+    """One row: exact quantiles over all trials and channels of the training data, all in one run; undefined kurtosis doesn't count."""
+    wanted = {"amplitude": ("amplitude", "high"), "jump": ("jump", "high"), "kurtosis": ("kurtosis", "high"), "flatline": ("std", "low")}
+    long = measured.select(F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(c).alias("x")) for n, (c, _) in wanted.items()])).alias("m")).select("m.*")
+    found = exact_quantiles(long, ["criterion"], "x", {"high": high, "low": low})
+    return found.agg(*[F.max(F.when(F.col("criterion") == n, F.col(end))).alias(n) for n, (_, end) in wanted.items()])
 
 
 def flags(measured: DataFrame, limits: DataFrame) -> DataFrame:
