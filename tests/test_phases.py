@@ -1,10 +1,12 @@
 """Whole runs and streams on small made signals."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialmill.operators import acquire, artifacts, features
+from trialmill.operators import acquire, artifacts, evaluate, features, models, profile
 from trialmill.plans import phases
 from trialmill.sources import store
 from trialmill.streaming import stream
@@ -23,20 +25,43 @@ def recorded(spark):
 
 def test_a_run_writes_results_that_beat_chance(spark, recorded, tmp_path):
     trials, signals = recorded
-    rows = phases.main(spark, trials, signals, str(tmp_path), "svm", "stage1", BANDS, 32, seed=7)
-    value = {r.metric: r.value for r in rows.collect()}
-    assert value["accuracy"] > 0.8 and set(value) == {"accuracy", "precision", "recall", "f1"}
+    old, new = trials.where("sessionnum < 3"), trials.where("sessionnum = 3")
+    of = lambda t: signals.join(t.select("trial_id"), "trial_id", "left_semi")
+    run = lambda name, **more: phases.main(spark, old, of(old), str(tmp_path), name, "stage1", BANDS, 32, test=(new, of(new)), seed=7, permutations=2, **more)
+    rows = run("svm").collect()
+    value = {(r.split, r.metric): r.value for r in rows}
+    assert value["val", "accuracy"] > 0.8 and value["test", "accuracy"] > 0.8
+    assert value["shuffled", "real"] > value["shuffled", "shuffled_mean"] and {m for s, m in value if s == "val"} == {"accuracy", "precision", "recall", "f1"}
+    matrix = spark.read.parquet(f"{tmp_path}/confusion/all/stage1/svm").collect()
+    assert sum(r.n for r in matrix if r.y == r.yhat) / sum(r.n for r in matrix) == pytest.approx(value["val", "accuracy"])
     # fitted parameters serve the test data, and give the same flags for the same trials
-    flags = {r.trial_id: r.n_flagged for r in spark.read.parquet(f"{tmp_path}/trial_flags").collect()}
-    again = {r.trial_id: r.n_flagged for r in phases.apply_fitted(spark, signals, str(tmp_path)).collect()}
+    flags = {r.trial_id: r.n_flagged for r in spark.read.parquet(f"{tmp_path}/all/trial_flags").collect()}
+    again = {r.trial_id: r.n_flagged for r in phases.apply_fitted(spark, of(old), f"{tmp_path}/all").collect()}
     assert flags == again
-    parted = spark.read.parquet(f"{tmp_path}/trials")
-    data = phases.stage_data(parted, spark.read.parquet(f"{tmp_path}/features"), "stage1")
-    gap = {r.metric: (r.val, r.test, r.gap) for r in phases.evaluate_test(data.where("sessionnum < 3"), data.where("sessionnum = 3"), "lda", "stage1").collect()}
-    assert all(abs(v - t - g) < 1e-12 for v, t, g in gap.values())
-    assert store.exists(spark, f"{tmp_path}/models/all/stage1/svm")
+    # the test set is scored by the saved model
+    saved = models.load_model(spark, f"{tmp_path}/models/all/stage1/svm")
+    vectors = phases.raw_features(spark, of(new), f"{tmp_path}/all", BANDS, 32)
+    data = phases.stage_data(new, vectors, "stage1", phases.apply_fitted(spark, of(new), f"{tmp_path}/all"))
+    assert evaluate.metrics(saved(data)).first().accuracy == pytest.approx(value["test", "accuracy"])
+    # a second run skips what is there; force doesn't
+    stamp = lambda: [os.stat(tmp_path / "all" / n / "_SUCCESS").st_mtime_ns for n in ("trials", "trial_flags", "features", "runs/stage1/svm")]
+    before = stamp()
+    assert {(r.split, r.metric): r.value for r in run("svm").collect()} == value and stamp() == before
+    run("svm", force=True)
+    assert all(a > b for a, b in zip(stamp(), before))
     with pytest.raises(ValueError):
         features.with_flags(features.statistics(signals), artifacts.concern(spark.createDataFrame([], "trial_id long, is_any boolean")))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        phases.evaluate_test(data, "lda", "stage1", str(tmp_path), "all")
+
+
+def test_bad_channels_give_no_features(spark, recorded, tmp_path):
+    trials, signals = recorded
+    dead = signals.where("channel = 0").withColumns({"channel": F.lit(2), "signal": F.array_repeat(F.lit(0.0), 64)})
+    both, path = signals.unionByName(dead), str(tmp_path / "run")
+    phases.preprocess(spark, trials.withColumn("split", F.lit("train")), both, path).count()
+    assert [r.channel for r in phases.fitted_bad_channels(spark, path).collect()] == [2]
+    assert {len(r.features) for r in phases.raw_features(spark, both, path, BANDS, 32).collect()} == {2 * len(features.feature_names(BANDS))}
 
 
 def write_rows(spark, path, rows):
@@ -53,7 +78,7 @@ def test_stream_equals_batch(spark, tmp_path):
     write_rows(spark, path, rows[:30])
     write_rows(spark, path, rows[30:])
     table = spark.read.parquet(path)
-    read = lambda: stream.read_rows(spark, path, "seq long, label int, sessionnum long, ts timestamp")
+    read = lambda: stream.read_rows(spark, path, "seq long, label int, sessionnum long, ts timestamp", 1)
     want = sorted((r.seq, r.blank_seq) for r in acquire.paired(table).collect())
     assert sorted((r.seq, r.blank_seq) for r in stream.drain(stream.pairs(read()), "p").collect()) == want
     by = stream.drain_capped(stream.pairs(read()), 4).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -65,5 +90,7 @@ def test_rows_apart_in_time_do_not_pair(spark, tmp_path):
 
     path = str(tmp_path / "in")
     write_rows(spark, path, [(0, -1, 1, datetime(2024, 1, 1)), (1, 5, 1, datetime(2024, 1, 3)), (2, -1, 1, datetime(2024, 1, 3)), (3, 5, 1, datetime(2024, 1, 3, 0, 5))])
+    assert profile.widest_step(spark.read.parquet(path)) == 2 * 86400
     rows = stream.read_rows(spark, path, "seq long, label int, sessionnum long, ts timestamp")
+    assert sorted(r.seq for r in stream.drain(stream.pairs(rows, "49 hours"), "all").collect()) == [1, 3]
     assert [r.seq for r in stream.drain(stream.pairs(rows), "late").collect()] == [3]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialmill.functions.design import bandpass_matrix, butterworth_bandpass, zero_phase
 from trialmill.functions.quantiles import exact_quantiles
-from trialmill.functions.ranks import places
+from trialmill.functions.ranks import places, with_previous
 from trialmill.operators import acquire, artifacts, evaluate, features, models, permute, robust, spectral, split
 from trialmill.plans import phases, queries
 from trialmill.sources import store, wide
@@ -84,6 +84,21 @@ def test_places_are_ranks(spark):
         assert [p for _, p in mine] == list(range(len(mine)))
 
 
+def test_rows_before_are_those_of_a_sort(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
+    got = with_previous(rows, ["k"], "v", "v", "before").collect()
+    for k in (None, 1, 2):
+        mine = sorted((r.v, r.before) for r in got if r.k == k)
+        assert [b for _, b in mine] == [None, *[v for v, _ in mine[:-1]]]
+
+
+def test_chronological_split_is_a_percent_rank(spark):
+    trials = spark.range(330).select(F.col("id").alias("trial_id"), F.floor(F.col("id") / 40).alias("sessionnum"), F.floor(F.col("id") / 8).alias("blocknum"))
+    got = sorted((r.blocknum, r.split) for r in split.assign_chronological(trials).collect())
+    assert [s for _, s in got] == ["val" if i / (len(got) - 1) >= 0.8 else "train" for i in range(len(got))]
+    assert [r.split for r in split.assign_chronological(trials.where("trial_id = 0")).collect()] == ["train"]
+
+
 def test_split_is_a_function_of_the_block(spark):
     trials = spark.range(400).select(F.col("id").alias("trial_id"), F.floor(F.col("id") / 40).alias("sessionnum"), F.floor(F.col("id") / 8).alias("blocknum"))
     a = {tuple(r) for r in split.assign_blocks(trials).collect()}
@@ -164,17 +179,34 @@ def test_models_learn_and_reject_unknown_names(spark, tmp_path):
     rng = np.random.default_rng(7)
     rows = [(i, i % 2, (rng.normal(size=4) + 2 * (i % 2)).tolist()) for i in range(200)]
     data = spark.createDataFrame(rows, "trial_id long, y int, features array<double>")
-    for name in ("lda", "svm"):
-        assert evaluate.metrics(models.fit(name, data)(data)).first().accuracy > 0.9
-    predict = models.fit("svm", data)
-    models.save_model(predict, str(tmp_path / "m"))
-    assert models.load_model(str(tmp_path / "m"))(data).where("yhat = y").count() == predict(data).where("yhat = y").count()
+    for name in ("lda", "svm", "svm_rbf", "random_forest"):
+        predict, path = models.fit(name, data), str(tmp_path / name)
+        said = {r.trial_id: r.yhat for r in predict(data).collect()}
+        assert sum(y == said[i] for i, y, _ in rows) / len(rows) > 0.9
+        models.save_model(predict, path)
+        again = models.load_model(spark, path)
+        assert again.mean == predict.mean and {r.trial_id: r.yhat for r in again(data.drop("y")).collect()} == said
     with pytest.raises(ValueError):
         models.fit("perceptron", data)
     with pytest.raises(ValueError):
         features.stage_view(data, "stage3")
 
 
+def test_lda_is_the_textbook_one(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 300)) * rng.uniform(0.1, 9, 300) + y[:, None]
+    data = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(y, x))], "trial_id long, y int, features array<double>").repartition(3)
+    fitted = models.fit("lda", data)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert np.allclose(fitted.mean, x.mean(axis=0)) and np.allclose(fitted.std, x.std(axis=0))
+    means = np.stack([z[y == k].mean(axis=0) for k in range(3)])
+    pooled = sum((z[y == k] - means[k]).T @ (z[y == k] - means[k]) for k in range(3)) / 300
+    w = np.linalg.solve(pooled + 1e-6 * np.trace(pooled) / 300 * np.eye(300), means.T).T
+    scores = z @ w.T + [-0.5 * w[k] @ means[k] + np.log((y == k).mean()) for k in range(3)]
+    assert {r.trial_id: r.yhat for r in fitted(data).collect()} == dict(enumerate(scores.argmax(axis=1).tolist()))
+
+
 def test_svm_is_held_against_ten_shuffles(spark, monkeypatch):
     rows = [(i, "val" if i % 5 == 0 else "train", i % 2, [1.0]) for i in range(20)]
     data = spark.createDataFrame(rows, "trial_id long, split string, y int, features array<double>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch, write
@@ -16,4 +16,18 @@ def places(df: DataFrame, keys: list[str], order: list[str], name: str = "place"
     ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
     here = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
-    return laid.withColumn("_here", here).join(starts, ["_part", *keys]).withColumn(name, F.col("_start") + F.col("_here") - 1).drop("_part", "_here", "_start")
+    renamed = starts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], "_start")
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    return laid.withColumn("_here", here).join(renamed, on).withColumn(name, F.col("_start") + F.col("_here") - 1).drop("_part", "_here", "_p", "_start", *[f"_s{i}" for i in range(len(keys))])
+
+
+def with_previous(df: DataFrame, keys: list[str], order: str, column: str, name: str) -> DataFrame:
+    """df with `column` of the row before it in its key's order, null for the first: rows meet their neighbours by place, so a key of any size is shared out."""
+    laid = write(places(df, keys, [order], "_place"), scratch(df.sparkSession, "places"))
+    before = laid.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], (F.col("_place") + 1).alias("_p"), F.col(column).alias(name))
+    on: Column = F.col("_place") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    return laid.join(before, on, "left").drop("_p", "_place", *[f"_s{i}" for i in range(len(keys))])

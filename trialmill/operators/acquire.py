@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import places
+from ..functions.ranks import places, with_previous
 
 
 def scan_guard(rows: DataFrame, target_per_class: int | None, multiplier: int = 5) -> DataFrame:
@@ -34,10 +34,13 @@ def unpaired(rows: DataFrame) -> DataFrame:
 def capped(pairs: DataFrame, cap: int | None) -> DataFrame:
     """The first `cap` pairs of each class in order of seq, numbered in `taken`; None: all of them.
 
-    Ranks are limited before they are shuffled: a task sends at most cap rows of a class.
+    Ranks are limited before they are shuffled: a task sends at most cap rows of
+    a class. Without a cap places are found by range.
     """
+    if cap is None:
+        return places(pairs, ["label"], ["seq"], "_n").withColumn("taken", F.col("_n") + 1).drop("_n")
     ranked = pairs.withColumn("taken", F.row_number().over(Window.partitionBy("label").orderBy("seq")))
-    return ranked if cap is None else ranked.where(F.col("taken") <= cap)
+    return ranked.where(F.col("taken") <= cap)
 
 
 def class_fill(pairs: DataFrame, classes: list[int], cap: int) -> DataFrame:
@@ -63,7 +66,7 @@ def pool_order(pairs: DataFrame) -> DataFrame:
 
 def previous_label(rows: DataFrame) -> DataFrame:
     """Each row with the label before it in its session; null for the first."""
-    return rows.select("seq", "sessionnum", "label", F.lag("label").over(Window.partitionBy("sessionnum").orderBy("seq")).alias("prev_label"))
+    return with_previous(rows.select("seq", "sessionnum", "label"), ["sessionnum"], "seq", "label", "prev_label").select("seq", "sessionnum", "label", "prev_label")
 
 
 def alternation(rows: DataFrame) -> DataFrame:

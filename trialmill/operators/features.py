@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import moments, zero_crossings
-from .spectral import BANDS, FS, SEGMENT, band_columns, frequency_columns, psd
+from .spectral import BANDS, FS, SEGMENT, band_columns, frequency_columns
 
 STATISTICS = ("mean", "variance", "skewness", "kurtosis", "zero_crossing_rate")
 FREQUENCIES = ("dominant_freq", "total_power")
@@ -99,5 +99,3 @@ def with_flags(features: DataFrame, trial_flags: DataFrame) -> DataFrame:
         raise ValueError(f"trial {missing[0].trial_id} has features but no flags")
     return features.join(trial_flags, "trial_id")
 
-
-__all__ = ["channel_features", "feature_names", "flattened", "jumps_long", "long_features", "psd", "scale_apply", "scale_fit", "stage_view", "statistics", "trial_vectors", "with_flags", "with_vector"]

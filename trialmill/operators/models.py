@@ -1,128 +1,168 @@
-"""Classical classifiers on feature vectors (trial_id, y, features array), fitted by Spark."""
+"""Classical classifiers on feature vectors (trial_id, y, features array), fitted by Spark, and kept with their scale."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .evaluate import metrics
+from .evaluate import confusion, metrics
 
-Predict = Callable[[DataFrame], DataFrame]
+NAMES = ("lda", "svm", "svm_cheap", "svm_rbf", "random_forest")
+#: Random Fourier features that stand for the RBF kernel.
+FOURIER = 256
 
 
-def vectors(data: DataFrame) -> DataFrame:
-    return data.withColumn("v", array_to_vector("features")).withColumn("label", F.col("y").cast("double"))
+@dataclass
+class Fitted:
+    """A fitted model; called with rows that have `features`, it gives the same rows with `yhat`."""
 
+    name: str
+    mean: list[float]  # of each feature in the training rows
+    std: list[float]  # population spread; 1 where there is none
+    model: Model | None = None  # Spark's, if it is one
+    numbers: dict[str, list[float]] = field(default_factory=dict)  # all else that it needs
 
-def lda(train: DataFrame, ridge: float = 1e-6) -> Predict:
-    """Linear discriminant: class means and the pooled covariance from one pass, a small solve, a dot product for each row.
+    def scaled(self) -> Column:
+        """(features - mean) / std; the arrays stay in the plan once."""
+        pair = F.arrays_zip(F.col("features").alias("x"), F.lit(self.mean).alias("m"), F.lit(self.std).alias("s"))
+        return F.transform(pair, lambda p: (p["x"] - p["m"]) / p["s"])
+
+    def __call__(self, data: DataFrame) -> DataFrame:
+        x = data.withColumn("_scaled", self.scaled())
+        if self.name == "lda":
+            d, labels = len(self.mean), self.numbers["labels"]
+            weights, offsets = np.reshape(self.numbers["weights"], (len(labels), d)), self.numbers["offsets"]
+            score = lambda w: F.aggregate(F.zip_with("_scaled", F.lit([float(v) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            best = F.array_max(F.array(*[F.struct((score(w) + F.lit(o)).alias("s"), F.lit(-int(y)).alias("y")) for y, w, o in zip(labels, weights, offsets, strict=True)]))
+            return x.withColumn("yhat", -best["y"]).drop("_scaled")
+        if self.name == "svm_rbf":
+            d, gamma, seed = (self.numbers[k][0] for k in ("d", "gamma", "seed"))
+            x = x.withColumn("_scaled", fourier(int(d), gamma, int(seed))("_scaled"))
+        given = x.withColumn("v", array_to_vector("_scaled"))
+        given = given if "y" in data.columns else given.withColumn("y", F.lit(0))
+        return self.model.transform(given.withColumn("label", F.col("y").cast("double"))).select(*data.columns, F.col("prediction").cast("int").alias("yhat"))
 
-    The pass adds up d + d * d numbers for each class.
-    """
-    d = len(train.select("features").first()[0])
-    x = F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)), lambda i: F.col("features")[(i / d).cast("int")] * F.col("features")[(i % d).cast("int")])
-    rows = train.select(F.col("y"), array_to_vector("features").alias("v"), array_to_vector(x).alias("o"))
-    sums = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("v")).alias("s"), Summarizer.sum(F.col("o")).alias("q")).orderBy("y").collect()
-    total = sum(r.n for r in sums)
-    means = np.array([r.s.toArray() / r.n for r in sums])
-    pooled = sum(r.q.toArray().reshape(d, d) - r.n * np.outer(m, m) for r, m in zip(sums, means, strict=True)) / total
-    weights = np.linalg.solve(pooled + ridge * np.trace(pooled) / d * np.eye(d), means.T).T
-    offsets = [float(-0.5 * w @ m + np.log(r.n / total)) for r, w, m in zip(sums, weights, means, strict=True)]
 
-    def predict(data: DataFrame) -> DataFrame:
-        score = lambda w: F.aggregate(F.zip_with("features", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        best = F.array_max(F.array(*[F.struct((score(w) + F.lit(o)).alias("s"), (-F.lit(r.y)).alias("y")) for r, w, o in zip(sums, weights, offsets, strict=True)]))
-        return data.withColumn("yhat", -best["y"])
+def fourier(d: int, gamma: float, seed: int) -> Callable[[str], Column]:
+    """Random Fourier features: inner products come near the values of an RBF kernel. The same for the same seed."""
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, np.sqrt(2 * gamma), (d, FOURIER)), rng.uniform(0, 2 * np.pi, FOURIER)
 
-    return predict
+    @F.pandas_udf("array<double>")
+    def map_rows(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.sqrt(2 / FOURIER) * np.cos(np.stack(x) @ w + b))) if len(x) else pd.Series([], dtype=object)
 
+    return map_rows
 
-class Fourier(Transformer):
-    """Random Fourier features of `v` into `rbf`: inner products come near an RBF kernel's values."""
 
-    def __init__(self, d: int, features: int, gamma: float, seed: int):
-        super().__init__()
-        rng = np.random.default_rng(seed)
-        self.w, self.b = rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features)
+def scale(train: DataFrame) -> tuple[list[float], list[float]]:
+    """Mean and population spread of each feature, in one pass."""
+    v = train.select(array_to_vector("features").alias("v"))
+    row = v.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"), F.col("s.count").alias("n")).first()
+    std = [float(np.sqrt(v * max(row.n - 1, 0) / row.n)) for v in row["var"]]
+    return list(row["mean"]), [s if s > 0 else 1.0 for s in std]
 
-    def _transform(self, data: DataFrame) -> DataFrame:
-        w, b = self.w, self.b
 
-        @F.pandas_udf("array<double>")
-        def map_rows(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.sqrt(2 / len(b)) * np.cos(np.stack(x) @ w + b))) if len(x) else pd.Series([], dtype=object)
+def gram(rows: DataFrame, d: int) -> DataFrame:
+    """y, i, n, v: by class, row i of the sum of x x', and for i = -1 the sum of x; n counts the rows.
 
-        return data.withColumn("rbf", array_to_vector(map_rows("features")))
+    A task makes one matrix product for each class and batch, and sends d + 1
+    vectors for each class; these are added up by (class, i), in d places at once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for y, part in b.groupby("y"):
+                x = np.stack(part["x"])
+                n, s, q = held.get(y, (0, np.zeros(d), np.zeros((d, d))))
+                held[y] = (n + len(x), s + x.sum(axis=0), q + x.T @ x)
+        for y, (n, s, q) in held.items():
+            for at in range(-1, d, 256):  # some hundred vectors at a time
+                some = range(at, min(at + 256, d))
+                yield pd.DataFrame({"y": y, "i": list(some), "n": n, "v": [s if i < 0 else q[i] for i in some]})
+
+    parts = rows.mapInPandas(run, "y int, i int, n long, v array<double>").withColumn("v", array_to_vector("v"))
+    return parts.groupBy("y", "i").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(F.col("v"))).alias("v"))
+
+
+def lda(train: DataFrame, d: int, ridge: float = 1e-6) -> dict[str, list[float]]:
+    """Linear discriminant on scaled features: class means and the pooled covariance from one pass, a small solve."""
+    sums = gram(train.select(F.col("y").cast("int").alias("y"), F.col("_scaled").alias("x")), d).toPandas()
+    labels = sorted(set(sums.y))
+    n = {y: int(sums[(sums.y == y) & (sums.i == -1)].n.iloc[0]) for y in labels}
+    means = np.array([np.asarray(sums[(sums.y == y) & (sums.i == -1)].v.iloc[0]) / n[y] for y in labels])
+    total = sum(n.values())
+    pooled = np.zeros((d, d))
+    for y, m in zip(labels, means, strict=True):
+        pooled += np.stack(sums[(sums.y == y) & (sums.i >= 0)].sort_values("i").v) - n[y] * np.outer(m, m)
+    pooled /= total
+    weights = np.linalg.solve(pooled + ridge * max(np.trace(pooled) / d, 1e-12) * np.eye(d), means.T).T
+    offsets = [float(-0.5 * w @ m + np.log(n[y] / total)) for y, w, m in zip(labels, weights, means, strict=True)]
+    return {"labels": [float(y) for y in labels], "weights": weights.ravel().tolist(), "offsets": offsets}
 
 
 def estimator(name: str, seed: int = 42, classes: int = 2) -> Estimator:
-    """The Spark estimator of a name; svm is linear, svm_cheap its short form for shuffled runs."""
-    if name in ("svm", "svm_cheap"):
-        svc = LinearSVC(featuresCol="v", maxIter=100) if name == "svm" else LinearSVC(featuresCol="v", maxIter=300, tol=1e-2)
+    """The Spark estimator of a name; svm is linear, svm_cheap its short form for shuffled runs. Trees grow to Spark's greatest depth."""
+    if name in ("svm", "svm_rbf", "svm_cheap"):
+        svc = LinearSVC(featuresCol="v", maxIter=300, tol=1e-2) if name == "svm_cheap" else LinearSVC(featuresCol="v", maxIter=100)
         return svc if classes == 2 else OneVsRest(classifier=svc, featuresCol="v")
     if name == "random_forest":
-        return RandomForestClassifier(featuresCol="v", numTrees=200, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
-    raise ValueError(f"unknown model {name!r}; there are lda, svm, svm_cheap, svm_rbf, random_forest")
+        return RandomForestClassifier(featuresCol="v", numTrees=200, featureSubsetStrategy="sqrt", maxDepth=30, maxMemoryInMB=1024, seed=seed)
+    raise ValueError(f"unknown model {name!r}; there are {', '.join(NAMES)}")
 
 
-def fit(name: str, train: DataFrame, seed: int = 42) -> Predict:
-    """A function from rows with `features` to the same rows with `yhat`."""
+def fit(name: str, train: DataFrame, seed: int = 42) -> Fitted:
+    """A model of the name on train(y, features), which is scaled first."""
+    if name not in NAMES:
+        raise ValueError(f"unknown model {name!r}; there are {', '.join(NAMES)}")
+    fitted = Fitted(name, *scale(train))
+    d = len(fitted.mean)
+    x = train.withColumn("_scaled", fitted.scaled())
     if name == "lda":
-        return lda(train)
-    classes = train.select("y").distinct().count()
-    before: list[Transformer] = []
-    model = estimator("svm" if name == "svm_rbf" else name, seed, classes)
-    if name == "svm_rbf":
-        d = len(train.select("features").first()[0])
-        spread = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
-        before = [Fourier(d, 128, 1 / (d * spread), seed)]
-        model = model.setFeaturesCol("rbf")
-
-    def ready(data: DataFrame) -> DataFrame:
-        for t in before:
-            data = t.transform(data)
-        return data
-
-    fitted = Pipeline(stages=[model]).fit(ready(vectors(train)))
-
-    def predict(data: DataFrame) -> DataFrame:
-        given = data if "y" in data.columns else data.withColumn("y", F.lit(0))
-        out = fitted.transform(ready(vectors(given)))
-        return out.select(*data.columns, F.col("prediction").cast("int").alias("yhat"))
-
-    predict.model = fitted
-    return predict
-
-
-def save_model(predict: Predict, path: str) -> None:
-    predict.model.write().overwrite().save(path)
+        fitted.numbers = lda(x, d)
+        return fitted
+    if name == "svm_rbf":  # gamma is 1 over features and their variance, which is 1 after scaling
+        fitted.numbers = {"d": [float(d)], "gamma": [1.0 / d], "seed": [float(seed)]}
+        x = x.withColumn("_scaled", fourier(d, 1.0 / d, seed)("_scaled"))
+    rows = x.withColumn("v", array_to_vector("_scaled")).withColumn("label", F.col("y").cast("double"))
+    fitted.model = Pipeline(stages=[estimator(name, seed, train.select("y").distinct().count())]).fit(rows)
+    return fitted
 
 
-def load_model(path: str) -> Predict:
-    """A saved model; an error of Spark's if there is none at path."""
-    model = PipelineModel.load(path)
+def save_model(fitted: Fitted, path: str) -> None:
+    """The scale and all numbers as a table, and Spark's model beside it."""
+    spark = SparkSession.getActiveSession()
+    rows = [("mean", fitted.mean), ("std", fitted.std), *fitted.numbers.items()]
+    spark.createDataFrame([(fitted.name, k, [float(x) for x in v]) for k, v in rows], "model string, part string, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+    if fitted.model is not None:
+        fitted.model.write().overwrite().save(f"{path}/spark")
 
-    def predict(data: DataFrame) -> DataFrame:
-        return model.transform(vectors(data)).select(*data.columns, F.col("prediction").cast("int").alias("yhat"))
 
-    predict.model = model
-    return predict
+def load_model(spark: SparkSession, path: str) -> Fitted:
+    """A saved model with its scale; an error of Spark's if there is none at path."""
+    rows = spark.read.parquet(f"{path}/numbers").collect()
+    numbers = {r.part: list(r.numbers) for r in rows}
+    name = rows[0].model
+    return Fitted(name, numbers.pop("mean"), numbers.pop("std"), None if name == "lda" else PipelineModel.load(f"{path}/spark"), numbers)
 
 
-def evaluate(name: str, train: DataFrame, val: DataFrame, average: str = "binary", seed: int = 42) -> DataFrame:
-    """Fit on train, predict val: the metrics row with the model's name."""
-    return metrics(fit(name, train, seed)(val), average).withColumn("model", F.lit(name))
+def evaluate(name: str, train: DataFrame, val: DataFrame, average: str = "binary", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Fit on train, predict val: the metrics row with the model's name, and the confusion matrix."""
+    said = fit(name, train, seed)(val)
+    return metrics(said, average).withColumn("model", F.lit(name)), confusion(said)
 
 
-def importances(predict: Predict, spark) -> DataFrame:
+def importances(fitted: Fitted, spark: SparkSession) -> DataFrame:
     """position, value of a fitted forest's feature importances."""
-    values = predict.model.stages[-1].featureImportances.toArray().tolist()
+    values = fitted.model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(enumerate(values)), "position int, value double")

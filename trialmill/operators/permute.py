@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import order
 from ..functions.ranks import places
+from ..sources.store import scratch, write
 
 
 def subsample(rows: DataFrame, n: int, seed: int = 42, key: str = "trial_id") -> DataFrame:
@@ -30,21 +31,32 @@ def permuted(labels: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     return labels.select(F.lit(0).alias("perm"), "trial_id", "y").unionByName(shuffled)
 
 
+def centroids(rows: DataFrame) -> DataFrame:
+    """perm, yhat, centroid: class means of rows(perm, y, x array); sums by permutation, class and place are added up before they are shuffled."""
+    cells = rows.select("perm", "y", F.posexplode("x").alias("i", "v")).groupBy("perm", "y", "i").agg(F.avg("v").alias("m"))
+    return cells.groupBy("perm", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid")).withColumnRenamed("y", "yhat")
+
+
+def nearest(tested: DataFrame, centres: DataFrame) -> DataFrame:
+    """perm, trial_id, y, yhat: each row of tested(trial_id, y, x) with the nearest centre of each permutation; ties go to the least label.
+
+    A row meets each centre once; centres are a row for each permutation and
+    class, counted before they are broadcast.
+    """
+    centres = write(centres, scratch(tested.sparkSession, "centroids"))
+    far = F.aggregate(F.zip_with("x", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = tested.crossJoin(F.broadcast(centres) if centres.count() <= 10_000 else centres).select("perm", "trial_id", "y", "yhat", F.round(far, 9).alias("d"))
+    return near.groupBy("perm", "trial_id", "y").agg(F.min(F.struct("d", "yhat")).alias("b")).select("perm", "trial_id", "y", F.col("b.yhat").alias("yhat"))
+
+
 def centroid_runs(features: DataFrame, train: DataFrame, val: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     """perm, accuracy of a nearest-centroid classifier, for all permutations in one plan.
 
-    features(trial_id, x array); train and val(trial_id, y). Centroids are sums
-    by permutation, class and place, added up before they are shuffled. Ties go to the least label.
+    features(trial_id, x array); train and val(trial_id, y).
     """
-    runs = permuted(train, permutations, seed).join(features, "trial_id")
-    cells = runs.select("perm", "y", F.posexplode("x").alias("i", "v")).groupBy("perm", "y", "i").agg(F.avg("v").alias("m"))
-    centroids = cells.groupBy("perm", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid")).withColumnRenamed("y", "yhat")
-    tested = val.join(features, "trial_id")
-    # one row for each permutation and class
-    far = F.aggregate(F.zip_with("x", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = tested.crossJoin(F.broadcast(centroids)).select("perm", "trial_id", "y", "yhat", F.round(far, 9).alias("d"))
-    said = near.groupBy("perm", "trial_id", "y").agg(F.min(F.struct("d", "yhat")).alias("b"))
-    return said.groupBy("perm").agg(F.avg((F.col("b.yhat") == F.col("y")).cast("double")).alias("accuracy"))
+    centres = centroids(permuted(train, permutations, seed).join(features, "trial_id"))
+    said = nearest(val.join(features, "trial_id"), centres)
+    return said.groupBy("perm").agg(F.avg((F.col("yhat") == F.col("y")).cast("double")).alias("accuracy"))
 
 
 def model_runs(fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], train: DataFrame, val: DataFrame, permutations: int, seed: int = 42) -> DataFrame:

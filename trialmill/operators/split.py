@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit
+from ..functions.ranks import places
 
 BLOCK = ("sessionnum", "blocknum")
 
@@ -25,10 +26,11 @@ def assign_sessions(trials: DataFrame, val_share: float = 0.2, seed: int = 42) -
 
 
 def assign_chronological(trials: DataFrame, val_share: float = 0.2, time: str = "trial_id") -> DataFrame:
-    """The last share of blocks by start goes to val. Blocks, not trials, meet in one window."""
-    start = trials.groupBy(*BLOCK).agg(F.min(time).alias("starts"))
-    place = F.percent_rank().over(Window.orderBy("starts", *BLOCK))
-    return start.select(*BLOCK, F.when(place >= 1 - val_share, "val").otherwise("train").alias("split"))
+    """The last share of blocks by start goes to val; places are found by range, so no task sees all blocks."""
+    start = places(trials.groupBy(*BLOCK).agg(F.min(time).alias("starts")), [], ["starts", *BLOCK])
+    last = F.greatest(F.max("place"), F.lit(1)).alias("_last")
+    x = start.crossJoin(F.broadcast(start.agg(last)))  # one row
+    return x.select(*BLOCK, F.when(F.col("place") / F.col("_last") >= 1 - val_share, "val").otherwise("train").alias("split"))
 
 
 def with_split(trials: DataFrame, assignment: DataFrame) -> DataFrame:

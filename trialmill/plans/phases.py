@@ -1,14 +1,25 @@
-"""The phases of a run, each a function of DataFrames; Parquet stands between them."""
+"""The phases of a run, each a function of DataFrames; Parquet stands between them.
+
+A phase whose table is there already is skipped, unless `force` is given. Data
+and fitted parameters lie under the tag of variant and fraction, models and
+results under that, stage and model.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, features, models, robust, spectral, split
-from ..operators.evaluate import metrics, val_test_gap
+from ..operators import artifacts, features, models, permute, robust, spectral, split
+from ..operators.evaluate import confusion, metrics, permutation_summary, val_test_gap
 from ..sources import store
 
+SHUFFLES, SHUFFLED_ROWS = 10, 5000  # of the shuffled-label test of classical models
+
+
+def of_split(rows: DataFrame, trials: DataFrame, name: str) -> DataFrame:
+    return rows.join(trials.where(F.col("split") == name).select("trial_id"), "trial_id", "left_semi")
+
 
 def preprocess(spark: SparkSession, trials: DataFrame, signals: DataFrame, path: str, apply_notch: bool = False) -> DataFrame:
     """Fits on the train split and applies to every split; parameters are left under path.
@@ -19,55 +30,129 @@ def preprocess(spark: SparkSession, trials: DataFrame, signals: DataFrame, path:
     """
     filtered = spectral.bandpass(signals)
     filtered = store.write(spectral.notch(filtered) if apply_notch else filtered, f"{path}/filtered", mode="overwrite")
-    train = filtered.join(trials.where("split = 'train'").select("trial_id"), "trial_id", "left_semi")
-    params = store.write(robust.fit(train), f"{path}/norm_params", mode="overwrite")
+    params = store.write(robust.fit(of_split(filtered, trials, "train")), f"{path}/norm_params", mode="overwrite")
     bad = store.write(robust.bad_channels(params), f"{path}/bad_channels", mode="overwrite")
     measured = store.write(artifacts.metrics(robust.normalize(robust.exclude(filtered, bad), params)), f"{path}/artifact_metrics", mode="overwrite")
-    own = measured.join(trials.where("split = 'train'").select("trial_id"), "trial_id", "left_semi")
-    limits = store.write(artifacts.thresholds(own), f"{path}/thresholds", mode="overwrite")
+    limits = store.write(artifacts.thresholds(of_split(measured, trials, "train")), f"{path}/thresholds", mode="overwrite")
     flagged = artifacts.concern(artifacts.flags(measured, limits))
     return flagged.join(trials.select("trial_id", "split"), "trial_id")
 
 
-def apply_fitted(spark: SparkSession, signals: DataFrame, path: str) -> DataFrame:
+def fitted_bad_channels(spark: SparkSession, path: str) -> DataFrame:
+    return store.params(spark, f"{path}/bad_channels")
+
+
+def apply_fitted(spark: SparkSession, signals: DataFrame, path: str, apply_notch: bool = False) -> DataFrame:
     """Flags of new trials by the parameters under path, which are never fitted anew; an error if they are missing."""
     params, bad, limits = (store.params(spark, f"{path}/{name}") for name in ("norm_params", "bad_channels", "thresholds"))
-    normal = robust.normalize(robust.exclude(spectral.bandpass(signals), bad), params)
+    filtered = spectral.bandpass(signals)
+    normal = robust.normalize(robust.exclude(spectral.notch(filtered) if apply_notch else filtered, bad), params)
     return artifacts.concern(artifacts.flags(artifacts.metrics(normal), limits))
 
 
+def normalized(spark: SparkSession, trials: DataFrame, trial_flags: DataFrame, path: str) -> DataFrame:
+    """The filtered and normalized signals of the good channels, each beside its trial's labels and flags: the other lane's input."""
+    params, bad = store.params(spark, f"{path}/norm_params"), fitted_bad_channels(spark, path)
+    x = robust.normalize(robust.exclude(spark.read.parquet(f"{path}/filtered"), bad), params)
+    return x.join(trials.select("trial_id", "label_binary", "label_digit", "split"), "trial_id").join(trial_flags.select("trial_id", "n_flagged", "trial_concern"), "trial_id")
+
+
+def raw_features(spark: SparkSession, signals: DataFrame, path: str, bands=spectral.BANDS, nperseg: int = spectral.SEGMENT) -> DataFrame:
+    """trial_id, features: of the raw signals of the channels that the fit under path found good."""
+    return features.trial_vectors(features.channel_features(robust.exclude(signals, fitted_bad_channels(spark, path)), bands, nperseg), bands)
+
+
 def stage_data(trials: DataFrame, vectors: DataFrame, stage: str, trial_flags: DataFrame | None = None) -> DataFrame:
     """trial_id, split, sessionnum, y, features of a stage, without trials of concern where flags are given."""
     x = features.stage_view(trials, stage).join(vectors, "trial_id")
     return artifacts.clean(x, trial_flags) if trial_flags is not None else x
 
 
-def run_model(data: DataFrame, name: str, stage: str, path: str, variant_tag: str, seed: int = 42) -> DataFrame:
-    """Fits on train, scores val, saves the model and appends the result rows; the rows written."""
-    spark = data.sparkSession
-    predict = models.fit(name, data.where("split = 'train'"), seed)
-    if hasattr(predict, "model"):
-        models.save_model(predict, f"{path}/models/{variant_tag}/{stage}/{name}")
-    row = metrics(predict(data.where("split = 'val'")), "binary" if stage == "stage1" else "macro")
-    return store.write(result_rows(row, variant_tag, stage, name, "val"), f"{path}/results", ("variant_tag", "stage", "model")) if spark else row
+def average_of(stage: str) -> str:
+    return "binary" if stage == "stage1" else "macro"
 
 
 def result_rows(row: DataFrame, variant_tag: str, stage: str, model: str, split_name: str) -> DataFrame:
-    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "precision", "recall", "f1")]))
+    names = [c for c, t in row.dtypes if t == "double"]
+    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))
     return row.select(F.lit(variant_tag).alias("variant_tag"), F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(split_name).alias("split"), parts.alias("p")).select("variant_tag", "stage", "model", "split", "p.*")
 
 
-def evaluate_test(data: DataFrame, test: DataFrame, name: str, stage: str, seed: int = 42) -> DataFrame:
-    """Val and test metrics of one model fitted on train, and their gap."""
-    predict = models.fit(name, data.where("split = 'train'"), seed)
-    average = "binary" if stage == "stage1" else "macro"
-    rows = result_rows(metrics(predict(data.where("split = 'val'")), average), "all", stage, name, "val").unionByName(result_rows(metrics(predict(test), average), "all", stage, name, "test"))
-    return val_test_gap(rows)
+def save_results(rows: DataFrame, path: str) -> None:
+    store.replace_partitions(rows, f"{path}/results", ("variant_tag", "stage", "model", "split"))
 
 
-def main(spark: SparkSession, trials: DataFrame, signals: DataFrame, path: str, model: str = "random_forest", stage: str = "stage1", bands=spectral.BANDS, nperseg: int = spectral.SEGMENT, *, seed: int = 42) -> DataFrame:
-    """Split, preprocess, features, model: the result rows of one run."""
-    parted = store.write(split.split_pool(trials, seed=seed), f"{path}/trials", mode="overwrite")
-    flagged = store.write(preprocess(spark, parted, signals, path), f"{path}/trial_flags", mode="overwrite")
-    vectors = store.write(features.trial_vectors(features.channel_features(signals, bands, nperseg), bands), f"{path}/features", mode="overwrite")
-    return run_model(stage_data(parted, vectors, stage, flagged), model, stage, path, "all", seed)
+def shuffled_label_test(data: DataFrame, name: str, seed: int = 42, permutations: int = SHUFFLES, rows: int | None = SHUFFLED_ROWS) -> DataFrame:
+    """One row: accuracy with real and with shuffled labels, each fitted on at most `rows` training rows; svm by its cheap form."""
+    quick = "svm_cheap" if name.startswith("svm") else name
+    some = data.select("trial_id", "split", "y", "features")
+    train, val = some.where("split = 'train'").drop("split"), some.where("split = 'val'").drop("split")
+    runs = permute.model_runs(lambda t: models.fit(quick, t, seed), train if rows is None else permute.subsample(train, rows, seed), val, permutations, seed)
+    return permutation_summary(runs)
+
+
+def run_model(data: DataFrame, name: str, stage: str, path: str, variant_tag: str, seed: int = 42, permutations: int = SHUFFLES) -> DataFrame:
+    """Fits on train, saves the model with its scale, scores val, runs the shuffled-label test (unless permutations is 0); the result rows written.
+
+    The confusion matrix is written beside the results.
+    """
+    spark = data.sparkSession
+    fitted = models.fit(name, data.where("split = 'train'"), seed)
+    models.save_model(fitted, f"{path}/models/{variant_tag}/{stage}/{name}")
+    said = store.write(fitted(data.where("split = 'val'")).select("trial_id", "y", "yhat"), store.scratch(spark, "said"))
+    store.write(confusion(said), f"{path}/confusion/{variant_tag}/{stage}/{name}", mode="overwrite")
+    save_results(result_rows(metrics(said, average_of(stage)), variant_tag, stage, name, "val"), path)
+    if permutations:
+        save_results(result_rows(shuffled_label_test(data, name, seed, permutations), variant_tag, stage, name, "shuffled"), path)
+    return run_results(spark, path, variant_tag, stage, name)
+
+
+def run_results(spark: SparkSession, path: str, variant_tag: str, stage: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/results")
+    return rows.where((F.col("variant_tag") == variant_tag) & (F.col("stage") == stage) & (F.col("model") == name)).select("variant_tag", "stage", "model", "split", "metric", "value")
+
+
+def evaluate_test(test: DataFrame, name: str, stage: str, path: str, variant_tag: str) -> DataFrame:
+    """Scores the held-out test set with the saved model, which is never fitted anew, and compares with the val results.
+
+    test(y, features) of the stage. An error of Spark's if no model was saved.
+    """
+    spark = test.sparkSession
+    said = models.load_model(spark, f"{path}/models/{variant_tag}/{stage}/{name}")(test)
+    save_results(result_rows(metrics(said, average_of(stage)), variant_tag, stage, name, "test"), path)
+    return val_test_gap(run_results(spark, path, variant_tag, stage, name))
+
+
+def main(
+    spark: SparkSession,
+    trials: DataFrame,
+    signals: DataFrame,
+    path: str,
+    model: str = "random_forest",
+    stage: str = "stage1",
+    bands=spectral.BANDS,
+    nperseg: int = spectral.SEGMENT,
+    *,
+    test: tuple[DataFrame, DataFrame] | None = None,
+    variant: str = "all",
+    fraction: float = 1.0,
+    seed: int = 42,
+    permutations: int = SHUFFLES,
+    force: bool = False,
+) -> DataFrame:
+    """Split, preprocess, features, model, and the test set (its trials and signals) if one is given: the result rows of one run."""
+    tag = store.variant_tag(variant, fraction)
+    base = f"{path}/{tag}"
+    step = lambda name, make: store.once(spark, f"{base}/{name}", make, force)
+    parted = step("trials", lambda: split.split_pool(trials, test[0] if test else None, seed=seed))
+    flagged = step("trial_flags", lambda: preprocess(spark, parted, signals, base))
+    vectors = step("features", lambda: raw_features(spark, signals, base, bands, nperseg))
+    done = f"{base}/runs/{stage}/{model}"
+    if force or not store.exists(spark, f"{done}/_SUCCESS"):
+        rows = run_model(stage_data(parted, vectors, stage, flagged), model, stage, path, tag, seed, permutations)
+        rows.write.mode("overwrite").parquet(done)
+    if test:
+        own_flags = step("test_flags", lambda: apply_fitted(spark, test[1], base))
+        own = step("test_features", lambda: raw_features(spark, test[1], base, bands, nperseg))
+        evaluate_test(stage_data(test[0], own, stage, own_flags), model, stage, path, tag)
+    return run_results(spark, path, tag, stage, model)

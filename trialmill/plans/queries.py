@@ -20,7 +20,6 @@ ORACLE: dict[str, str] = {}
 CAP, CLASSES = 100, [0, 1, 2, 3]
 DIGITS = [-1, *range(1, 10)]
 SHUFFLES_OF_A_MODEL = 10  # as in the reference, for classical models
-FIT_UNTIL = 400  # trials below it are training data where a query has no split of its own
 BANDS = (("low", 0.0, 16.0), ("middle", 16.0, 40.0), ("high", 40.0, 80.0), ("top", 80.0, 125.0))
 N = 32  # samples to a segment of the 64-sample signals
 
@@ -50,6 +49,9 @@ SAMPLES = SIGNALS + """, x AS (SELECT trial_id, channel, i, signal[i + 1] AS v F
 UNIT = "CAST('0x' || substr(md5(concat_ws('|', {}))  , 1, 8) AS BIGINT) / 4294967296.0"
 SPLIT = f"""b AS (SELECT sessionnum, blocknum, CASE WHEN {UNIT.format("'42', CAST(sessionnum AS VARCHAR), CAST(blocknum AS VARCHAR)")} < 0.2 THEN 'val' ELSE 'train' END AS split
   FROM (SELECT DISTINCT sessionnum, blocknum FROM t))"""
+#: Whatever is fitted is fitted on the train share of the block split.
+TRAIN = f"""{TRIALS}, {SPLIT}, tr AS (SELECT trial_id FROM t JOIN b USING (sessionnum, blocknum) WHERE split = 'train')"""
+OWN = "(SELECT * FROM q WHERE trial_id IN (SELECT trial_id FROM tr))"
 FIT = """m AS (SELECT channel, quantile_cont(v, 0.5) AS center FROM x GROUP BY channel),
 f AS (SELECT x.channel, m.center, greatest(1.4826 * quantile_cont(abs(v - center), 0.5), 1e-8) AS scale FROM x JOIN m USING (channel) GROUP BY x.channel, m.center)"""
 DEAD = """s AS (SELECT vec_id AS trial_id, CAST(c AS INTEGER) AS channel, CASE WHEN c = 4 THEN list_transform(range(16), lambda i: CAST(0 AS DOUBLE)) ELSE list_transform(list_slice(embedding, 16 * c + 1, 16 * c + 16), lambda x: CAST(x AS DOUBLE)) END AS signal
@@ -67,7 +69,7 @@ FLAGS = """k AS (SELECT trial_id, channel, coalesce(q.amplitude > l.amplitude, f
   coalesce(q.kurtosis > l.kurtosis, false) AS is_kurtosis, coalesce(q.std <= l.flatline, false) AS is_flatline FROM q, l),
 a AS (SELECT *, is_amplitude OR is_jump OR is_kurtosis OR is_flatline AS is_any FROM k),
 n AS (SELECT trial_id, count(*) FILTER (is_any) AS n_flagged, count(*) FILTER (is_any) >= {least} AS trial_concern FROM a GROUP BY trial_id)"""
-TRAINED = f"{SAMPLES}, {measures('x')}, {LIMITS.format(f'(SELECT * FROM q WHERE trial_id < {FIT_UNTIL})')}, {FLAGS.format(least=1)}"
+TRAINED = f"{TRAIN}, {SAMPLES}, {measures('x')}, {LIMITS.format(OWN)}, {FLAGS.format(least=1)}"
 PSD = LONG + f""", e AS (SELECT trial_id, channel, o, list_slice(signal, o + 1, o + {N}) AS z FROM g, (SELECT unnest([0, 16, 32]) AS o)),
 w AS (SELECT trial_id, channel, o, i, (z[i + 1] - list_avg(z)) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS v FROM e, (SELECT unnest(range({N})) AS i)),
 h AS (SELECT trial_id, channel, o, k, sum(v * cos(2 * pi() * k * i / {N})) AS re, sum(v * sin(2 * pi() * k * i / {N})) AS im FROM w, (SELECT unnest(range({N // 2 + 1})) AS k) GROUP BY trial_id, channel, o, k),
@@ -131,14 +133,20 @@ def multiclass(spark: SparkSession, sf: str) -> DataFrame:
     return binding.table(spark, sf, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("y"), (1 + F.col("o_custkey") % 5).cast("int").alias("yhat"))
 
 
-def fit_part(df: DataFrame) -> DataFrame:
-    return df.where(F.col("trial_id") < FIT_UNTIL)
+def train_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The trials of the block split's train share."""
+    x = trials(spark, sf)
+    return split.with_split(x, split.assign_blocks(x)).where("split = 'train'").select("trial_id")
+
+
+def fit_part(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    return df.join(train_ids(spark, sf), "trial_id", "left_semi")
 
 
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """Flags of all trials by thresholds from the training part."""
     measured = artifacts.metrics(signals(spark, sf))
-    return artifacts.flags(measured, artifacts.thresholds(fit_part(measured)))
+    return artifacts.flags(measured, artifacts.thresholds(fit_part(measured, spark, sf)))
 
 
 def trial_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,9 +277,8 @@ def order_audit(spark, sf):
 @query("SELECT c AS channel, CAST(16 AS BIGINT) AS n_columns, CAST(16 * (SELECT count(*) FROM embeddings) AS BIGINT) AS n_values FROM (VALUES ('AF3'), ('Pz'), ('T10'), ('T9')) v(c)")
 def channel_names(spark, sf):
     raw = binding.wide(binding.table(spark, sf, "embeddings"))
-    signal = wide.unpivoted(raw).where(~F.startswith("column", F.lit("label")))
-    name = F.regexp_extract("column", r"^(.+)_(\d+)$", 1)
-    return signal.select(name.alias("channel"), "column", "value").where("channel <> ''").groupBy("channel").agg(F.count_distinct("column").alias("n_columns"), F.count("value").alias("n_values"))
+    names = spark.createDataFrame([(n, c) for n in wide.channel_names(raw.columns) for c in raw.columns if wide.role_of(c) == "signal" and c.rpartition("_")[0] == n], "channel string, column string")
+    return wide.unpivoted(raw).join(names, "column").groupBy("channel").agg(F.count_distinct("column").alias("n_columns"), F.count("value").alias("n_values"))
 
 
 @query("SELECT role, n_columns, CAST(n_columns * (SELECT count(*) FROM embeddings) AS BIGINT) AS n_values FROM (VALUES ('signal', CAST(64 AS BIGINT)), ('image', 4), ('label', 1), ('metadata', 3)) v(role, n_columns)")
@@ -408,15 +415,15 @@ def artifact_metrics(spark, sf):
     return round_all(artifacts.metrics(signals(spark, sf).withColumn("signal", still)))
 
 
-@query(f"WITH {SAMPLES}, {measures('x')}, {LIMITS.format(f'(SELECT * FROM q WHERE trial_id < {FIT_UNTIL})')} SELECT round(amplitude, 6) + 0.0 AS amplitude, round(jump, 6) + 0.0 AS jump, round(kurtosis, 6) + 0.0 AS kurtosis, round(flatline, 6) + 0.0 AS flatline FROM l")
+@query(f"WITH {TRAIN}, {SAMPLES}, {measures('x')}, {LIMITS.format(OWN)} SELECT round(amplitude, 6) + 0.0 AS amplitude, round(jump, 6) + 0.0 AS jump, round(kurtosis, 6) + 0.0 AS kurtosis, round(flatline, 6) + 0.0 AS flatline FROM l")
 def artifact_thresholds(spark, sf):
-    return round_all(artifacts.thresholds(fit_part(artifacts.metrics(signals(spark, sf)))).select(*artifacts.CRITERIA))
+    return round_all(artifacts.thresholds(fit_part(artifacts.metrics(signals(spark, sf)), spark, sf)).select(*artifacts.CRITERIA))
 
 
-@query(f"WITH {SAMPLES}, {measures('x')}, {LIMITS.format(f'(SELECT * FROM q WHERE trial_id < {FIT_UNTIL})')} SELECT name, round(value, 6) + 0.0 AS value FROM (SELECT unnest(['amplitude', 'jump', 'kurtosis', 'flatline']) AS name, unnest([amplitude, jump, kurtosis, flatline]) AS value FROM l)")
+@query(f"WITH {TRAIN}, {SAMPLES}, {measures('x')}, {LIMITS.format(OWN)} SELECT name, round(value, 6) + 0.0 AS value FROM (SELECT unnest(['amplitude', 'jump', 'kurtosis', 'flatline']) AS name, unnest([amplitude, jump, kurtosis, flatline]) AS value FROM l)")
 def threshold_params(spark, sf):
     path = store.scratch(spark, "thresholds")
-    limits = artifacts.thresholds(fit_part(artifacts.metrics(signals(spark, sf))))
+    limits = artifacts.thresholds(fit_part(artifacts.metrics(signals(spark, sf)), spark, sf))
     store.write(limits.select(*artifacts.CRITERIA).unpivot([], list(artifacts.CRITERIA), "name", "value"), path)
     return round_all(store.params(spark, path))
 
@@ -426,12 +433,12 @@ def artifact_flags(spark, sf):
     return flagged(spark, sf)
 
 
-@query(f"WITH {SAMPLES}, {measures('x')}, {LIMITS.format(f'(SELECT * FROM q WHERE trial_id < {FIT_UNTIL})')}, {FLAGS.format(least=1)} SELECT trial_id, n_flagged, trial_concern FROM n")
+@query(f"WITH {TRAIN}, {SAMPLES}, {measures('x')}, {LIMITS.format(OWN)}, {FLAGS.format(least=1)} SELECT trial_id, n_flagged, trial_concern FROM n")
 def trial_concern(spark, sf):
     return trial_flags(spark, sf)
 
 
-@query(f"""WITH {TRIALS}, {SPLIT}, {TRAINED}, z AS (SELECT trial_id, bool_or(is_amplitude) AS am, bool_or(is_jump) AS ju, bool_or(is_kurtosis) AS ku, bool_or(is_flatline) AS fl, count(*) FILTER (is_any) AS nf FROM a GROUP BY trial_id)
+@query(f"""WITH {TRAINED}, z AS (SELECT trial_id, bool_or(is_amplitude) AS am, bool_or(is_jump) AS ju, bool_or(is_kurtosis) AS ku, bool_or(is_flatline) AS fl, count(*) FILTER (is_any) AS nf FROM a GROUP BY trial_id)
 SELECT split, count(*) FILTER (am) AS n_amplitude, count(*) FILTER (ju) AS n_jump, count(*) FILTER (ku) AS n_kurtosis, count(*) FILTER (fl) AS n_flatline, round(avg(CAST(nf > 0 AS INTEGER)), 6) AS any_rate, round(avg(CAST(nf >= 1 AS INTEGER)), 6) AS concern_rate
 FROM z JOIN t USING (trial_id) JOIN b USING (sessionnum, blocknum) GROUP BY split""")
 def artifact_rates(spark, sf):
@@ -439,23 +446,17 @@ def artifact_rates(spark, sf):
     return artifacts.rates(flagged(spark, sf), split.with_split(x, split.assign_blocks(x)), least=1)
 
 
-@query(f"WITH {TRIALS}, {TRAINED} SELECT t.trial_id, label_digit FROM t JOIN n ON t.trial_id = n.trial_id WHERE NOT trial_concern")
+@query(f"WITH {TRAINED} SELECT t.trial_id, label_digit FROM t JOIN n ON t.trial_id = n.trial_id WHERE NOT trial_concern")
 def clean_trials(spark, sf):
     return artifacts.clean(trials(spark, sf), trial_flags(spark, sf)).select("trial_id", "label_digit")
 
 
-@query(f"WITH {TRIALS}, {TRAINED}, {MOMENTS.format('x')} SELECT st.trial_id, st.channel, round(mean, 6) + 0.0 AS mean, n_flagged, trial_concern FROM st JOIN n USING (trial_id)")
+@query(f"WITH {TRAINED}, {MOMENTS.format('x')} SELECT st.trial_id, st.channel, round(mean, 6) + 0.0 AS mean, n_flagged, trial_concern FROM st JOIN n USING (trial_id)")
 def features_with_flags(spark, sf):
     x = features.statistics(signals(spark, sf)).select("trial_id", "channel", "mean")
     return round_all(features.with_flags(x, trial_flags(spark, sf)))
 
 
-@query(f"WITH {TRIALS}, {TRAINED} SELECT sessionnum, count(*) AS n_trials, round(avg(CAST(label_binary = 1 AS INTEGER)), 6) AS accuracy, round(avg(CAST(trial_concern AS INTEGER)), 6) AS concern_rate FROM t JOIN n USING (trial_id) GROUP BY sessionnum")
-def session_breakdown(spark, sf):
-    x = trials(spark, sf).join(trial_flags(spark, sf), "trial_id").withColumns({"y": F.col("label_binary"), "yhat": F.lit(1)})
-    return round_all(evaluate.session_breakdown(x))
-
-
 # --- spectra and filters ------------------------------------------------------------------------------------------------------
 
 
@@ -561,12 +562,12 @@ def trial_features(spark, sf):
     return round_all(features.trial_vectors(x, BANDS).select("trial_id", F.posexplode("features").alias("position", "value")))
 
 
-@query(f"""WITH {SAMPLES}, {MOMENTS.format('x')}, fe AS (SELECT trial_id, channel, unnest(['mean', 'variance']) AS feature, unnest([mean, variance]) AS value FROM st),
-sc AS (SELECT channel, feature, avg(value) AS m, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS d FROM fe WHERE trial_id < {FIT_UNTIL} GROUP BY channel, feature)
+@query(f"""WITH {TRAIN}, {SAMPLES}, {MOMENTS.format('x')}, fe AS (SELECT trial_id, channel, unnest(['mean', 'variance']) AS feature, unnest([mean, variance]) AS value FROM st),
+sc AS (SELECT channel, feature, avg(value) AS m, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1.0 END AS d FROM fe WHERE trial_id IN (SELECT trial_id FROM tr) GROUP BY channel, feature)
 SELECT trial_id, channel, feature, round((value - m) / d, 6) + 0.0 AS value FROM fe JOIN sc USING (channel, feature)""")
 def standard_scale(spark, sf):
     x = features.statistics(signals(spark, sf)).unpivot(["trial_id", "channel"], ["mean", "variance"], "feature", "value")
-    return round_all(features.scale_apply(x, features.scale_fit(fit_part(x))).select("trial_id", "channel", "feature", "value"))
+    return round_all(features.scale_apply(x, features.scale_fit(fit_part(x, spark, sf))).select("trial_id", "channel", "feature", "value"))
 
 
 @query(f"WITH {TRIALS} SELECT trial_id, label_binary AS y FROM t")
@@ -620,41 +621,74 @@ def roc_auc(spark, sf):
     return round_all(evaluate.roc_auc(x))
 
 
-#: Two fixed rules stand for models: either predicts from the toxic column of labels.
-RULES = """ru AS (SELECT doc_id AS trial_id, 'not_toxic' AS model, quality AS y, 1 - toxic AS yhat FROM labels UNION ALL SELECT doc_id, 'always', quality, 1 FROM labels),
-re AS (SELECT model, CASE WHEN trial_id % 5 = 0 THEN 'test' ELSE 'val' END AS split, avg(CAST(y = yhat AS INTEGER)) AS value FROM ru GROUP BY ALL)"""
+#: Two models that SQL can fit too: nearest centroid of the embeddings, and the train share's most frequent label. Every fifth session is the test set.
+MODELS = f"""{TRAIN}, pa AS (SELECT trial_id, sessionnum, label_binary AS y, CASE WHEN sessionnum % 5 = 4 THEN 'test' ELSE split END AS part FROM t JOIN b USING (sessionnum, blocknum)),
+xx AS (SELECT vec_id AS trial_id, i, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)),
+ce AS (SELECT y AS yhat, i, avg(v) AS m FROM pa JOIN xx USING (trial_id) WHERE part = 'train' GROUP BY y, i),
+di AS (SELECT trial_id, yhat, round(sum((v - m) * (v - m)), 9) AS d FROM xx JOIN ce USING (i) GROUP BY trial_id, yhat),
+be AS (SELECT trial_id, arg_min(yhat, {{d: d, y: yhat}}) AS yhat FROM di GROUP BY trial_id),
+ma AS (SELECT y FROM pa WHERE part = 'train' GROUP BY y ORDER BY count(*) DESC, y LIMIT 1),
+sa AS (SELECT 'centroid' AS model, trial_id, sessionnum, part, y, yhat FROM pa JOIN be USING (trial_id) UNION ALL SELECT 'majority', trial_id, sessionnum, part, y, (SELECT y FROM ma) FROM pa),
+re AS (SELECT model, part AS split, avg(CAST(y = yhat AS INTEGER)) AS value FROM sa WHERE part <> 'train' GROUP BY model, part)"""
+#: With the flags of TRAINED, whose own tables MODELS has already.
+MODELS_AND_FLAGS = MODELS + TRAINED[len(TRAIN) :]
+
+
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """trial_id, sessionnum, y, part, x: every trial with its embedding."""
+    x = trials(spark, sf)
+    part = F.when(F.col("sessionnum") % 5 == 4, "test").otherwise(F.col("split")).alias("part")
+    x = split.with_split(x, split.assign_blocks(x)).select("trial_id", "sessionnum", F.col("label_binary").alias("y"), part)
+    vectors = binding.table(spark, sf, "embeddings").select(F.col("vec_id").alias("trial_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return store.write(x.join(vectors, "trial_id"), store.scratch(spark, "parts"))
 
 
-def rule_results(spark: SparkSession, sf: str) -> DataFrame:
-    x = binary(spark, sf)
-    both = x.withColumn("model", F.lit("not_toxic")).unionByName(x.withColumn("yhat", F.lit(1)).withColumn("model", F.lit("always")))
-    split_name = F.when(F.col("trial_id") % 5 == 0, "test").otherwise("val")
-    by = both.groupBy("model", split_name.alias("split")).agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("value"))
+def centres(rows_: DataFrame) -> DataFrame:
+    return permute.centroids(rows_.where("part = 'train'").withColumn("perm", F.lit(0)))
+
+
+def said(spark: SparkSession, sf: str) -> DataFrame:
+    """model, trial_id, sessionnum, part, y, yhat of both models."""
+    x = parts(spark, sf)
+    near = permute.nearest(x.select("trial_id", "y", "x"), centres(x)).select("trial_id", "yhat").join(x.drop("x"), "trial_id").withColumn("model", F.lit("centroid"))
+    most = evaluate.majority(x.where("part = 'train'")).select("yhat").limit(1)
+    common = x.drop("x").crossJoin(F.broadcast(most)).withColumn("model", F.lit("majority"))  # one row
+    return near.unionByName(common)
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    by = said(spark, sf).where("part <> 'train'").groupBy("model", F.col("part").alias("split")).agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("value"))
     return by.select(F.lit("all").alias("variant_tag"), F.lit("stage1").alias("stage"), "model", "split", F.lit("accuracy").alias("metric"), "value")
 
 
-@query(f"WITH {RULES} SELECT 'all' AS variant_tag, 'stage1' AS stage, v.model, 'accuracy' AS metric, round(v.value, 6) AS val, round(t.value, 6) AS test, round(v.value - t.value, 6) + 0.0 AS gap FROM re v JOIN re t ON v.model = t.model AND v.split = 'val' AND t.split = 'test'")
+@query(f"WITH {MODELS} SELECT 'all' AS variant_tag, 'stage1' AS stage, v.model, 'accuracy' AS metric, round(v.value, 6) AS val, round(t.value, 6) AS test, round(v.value - t.value, 6) + 0.0 AS gap FROM re v JOIN re t ON v.model = t.model AND v.split = 'val' AND t.split = 'test'")
 def val_test_gap(spark, sf):
-    return round_all(evaluate.val_test_gap(rule_results(spark, sf)))
+    return round_all(evaluate.val_test_gap(results(spark, sf)))
 
 
-@query(f"WITH {RULES} SELECT 'all' AS variant_tag, 'stage1' AS stage, model, round(value, 6) AS accuracy FROM re WHERE split = 'val' ORDER BY value DESC, model LIMIT 1")
+@query(f"WITH {MODELS} SELECT 'all' AS variant_tag, 'stage1' AS stage, model, round(value, 6) AS accuracy FROM re WHERE split = 'val' ORDER BY value DESC, model LIMIT 1")
 def best_model(spark, sf):
-    return round_all(evaluate.best_model(rule_results(spark, sf)))
+    return round_all(evaluate.best_model(results(spark, sf)))
 
 
-@query(f"WITH {RULES} SELECT 'all' AS variant_tag, 'stage1' AS stage, model, split, 'accuracy' AS metric, round(value, 6) AS value FROM re")
+@query(f"WITH {MODELS} SELECT 'all' AS variant_tag, 'stage1' AS stage, model, split, 'accuracy' AS metric, round(value, 6) AS value FROM re")
 def model_compare(spark, sf):
-    return round_all(rule_results(spark, sf))
+    return round_all(results(spark, sf))
+
+
+@query(f"WITH {MODELS_AND_FLAGS} SELECT sessionnum, count(*) AS n_trials, round(avg(CAST(y = yhat AS INTEGER)), 6) AS accuracy, round(avg(CAST(trial_concern AS INTEGER)), 6) AS concern_rate FROM sa JOIN n USING (trial_id) WHERE model = 'centroid' AND part <> 'train' GROUP BY sessionnum")
+def session_breakdown(spark, sf):
+    x = said(spark, sf).where("model = 'centroid' AND part <> 'train'").join(trial_flags(spark, sf), "trial_id")
+    return round_all(evaluate.session_breakdown(x))
 
 
 def ablation_sql(condition: str, where: str) -> str:
-    return f"SELECT '{condition}' AS condition, round({ACCURACY}, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (WITH pr AS (SELECT label_binary AS y, 1 AS yhat FROM t JOIN n USING (trial_id){where}), {CONFUSION} SELECT *, {ACCURACY} FROM pf WHERE label = 1)"
+    return f"SELECT '{condition}' AS condition, round(acc, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (WITH pr AS (SELECT y, yhat FROM sa JOIN n USING (trial_id) WHERE model = 'centroid' AND part = 'val'{where}), {CONFUSION} SELECT *, {ACCURACY} AS acc FROM pf WHERE label = 1)"
 
 
-@query(f"WITH {TRIALS}, {TRAINED} " + " UNION ALL ".join(ablation_sql(c, w).replace(f"round({ACCURACY}, 6)", "round(acc, 6)").replace(f"SELECT *, {ACCURACY} FROM", f"SELECT *, {ACCURACY} AS acc FROM") for c, w in (("all", ""), ("clean", " WHERE NOT trial_concern"))))
+@query(f"WITH {MODELS_AND_FLAGS} " + " UNION ALL ".join(ablation_sql(c, w) for c, w in (("all", ""), ("clean", " AND NOT trial_concern"))))
 def ablation_compare(spark, sf):
-    x = trials(spark, sf).select("trial_id", F.col("label_binary").alias("y"), F.lit(1).alias("yhat"))
+    x = said(spark, sf).where("model = 'centroid' AND part = 'val'").select("trial_id", "y", "yhat")
     return round_all(evaluate.ablation(x, trial_flags(spark, sf)))
 
 
@@ -665,14 +699,15 @@ def target_counts(spark, sf):
     return evaluate.target_counts(x.withColumn("fraction", fraction))
 
 
-IMPORTANCE = "im AS (SELECT i AS position, avg(abs(v)) AS value FROM (SELECT unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY i)"
+#: How far apart the two classes' centroids are at each place: what the centroid model goes by.
+IMPORTANCE = MODELS + ", im AS (SELECT i AS position, abs(max(m) FILTER (yhat = 1) - max(m) FILTER (yhat = 0)) AS value FROM ce GROUP BY i)"
 PARTS = [f"part{i}" for i in range(16)]
 
 
 def weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean absolute values by place: stand-ins for a model's importances."""
-    x = binding.table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("position", "v"))
-    return x.groupBy("position").agg(F.avg(F.abs(F.col("v"))).alias("value"))
+    x = centres(parts(spark, sf)).select("yhat", F.posexplode("centroid").alias("position", "m"))
+    of = lambda y: F.max(F.when(F.col("yhat") == y, F.col("m")))
+    return x.groupBy("position").agg(F.abs(of(1) - of(0)).alias("value"))
 
 
 @query(f"WITH {IMPORTANCE} SELECT 'part' || (position % 16) AS feature, round(sum(value), 6) AS importance FROM im GROUP BY position % 16")
@@ -693,7 +728,7 @@ def subsample_n(spark, sf):
     return permute.subsample(trials(spark, sf), 200).select("trial_id")
 
 
-SHUFFLES = """ps AS (SELECT CAST(unnest(range(1, {p} + 1)) AS INTEGER) AS perm), ba AS (SELECT vec_id AS trial_id, label AS y FROM embeddings WHERE vec_id < {until}),
+SHUFFLES = """ps AS (SELECT CAST(unnest(range(1, {p} + 1)) AS INTEGER) AS perm), ba AS (SELECT vec_id AS trial_id, label AS y FROM embeddings WHERE {where}),
 ai AS (SELECT perm, trial_id, row_number() OVER (PARTITION BY perm ORDER BY trial_id) AS r FROM ba, ps),
 ah AS (SELECT perm, y, row_number() OVER (PARTITION BY perm ORDER BY md5(concat_ws('|', '42', CAST(perm AS VARCHAR), CAST(trial_id AS VARCHAR))), trial_id) AS r FROM ba, ps),
 sh AS (SELECT 0 AS perm, trial_id, y FROM ba UNION ALL SELECT ai.perm, ai.trial_id, ah.y FROM ai JOIN ah USING (perm, r))"""
@@ -703,22 +738,22 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return binding.table(spark, sf, "embeddings").select(F.col("vec_id").alias("trial_id"), F.col("label").alias("y"))
 
 
-@query(f"WITH {SHUFFLES.format(p=3, until=10**12)} SELECT perm, trial_id, y FROM sh")
+@query(f"WITH {SHUFFLES.format(p=3, where='true')} SELECT perm, trial_id, y FROM sh")
 def permute_labels(spark, sf):
     return permute.permuted(labelled(spark, sf), 3)
 
 
-CENTROIDS = f"""{SHUFFLES.format(p=10, until=FIT_UNTIL)}, xx AS (SELECT vec_id AS trial_id, i, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)),
+CENTROIDS = f"""{TRAIN}, {SHUFFLES.format(p=10, where='vec_id IN (SELECT trial_id FROM tr)')}, xx AS (SELECT vec_id AS trial_id, i, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)),
 ce AS (SELECT perm, y AS yhat, i, avg(v) AS m FROM sh JOIN xx USING (trial_id) GROUP BY perm, y, i),
-di AS (SELECT perm, xx.trial_id, yhat, round(sum((v - m) * (v - m)), 9) AS d FROM xx JOIN ce USING (i) WHERE trial_id >= {FIT_UNTIL} GROUP BY perm, xx.trial_id, yhat),
+di AS (SELECT perm, xx.trial_id, yhat, round(sum((v - m) * (v - m)), 9) AS d FROM xx JOIN ce USING (i) WHERE trial_id NOT IN (SELECT trial_id FROM tr) GROUP BY perm, xx.trial_id, yhat),
 be AS (SELECT perm, trial_id, arg_min(yhat, {{d: d, y: yhat}}) AS yhat FROM di GROUP BY perm, trial_id),
 ru AS (SELECT perm, avg(CAST(yhat = label AS INTEGER)) AS accuracy FROM be JOIN embeddings ON vec_id = trial_id GROUP BY perm)"""
 
 
 def centroid_runs(spark: SparkSession, sf: str) -> DataFrame:
     x = binding.table(spark, sf, "embeddings").select(F.col("vec_id").alias("trial_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    y = labelled(spark, sf)
-    return permute.centroid_runs(x, fit_part(y), y.where(F.col("trial_id") >= FIT_UNTIL), 10)
+    y, own = labelled(spark, sf), train_ids(spark, sf)
+    return permute.centroid_runs(x, y.join(own, "trial_id", "left_semi"), y.join(own, "trial_id", "left_anti"), 10)
 
 
 @query(f"WITH {CENTROIDS} SELECT perm, round(accuracy, 6) AS accuracy FROM ru")
@@ -772,7 +807,7 @@ def rf_predict(spark, sf):
 @query()
 def evaluate_model(spark, sf):
     data = model_data(spark, sf)
-    return models.evaluate("svm", data.where("split = 'train'"), data.where("split = 'val'"))
+    return models.evaluate("svm", data.where("split = 'train'"), data.where("split = 'val'"))[0]
 
 
 @query()
@@ -785,8 +820,9 @@ def rf_importance(spark, sf):
 @query()
 def test_eval(spark, sf):
     data = model_data(spark, sf)
-    held = F.col("sessionnum") % 5 == 4
-    return phases.evaluate_test(data.where(~held), data.where(held), "svm", "stage1")
+    held, path = F.col("sessionnum") % 5 == 4, store.scratch(spark, "run")
+    phases.run_model(data.where(~held), "svm", "stage1", path, "all", permutations=0)
+    return phases.evaluate_test(data.where(held), "svm", "stage1", path, "all")
 
 
 @query()
@@ -799,11 +835,10 @@ def perm_test_svm(spark, sf):
 # --- whole phases -----------------------------------------------------------------------------------------------------------------------
 
 
-FILTERED = f"""{LONG}, {TRIALS}, {SPLIT}, {matrix_sql(bandpass_matrix(64))}, fi AS (SELECT trial_id, channel, i, list_dot_product(w, signal) AS v FROM g, mx),
-tr AS (SELECT trial_id FROM t JOIN b USING (sessionnum, blocknum) WHERE split = 'train'),
+FILTERED = f"""{LONG}, {TRAIN}, {matrix_sql(bandpass_matrix(64))}, fi AS (SELECT trial_id, channel, i, list_dot_product(w, signal) AS v FROM g, mx),
 x AS (SELECT * FROM fi WHERE trial_id IN (SELECT trial_id FROM tr)), {FIT},
 no AS (SELECT trial_id, channel, i, (v - center) / scale AS v FROM fi JOIN f USING (channel) WHERE scale > 1e-7), {measures('no')},
-{LIMITS.format('(SELECT * FROM q WHERE trial_id IN (SELECT trial_id FROM tr))')}, {FLAGS.format(least=3)}"""
+{LIMITS.format(OWN)}, {FLAGS.format(least=3)}"""
 
 
 @query(f"WITH {FILTERED} SELECT trial_id, split, n_flagged, trial_concern FROM n JOIN t USING (trial_id) JOIN b USING (sessionnum, blocknum)")
@@ -830,14 +865,15 @@ def append_sink_counts(spark, sf):
     return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TRIALS}, {SPLIT}, {LONG}, {matrix_sql(bandpass_matrix(64))} SELECT split, count(DISTINCT g.trial_id) AS n_trials, round(avg(abs(list_dot_product(w, signal))), 6) AS mean_abs FROM g JOIN t ON t.trial_id = g.trial_id JOIN b USING (sessionnum, blocknum), mx GROUP BY split")
+@query(f"WITH {FILTERED} SELECT split, count(DISTINCT trial_id) AS n_trials, round(avg(abs(v)), 6) AS mean_abs, count(DISTINCT trial_id) FILTER (trial_concern) AS n_concern, count(DISTINCT trial_id) FILTER (label_binary = 1) AS n_digit FROM no JOIN n USING (trial_id) JOIN t USING (trial_id) JOIN b USING (sessionnum, blocknum) GROUP BY split")
 def filtered_sink_counts(spark, sf):
-    """Filtered signals in a sink by variant and split, read back."""
-    x = trials(spark, sf)
-    filtered = spectral.bandpass(long_signals(spark, sf)).join(split.with_split(x, split.assign_blocks(x)).select("trial_id", "split"), "trial_id")
-    back = store.write(filtered.withColumn("variant", F.lit("all")), store.scratch(spark, "filtered"), ("variant", "split"))
-    values = back.where("variant = 'all'").select("split", "trial_id", F.explode("signal").alias("v"))
-    return round_all(values.groupBy("split").agg(F.count_distinct("trial_id").alias("n_trials"), F.avg(F.abs("v")).alias("mean_abs")))
+    """Filtered and normalized signals with labels and flags in a sink by variant and split, read back."""
+    path, parted = store.scratch(spark, "run"), split.split_pool(trials(spark, sf))
+    flags = store.write(phases.preprocess(spark, parted, long_signals(spark, sf), path), f"{path}/trial_flags")
+    back = store.write(phases.normalized(spark, parted, flags, path).withColumn("variant", F.lit("all")), f"{path}/normalized", ("variant", "split"))
+    x = back.where("variant = 'all'").select("split", "trial_id", "trial_concern", "label_binary", F.explode("signal").alias("v"))
+    only = lambda c: F.count_distinct(F.when(c, F.col("trial_id")))
+    return round_all(x.groupBy("split").agg(F.count_distinct("trial_id").alias("n_trials"), F.avg(F.abs("v")).alias("mean_abs"), only(F.col("trial_concern")).alias("n_concern"), only(F.col("label_binary") == 1).alias("n_digit")))
 
 
 @query(f"WITH {TRIALS}, {SPLIT}, {SAMPLES}, {MOMENTS.format('x')}, z AS (SELECT split, trial_id, mean FROM st JOIN t USING (trial_id) JOIN b USING (sessionnum, blocknum)) SELECT split, count(*) AS n_rows, round(avg(mean), 6) + 0.0 AS mean FROM z GROUP BY split")
@@ -860,26 +896,32 @@ def results_sink(spark, sf):
 # --- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = binding.table(spark, sf, "events").schema
-    return binding.stream_rows(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
+def event_pairs(spark: SparkSession, sf: str, batches: int) -> DataFrame:
+    """Pairs of the events as a stream of so many batches, in order; rows as far apart as any neighbours still pair."""
+    events, path = binding.table(spark, sf, "events"), store.scratch(spark, "events")
+    size = -(-(events.agg(F.max("event_id")).first()[0] + 1) // batches)
+    for i in range(batches):  # one file after the other, as they would arrive
+        events.where((F.col("event_id") >= i * size) & (F.col("event_id") < (i + 1) * size)).coalesce(1).write.mode("append").parquet(path)
+    delay = f"{profile.widest_step(rows(spark, sf)) + 1} seconds"
+    return stream.pairs(binding.stream_rows(stream.read_rows(spark, path, events.schema, 1)), delay)
 
 
-@query(f"WITH {PAIRS} SELECT p.seq, p.label, p.blank_seq, p.sessionnum FROM p JOIN r ON r.seq = blank_seq WHERE p.ts - r.ts <= INTERVAL 1 HOUR")
+@query(f"WITH {PAIRS} SELECT seq, label, blank_seq, sessionnum FROM p")
 def stream_pairs(spark, sf):
-    return stream.drain(stream.pairs(event_stream(spark, sf)), "pairs").select("seq", "label", "blank_seq", "sessionnum")
+    return stream.drain(event_pairs(spark, sf, 2), "pairs").select("seq", "label", "blank_seq", "sessionnum")
 
 
-@query(f"WITH {PAIRS}, w AS (SELECT p.* FROM p JOIN r ON r.seq = blank_seq WHERE p.ts - r.ts <= INTERVAL 1 HOUR) SELECT label, count(*) AS n, count(*) <= {CAP} AS is_within FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS k FROM w) WHERE k <= {CAP} GROUP BY label")
+@query(f"WITH {PAIRS} SELECT label, least(count(*), {CAP}) AS n, true AS is_within FROM p GROUP BY label")
 def stream_capped(spark, sf):
-    kept = stream.drain_capped(stream.pairs(event_stream(spark, sf)), CAP)
+    """The cap holds over several batches."""
+    kept = stream.drain_capped(event_pairs(spark, sf, 3), CAP)
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("is_within", F.col("n") <= CAP)
 
 
-@query(f"""WITH {SAMPLES.replace(', x AS (SELECT trial_id, channel, i, signal', ', x0 AS (SELECT trial_id, channel, i, signal')}, x AS (SELECT * FROM x0 WHERE trial_id < {FIT_UNTIL}), {FIT},
-no AS (SELECT trial_id, channel, i, (v - center) / scale AS v FROM x0 JOIN f USING (channel) WHERE scale > 1e-7), {measures('no')}, {LIMITS.format(f'(SELECT * FROM q WHERE trial_id < {FIT_UNTIL})')}, {FLAGS.format(least=1)} SELECT * FROM a""")
+@query(f"""WITH {TRAIN}, {SAMPLES.replace(', x AS (SELECT trial_id, channel, i, signal', ', x0 AS (SELECT trial_id, channel, i, signal')}, x AS (SELECT * FROM x0 WHERE trial_id IN (SELECT trial_id FROM tr)), {FIT},
+no AS (SELECT trial_id, channel, i, (v - center) / scale AS v FROM x0 JOIN f USING (channel) WHERE scale > 1e-7), {measures('no')}, {LIMITS.format(OWN)}, {FLAGS.format(least=1)} SELECT * FROM a""")
 def stream_flags(spark, sf):
-    own = fit_part(signals(spark, sf))
+    own = fit_part(signals(spark, sf), spark, sf)
     params = store.write(robust.fit(own), store.scratch(spark, "norm_params"))
     bad = store.write(robust.bad_channels(params), store.scratch(spark, "bad_channels"))
     limits = store.write(artifacts.thresholds(artifacts.metrics(robust.normalize(robust.exclude(own, bad), params))), store.scratch(spark, "thresholds"))

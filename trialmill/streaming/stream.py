@@ -12,16 +12,18 @@ from ..sources.store import exists, scratch
 DELAY = "1 hour"
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of the Parquet files under a path or glob."""
-    return spark.readStream.schema(schema).parquet(path)
+def read_rows(spark: SparkSession, path: str, schema: str, files_at_once: int | None = None) -> DataFrame:
+    """A stream of the Parquet files under a path or glob, so many to a batch: all that there are, or files_at_once."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)).parquet(path)
 
 
 def pairs(rows: DataFrame, delay: str = DELAY) -> DataFrame:
     """Digits with the blank right before them, as a stream-stream join of rows(seq, label, sessionnum, ts).
 
-    A row that comes later than the watermark can't pair any more; it is among
-    the unpaired rows of the batch form.
+    A row that comes later than the watermark can't pair any more, nor can
+    rows further apart in time than `delay`: state is kept no longer. Such rows are among
+    the unpaired rows of the batch form; profile.widest_step() tells of a delay that loses none.
     """
     digits = rows.where("label <> -1").withWatermark("ts", delay)
     blanks = rows.where("label = -1").select((F.col("seq") + 1).alias("_next"), F.col("seq").alias("blank_seq"), F.col("ts").alias("blank_ts")).withWatermark("blank_ts", delay)
