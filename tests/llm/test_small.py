@@ -372,6 +372,49 @@ def test_lm_scores(spark, docs, empty):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_scores_are_those_of_a_loop(spark):
+    """The model with dictionaries of strings: counts, buckets, expectation-maximisation to the end."""
+    rng = np.random.default_rng(23)
+    rows = [(i, prose(rng, int(rng.integers(3, 40))) if i % 7 else "the river walks under the bridge", "en", "s", 1) for i in range(300)] + [(1000, None, "en", "s", 0)]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = {i: [*WORD.findall((t or "").translate(low)), None] for i, t, *_ in rows}
+    rest = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
+
+    def counts(ids):
+        one, two, starts = Counter(), Counter(), 0
+        for i in ids:
+            starts += 1
+            for a, b in zip(["^", *texts[i]], texts[i]):
+                one[b] += 1
+                two[a, b] += 1
+        one["^"] = starts
+        return one, two
+
+    v = len({w for i in texts if rest[i] != 1 for w in texts[i]})
+    one, two = counts([i for i in texts if rest[i] > 1])
+    n = sum(c for w, c in one.items() if w != "^")
+    bucket = lambda c: 0 if c == 0 else int(math.log2(c)) + 1
+    chances = lambda a, b, one, two, n: (two[a, b] / max(one[a], 1), one[b] / n, 1 / (v + 1))
+    cells = {}
+    for i in texts:
+        if rest[i] == 0:
+            for a, b in zip(["^", *texts[i]], texts[i]):
+                cells.setdefault(bucket(one[a]), []).append(chances(a, b, one, two, n))
+    mix = {}
+    for k, p in cells.items():
+        p, w = np.array(p), np.array([0.0, 0.8, 0.2]) if k == 0 else np.array([0.4, 0.4, 0.2])
+        for _ in range(3000):
+            part = p * w
+            w = lm.mixed((part / part.sum(axis=1, keepdims=True)).sum(axis=0), len(p), k)
+        mix[k] = w
+    one, two = counts([i for i in texts if rest[i] != 1])
+    n = sum(c for w, c in one.items() if w != "^")
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, DOCS), block_tokens=400, range_tokens=300).collect()}
+    for i, ts in texts.items():
+        want = sum(math.log10(np.dot(mix[max(k for k in mix if k <= bucket(one[a]))], chances(a, b, one, two, n))) for a, b in zip(["^", *ts], ts))
+        assert math.isclose(got[i], want, rel_tol=1e-2), i
+
+
 def test_lm_is_a_distribution():
     """Over the known words and one more, probabilities after a context add up to one."""
     mix = lm.weights(__import__("pandas").DataFrame({"bucket": [0, 1, 2], "two": [-999, 8, 9], "one": [4, 4, -999], "n": [5, 6, 7]}))

@@ -112,6 +112,14 @@ def apart(docs: DataFrame, used: Sequence[str]) -> tuple[DataFrame, Callable[[Da
     return docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]), lambda out: out.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the bytes that the session puts into an Arrow batch, for rows that carry whole texts in and out of Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[..., Sequence[Sequence]], fields: str, column: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """The columns `keep` of df as they are, and new `fields` (DDL) that fn makes of a batch of texts, one sequence for each field.
 

@@ -3,7 +3,8 @@
 Bigram, unigram and uniform estimates are mixed; the weights depend on a
 bucket of the context's frequency (its binary logarithm) and are learned by
 expectation-maximisation on a part of the training documents that is left
-out of the counts meanwhile.
+out of the counts meanwhile. Its rounds go over the left-out tokens' own
+counts, in Spark; a start is found on rounded ones first.
 
 Documents are tokenised once into blocks of some hundred thousand tokens, all
 of one role (held out, counted, or left out for the weights). A block's n-grams are counted
@@ -160,7 +161,7 @@ def sent(blocks: DataFrame, ranges: int) -> DataFrame:
     return blocks.mapInPandas(run, "range int, block long, role int, keys binary, counts binary")
 
 
-def totalled(parts: DataFrame) -> DataFrame:
+def totalled(parts: DataFrame, ranges: int) -> DataFrame:
     """(block, range, counted, all): totals over the counted and over all training documents, in the order in which a block sent its keys.
 
     A further row for each range, of block -1, has the number of distinct training tokens in `known`.
@@ -182,7 +183,9 @@ def totalled(parts: DataFrame) -> DataFrame:
         out += [(block, rows.range.iloc[0], pack(totals[0, at[a:z]]), pack(totals[1, at[a:z]]), 0) for block, a, z in zip(rows.block, cuts, cuts[1:], strict=False)]
         return pd.DataFrame(out, columns=["block", "range", "counted", "all", "known"])
 
-    return parts.groupBy("range").applyInPandas(run, "block long, range int, counted binary, all binary, known long")
+    # a partition for each range: a task's share doesn't grow with the corpus
+    n = max(ranges, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return parts.repartition(n, "range").groupBy("range").applyInPandas(run, "block long, range int, counted binary, all binary, known long")
 
 
 def beside(blocks: DataFrame, totals: DataFrame, which: str) -> DataFrame:
@@ -205,28 +208,78 @@ def bucket(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0).astype(np.int64)
 
 
-def tuning_cells(joined: DataFrame, start_count: int, n: int, v: int) -> DataFrame:
-    """(bucket, two, one, n): how many left-out tokens have which estimates, as half powers of two of their ratio to the uniform one."""
+def tuning_cells(joined: DataFrame, start_count: int) -> DataFrame:
+    """(bucket, context, pair, word, n): how many left-out tokens have which counts of their context, bigram and unigram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
                 g, ones, twos = looked_up(row)
                 context = np.where(g.context_of < 0, start_count, ones[g.context_of])
-                times = np.bincount(g.pair_of, minlength=len(twos))
                 word = np.zeros(len(twos), np.int64)
                 word[g.pair_of] = g.tokens
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    two = np.where(twos > 0, np.round(2 * np.log2(twos / np.maximum(context, 1) * (v + 1))), -999)
-                    one = np.where(ones[word] > 0, np.round(2 * np.log2(ones[word] / max(n, 1) * (v + 1))), -999)
-                cells = pd.DataFrame({"bucket": bucket(context), "two": two.astype(int), "one": one.astype(int), "n": times})
-                yield cells.groupby(["bucket", "two", "one"], as_index=False).n.sum()
+                cells = pd.DataFrame({"bucket": bucket(context), "context": context, "pair": twos, "word": ones[word], "n": np.bincount(g.pair_of, minlength=len(twos))})
+                yield cells.groupby(["bucket", "context", "pair", "word"], as_index=False).n.sum()
 
-    cells = joined.mapInPandas(run, "bucket long, two long, one long, n long")
-    return cells.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    cells = joined.mapInPandas(run, "bucket long, context long, pair long, word long, n long")
+    return cells.groupBy("bucket", "context", "pair", "word").agg(F.sum("n").alias("n"))
 
 
-def weights(cells: pd.DataFrame, rounds: int = 50) -> np.ndarray:
+def rounded(cells: DataFrame, n: int, v: int) -> DataFrame:
+    """(bucket, two, one, n): cells with their estimates as half powers of two of the ratio to the uniform one, -999 for none: some thousand rows."""
+    power = lambda x: F.coalesce(F.round(2 * F.log2(F.when(x > 0, x * F.lit(float(v + 1))))), F.lit(-999)).cast("long")
+    two, one = F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(max(n, 1))
+    return cells.groupBy("bucket", power(two).alias("two"), power(one).alias("one")).agg(F.sum("n").alias("n"))
+
+
+def settled(cells: DataFrame, mix: np.ndarray, n: int, v: int, rounds: int = 36, close: float = 2e-4) -> np.ndarray:
+    """mix after further rounds of expectation-maximisation over all cells, until none changes a weight by more than `close`.
+
+    A round is one aggregation; a row for each bucket comes to the driver.
+    Every third round starts from where the two before it lead.
+    """
+    seen: set[int] = set()
+    path = [mix]
+    for _ in range(rounds):
+        if len(path) == 3:
+            path = [leap(*path)]
+        now = path[-1]
+        w = F.get(F.lit([[float(x) for x in row] for row in now]), F.col("bucket").cast("int"))
+        parts = [F.get(w, F.lit(0)) * F.col("pair") / F.greatest("context", F.lit(1)), F.get(w, F.lit(1)) * F.col("word") / F.lit(max(n, 1)), F.get(w, F.lit(2)) / F.lit(float(v + 1))]
+        x = cells.select("bucket", "n", F.array(*parts).alias("p")).withColumn("all", F.col("p")[0] + F.col("p")[1] + F.col("p")[2])
+        sums = x.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] / F.col("all")).alias(f"s{i}") for i in range(3)]).collect()
+        new = now.copy()
+        for r in sums:
+            seen.add(r.bucket)
+            new[r.bucket] = mixed(np.array([r.s0, r.s1, r.s2]), r.n, r.bucket)
+        path.append(new)
+        if np.abs(new - now).max() <= close:
+            break
+    mix = path[-1].copy()
+    for b in range(1, len(mix)):
+        if b not in seen and seen and b > min(seen):
+            mix[b] = mix[b - 1]
+    return mix
+
+
+def leap(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Where three successive weights of each bucket lead, by squared extrapolation; the third itself where that leaves the simplex."""
+    step = second - first
+    bend = third - second - step
+    size = np.linalg.norm(bend, axis=1, keepdims=True)
+    far = np.maximum(np.linalg.norm(step, axis=1, keepdims=True) / np.maximum(size, 1e-15), 1)
+    ahead = first + 2 * far * step + far**2 * bend
+    return np.where((size > 1e-12) & (ahead >= 0).all(axis=1, keepdims=True), ahead, third)
+
+
+def mixed(sums: np.ndarray, n: float, b: int) -> np.ndarray:
+    """Weights from expected counts, a thousandth of a count added to each; contexts never seen have no bigram weight."""
+    few = np.array([0.0 if b == 0 else 1e-3, 1e-3, 1e-3])
+    w = (sums + few) / (n + few.sum())
+    return w / w.sum()
+
+
+def weights(cells: pd.DataFrame, rounds: int = 150) -> np.ndarray:
     """A row of weights (bigram, unigram, uniform) for each of 64 buckets, by expectation-maximisation.
 
     A bucket without left-out tokens takes those of the next lower one that has
@@ -241,10 +294,13 @@ def weights(cells: pd.DataFrame, rounds: int = 50) -> np.ndarray:
             p = np.stack([estimate(some.two.to_numpy(dtype=float)), estimate(some.one.to_numpy(dtype=float)), np.ones(len(some))], axis=1)
             n = some.n.to_numpy(dtype=float)
             w = np.array([0.0, 0.8, 0.2]) if b == 0 else np.array([0.4, 0.4, 0.2])
+            path = [w]
             for _ in range(rounds):
-                part = p * w
-                w = ((n / part.sum(axis=1)) @ part + [0.0 if b == 0 else 1e-3, 1e-3, 1e-3]) / (n.sum() + (2e-3 if b == 0 else 3e-3))
-            last = w / w.sum()
+                if len(path) == 3:
+                    path = [leap(*[x[None] for x in path])[0]]
+                part = p * path[-1]
+                path.append(mixed((n / part.sum(axis=1)) @ part, n.sum(), b))
+            last = path[-1]
         out[b] = last
     return out
 
@@ -295,11 +351,12 @@ def score(docs: DataFrame, block_tokens: int = BLOCK, range_tokens: int = RANGE)
     n = {r: by_role[r].n if r in by_role else 0 for r in (HELD, COUNTED, TUNING)}
     d = {r: by_role[r].d if r in by_role else 0 for r in (HELD, COUNTED, TUNING)}
     ranges = max(1, -(-sum(n.values()) // range_tokens))
-    totals = save(totalled(sent(blocks, ranges)), "totals")
+    totals = save(totalled(sent(blocks, ranges), ranges), "totals")
     release(docs.sparkSession)
     known = totals.where("block < 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    tuned = tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, "counted"), d[COUNTED], n[COUNTED], known)
-    mix = weights(tuned.toPandas())
+    cells = save(tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, "counted"), d[COUNTED]), "cells")
+    mix = settled(cells, weights(rounded(cells, n[COUNTED], known).toPandas()), n[COUNTED], known)
+    forget(cells)
     train = n[COUNTED] + n[TUNING]
     out = save(scores(beside(blocks, totals, "all"), mix, d[COUNTED] + d[TUNING], train, known), "scores")
     forget(blocks)
