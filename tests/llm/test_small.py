@@ -280,6 +280,27 @@ def test_top_k(spark, wide):
     assert topk.top_k(vectors.where("vec_id < 0"), vectors.where("vec_id < 0")).count() == 0
 
 
+def test_equal_vectors_that_cannot_rank_are_left_out():
+    v = np.array([[1, 2]] * 6 + [[3, 4]] * 2 + [[1, 2]] * 2)
+    ids = np.array([9, 5, 5, 5, 7, 8, 1, 1, 2, 5])
+    assert sorted(topk.distinct_enough(ids, v, 2).tolist()) == [1, 2, 4, 6, 7, 8]
+    assert sorted(topk.distinct_enough(ids, v[:, :0], 1).tolist()) == [6, 8]
+
+
+def test_a_hot_vector(spark):
+    """A third of all rows, and queries among them, hold one vector: few candidates, the same ranks."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [3.0, -2.0, 1.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(900)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got, read = topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, block_rows=300)
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    want = []
+    for q in range(0, 900, 50):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and read.count() < 18 * 60
+
+
 def test_few_exact_vectors_are_read(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)]

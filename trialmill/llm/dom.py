@@ -187,10 +187,11 @@ class Page(HTMLParser):
             return
         if tag in CLOSES_P and self.open[self.blocks[-1]][0] == "p":
             self.pop_to(self.blocks[-1])
-        wall = max((self.at[w][-1] for w in WALLS if self.at[w]), default=0)
-        inside = [self.at[name][k] for name in CLOSES.get(tag, ()) if (k := bisect_right(self.at[name], wall)) < len(self.at[name])]
-        if inside:
-            self.pop_to(min(inside))
+        if tag in CLOSES:
+            wall = max((self.at[w][-1] for w in WALLS if self.at[w]), default=0)
+            inside = [self.at[name][k] for name in CLOSES[tag] if (k := bisect_right(self.at[name], wall)) < len(self.at[name])]
+            if inside:
+                self.pop_to(min(inside))
         self.flush()
         if tag in VOID:
             return

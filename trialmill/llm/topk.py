@@ -39,10 +39,25 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).withColumn("d", F.size("v"))
 
 
-def approximated(vectors: DataFrame, bits: int, block_rows: int) -> DataFrame:
+def distinct_enough(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k best of any query: of rows with equal vectors those of the k + 1 least ids, k of each id."""
+    same = np.unique(np.ascontiguousarray(v).view(f"V{v.itemsize * v.shape[1]}").ravel(), return_inverse=True)[1].ravel() if v.shape[1] else np.zeros(len(v), int)
+    order = np.lexsort((ids, same))
+    same, ids = same[order], ids[order]
+    at = np.arange(len(order))
+    group = np.diff(same, prepend=-1) != 0
+    first = group | (np.diff(ids, prepend=ids[:1]) != 0)
+    number = np.cumsum(first)  # of the id, over all groups
+    start = np.maximum.accumulate(np.where(group, number, 0))
+    row = at - np.maximum.accumulate(np.where(first, at, 0))
+    return order[(number - start <= k) & (row < k)]
+
+
+def approximated(vectors: DataFrame, k: int, bits: int, block_rows: int) -> DataFrame:
     """(block, d, low, width, rows, ids, cells): the approximation file of vectors(row, vec_id, v, d), without a shuffle.
 
-    A block holds rows of one task and dimension. low and width (64-bit) are of
+    A block holds rows of one task and dimension, without those whose equals in it
+    go before them in any ranking. low and width (64-bit) are of
     each component, rows and ids (64-bit) and cells (one byte, row-major) of each row.
     """
 
@@ -52,6 +67,8 @@ def approximated(vectors: DataFrame, bits: int, block_rows: int) -> DataFrame:
         def block(d: int) -> pd.DataFrame:
             b = pd.concat(held.pop(d))
             v = np.stack(b.v).astype(np.int64).reshape(len(b), d)
+            some = distinct_enough(b.vec_id.to_numpy(np.int64), v, k)
+            b, v = b.iloc[some], v[some]
             low = v.min(axis=0)
             width = -(-(v.max(axis=0) - low + 1) // (1 << bits))
             cells = ((v - low) // width).astype(np.uint8)
@@ -95,7 +112,7 @@ def candidates(queries: np.ndarray, qid: np.ndarray, low: np.ndarray, width: np.
 
 def bounded(vectors: DataFrame, queries: DataFrame, k: int, bits: int, block_rows: int, query_rows: int) -> DataFrame:
     """(qrow, query_id, row, upper): the rows that can be among each query's k best; vectors and queries have a number for each row in `row`."""
-    file = save(approximated(vectors, bits, block_rows), "cells")
+    file = save(approximated(vectors, k, bits, block_rows), "cells")
     q_blocks = max(1, -(-queries.count() // query_rows))
     blocks = file.select(F.col("block").alias("b"), F.col("d").alias("_d"))  # two numbers for each block_rows rows
     blocks = F.broadcast(blocks) if blocks.count() <= 1_000_000 else blocks
