@@ -3,12 +3,13 @@
 `percentile` holds every distinct value of a group in one task. Here a sketch
 brackets each quantile's rank by two values; what lies between is counted by
 value, so that equal values are one row, and running counts over ranges of
-those rows find the values at the ranks. Four jobs, whatever the data.
+those rows find the values at the ranks. Four jobs, whatever the data; where no
+group has more values than a task may hold, a count and one window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch, write
@@ -17,16 +18,29 @@ from ..sources.store import scratch, write
 ACCURACY = 10_000
 
 
+def between(rank: Column) -> Column:
+    """The value at a rank, from 0, of rows (v, c, upto): values, how often each is there, and running counts. A fraction is interpolated."""
+    at = lambda r: F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("c")), F.col("v")))
+    low, high = at(F.floor(rank)), at(F.ceil(rank))
+    return low + (high - low) * F.max(rank - F.floor(rank))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], at_once: int = 200_000) -> DataFrame:
     """keys and a column for each of probs {name: p}: linear interpolation between the two nearest ranks.
 
-    Null and NaN values don't count; a group without values gives no row. A
-    group of at_once values or fewer is bracketed whole.
+    Null and NaN values don't count; a group without values gives no row.
+    at_once: values of a group that one task may hold.
     """
     spark = df.sparkSession
     own = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("_x"))
-    rows = write(rows.where(F.col("_x").isNotNull() & ~F.isnan("_x")), scratch(spark, "values"))
+    rows = rows.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if (rows.groupBy(*own).count().agg(F.max("count")).first()[0] or 0) <= at_once:
+        upto = F.sum("c").over(Window.partitionBy(*own).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        x = rows.groupBy(*own, F.col("_x").alias("v")).agg(F.count(F.lit(1)).alias("c")).select("*", upto.alias("upto"), F.sum("c").over(Window.partitionBy(*own)).alias("n"))
+        picked = x.groupBy(*own).agg(*[between(F.lit(float(p)) * (F.col("n") - 1)).alias(n) for n, p in probs.items()])
+        return picked.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], *probs)
+    rows = write(rows, scratch(spark, "values"))
 
     reach, names = 3 / ACCURACY, list(probs)
     edges = lambda sign: F.percentile_approx("_x", F.array(*[F.lit(min(max(p + sign * reach, 0.0), 1.0)) for p in probs.values()]), ACCURACY)
@@ -52,8 +66,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     for o in own:
         on = on & F.col(o).eqNullSafe(F.col(f"{o}_"))
     run = laid.withColumn("upto", F.sum("c").over(here)).join(starts, on).withColumn("upto", F.col("upto") + F.col("start"))
-    at = lambda r: F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("c")), F.col("v")))
-    low, high = at(F.floor("rank")), at(F.ceil("rank"))
-    found = run.groupBy(*by).agg(low.alias("low"), high.alias("high")).withColumn("_q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")))
+    found = run.groupBy(*by).agg(between(F.col("rank")).alias("_q"))
     out = found.groupBy(*own).agg(*[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in probs])
     return out.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], *probs)
