@@ -230,6 +230,14 @@ def test_phases_are_idempotent_and_need_parameters(spark, tmp_path):
     assert store.variant_tag("2B", 1.0) == "2B" and store.run_tag("2B", 0.2, "stage1", "svm") == "2B_0.2/stage1/svm"
 
 
+def test_scratch_is_cleared(spark):
+    path = store.scratch(spark, "x")
+    store.write(spark.range(3), path)
+    assert store.exists(spark, path)
+    store.clear_scratch(spark)
+    assert not store.exists(spark, path) and store.write(spark.range(3), store.scratch(spark, "x")).count() == 3
+
+
 def test_wide_text_is_read_as_arrays(spark, tmp_path):
     (tmp_path / "w.csv").write_text("label,B_0,B_1,A_0,A_1,sessionnum\n3,1,2,3,4,9\n-1,5,6,7,8,9\n")
     got = sorted((r.label, r.name, list(r.signal)) for r in wide.text_signals(spark, str(tmp_path / "w.csv")).collect())

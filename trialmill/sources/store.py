@@ -9,15 +9,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares; where it names none, in one of our own in a local session, and an error on a cluster."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, our own in a local session, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/trials-{uuid.uuid4().hex}/{name}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table that stands between steps, in the shared folder, under the application's id."""
+    return f"{shared_dir(spark)}/trialmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application. Results that aren't written elsewhere read them: call it when these are done with."""
+    delete(spark, f"{shared_dir(spark)}/trialmill-{spark.sparkContext.applicationId}")
 
 
 def write(df: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
