@@ -83,5 +83,5 @@ def test_a_very_long_text_passes_every_stage(spark, world):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(60)
     docs = docs.unionByName(spark.createDataFrame([(9000, long, "en", "s1", len(long))], DOCS))
     for name, stage in corpus_pipeline.STAGES:
-        if name in {"near_dedup", "tokens"}:
-            assert stage(spark, docs, path).where("doc_id = 9000").count() == 1, name
+        n = stage(spark, docs, path).where("doc_id = 9000").count()
+        assert n == 1 or name not in {"near_dedup", "tokens"}, name

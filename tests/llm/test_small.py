@@ -482,6 +482,12 @@ def test_language_id_learns_rare_languages(spark):
         assert sum(mine) / len(mine) > 0.95, code
 
 
+def test_too_many_languages_are_refused(spark):
+    table = spark.range(1100).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.fit(table)
+
+
 def test_mixing(spark, empty):
     rng = np.random.default_rng(10)
     rows = [(i, prose(rng, int(rng.integers(1, 30))), "en", f"s{i % 5}" if i % 3 else "s0", 1) for i in range(1500)]

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -14,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.store import delete
+from ..sources.store import scratch as new_path
+
 #: A word is a run of code points other than these six; Java, Python and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -22,25 +23,12 @@ WORDS = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Values that a sample may be dealt over.
+MOST_VALUES = 1000
 #: Bytes of text, about, that a task turns into Python objects at once. Spark bounds an Arrow batch by bytes already.
 AT_ONCE = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, our own in a local session, and an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trialmill-{uuid.uuid4().hex}/{name}"
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends, and no executor holds the only copy."""
     path = new_path(df.sparkSession, name)
@@ -60,9 +48,7 @@ def release(spark: SparkSession) -> None:
 
 def forget(df: DataFrame) -> None:
     """Deletes a table that save() wrote and that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+    delete(df.sparkSession, df.saved_at.rpartition("/")[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +77,12 @@ def sampled_by(df: DataFrame, key: str, by: str, rows: int, least: int, seed: in
 
     What small values leave goes to larger ones. A part is never below `least`,
     so that no value is left out where there are many: rows are then `least` for
-    each value at most. Rows are chosen by a hash of the key and the text.
+    each value at most. Rows are chosen by a hash of the key and the text. More
+    than MOST_VALUES values are an error: each would be learned.
     """
-    sizes = sorted((r["count"], r[by]) for r in df.groupBy(by).count().collect())  # a row for each value
+    sizes = sorted((r["count"], r[by]) for r in df.groupBy(by).count().limit(MOST_VALUES + 1).collect())
+    if len(sizes) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values of {by}")
     rates, left = {}, rows
     for i, (n, value) in enumerate(sizes):
         part = max(left // (len(sizes) - i), least)
