@@ -203,14 +203,14 @@ def mcd(stats: DataFrame, keys: tuple[str, str] = ("lang", "source"), keep_share
         elif i > 1:
             was = before.select(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(groups)], F.col("start").alias("_start"), F.col("logdet").alias("_was"))
             change = now.join(was, _same(groups, "_s") & (F.col("start") == F.col("_start"))).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
-            if change is None or change <= math.log1p(settled):
-                break
         forget(before)
+        if i > 1 and (change is None or change <= math.log1p(settled)):
+            break
     best = now.withColumn("_r", F.row_number().over(least)).where("_r = 1").select(*groups, "rows", "centre", "cov")
-    of = lambda i, name: F.struct("rows", "centre", "cov").alias(name)
-    common = best.where("_level = 0").select(of(0, "c0"))
-    wide = best.where("_level = 1").select(F.col("_k0").alias("_w"), of(1, "c1"))
-    own = best.where("_level = 2").select("_k0", "_k1", of(2, "c2")).join(wide, F.col("_k0").eqNullSafe(F.col("_w"))).crossJoin(F.broadcast(common))  # one row
+    estimate = F.struct("rows", "centre", "cov")
+    common = best.where("_level = 0").select(estimate.alias("c0"))
+    wide = best.where("_level = 1").select(F.col("_k0").alias("_w"), estimate.alias("c1"))
+    own = best.where("_level = 2").select("_k0", "_k1", estimate.alias("c2")).join(wide, F.col("_k0").eqNullSafe(F.col("_w"))).crossJoin(F.broadcast(common))  # one row
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
