@@ -400,39 +400,51 @@ def test_lm_scores_are_those_of_a_loop(spark):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = {i: [*WORD.findall((t or "").translate(low)), None] for i, t, *_ in rows}
     rest = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
+    grams = lambda ts: [(None if k == 0 else (["^", *ts][k - 1], ts[k - 1]), ["^", *ts][k], w) for k, w in enumerate(ts)]
 
     def counts(ids):
-        one, two, starts = Counter(), Counter(), 0
+        c = Counter()
         for i in ids:
-            starts += 1
-            for a, b in zip(["^", *texts[i]], texts[i]):
-                one[b] += 1
-                two[a, b] += 1
-        one["^"] = starts
-        return one, two
+            c["^",] += 1
+            for two, a, b in grams(texts[i]):
+                c.update([(b,), (a, b), *([(*two, b)] if two else [])])
+        return c, sum(n for g, n in c.items() if len(g) == 1 and g != ("^",))
+
+    def estimates(c, n, two, a, b):
+        return (c[a, b] / max(c[a,], 1), c[b,] / n, 1 / (v + 1)), c[(*two, b)] / max(c[two], 1) if two else 0.0
+
+    def learned(cells, start):
+        out = {}
+        for k, p in cells.items():
+            p, w = np.array(p), np.array([0.0, *start[1:]]) if k == 0 else np.array(start)
+            for _ in range(3000):
+                part = p * w
+                w = lm.mixed((part / part.sum(axis=1, keepdims=True)).sum(axis=0), len(p), k)
+            out[k] = w
+        return lambda k: out[max(j for j in out if j <= k)]
 
     v = len({w for i in texts if rest[i] != 1 for w in texts[i]})
-    one, two = counts([i for i in texts if rest[i] > 1])
-    n = sum(c for w, c in one.items() if w != "^")
     bucket = lambda c: 0 if c == 0 else int(math.log2(c)) + 1
-    chances = lambda a, b, one, two, n: (two[a, b] / max(one[a], 1), one[b] / n, 1 / (v + 1))
-    cells = {}
-    for i in texts:
-        if rest[i] == 0:
-            for a, b in zip(["^", *texts[i]], texts[i]):
-                cells.setdefault(bucket(one[a]), []).append(chances(a, b, one, two, n))
-    mix = {}
-    for k, p in cells.items():
-        p, w = np.array(p), np.array([0.0, 0.8, 0.2]) if k == 0 else np.array([0.4, 0.4, 0.2])
-        for _ in range(3000):
-            part = p * w
-            w = lm.mixed((part / part.sum(axis=1, keepdims=True)).sum(axis=0), len(p), k)
-        mix[k] = w
-    one, two = counts([i for i in texts if rest[i] != 1])
-    n = sum(c for w, c in one.items() if w != "^")
+    c, n = counts([i for i in texts if rest[i] > 1])
+    left_out = [g for i in texts if rest[i] == 0 for g in grams(texts[i])]
+    cells, more = {}, {}
+    for two, a, b in left_out:
+        cells.setdefault(bucket(c[a,]), []).append(estimates(c, n, two, a, b)[0])
+    mix = learned(cells, [0.4, 0.4, 0.2])
+    for two, a, b in left_out:
+        if two:
+            low3, high = estimates(c, n, two, a, b)
+            more.setdefault(bucket(c[two]), []).append((high, float(np.dot(mix(bucket(c[a,])), low3))))
+    lift = learned(more, [0.5, 1.0])
+    c, n = counts([i for i in texts if rest[i] != 1])
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, DOCS), block_tokens=400, range_tokens=300).collect()}
     for i, ts in texts.items():
-        want = sum(math.log10(np.dot(mix[max(k for k in mix if k <= bucket(one[a]))], chances(a, b, one, two, n))) for a, b in zip(["^", *ts], ts))
+        want = 0.0
+        for two, a, b in grams(ts):
+            low3, high = estimates(c, n, two, a, b)
+            p = float(np.dot(mix(bucket(c[a,])), low3))
+            w = lift(bucket(c[two]))[0] if two else 0.0
+            want += math.log10(w * high + (1 - w) * p)
         assert math.isclose(got[i], want, rel_tol=1e-2), i
 
 

@@ -1,7 +1,9 @@
 """Language-model scores by deleted interpolation.
 
-Bigram, unigram and uniform estimates are mixed; the weights depend on a
-bucket of the context's frequency (its binary logarithm) and are learned by
+Trigram, bigram, unigram and uniform estimates are mixed; the weights depend on
+buckets of the contexts' frequencies (their binary logarithms): one of the last
+word's for the lower three, and one of the last two words' for the trigram
+against these. They are learned by
 expectation-maximisation on a part of the training documents that is left
 out of the counts meanwhile. Its rounds go over the left-out tokens' own
 counts, in Spark; a start is found on rounded ones first.
@@ -10,7 +12,7 @@ Documents are tokenised once into blocks of some hundred thousand tokens, all
 of one role (held out, counted, or left out for the weights). A block's n-grams are counted
 before anything is shuffled, and travel as sorted arrays of 64-bit hashes with
 their counts, cut into key ranges; the totals come back in the same order, so
-their keys don't travel twice. A word that makes up most of the corpus is one
+their keys don't travel twice. Trigrams follow when the others are through. A word that makes up most of the corpus is one
 entry for each block. Hashes take the place of n-grams: among 10**9 distinct
 ones, a chance of about 3 % for one wrong count.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORDS, forget, release, save
@@ -117,39 +119,81 @@ class Grams:
     tokens: np.ndarray
     pair_of: np.ndarray  # of each token, its bigram's number
     context_of: np.ndarray  # of each bigram, its context's number; -1 at the start of a text
+    hashes: np.ndarray  # of each bigram
     keys: np.ndarray  # sorted
     order: np.ndarray  # of each sorted key: the unigram's number, or the bigram's number behind all of those
     size: int  # unigrams
 
     @classmethod
     def of(cls, tokens: np.ndarray, n_tokens: np.ndarray, words: np.ndarray) -> Grams:
-        starts = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
         before = np.concatenate([[-1], tokens[:-1]]).astype(np.int64)
-        before[starts] = -1
+        before[firsts(n_tokens)] = -1
         size = len(words)
         pairs, pair_of = np.unique((before + 1) * size + tokens, return_inverse=True)
         context, word = pairs // size - 1, pairs % size
-        left = np.where(context < 0, np.uint64(START), words[context])
-        mixed = (left * np.uint64(0x9E3779B97F4A7C15) ^ (words[word] + (left >> np.uint64(29)))) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        hashes = together(np.where(context < 0, np.uint64(START), words[context]), words[word])
         one = np.uint64(1)  # the last bit tells bigrams from unigrams
-        keys = np.concatenate([words & ~one, mixed | one])
+        keys = np.concatenate([words & ~one, hashes | one])
         order = np.argsort(keys, kind="stable")
-        return cls(tokens, pair_of, context, keys[order], order, size)
+        return cls(tokens, pair_of, context, hashes, keys[order], order, size)
 
     def counts(self) -> np.ndarray:
         own = np.concatenate([np.bincount(self.tokens, minlength=self.size), np.bincount(self.pair_of, minlength=len(self.context_of))])
         return own[self.order].astype(np.int32)
 
 
-def sent(blocks: DataFrame, ranges: int) -> DataFrame:
-    """(range, block, role, keys, counts): each block's n-grams, cut by key range."""
+def firsts(n_tokens: np.ndarray) -> np.ndarray:
+    """Where the texts of a block start."""
+    return np.concatenate([[0], np.cumsum(n_tokens)[:-1]]).astype(np.int64)
+
+
+def together(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash of two."""
+    mixed = (left * np.uint64(0x9E3779B97F4A7C15) ^ (right + (left >> np.uint64(29)))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    return mixed * np.uint64(0xD6E8FEB86659FD93)
+
+
+@dataclass
+class Triples:
+    """The trigrams of one block, as Grams has the shorter ones; the first token of a text has none."""
+
+    triple_of: np.ndarray  # of each token; -1 for none
+    context_of: np.ndarray  # of each trigram, its first two tokens' bigram
+    keys: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, g: Grams, n_tokens: np.ndarray, words: np.ndarray) -> Triples:
+        before = np.concatenate([[-1], g.pair_of[:-1]]).astype(np.int64)
+        before[firsts(n_tokens)] = -1
+        some = before >= 0
+        triples, found = np.unique(before[some] * g.size + g.tokens[some], return_inverse=True)
+        triple_of = np.full(len(before), -1, np.int64)
+        triple_of[some] = found
+        context, word = triples // g.size, triples % g.size
+        keys = together(g.hashes[context], words[word]) | np.uint64(1)
+        order = np.argsort(keys, kind="stable")
+        return cls(triple_of, context, keys[order], order)
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.triple_of[self.triple_of >= 0], minlength=len(self.context_of))[self.order].astype(np.int32)
+
+
+def read_block(row) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """The grams of a block, its texts' sizes and its words."""
+    sizes, words = np.asarray(row.n_tokens), unpack_sorted(row.words)
+    return Grams.of(unpack(row.tokens, "<i4"), sizes, words), sizes, words
+
+
+def sent(blocks: DataFrame, ranges: int, longest: int) -> DataFrame:
+    """(range, block, role, keys, counts): each block's n-grams, of one and two tokens or (longest = 3) of three, cut by key range."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                g = Grams.of(unpack(row.tokens, "<i4"), np.asarray(row.n_tokens), unpack_sorted(row.words))
+                g, sizes, words = read_block(row)
+                g = Triples.of(g, sizes, words) if longest == 3 else g
                 counts = g.counts()
                 where = (g.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
                 cuts = np.searchsorted(where, np.arange(ranges + 1, dtype="u8"))
@@ -162,7 +206,7 @@ def sent(blocks: DataFrame, ranges: int) -> DataFrame:
 
 
 def totalled(parts: DataFrame, ranges: int) -> DataFrame:
-    """(block, range, counted, all): totals over the counted and over all training documents, in the order in which a block sent its keys.
+    """(block, range, counted, all): totals over the counted (for blocks that are left out of them) and over all training documents, in the order in which a block sent its keys.
 
     A further row for each range, of block -1, has the number of distinct training tokens in `known`.
     """
@@ -180,7 +224,8 @@ def totalled(parts: DataFrame, ranges: int) -> DataFrame:
                     totals[0, at[a:z]] += n
         known = int(((totals[1] > 0) & (distinct % 2 == 0)).sum())
         out = [(-1, rows.range.iloc[0], b"", b"", known)]
-        out += [(block, rows.range.iloc[0], pack(totals[0, at[a:z]]), pack(totals[1, at[a:z]]), 0) for block, a, z in zip(rows.block, cuts, cuts[1:], strict=False)]
+        own = lambda i, a, z: pack(totals[i, at[a:z]])
+        out += [(block, rows.range.iloc[0], own(0, a, z) if role == TUNING else b"", own(1, a, z), 0) for block, role, a, z in zip(rows.block, rows.role, cuts, cuts[1:], strict=False)]
         return pd.DataFrame(out, columns=["block", "range", "counted", "all", "known"])
 
     # a partition for each range: a task's share doesn't grow with the corpus
@@ -188,19 +233,26 @@ def totalled(parts: DataFrame, ranges: int) -> DataFrame:
     return parts.repartition(n, "range").groupBy("range").applyInPandas(run, "block long, range int, counted binary, all binary, known long")
 
 
-def beside(blocks: DataFrame, totals: DataFrame, which: str) -> DataFrame:
-    """Each block with its pieces of one kind of totals, as many as it has key ranges."""
-    pieces = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", F.col(which).alias("n"))).alias("pieces"))
-    return blocks.join(pieces, "block")
+def beside(blocks: DataFrame, totals: DataFrame, triples: DataFrame, which: str) -> DataFrame:
+    """Each block with its pieces of one kind of totals, as many as it has key ranges; those of trigrams in `more`, null where it has none."""
+    pieces = lambda df, name: df.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", F.col(which).alias("n"))).alias(name))
+    return blocks.join(pieces(totals, "pieces"), "block").join(pieces(triples, "more"), "block", "left")
+
+
+def placed(pieces, order: np.ndarray) -> np.ndarray:
+    """Totals in the order of the n-grams' numbers."""
+    found = np.zeros(len(order), np.int64)
+    if len(order):
+        found[order] = np.concatenate([unpack(p["n"], "<i8") for p in sorted(pieces, key=lambda p: p["range"])])
+    return found
 
 
-def looked_up(row) -> tuple[Grams, np.ndarray, np.ndarray]:
-    """The grams of a block, and the totals of its unigrams and of its bigrams."""
-    g = Grams.of(unpack(row.tokens, "<i4"), np.asarray(row.n_tokens), unpack_sorted(row.words))
-    pieces = sorted(row.pieces, key=lambda p: p["range"])
-    found = np.empty(len(g.order), np.int64)
-    found[g.order] = np.concatenate([unpack(p["n"], "<i8") for p in pieces])
-    return g, found[: g.size], found[g.size :]
+def looked_up(row) -> tuple[Grams, Triples, np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of a block, and the totals of its unigrams, bigrams and trigrams."""
+    g, sizes, words = read_block(row)
+    t = Triples.of(g, sizes, words)
+    found = placed(row.pieces, g.order)
+    return g, t, found[: g.size], found[g.size :], placed(row.more, t.order)
 
 
 def bucket(n: np.ndarray) -> np.ndarray:
@@ -209,20 +261,25 @@ def bucket(n: np.ndarray) -> np.ndarray:
 
 
 def tuning_cells(joined: DataFrame, start_count: int) -> DataFrame:
-    """(bucket, context, pair, word, n): how many left-out tokens have which counts of their context, bigram and unigram."""
+    """(bucket, context, pair, word, more, two, triple, n): how many left-out tokens have which counts: of their last word, bigram and unigram, and of their last two words and trigram.
+
+    bucket and more are those of the two contexts; more is -1 where a token has no trigram.
+    """
+    names = ["bucket", "context", "pair", "word", "more", "two", "triple"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                g, ones, twos = looked_up(row)
-                context = np.where(g.context_of < 0, start_count, ones[g.context_of])
-                word = np.zeros(len(twos), np.int64)
-                word[g.pair_of] = g.tokens
-                cells = pd.DataFrame({"bucket": bucket(context), "context": context, "pair": twos, "word": ones[word], "n": np.bincount(g.pair_of, minlength=len(twos))})
-                yield cells.groupby(["bucket", "context", "pair", "word"], as_index=False).n.sum()
+                g, t, ones, twos, threes = looked_up(row)
+                context = np.where(g.context_of < 0, start_count, ones[g.context_of])[g.pair_of]
+                has, at = t.triple_of >= 0, np.maximum(t.triple_of, 0)
+                threes, of = np.append(threes, 0), np.append(t.context_of, 0)
+                two = np.where(has, twos[of[at]], 0)
+                cells = pd.DataFrame({"bucket": bucket(context), "context": context, "pair": twos[g.pair_of], "word": ones[g.tokens], "more": np.where(has, bucket(two), -1), "two": two, "triple": np.where(has, threes[at], 0)})
+                yield cells.groupby(names, as_index=False).size().rename(columns={"size": "n"})
 
-    cells = joined.mapInPandas(run, "bucket long, context long, pair long, word long, n long")
-    return cells.groupBy("bucket", "context", "pair", "word").agg(F.sum("n").alias("n"))
+    cells = joined.mapInPandas(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return cells.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def rounded(cells: DataFrame, n: int, v: int) -> DataFrame:
@@ -232,8 +289,17 @@ def rounded(cells: DataFrame, n: int, v: int) -> DataFrame:
     return cells.groupBy("bucket", power(two).alias("two"), power(one).alias("one")).agg(F.sum("n").alias("n"))
 
 
-def settled(cells: DataFrame, mix: np.ndarray, n: int, v: int, rounds: int = 36, close: float = 2e-4) -> np.ndarray:
-    """mix after further rounds of expectation-maximisation over all cells, until none changes a weight by more than `close`.
+def weight(mix: np.ndarray, bucket: str, i: int) -> Column:
+    return F.get(F.lit([float(x) for x in mix[:, i]]), F.col(bucket).cast("int"))
+
+
+def estimates(n: int, v: int) -> list[Column]:
+    """Of a row of tuning_cells(): the bigram, unigram and uniform estimates."""
+    return [F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(max(n, 1)), F.lit(1.0 / (v + 1))]
+
+
+def settled(cells: DataFrame, at: str, given: list[Column], mix: np.ndarray, rounds: int = 36, close: float = 2e-4) -> np.ndarray:
+    """mix, of a bucket `at` and estimates `given`, after further rounds of expectation-maximisation over all cells, until none changes a weight by more than `close`.
 
     A round is one aggregation; a row for each bucket comes to the driver.
     Every third round starts from where the two before it lead.
@@ -244,14 +310,12 @@ def settled(cells: DataFrame, mix: np.ndarray, n: int, v: int, rounds: int = 36,
         if len(path) == 3:
             path = [leap(*path)]
         now = path[-1]
-        w = F.get(F.lit([[float(x) for x in row] for row in now]), F.col("bucket").cast("int"))
-        parts = [F.get(w, F.lit(0)) * F.col("pair") / F.greatest("context", F.lit(1)), F.get(w, F.lit(1)) * F.col("word") / F.lit(max(n, 1)), F.get(w, F.lit(2)) / F.lit(float(v + 1))]
-        x = cells.select("bucket", "n", F.array(*parts).alias("p")).withColumn("all", F.col("p")[0] + F.col("p")[1] + F.col("p")[2])
-        sums = x.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] / F.col("all")).alias(f"s{i}") for i in range(3)]).collect()
+        x = cells.select(F.col(at).alias("b"), "n", F.array(*[weight(now, at, i) * e for i, e in enumerate(given)]).alias("p")).withColumn("all", sum((F.col("p")[i] for i in range(1, len(given))), F.col("p")[0]))
+        sums = x.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] / F.col("all")).alias(f"s{i}") for i in range(len(given))]).collect()
         new = now.copy()
         for r in sums:
-            seen.add(r.bucket)
-            new[r.bucket] = mixed(np.array([r.s0, r.s1, r.s2]), r.n, r.bucket)
+            seen.add(r.b)
+            new[r.b] = mixed(np.array([r[f"s{i}"] for i in range(len(given))]), r.n, r.b)
         path.append(new)
         if np.abs(new - now).max() <= close:
             break
@@ -273,8 +337,8 @@ def leap(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray
 
 
 def mixed(sums: np.ndarray, n: float, b: int) -> np.ndarray:
-    """Weights from expected counts, a thousandth of a count added to each; contexts never seen have no bigram weight."""
-    few = np.array([0.0 if b == 0 else 1e-3, 1e-3, 1e-3])
+    """Weights from expected counts, a thousandth of a count added to each; contexts never seen give their n-grams, which are the first, no weight."""
+    few = np.array([0.0 if b == 0 else 1e-3, *[1e-3] * (len(sums) - 1)])
     w = (sums + few) / (n + few.sum())
     return w / w.sum()
 
@@ -305,22 +369,26 @@ def weights(cells: pd.DataFrame, rounds: int = 150) -> np.ndarray:
     return out
 
 
-def scores(joined: DataFrame, mix: np.ndarray, start_count: int, n: int, v: int) -> DataFrame:
+def scores(joined: DataFrame, mix: np.ndarray, more: np.ndarray, start_count: int, n: int, v: int) -> DataFrame:
     """The contract's columns, a row for each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                g, ones, twos = looked_up(row)
+                g, t, ones, twos, threes = looked_up(row)
                 sizes = np.asarray(row.n_tokens)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 context = np.where(g.context_of < 0, start_count, ones[g.context_of])
                 word = np.zeros(len(twos), np.int64)
                 word[g.pair_of] = g.tokens
                 w = mix[bucket(context)]
-                p = w[:, 0] * twos / np.maximum(context, 1) + w[:, 1] * ones[word] / max(n, 1) + w[:, 2] / (v + 1)
+                p = (w[:, 0] * twos / np.maximum(context, 1) + w[:, 1] * ones[word] / max(n, 1) + w[:, 2] / (v + 1))[g.pair_of]
+                some = np.flatnonzero(t.triple_of >= 0)
+                two = twos[t.context_of]
+                high, estimate = more[bucket(two), 0], threes / np.maximum(two, 1)
+                at = t.triple_of[some]
+                p[some] = high[at] * estimate[at] + (1 - high[at]) * p[some]
                 base = np.log10((ones + 0.5) / (n + 0.5 * (v + 1)))
-                add = lambda x: np.add.reduceat(x, starts)
+                add = lambda x: np.add.reduceat(x, firsts(sizes))
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(row.doc_ids, "Int64"),
@@ -329,7 +397,7 @@ def scores(joined: DataFrame, mix: np.ndarray, start_count: int, n: int, v: int)
                         "n_known": add((ones[g.tokens] > 0).astype(np.int64)),
                         "train_tokens": n,
                         "base_score": add(base[g.tokens]),
-                        "score": add(np.log10(p)[g.pair_of]),
+                        "score": add(np.log10(p)),
                     }
                 )
 
@@ -351,14 +419,20 @@ def score(docs: DataFrame, block_tokens: int = BLOCK, range_tokens: int = RANGE)
     n = {r: by_role[r].n if r in by_role else 0 for r in (HELD, COUNTED, TUNING)}
     d = {r: by_role[r].d if r in by_role else 0 for r in (HELD, COUNTED, TUNING)}
     ranges = max(1, -(-sum(n.values()) // range_tokens))
-    totals = save(totalled(sent(blocks, ranges), ranges), "totals")
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    totals = save(totalled(sent(blocks, ranges, 2), ranges), "totals")
+    release(spark)
+    triples = save(totalled(sent(blocks, ranges, 3), ranges), "triples")
+    release(spark)
     known = totals.where("block < 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    cells = save(tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, "counted"), d[COUNTED]), "cells")
-    mix = settled(cells, weights(rounded(cells, n[COUNTED], known).toPandas()), n[COUNTED], known)
+    cells = save(tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, triples, "counted"), d[COUNTED]), "cells")
+    given = estimates(n[COUNTED], known)
+    mix = settled(cells, "bucket", given, weights(rounded(cells, n[COUNTED], known).toPandas()))
+    lower = sum((weight(mix, "bucket", i) * e for i, e in enumerate(given)), F.lit(0.0))
+    more = settled(cells.where("more >= 0"), "more", [F.col("triple") / F.greatest("two", F.lit(1)), lower], np.array([[0.0, 1.0], *[[0.5, 0.5]] * 63]))
     forget(cells)
     train = n[COUNTED] + n[TUNING]
-    out = save(scores(beside(blocks, totals, "all"), mix, d[COUNTED] + d[TUNING], train, known), "scores")
-    forget(blocks)
-    forget(totals)
+    out = save(scores(beside(blocks, totals, triples, "all"), mix, more, d[COUNTED] + d[TUNING], train, known), "scores")
+    for x in (blocks, totals, triples):
+        forget(x)
     return out
