@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -229,10 +230,9 @@ class Page(HTMLParser):
 
 def features(page: Page) -> np.ndarray:
     """A row of FEATURES for each node: sums over its subtree, its attributes, its place among siblings and below ancestors."""
-    n = len(page.nodes)
-    chars, own, linked, words, marks, digits, runs, size, links = (np.zeros(n) for _ in range(9))
-    start, end = np.full(n, np.inf), np.zeros(n)
-    at = 0
+    nodes, n, log = page.nodes, len(page.nodes), math.log1p
+    own, linked, words, marks, digits, runs = ([0] * n for _ in range(6))
+    start, end, at = [-1] * n, [0] * n, 0
     for node, text, in_link in page.runs:
         own[node] += len(text)
         linked[node] += in_link
@@ -240,34 +240,35 @@ def features(page: Page) -> np.ndarray:
         marks[node] += len(MARKS.findall(text))
         digits[node] += sum(map(str.isdigit, text))
         runs[node] += 1
-        start[node], end[node] = min(start[node], at), at + len(text)
+        start[node] = at if start[node] < 0 else start[node]
         at += len(text)
+        end[node] = at
     total = max(at, 1)
-    chars[:], size[:] = own, 1
-    for i, node in enumerate(page.nodes):
-        links[i] = node.links
+    chars, size, links = own[:], [1] * n, [node.links for node in nodes]
     for i in range(n - 1, 0, -1):  # children stand behind their parents
-        p = page.nodes[i].parent
+        p = nodes[i].parent
         for x in (chars, linked, words, marks, digits, runs, size, links):
             x[p] += x[i]
-        start[p], end[p] = min(start[p], start[i]), max(end[p], end[i])
-    start[np.isinf(start)] = total
-    density = chars / size
-    out = np.zeros((n, len(FEATURES)))
+        if start[i] >= 0:
+            start[p] = start[i] if start[p] < 0 else min(start[p], start[i])
+            end[p] = max(end[p], end[i])
+    density = [c / k for c, k in zip(chars, size, strict=True)]
+    tags = [Counter([nodes[c].tag for c in node.children]) for node in nodes]
+    bad, good = [len(node.words & BAD_WORDS) for node in nodes], [len(node.words & GOOD_WORDS) for node in nodes]
+    out = []
     above = [(0, 0, 0, 0)] * n  # nearest part, aside above, bad words above, good words above
-    tags = [Counter(page.nodes[c].tag for c in node.children) for node in page.nodes]
-    for i, node in enumerate(page.nodes):
-        p = node.parent
-        peers, place = (page.nodes[p].children, node.place) if p >= 0 else ([i], 0)
+    for i, node in enumerate(nodes):
+        p, tag = node.parent, node.tag
+        peers, place, same = [i], 0, 1.0
         if p >= 0:
-            part, aside, bad, good = above[p]
-            mine = page.nodes[p]
-            part = 1 if mine.tag in MAIN else -1 if mine.tag in ASIDE else part
-            above[i] = (part, aside or mine.tag in ASIDE, bad + len(mine.words & BAD_WORDS), good + len(mine.words & GOOD_WORDS))
-        same = tags[p][node.tag] / len(peers) if p >= 0 else 1
-        out[i] = [
-            node.depth, np.log1p(chars[i]), np.log1p(own[i]), linked[i] / max(chars[i], 1), density[i], marks[i] / max(words[i], 1), words[i] / max(runs[i], 1), chars[i] / total, start[i] / total, end[i] / total,
-            len(node.children), len(peers), place / len(peers), same, np.log1p(chars[peers[place - 1]]) if place else 0, np.log1p(chars[peers[place + 1]]) if place + 1 < len(peers) else 0, density[p] if p >= 0 else 0,
-            node.tag in TEXTUAL, node.tag in HEADINGS, node.tag == "li", node.tag in MAIN, node.tag in ASIDE, *above[i][:2], len(node.words & BAD_WORDS), len(node.words & GOOD_WORDS), *above[i][2:], digits[i] / max(chars[i], 1), links[i],
-        ]
-    return out
+            peers, place, name = nodes[p].children, node.place, nodes[p].tag
+            same = tags[p][tag] / len(peers)
+            part, aside, n_bad, n_good = above[p]
+            above[i] = (1 if name in MAIN else -1 if name in ASIDE else part, aside or name in ASIDE, n_bad + bad[p], n_good + good[p])
+        some = max(chars[i], 1)
+        out.append((
+            node.depth, log(chars[i]), log(own[i]), linked[i] / some, density[i], marks[i] / max(words[i], 1), words[i] / max(runs[i], 1), chars[i] / total, (start[i] if start[i] >= 0 else total) / total, end[i] / total,
+            len(node.children), len(peers), place / len(peers), same, log(chars[peers[place - 1]]) if place else 0, log(chars[peers[place + 1]]) if place + 1 < len(peers) else 0, density[p] if p >= 0 else 0,
+            tag in TEXTUAL, tag in HEADINGS, tag == "li", tag in MAIN, tag in ASIDE, *above[i][:2], bad[i], good[i], *above[i][2:], digits[i] / some, links[i],
+        ))
+    return np.array(out, dtype=float)
