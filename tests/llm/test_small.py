@@ -437,7 +437,7 @@ def test_lm_scores_are_those_of_a_loop(spark):
             more.setdefault(bucket(c[two]), []).append((high, float(np.dot(mix(bucket(c[a,])), low3))))
     lift = learned(more, [0.5, 1.0])
     c, n = counts([i for i in texts if rest[i] != 1])
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, DOCS), block_tokens=400, range_tokens=300).collect()}
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, DOCS), block_tokens=400, range_tokens=300, close=2e-4).collect()}
     for i, ts in texts.items():
         want = 0.0
         for two, a, b in grams(ts):

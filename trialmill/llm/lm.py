@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, forget, release, save
+from .common import LOWER, WORDS, forget, release, save, small_batches
 
 HELD, COUNTED, TUNING = 0, 1, 2
 BLOCK = 800_000
@@ -271,12 +271,24 @@ def tuning_cells(joined: DataFrame, start_count: int) -> DataFrame:
         for b in batches:
             for row in b.itertuples():
                 g, t, ones, twos, threes = looked_up(row)
-                context = np.where(g.context_of < 0, start_count, ones[g.context_of])[g.pair_of]
-                has, at = t.triple_of >= 0, np.maximum(t.triple_of, 0)
-                threes, of = np.append(threes, 0), np.append(t.context_of, 0)
-                two = np.where(has, twos[of[at]], 0)
-                cells = pd.DataFrame({"bucket": bucket(context), "context": context, "pair": twos[g.pair_of], "word": ones[g.tokens], "more": np.where(has, bucket(two), -1), "two": two, "triple": np.where(has, threes[at], 0)})
-                yield cells.groupby(names, as_index=False).size().rename(columns={"size": "n"})
+                # a row for each trigram, and for each bigram that starts a text; then for each tuple of counts
+                has = t.triple_of >= 0
+                pair = np.zeros(len(threes), np.int64)
+                pair[t.triple_of[has]] = g.pair_of[has]
+                first, times = np.unique(g.pair_of[~has], return_counts=True)
+                none = np.zeros(len(first), np.int64)
+                at, two, triple = np.concatenate([pair, first]), np.concatenate([twos[t.context_of], none]), np.concatenate([threes, none])
+                n = np.concatenate([np.bincount(t.triple_of[has], minlength=len(threes)), times])
+                word = np.zeros(len(twos), np.int64)
+                word[g.pair_of] = g.tokens
+                context = np.where(g.context_of < 0, start_count, ones[g.context_of])[at]
+                more = np.concatenate([bucket(twos[t.context_of]), none - 1])
+                columns = {"bucket": bucket(context), "context": context, "pair": twos[at], "word": ones[word[at]], "more": more, "two": two, "triple": triple}
+                key = np.zeros(len(at), "u8")
+                for c in columns.values():
+                    key = together(key, c.astype("u8"))
+                _, one, of = np.unique(key, return_index=True, return_inverse=True)
+                yield pd.DataFrame({c: x[one] for c, x in columns.items()} | {"n": np.bincount(of, weights=n).astype(np.int64)})
 
     cells = joined.mapInPandas(run, ", ".join(f"{c} long" for c in [*names, "n"]))
     return cells.groupBy(*names).agg(F.sum("n").alias("n"))
@@ -298,7 +310,7 @@ def estimates(n: int, v: int) -> list[Column]:
     return [F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(max(n, 1)), F.lit(1.0 / (v + 1))]
 
 
-def settled(cells: DataFrame, at: str, given: list[Column], mix: np.ndarray, rounds: int = 36, close: float = 2e-4) -> np.ndarray:
+def settled(cells: DataFrame, at: str, given: list[Column], mix: np.ndarray, close: float, rounds: int = 36) -> np.ndarray:
     """mix, of a bucket `at` and estimates `given`, after further rounds of expectation-maximisation over all cells, until none changes a weight by more than `close`.
 
     A round is one aggregation; a row for each bucket comes to the driver.
@@ -404,15 +416,27 @@ def scores(joined: DataFrame, mix: np.ndarray, more: np.ndarray, start_count: in
     return joined.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, block_tokens: int = BLOCK, range_tokens: int = RANGE) -> DataFrame:
+def score(docs: DataFrame, block_tokens: int = BLOCK, range_tokens: int = RANGE, close: float = 1e-3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs(doc_id, text).
 
     Learns from rows whose crc32(doc_id as text) mod 5 is not 1 (a null id
     counts as the empty text); of those, remainder 0 is left out of the counts
     while the weights are learned. Null texts count as empty: one end token.
     Repeated rows count as often as they stand. Without training rows both
-    scores are those of the uniform estimate.
+    scores are those of the uniform estimate. Weights are learned until a round changes
+    none by more than `close`. Blocks go to Python one or two at a time: the session's
+    Arrow batches are lowered meanwhile.
     """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name)
+    small_batches(docs.sparkSession)
+    try:
+        return _score(docs, block_tokens, range_tokens, close)
+    finally:
+        conf.set(name, before)
+
+
+def _score(docs: DataFrame, block_tokens: int, range_tokens: int, close: float) -> DataFrame:
     blocks = save(tokenised(docs, block_tokens), "blocks")
     tokens = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     by_role = {r.role: r for r in blocks.select("role", tokens.alias("n"), F.size("doc_ids").alias("d")).groupBy("role").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}
@@ -427,9 +451,9 @@ def score(docs: DataFrame, block_tokens: int = BLOCK, range_tokens: int = RANGE)
     known = totals.where("block < 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     cells = save(tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, triples, "counted"), d[COUNTED]), "cells")
     given = estimates(n[COUNTED], known)
-    mix = settled(cells, "bucket", given, weights(rounded(cells, n[COUNTED], known).toPandas()))
+    mix = settled(cells, "bucket", given, weights(rounded(cells, n[COUNTED], known).toPandas()), close)
     lower = sum((weight(mix, "bucket", i) * e for i, e in enumerate(given)), F.lit(0.0))
-    more = settled(cells.where("more >= 0"), "more", [F.col("triple") / F.greatest("two", F.lit(1)), lower], np.array([[0.0, 1.0], *[[0.5, 0.5]] * 63]))
+    more = settled(cells.where("more >= 0"), "more", [F.col("triple") / F.greatest("two", F.lit(1)), lower], np.array([[0.0, 1.0], *[[0.5, 0.5]] * 63]), close)
     forget(cells)
     train = n[COUNTED] + n[TUNING]
     out = save(scores(beside(blocks, totals, triples, "all"), mix, more, d[COUNTED] + d[TUNING], train, known), "scores")
