@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, htmlmain, langid, lm, mixing, quality_rules, simhash, topk, warc
+from . import bpe, cotrain, htmlmain, langid, lm, lzprint, mixing, negatives, quality_rules, simhash, topk, warc, whitening
 from .common import new_path, save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(warc.page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id_of("refers_to").alias("refers_to"))
 
 
+def op11_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.by_next(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = topk.integer_vectors(rows.withColumn("label", label), more=["label"])
+    return negatives.mine(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_text": op2_html_text,
@@ -77,9 +93,32 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_cotraining": op9_cotraining,
     "op10_warc": op10_warc,
+    "op11_lz_fingerprints": op11_lz_fingerprints,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS is_same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE is_same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+    SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+           CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT s.is_same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op10_warc": """
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

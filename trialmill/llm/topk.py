@@ -12,31 +12,43 @@ bounded size, and what crosses the network for them are cells, not vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, save
 
 #: Products of integers below this, summed over 4096 components, are exact in doubles.
 SAFE = 1 << 20
+#: Squared length of an integer vector, from which products may leave 63 bits.
+LONGEST = 9e18
 #: Bounds that a task holds at once.
 BOUNDS = 1 << 21
 
 
-def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v array<long>, d): floor(scale * x) of each component.
+def finite(vec_col: str) -> Column:
+    """Whether a vector holds neither nulls nor NaN nor infinite components."""
+    return F.forall(vec_col, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
 
-    Scores are exact while they fit in 63 bits. Without: null vectors, null ids,
-    and vectors that hold null or non-finite components. Rows that share an id all stay.
+
+def integers(vec_col: str, scale: int) -> Column:
+    """floor(scale * x) of each component, as long."""
+    return F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+
+
+def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, more: Sequence[str] = ()) -> DataFrame:
+    """(vec_id, v array<long>, d): floor(scale * x) of each component; and the columns `more` of df.
+
+    Without: null vectors, null ids, vectors that hold null or non-finite
+    components, and vectors whose integers' squares sum to LONGEST or more. The inner product of
+    two that stay is below 2**63, and so is every partial sum, so scores are exact. Rows that share an id all stay.
     """
-    fine = F.forall(vec_col, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
-    ints = F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
-    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & fine)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).withColumn("d", F.size("v"))
+    short = F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) * F.lit(float(scale) ** 2) < F.lit(LONGEST)
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & finite(vec_col)).where(short)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(vec_col, scale).alias("v"), *more).withColumn("d", F.size("v"))
 
 
 def distinct_enough(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
@@ -85,17 +97,24 @@ def approximated(vectors: DataFrame, k: int, bits: int, block_rows: int) -> Data
     return vectors.mapInPandas(run, "block long, d int, low binary, width binary, rows binary, ids binary, cells binary")
 
 
+def within(x: np.ndarray) -> np.ndarray:
+    """Whole doubles as 64-bit integers, those beyond as the outermost; no score lies there."""
+    return np.clip(x, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+
+
 def candidates(queries: np.ndarray, qid: np.ndarray, low: np.ndarray, width: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(query, rows, highest, lowest possible scores) of one block: every row that can be among the query's k best of the block, its own id left out.
 
-    With values beyond SAFE, sums are of 64-bit integers: exact while scores are.
+    With values beyond SAFE, bounds are wider by what doubles may be off.
     """
-    exact = max(np.abs(queries).max(initial=0), np.abs(low).max(initial=0), np.abs(low + width * 256).max(initial=0)) < SAFE
-    kind = np.float64 if exact else np.int64
-    q = queries.astype(kind)
-    edges = (cells.astype(np.int64) * width + low).astype(kind)
-    rise = q * (width - 1).astype(kind)
+    exact = max(np.abs(queries).max(initial=0), np.abs(low).max(initial=0), np.abs(low + width * 256.0).max(initial=0)) < SAFE
+    q = queries.astype(np.float64)
+    edges = cells.astype(np.float64) * width + low
+    rise = q * (width - 1.0)
     above, below = np.maximum(rise, 0).sum(axis=1), np.minimum(rise, 0).sum(axis=1)
+    if not exact:
+        off = 1 + 1e-13 * (np.abs(q) @ (np.abs(low) + 512.0 * width))
+        above, below = above + off, below - off
     step = max(1, BOUNDS // max(len(ids), 1))
     for at in range(0, len(qid), step):
         base = q[at : at + step] @ edges.T
@@ -107,7 +126,7 @@ def candidates(queries: np.ndarray, qid: np.ndarray, low: np.ndarray, width: np.
                 kth = np.partition(score, len(rows) - k)[len(rows) - k]
                 few = score + above[at + i] >= kth + below[at + i]
                 rows, score = rows[few], score[few]
-            yield at + i, rows, (score + above[at + i]).astype(np.int64), (score + below[at + i]).astype(np.int64)
+            yield at + i, rows, within(score + above[at + i]), within(score + below[at + i])
 
 
 def bounded(vectors: DataFrame, queries: DataFrame, k: int, bits: int, block_rows: int, query_rows: int) -> DataFrame:
