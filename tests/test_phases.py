@@ -1,16 +1,18 @@
 """Whole runs and streams on small made signals."""
 
 import os
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialmill.operators import acquire, artifacts, evaluate, features, models, profile
+from trialmill.operators import acquire, artifacts, evaluate, features, models
 from trialmill.plans import phases
 from trialmill.sources import store
-from trialmill.streaming import stream
+from trialmill.streaming import pairing, stream
 
+START = datetime(2024, 1, 1)
 BANDS = (("low", 0.0, 40.0), ("high", 40.0, 125.0))
 
 
@@ -68,29 +70,78 @@ def write_rows(spark, path, rows):
     spark.createDataFrame(rows, "seq long, label int, sessionnum long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from datetime import datetime, timedelta
+SCHEMA = "seq long, label int, sessionnum long, ts timestamp"
+
+
+def in_order(rows):
+    """(kind, seq, blank_seq) of every digit, by the loop."""
+    out, pending = [], None
+    for seq, label, *_ in rows:
+        if label == -1:
+            pending = seq
+        else:
+            out.append(("unpaired", seq, None) if pending is None else ("pair", seq, pending))
+            pending = None
+    return out
 
-    start = datetime(2024, 1, 1)
-    labels = np.random.default_rng(2).choice([-1, 0, 1], 60).tolist()
-    rows = [(i, x, 1, start + timedelta(minutes=i)) for i, x in enumerate(labels)]
-    path = str(tmp_path / "in")
-    write_rows(spark, path, rows[:30])
-    write_rows(spark, path, rows[30:])
-    table = spark.read.parquet(path)
-    read = lambda: stream.read_rows(spark, path, "seq long, label int, sessionnum long, ts timestamp", 1)
-    want = sorted((r.seq, r.blank_seq) for r in acquire.paired(table).collect())
-    assert sorted((r.seq, r.blank_seq) for r in stream.drain(stream.pairs(read()), "p").collect()) == want
-    by = stream.drain_capped(stream.pairs(read()), 4).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-    assert {r.label: r.n for r in by} == {x: min(4, sum(1 for s, _ in want if labels[s] == x)) for x in (0, 1)}
 
+def told(df):
+    return sorted(((r.kind, r.seq, r.blank_seq) for r in df.collect()), key=str)
 
-def test_rows_apart_in_time_do_not_pair(spark, tmp_path):
-    from datetime import datetime
 
+def made_rows(n, seed, sessions=1, step=timedelta(minutes=1)):
+    rng = np.random.default_rng(seed)
+    return [(i, int(x), int(s), START + i * step) for i, (x, s) in enumerate(zip(rng.choice([-1, 0, 1], n), rng.integers(0, sessions, n)))]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Rows in any order, days apart, over two runs from one checkpoint."""
+    rows = made_rows(60, 2, step=timedelta(days=3))
+    mixed = [rows[i] for i in np.random.default_rng(3).permutation(60)]
+    path, at = str(tmp_path / "in"), str(tmp_path / "out")
+    read = lambda n=1: stream.read_rows(spark, path, SCHEMA, n)
+    for part in (mixed[:20], mixed[20:40]):
+        write_rows(spark, path, part)
+    first = stream.drain(pairing.by_place(read(), places=16), "p", at).count()
+    write_rows(spark, path, mixed[40:])
+    all_rows = stream.drain(pairing.by_place(read(), places=16), "p", at)
+    assert told(all_rows) == sorted(in_order(rows), key=str) and 0 < first < all_rows.count()
+    want = sorted((r.seq, r.blank_seq) for r in acquire.paired(spark.read.parquet(path)).collect())
+    assert sorted((r.seq, r.blank_seq) for r in pairing.pairs(all_rows).collect()) == want
+    assert sorted(r.seq for r in pairing.unpaired(all_rows).collect()) == sorted(r.seq for r in acquire.unpaired(spark.read.parquet(path)).collect())
+    by = stream.drain_capped(pairing.pairs(pairing.by_place(read(), places=16)), 4).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.label: r.n for r in by} == {x: min(4, sum(1 for s, _ in want if rows[s][1] == x)) for x in (0, 1)}
+
+
+def test_sessions_keep_one_row_of_state(spark, tmp_path):
+    """Gaps in seq, sessions side by side, a batch that comes too late; state is a row for each session."""
+    rows = [(2 * i + i // 7, *r[1:]) for i, r in enumerate(made_rows(90, 5, 3))]
+    held = [r for r in rows[:40] if r[0] % 5 == 0]
+    path, at = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([r for r in rows[:50] if r not in held][::-1], rows[50:], held):
+        write_rows(spark, path, part)
+        got = stream.drain(pairing.by_session(stream.read_rows(spark, path, SCHEMA)), "s", at)
+    want = [x for s in range(3) for x in in_order([r for r in rows if r[2] == s and r not in held])] + [("late", r[0], None) for r in held if r[1] != -1]
+    assert told(got) == sorted(want, key=str) and {r.kind for r in got.select("kind").distinct().collect()} == {"pair", "unpaired", "late"}
+    in_time = spark.createDataFrame([r for r in rows if r not in held], SCHEMA)
+    assert sorted(r.seq for r in pairing.pairs(got).collect()) == sorted(r.seq for r in acquire.paired(in_time, ["sessionnum"]).collect())
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{at}-state")
+    assert state.count() == 3
+
+
+def test_a_capped_stream_ends_when_classes_are_full(spark, tmp_path):
+    rows = made_rows(120, 7)
     path = str(tmp_path / "in")
-    write_rows(spark, path, [(0, -1, 1, datetime(2024, 1, 1)), (1, 5, 1, datetime(2024, 1, 3)), (2, -1, 1, datetime(2024, 1, 3)), (3, 5, 1, datetime(2024, 1, 3, 0, 5))])
-    assert profile.widest_step(spark.read.parquet(path)) == 2 * 86400
-    rows = stream.read_rows(spark, path, "seq long, label int, sessionnum long, ts timestamp")
-    assert sorted(r.seq for r in stream.drain(stream.pairs(rows, "49 hours"), "all").collect()) == [1, 3]
-    assert [r.seq for r in stream.drain(stream.pairs(rows), "late").collect()] == [3]
+    for i in range(0, 120, 20):
+        write_rows(spark, path, rows[i : i + 20])
+    arriving = lambda: pairing.pairs(pairing.by_place(stream.read_rows(spark, path, SCHEMA, 1)))
+    pairs = acquire.paired(spark.read.parquet(path))
+    for cap in (3, 6):
+        at = str(tmp_path / f"out{cap}")
+        got = sorted(r.seq for r in stream.drain_capped(arriving(), cap, classes=[0, 1], at=at).collect())
+        want = acquire.capped(pairs, cap)
+        assert got == sorted(r.seq for r in want.collect())
+        stop = acquire.stop_position(want, [0, 1], cap).first().stop_seq
+        read = [n for n in os.listdir(at) if n.startswith("batch=")]
+        assert len(read) == stop // 20 + 1 < 6
+    assert stream.drain_capped(arriving(), 1000, classes=[0, 1]).count() == pairs.count()

@@ -9,7 +9,7 @@ from trialmill.functions.quantiles import exact_quantiles
 from trialmill.functions.ranks import places, with_previous
 from trialmill.operators import acquire, artifacts, evaluate, features, models, permute, robust, spectral, split
 from trialmill.plans import phases, queries
-from trialmill.sources import store, wide
+from trialmill.sources import order, store, wide
 
 
 def paired_by_loop(labels, cap):
@@ -35,6 +35,46 @@ def test_pairs_equal_a_loop(spark):
     assert len(pool) == 2 * got.count() and all(pool[2 * k][0] == pool[2 * k + 1][0] + 1 for k in range(len(pool) // 2))
 
 
+def test_pairs_go_by_order_over_gaps(spark):
+    """Any step between rows, and few rows to a range: nothing is lost."""
+    rows = spark.createDataFrame([(0, -1), (2, 7), (3, -1), (4, 8)], "seq long, label int")
+    assert sorted((r.seq, r.blank_seq) for r in acquire.paired(rows).collect()) == [(2, 0), (4, 3)]
+    rng = np.random.default_rng(5)
+    seqs = np.cumsum(rng.integers(1, 9, 400)).tolist()
+    labels = rng.choice([-1, -1, 0, 1, 2], 400).tolist()
+    rows = spark.createDataFrame([(s, x, i % 5) for i, (s, x) in enumerate(zip(seqs, labels))], "seq long, label int, sessionnum int").repartition(6)
+    want = [(seqs[d], seqs[b]) for d, b in paired_by_loop(labels, 1000)]
+    assert sorted((r.seq, r.blank_seq) for r in acquire.paired(rows).collect()) == want
+    assert {r.seq for r in acquire.unpaired(rows).collect()} == {s for s, x in zip(seqs, labels) if x != -1} - {d for d, _ in want}
+    by = sorted((r.seq, r.blank_seq) for r in acquire.paired(rows, ["sessionnum"]).collect())
+    assert by == sorted((seqs[5 * d + k], seqs[5 * b + k]) for k in range(5) for d, b in paired_by_loop(labels[k::5], 1000))
+
+
+def test_pairs_of_rows_that_share_a_seq(spark):
+    """Rows that tie come in one order, whatever it is: each digit is paired or not, and a blank serves once."""
+    rng = np.random.default_rng(6)
+    data = [(int(s), int(x), i) for i, (s, x) in enumerate(zip(rng.integers(0, 40, 300), rng.choice([-1, 0, 1], 300)))]
+    rows = spark.createDataFrame(data, "seq long, label int, id int")
+    got, rest = acquire.paired(rows.repartition(3)).collect(), acquire.unpaired(rows.repartition(7)).collect()
+    assert sorted([r.id for r in got] + [r.id for r in rest]) == [i for _, x, i in data if x != -1]
+    blanks = [s for s, x, _ in data if x == -1]
+    for s in set(r.blank_seq for r in got):
+        assert sum(r.blank_seq == s for r in got) <= blanks.count(s)
+
+
+def test_rows_are_numbered_in_order_of_files(spark, tmp_path):
+    path = str(tmp_path / "files")
+    for n in (30, 0, 1, 77, 12):
+        spark.range(n).select((F.col("id") * 3).alias("v"), F.lit("clash").alias("seq")).coalesce(1).write.mode("append").parquet(path)
+    got = order.in_file_order(spark, path).collect()
+    assert sorted(r.seq for r in got) == list(range(120))
+    by_file = sorted((r.f, r.i, r.v) for r in spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"), "v").collect())
+    assert [r.v for r in sorted(got, key=lambda r: r.seq)] == [v for _, _, v in by_file]
+    again = order.in_given_order(spark.range(100).repartition(7), "n").collect()
+    assert sorted(r.n for r in again) == list(range(100))
+    assert order.in_given_order(spark.range(0), "n").count() == 0
+
+
 def test_pairs_of_no_rows_and_full_class(spark):
     rows = spark.createDataFrame([], "seq long, label int")
     assert acquire.acquire(rows, 5).count() == 0
@@ -86,7 +126,7 @@ def test_places_are_ranks(spark):
 
 def test_rows_before_are_those_of_a_sort(spark):
     rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
-    got = with_previous(rows, ["k"], "v", "v", "before").collect()
+    got = with_previous(rows, ["k"], ["v"], {"before": "v"}).collect()
     for k in (None, 1, 2):
         mine = sorted((r.v, r.before) for r in got if r.k == k)
         assert [b for _, b in mine] == [None, *[v for v, _ in mine[:-1]]]

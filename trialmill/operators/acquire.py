@@ -1,11 +1,14 @@
 """Balanced acquisition from an ordered stream of labelled rows: seq, label (-1 is a blank), and what else they carry.
 
-Sequence numbers are dense, so "the row before" is an equi-join that any number
-of executors can share; a window over the whole stream would need one.
+"The row before" is that in order of seq, which may have gaps; rows are dealt by range
+to find it, as a window over the whole stream would need one task. sources/order.py numbers
+rows of files that carry no order of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +21,23 @@ def scan_guard(rows: DataFrame, target_per_class: int | None, multiplier: int =
     return rows.where(F.col("seq") < most)
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    """Each digit row whose predecessor is a blank, with that blank's seq. Any digit row uses up the blank before it."""
-    blanks = rows.where("label = -1").select((F.col("seq") + 1).alias("_next"), F.col("seq").alias("blank_seq"))
-    digits = rows.where("label <> -1")
-    return digits.join(blanks, F.col("seq") == F.col("_next")).drop("_next")
+def preceded(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """rows with the label and seq of the row before, in label_before and seq_before: over the whole stream, or within the keys `by`."""
+    return with_previous(rows, list(by), ["seq"], {"label_before": "label", "seq_before": "seq"})
+
+
+def paired(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each digit row that comes right after a blank, with that blank's seq in blank_seq. Any digit row uses up the blank before it.
+
+    All columns are written once on the way: give those that are needed. Rows
+    that share a seq come in order of a hash.
+    """
+    return preceded(rows, by).where("label <> -1 AND label_before = -1").drop("label_before").withColumnRenamed("seq_before", "blank_seq")
 
 
-def unpaired(rows: DataFrame) -> DataFrame:
+def unpaired(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Digit rows that have no blank right before them."""
-    blanks = rows.where("label = -1").select((F.col("seq") + 1).alias("seq"))
-    return rows.where("label <> -1").join(blanks, "seq", "left_anti")
+    return preceded(rows, by).where("label <> -1 AND coalesce(label_before, 0) <> -1").drop("label_before", "seq_before")
 
 
 def capped(pairs: DataFrame, cap: int | None) -> DataFrame:
@@ -66,7 +75,7 @@ def pool_order(pairs: DataFrame) -> DataFrame:
 
 def previous_label(rows: DataFrame) -> DataFrame:
     """Each row with the label before it in its session; null for the first."""
-    return with_previous(rows.select("seq", "sessionnum", "label"), ["sessionnum"], "seq", "label", "prev_label").select("seq", "sessionnum", "label", "prev_label")
+    return with_previous(rows.select("seq", "sessionnum", "label"), ["sessionnum"], ["seq"], {"prev_label": "label"}).select("seq", "sessionnum", "label", "prev_label")
 
 
 def alternation(rows: DataFrame) -> DataFrame:
@@ -84,4 +93,4 @@ def with_binary(rows: DataFrame) -> DataFrame:
 def acquire(rows: DataFrame, cap: int | None, multiplier: int = 5, guard: bool = False) -> DataFrame:
     """The whole phase: scan, pair, cap, put in writing order, label."""
     rows = scan_guard(rows, cap, multiplier) if guard else rows
-    return with_binary(pool_order(capped(paired(rows), cap)))
+    return with_binary(pool_order(capped(paired(rows.select("seq", "label")), cap)))

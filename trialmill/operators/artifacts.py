@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import abs_max, jumps, moments
-from ..functions.quantiles import exact_quantiles
+from ..functions.radix import of_columns, quantiles
 
 CRITERIA = ("amplitude", "jump", "kurtosis", "flatline")
 CONCERN = 3
@@ -27,11 +27,12 @@ def metrics(signals: DataFrame) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, high: float = 0.995, low: float = 0.005) -> DataFrame:
-    """One row: exact quantiles over all trials and channels of the training data, all in one run; undefined kurtosis doesn't count."""
-    wanted = {"amplitude": ("amplitude", "high"), "jump": ("jump", "high"), "kurtosis": ("kurtosis", "high"), "flatline": ("std", "low")}
-    long = measured.select(F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(c).alias("x")) for n, (c, _) in wanted.items()])).alias("m")).select("m.*")
-    found = exact_quantiles(long, ["criterion"], "x", {"high": high, "low": low})
-    return found.agg(*[F.max(F.when(F.col("criterion") == n, F.col(end))).alias(n) for n, (_, end) in wanted.items()])
+    """One row: exact quantiles over all trials and channels of the training data, counted in passes over the four columns at once; undefined kurtosis doesn't count. Null without any."""
+    of = {"amplitude": ("amplitude", "high"), "jump": ("jump", "high"), "kurtosis": ("kurtosis", "high"), "flatline": ("std", "low")}
+    columns = [c for c, _ in of.values()]
+    found = quantiles(measured.select(*columns), of_columns(columns), {"high": high, "low": low})
+    row = [found.get(c, {}).get(end) for c, end in of.values()]
+    return measured.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in of))
 
 
 def flags(measured: DataFrame, limits: DataFrame) -> DataFrame:

@@ -111,6 +111,76 @@ def lda(train: DataFrame, d: int, ridge: float = 1e-6) -> dict[str, list[float]]
     return {"labels": [float(y) for y in labels], "weights": weights.ravel().tolist(), "offsets": offsets}
 
 
+def class_sums(rows: DataFrame, labels: list[int], runs: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows(ys array of labels, one for each run; x): the sum of x x', the sums of x by run and class, and the rows of each.
+
+    x x' doesn't depend on labels: it is made once for all runs. A task sends d vectors and one for each run and class.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square, sums, n = np.zeros((d, d)), np.zeros((len(labels), runs, d)), np.zeros((len(labels), runs), np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            x, ys = np.stack(b["x"]), np.stack(b["ys"])
+            square += x.T @ x
+            for c, label in enumerate(labels):
+                own = (ys == label).astype(np.float64)
+                sums[c] += own.T @ x
+                n[c] += own.sum(axis=0).astype(np.int64)
+        for at in range(0, d, 256):
+            yield pd.DataFrame({"c": -1, "i": range(at, min(at + 256, d)), "n": 0, "v": list(square[at : at + 256])})
+        for c in range(len(labels)):
+            yield pd.DataFrame({"c": c, "i": range(runs), "n": n[c], "v": list(sums[c])})
+
+    parts = rows.mapInPandas(run, "c int, i int, n long, v array<double>").withColumn("v", array_to_vector("v"))
+    found = parts.groupBy("c", "i").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(F.col("v"))).alias("v")).toPandas().sort_values(["c", "i"])
+    of = lambda c: found[found.c == c]
+    return np.stack(of(-1).v), np.stack([np.stack(of(c).v) for c in range(len(labels))]), np.stack([of(c).n for c in range(len(labels))])
+
+
+def discriminants(square: np.ndarray, sums: np.ndarray, n: np.ndarray, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (run, class, d) and offsets (run, class) of a linear discriminant for each run.
+
+    A run's pooled covariance is that of all rows about zero less a few class means' products,
+    so one decomposition serves all runs, and each solves a system as small as its classes are many.
+    """
+    d, total = len(square), int(n[:, 0].sum())
+    level, turn = np.linalg.eigh(square / total)
+    weights, offsets = [], []
+    for r in range(n.shape[1]):
+        some = n[:, r] > 0
+        means = np.where(some[:, None], sums[:, r] / np.maximum(n[:, r], 1)[:, None], 0)
+        share = n[:, r] / total
+        lift = (turn.T @ means.T) * np.sqrt(share)  # in the turned frame: what is taken off is lift lift'
+        trace = level.sum() - np.square(lift).sum()
+        inverse = 1 / (level + ridge * max(trace / d, 1e-12))
+        thin = lift * inverse[:, None]
+        right = turn.T @ means.T
+        w = inverse[:, None] * right + thin @ np.linalg.solve(np.eye(len(means)) - lift.T @ thin, thin.T @ right)
+        w = (turn @ w).T
+        weights.append(w)
+        offsets.append(np.where(some, -0.5 * (w * means).sum(axis=1) + np.log(np.maximum(share, 1e-300)), -np.inf))
+    return np.stack(weights), np.stack(offsets)
+
+
+def lda_hits(rows: DataFrame, weights: np.ndarray, offsets: np.ndarray, labels: list[int]) -> DataFrame:
+    """perm, accuracy of each run's discriminant on rows(y, x); ties go to the least label. The weights, runs by classes by features, go to every task."""
+    runs, classes, d = weights.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits, n = np.zeros(runs, np.int64), 0
+        for b in batches:
+            if len(b):
+                score = (np.stack(b["x"]) @ weights.reshape(-1, d).T).reshape(len(b), runs, classes) + offsets
+                hits += (np.asarray(labels)[score.argmax(axis=2)] == b["y"].to_numpy()[:, None]).sum(axis=0)
+                n += len(b)
+        yield pd.DataFrame({"perm": range(runs), "hits": hits, "n": n})
+
+    found = rows.mapInPandas(run, "perm int, hits long, n long").groupBy("perm")
+    return found.agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
+
+
 def estimator(name: str, seed: int = 42, classes: int = 2) -> Estimator:
     """The Spark estimator of a name; svm is linear, svm_cheap its short form for shuffled runs. Trees grow to Spark's greatest depth."""
     if name in ("svm", "svm_rbf", "svm_cheap"):

@@ -44,17 +44,10 @@ def head_sample(rows: DataFrame, n: int) -> DataFrame:
 
 def order_audit(rows: DataFrame) -> DataFrame:
     """Of each block, how many rows have an earlier time than the row before them."""
-    x = with_previous(rows.select("sessionnum", "block", "seq", "ts"), ["sessionnum", "block"], "seq", "ts", "_before")
+    x = with_previous(rows.select("sessionnum", "block", "seq", "ts"), ["sessionnum", "block"], ["seq"], {"_before": "ts"})
     return x.withColumn("_back", F.col("ts") < F.col("_before")).groupBy("sessionnum", "block").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_back").alias("n_inversions"))
 
 
-def widest_step(rows: DataFrame) -> int:
-    """The most whole seconds, rounded up, between a row and the one after it."""
-    after = rows.select((F.col("seq") - 1).alias("_seq"), F.col("ts").alias("_ts"))
-    gap = F.abs(F.unix_micros("_ts") - F.unix_micros("ts"))
-    return -(-(rows.join(after, F.col("seq") == F.col("_seq")).agg(F.max(gap)).first()[0] or 0) // 1_000_000)
-
-
 def column_roles(unpivoted: DataFrame, columns: list[str]) -> DataFrame:
     """How many columns and values each role has; roles follow from names alone."""
     roles = unpivoted.sparkSession.createDataFrame([(c, role_of(c)) for c in columns], "column string, role string")

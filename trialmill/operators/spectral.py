@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import not_finite
 from ..functions.batches import map_signals
-from ..functions.design import butterworth_bandpass, matrix, notch as notch_sections
+from ..functions.design import Recursion, butterworth_bandpass, notch as notch_sections
 
 FS, SEGMENT = 250.0, 128
 #: Name and inclusive edges in Hz, in the order of the features.
@@ -82,20 +82,19 @@ def cutoff_audit(difference: DataFrame, cutoff: float) -> DataFrame:
 
 
 def _filtered(signals: DataFrame, sections: np.ndarray, pad: int) -> DataFrame:
-    made: dict[int, np.ndarray] = {}  # a worker's matrix for each length
+    made: list[Recursion] = []  # a worker's own, made once
 
     def apply(x: np.ndarray) -> np.ndarray:
-        n = x.shape[1]
-        if n not in made:
-            made[n] = matrix(sections, n, pad).T.copy()
-        return x @ made[n]
+        if not made:
+            made.append(Recursion(sections))
+        return made[0].zero_phase(x, pad)
 
     keep = [c for c in signals.columns if c != "signal"]
     return map_signals(signals, apply, "signal", keep)
 
 
 def bandpass(signals: DataFrame, low: float = 1.0, high: float = 40.0, order: int = 4, fs: float = FS) -> DataFrame:
-    """Zero-phase band-pass of every signal: one matrix product for each batch. Raises on signals of 27 samples or fewer."""
+    """Zero-phase band-pass of every signal, of any length: a few matrix products for each batch. Raises on signals of 27 samples or fewer."""
     return _filtered(signals, butterworth_bandpass(order, low, high, fs), 27)
 
 

@@ -87,7 +87,8 @@ def shuffled_label_test(data: DataFrame, name: str, seed: int = 42, permutations
     quick = "svm_cheap" if name.startswith("svm") else name
     some = data.select("trial_id", "split", "y", "features")
     train, val = some.where("split = 'train'").drop("split"), some.where("split = 'val'").drop("split")
-    runs = permute.model_runs(lambda t: models.fit(quick, t, seed), train if rows is None else permute.subsample(train, rows, seed), val, permutations, seed)
+    train = train if rows is None else permute.subsample(train, rows, seed)
+    runs = permute.lda_runs(train, val, permutations, seed) if name == "lda" else permute.model_runs(lambda t: models.fit(quick, t, seed), train, val, permutations, seed)
     return permutation_summary(runs)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import rounded
 from ..functions.design import bandpass_matrix, notch_matrix
 from ..operators import acquire, artifacts, evaluate, features, models, permute, profile, robust, spectral, split
-from ..sources import binding, store, wide
-from ..streaming import stream
+from ..sources import binding, order, store, wide
+from ..streaming import pairing, stream
 from . import phases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,7 +106,7 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return acquire.paired(rows(spark, sf))
+    return acquire.paired(rows(spark, sf).select("seq", "label", "sessionnum"))
 
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +173,26 @@ def paired_trials(spark, sf):
 
 @query(f"WITH {ROWS} SELECT seq, label FROM r WHERE label <> -1 AND seq - 1 NOT IN (SELECT seq FROM r WHERE label = -1)")
 def unpaired_digits(spark, sf):
-    return acquire.unpaired(rows(spark, sf)).select("seq", "label")
+    return acquire.unpaired(rows(spark, sf).select("seq", "label"))
+
+
+@query(f"WITH {ROWS}, g AS (SELECT *, lag(label) OVER (ORDER BY seq) AS label_before, lag(seq) OVER (ORDER BY seq) AS blank_seq FROM r WHERE seq % 7 <> 3) SELECT seq, label, blank_seq FROM g WHERE label <> -1 AND label_before = -1")
+def paired_over_gaps(spark, sf):
+    """Pairs by order of rows, where every seventh row is missing."""
+    return acquire.paired(rows(spark, sf).where("seq % 7 <> 3").select("seq", "label")).select("seq", "label", "blank_seq")
+
+
+@query(f"WITH {ROWS}, g AS (SELECT *, lag(label) OVER w AS label_before, lag(seq) OVER w AS blank_seq FROM r WINDOW w AS (PARTITION BY sessionnum ORDER BY seq)) SELECT seq, label, blank_seq, sessionnum FROM g WHERE label <> -1 AND label_before = -1")
+def paired_in_sessions(spark, sf):
+    return acquire.paired(rows(spark, sf).select("seq", "label", "sessionnum"), ["sessionnum"]).select("seq", "label", "blank_seq", "sessionnum")
+
+
+@query(f"WITH {ROWS}, g AS (SELECT event_id, label, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM (SELECT *, seq AS event_id FROM r WHERE seq % 5 <> 2)) SELECT seq, event_id, label FROM g")
+def file_order(spark, sf):
+    """Rows without an order of their own, in several files: numbered densely by file and place, after which they pair as they stand."""
+    path, x = store.scratch(spark, "files"), rows(spark, sf).where("seq % 5 <> 2").select(F.col("seq").alias("event_id"), "label")
+    x.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return order.in_file_order(spark, path).select("seq", "event_id", "label")
 
 
 @query(f"WITH {ROWS} SELECT seq, sessionnum, label, lag(label) OVER (PARTITION BY sessionnum ORDER BY seq) AS prev_label FROM r")
@@ -896,28 +915,67 @@ def results_sink(spark, sf):
 # --- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
-def event_pairs(spark: SparkSession, sf: str, batches: int) -> DataFrame:
-    """Pairs of the events as a stream of so many batches, in order; rows as far apart as any neighbours still pair."""
-    events, path = binding.table(spark, sf, "events"), store.scratch(spark, "events")
-    size = -(-(events.agg(F.max("event_id")).first()[0] + 1) // batches)
-    for i in range(batches):  # one file after the other, as they would arrive
-        events.where((F.col("event_id") >= i * size) & (F.col("event_id") < (i + 1) * size)).coalesce(1).write.mode("append").parquet(path)
-    delay = f"{profile.widest_step(rows(spark, sf)) + 1} seconds"
-    return stream.pairs(binding.stream_rows(stream.read_rows(spark, path, events.schema, 1)), delay)
+SCHEMA = "seq long, label int, sessionnum long, ts timestamp"
+
+
+def event_stream(spark: SparkSession, sf: str, batches: int) -> DataFrame:
+    """The events as a stream of so many batches, one file or more each, dealt by a hash: a blank and its digit come in any order."""
+    path, x = store.scratch(spark, "events"), rows(spark, sf).select("seq", "label", "sessionnum", "ts")
+    for i in range(batches):  # one after the other, as they would arrive
+        x.where(F.pmod(F.xxhash64("seq"), F.lit(batches)) == i).write.mode("append").parquet(path)
+    return stream.read_rows(spark, path, SCHEMA, 1)
 
 
 @query(f"WITH {PAIRS} SELECT seq, label, blank_seq, sessionnum FROM p")
 def stream_pairs(spark, sf):
-    return stream.drain(event_pairs(spark, sf, 2), "pairs").select("seq", "label", "blank_seq", "sessionnum")
+    """Pairs of a stream whose rows come in no order, by place."""
+    told = stream.drain(pairing.by_place(event_stream(spark, sf, 2)), "pairs")
+    return pairing.pairs(told).select("seq", "label", "blank_seq", "sessionnum")
+
+
+@query(f"WITH {ROWS} SELECT 'unpaired' AS kind, seq, label FROM r WHERE label <> -1 AND seq - 1 NOT IN (SELECT seq FROM r WHERE label = -1)")
+def stream_unpaired(spark, sf):
+    """The other output of the same stream: with the pairs, every digit."""
+    told = stream.drain(pairing.by_place(event_stream(spark, sf, 2)), "unpaired", by=("kind",))
+    return pairing.unpaired(told).select("kind", "seq", "label")
+
+
+LATE = f"""{ROWS}, h AS (SELECT *, seq % 11 = 5 AND seq < (SELECT max(seq) // 2 FROM r) AS is_held FROM r),
+i AS (SELECT *, max(seq) FILTER (NOT is_held) OVER (PARTITION BY sessionnum) AS passed FROM h),
+g AS (SELECT *, lag(label) OVER w AS label_before, lag(seq) OVER w AS seq_before FROM i WHERE NOT is_held OR passed IS NULL OR seq > passed WINDOW w AS (PARTITION BY sessionnum ORDER BY seq))"""
+
+
+@query(f"""WITH {LATE} SELECT CASE WHEN label_before = -1 THEN 'pair' ELSE 'unpaired' END AS kind, seq, label, CASE WHEN label_before = -1 THEN seq_before END AS blank_seq, sessionnum FROM g WHERE label <> -1
+UNION ALL SELECT 'late', seq, label, NULL, sessionnum FROM i WHERE label <> -1 AND is_held AND seq <= passed""")
+def stream_sessions(spark, sf):
+    """Every digit, by session: the first half but for some rows, the second half, then the rows held back. Each batch goes on from the checkpoint of the one before."""
+    path, at, x = store.scratch(spark, "events"), store.scratch(spark, "sessions"), rows(spark, sf).select("seq", "label", "sessionnum", "ts")
+    half = x.agg(F.max("seq")).first()[0] // 2
+    held = (F.col("seq") % 11 == 5) & (F.col("seq") < half)
+    for part in (~held & (F.col("seq") < half), F.col("seq") >= half, held):
+        x.where(part).write.mode("append").parquet(path)
+        told = stream.drain(pairing.by_session(stream.read_rows(spark, path, SCHEMA)), "sessions", at)
+    return told.select("kind", "seq", "label", "blank_seq", "sessionnum")
 
 
 @query(f"WITH {PAIRS} SELECT label, least(count(*), {CAP}) AS n, true AS is_within FROM p GROUP BY label")
 def stream_capped(spark, sf):
     """The cap holds over several batches."""
-    kept = stream.drain_capped(event_pairs(spark, sf, 3), CAP)
+    kept = stream.drain_capped(pairing.pairs(pairing.by_place(event_stream(spark, sf, 3))), CAP)
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("is_within", F.col("n") <= CAP)
 
 
+@query(f"WITH {CAPPED}, e AS (SELECT max(last) AS last FROM (SELECT label, count(*) AS n, max(seq) AS last FROM c GROUP BY label) HAVING count(*) FILTER (n >= {CAP}) = 4) SELECT seq, label, blank_seq FROM c WHERE seq <= coalesce((SELECT last FROM e), seq)")
+def stream_stopped(spark, sf):
+    """Batches in order of seq; the query ends with the one in which the last class fills, and has what the scan to the stop position has."""
+    path, at, x = store.scratch(spark, "events"), store.scratch(spark, "stopped"), rows(spark, sf).select("seq", "label", "sessionnum", "ts")
+    size = x.agg(F.max("seq")).first()[0] // 6 + 1
+    for i in range(6):
+        x.where(F.floor(F.col("seq") / size) == i).write.mode("append").parquet(path)
+        kept = stream.drain_capped(pairing.pairs(pairing.by_place(stream.read_rows(spark, path, SCHEMA))), CAP, classes=CLASSES, at=at)
+    return kept.select("seq", "label", "blank_seq")
+
+
 @query(f"""WITH {TRAIN}, {SAMPLES.replace(', x AS (SELECT trial_id, channel, i, signal', ', x0 AS (SELECT trial_id, channel, i, signal')}, x AS (SELECT * FROM x0 WHERE trial_id IN (SELECT trial_id FROM tr)), {FIT},
 no AS (SELECT trial_id, channel, i, (v - center) / scale AS v FROM x0 JOIN f USING (channel) WHERE scale > 1e-7), {measures('no')}, {LIMITS.format(OWN)}, {FLAGS.format(least=1)} SELECT * FROM a""")
 def stream_flags(spark, sf):
