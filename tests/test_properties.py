@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialmill.functions.design import bandpass_matrix, butterworth_bandpass, zero_phase
+from trialmill.functions import radix
+from trialmill.functions.design import Recursion, bandpass_matrix, butterworth_bandpass, matrix, notch, zero_phase
 from trialmill.functions.quantiles import exact_quantiles
 from trialmill.functions.ranks import places, with_previous
 from trialmill.operators import acquire, artifacts, evaluate, features, models, permute, robust, spectral, split
@@ -96,6 +97,70 @@ def test_exact_quantiles(spark, at_once):
         assert np.allclose(got[k], np.percentile(v, [100 * p for p in probs.values()]), atol=1e-12)
 
 
+@pytest.mark.parametrize("few", [20, 10**6])
+def test_quantiles_are_counted_inside_arrays(spark, few, monkeypatch):
+    """Ties, zeros of both signs, infinities, NaN, nulls, tiny and large values; whatever may be counted one by one."""
+    rng = np.random.default_rng(3)
+    groups = {
+        "0": rng.normal(size=3000), "1": np.zeros(700), "2": rng.integers(-2, 3, 2000).astype(float), "3": np.array([7.0]), "4": np.array([-0.0, 0.0, -0.0, 1.0]),
+        "5": rng.normal(size=900) * 10.0 ** rng.integers(-300, 300, 900), "6": np.concatenate([np.full(500, 1.5), [np.nan] * 40, np.full(499, 1.5 + 2**-52)]), "7": np.array([-np.inf, 1.0, np.inf, np.inf]), "8": np.array([np.nan]),
+    }
+    rows = [(k, v[i : i + 50].tolist() + ([None] if k == "2" else [])) for k, v in groups.items() for i in range(0, len(v), 50)] + [("0", None), ("0", []), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "channel string, signal array<double>").repartition(4)
+    monkeypatch.setattr(radix, "FEW", few)
+    probs = {"a": 0.5, "b": 0.995, "c": 0.005, "d": 1.0, "e": 0.0}
+    got = radix.quantiles(df, radix.of_arrays(), probs)
+    assert set(got) == {*groups, "None"} - {"8"} and got["None"]["a"] == 1.5
+    for k, v in groups.items():
+        if k not in ("7", "8"):
+            assert np.allclose(list(got[k].values()), np.percentile(v[~np.isnan(v)], [100 * p for p in probs.values()]), rtol=1e-12, atol=0)
+    assert (got["7"]["d"], got["7"]["e"]) == (np.inf, -np.inf)
+    assert radix.quantiles(df.limit(0), radix.of_arrays(), probs) == {}
+
+
+def test_numbers_keep_their_order_as_bits():
+    x = np.array([-np.inf, -1e300, -1.0, -1e-310, 0.0, 5e-324, 1.0, 1.0 + 2**-52, 1e300, np.inf])
+    u = radix.ordered(x)
+    assert (np.diff(u.astype(object)) > 0).all() and [radix.value_of(int(v)) for v in u] == x.tolist()
+
+
+@pytest.mark.parametrize("sections, pad", [(butterworth_bandpass(4, 1.0, 40.0, 250.0), 27), (notch(60.0, 30.0, 250.0), 9)])
+def test_filtering_by_blocks_is_the_matrix(sections, pad):
+    rng = np.random.default_rng(4)
+    by_blocks = Recursion(sections)
+    for n in (pad + 1, 64, 127, 128, 129, 300, 1000):
+        x = rng.normal(size=(3, n)).cumsum(axis=1)
+        assert np.allclose(by_blocks.zero_phase(x, pad), x @ matrix(sections, n, pad).T, rtol=0, atol=1e-9)
+    long = rng.normal(size=(1, 10**6))
+    near = by_blocks.zero_phase(long, pad)[:, :5000]
+    assert np.allclose(near[:, :2000], zero_phase(sections, long[0, :5000, None], pad)[:2000].T, atol=1e-6)
+    with pytest.raises(ValueError, match="too short"):
+        by_blocks.zero_phase(long[:, :pad], pad)
+
+
+def test_all_permutations_of_a_discriminant_are_those_of_a_loop(spark):
+    rng = np.random.default_rng(7)
+    data = [(i, int(rng.integers(0, 3)) * 2 - 1) for i in range(240)]
+    rows = spark.createDataFrame([(i, y, (rng.normal(size=6) * [1, 2, 3, 4, 5, 1e-3] + 0.4 * y).tolist()) for i, y in data], "trial_id long, y int, features array<double>")
+    train, val = rows.where("trial_id < 160"), rows.where("trial_id >= 160")
+    want = {r.perm: r.accuracy for r in permute.model_runs(lambda t: models.fit("lda", t), train, val, 6).collect()}
+    got = {r.perm: r.accuracy for r in permute.lda_runs(train, val, 6).collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want) and len(set(got.values())) > 2
+
+
+def test_nearest_centres_are_those_of_a_loop(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(30, 4)), rng.normal(size=(5, 3, 4))
+    c[2, 1] = c[2, 0]  # a tie goes to the lesser label
+    tested = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "trial_id long, y int, x array<double>")
+    centres = spark.createDataFrame([(p, k - 1, c[p, k].tolist()) for p in range(5) for k in range(3)], "perm int, yhat int, centroid array<double>")
+    for most in (10_000, 4):
+        monkeypatch.setattr(permute, "MOST_CENTRES", most)
+        got = {(r.perm, r.trial_id): r.yhat for r in permute.nearest(tested, centres).collect()}
+        assert got == {(p, i): int(np.argmin(np.round(((x[i] - c[p]) ** 2).sum(axis=1), 9))) - 1 for p in range(5) for i in range(30)}
+    assert permute.nearest(tested, centres.limit(0)).count() == 0
+
+
 def test_quantiles_of_ties_end(spark):
     """Values that meet at the rank, each far more often than a task may hold: half and half, and three heavy values."""
     rows = spark.range(3000).select((F.col("id") % 2).cast("double").alias("half"), F.element_at(F.array(F.lit(-1.0), F.lit(0.0), F.lit(0.0), F.lit(5.0)), (F.col("id") % 4 + 1).cast("int")).alias("three"), F.lit(0).alias("k"))
