@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import forget, sampled, save
 
-#: Rows whose scores are taken at once, about.
-AT_ONCE = 512
+#: Rows whose scores are taken at once, about: so many at first, and twice as many each time up to the most.
+AT_FIRST, AT_MOST = 256, 4096
 INDEX = "block long, d int, ids binary, labels binary, vectors binary, cells binary, radii binary"
 Window_ = tuple[int, int]
 
@@ -80,13 +80,18 @@ class Block:
     books: Codebooks
 
     def __post_init__(self) -> None:
-        self.doubles, self.largest = self.vectors.astype(np.float64), float(np.abs(self.vectors).max(initial=0))
+        self.largest = float(np.abs(self.vectors).max(initial=0))
+        self.as_floats: dict[type, np.ndarray] = {}
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Exact: as doubles while no sum leaves 53 bits, else as integers."""
-        if float(np.abs(q).sum()) * self.largest < 2.0**53:
-            return (self.doubles[rows] @ q.astype(np.float64)).astype(np.int64)
-        return self.vectors[rows] @ q
+        """Exact: as floats while no partial sum leaves their whole numbers, else as integers."""
+        most = float(np.abs(q).sum()) * self.largest
+        if most >= 2.0**53:
+            return self.vectors[rows] @ q
+        kind = np.float32 if most < 2.0**24 else np.float64
+        if kind not in self.as_floats:
+            self.as_floats[kind] = self.vectors.astype(kind)
+        return (self.as_floats[kind][rows] @ q.astype(kind)).astype(np.int64)
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The highest half-score that a row of each code can have with q; -inf for codes without rows. Wider by what doubles may be off."""
@@ -173,12 +178,12 @@ def scanned(block: Block, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
     """(places, scores, bound of all rows left) of a block's rows, by some hundred of whole cells in the order of visit()."""
     codes = len(block.books.right)
     held: list[np.ndarray] = []
-    size = 0
+    size, enough = 0, AT_FIRST
     for bound, i, j in visit(*block.bounds(q.astype(np.float64))):
-        if size >= AT_ONCE:
+        if size >= enough:
             rows = np.concatenate(held)
             yield rows, block.scores(rows, q), bound
-            held, size = [], 0
+            held, size, enough = [], 0, min(2 * enough, AT_MOST)
         start, end = block.starts[i * codes + j], block.starts[i * codes + j + 1]
         if end > start:
             held.append(np.arange(start, end))
