@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialmill.operators import acquire, artifacts, evaluate, features, models
 from trialmill.plans import phases
+from trialmill.plans.manifest import Manifest
 from trialmill.sources import store
 from trialmill.streaming import pairing, stream
 
@@ -57,6 +58,40 @@ def test_a_run_writes_results_that_beat_chance(spark, recorded, tmp_path):
         phases.evaluate_test(data, "lda", "stage1", str(tmp_path), "all")
 
 
+def test_a_changed_parameter_runs_what_depends_on_it(spark, tmp_path):
+    """Raw rows of two files to results; then other permutations, a fraction, another source, a broken phase."""
+    rng = np.random.default_rng(4)
+    names = [f"{c}_{i}" for c in ("A1", "B2") for i in range(40)]
+    rows = [(k % 2 * (1 + k // 2 % 3) - (1 - k % 2), k // 30, k // 6, k % 6, *rng.normal(size=80).round(3).tolist()) for k in range(180)]
+    source, path = str(tmp_path / "raw"), str(tmp_path / "run")
+    for part in (rows[:100], rows[100:]):
+        spark.createDataFrame(part, ["label", "sessionnum", "blocknum", "blockpos", *names]).coalesce(1).write.mode("append").parquet(source)
+    made = []
+    watched = lambda *a: (m := Manifest(*a), made.append(m))[0]
+
+    def run(**more):
+        made.clear()
+        got = phases.run(spark, source, path, "lda", bands=BANDS, nperseg=32, per_class=30, **{"permutations": 1} | more).collect()
+        return {(r.split, r.metric): r.value for r in got}, [x for m in made for x in m.made]
+
+    keep, phases.Manifest = phases.Manifest, watched
+    try:
+        every = ["pool_trials", "pool_signals", "trials", "trial_flags", "features", "runs/stage1/lda"]
+        first, done = run()
+        assert done == every and ("val", "accuracy") in first and spark.read.parquet(f"{path}/all/pool_trials").count() == 180
+        assert run() == (first, [])
+        assert run(permutations=2)[1] == ["runs/stage1/lda"]
+        assert run(fraction=0.5)[1] == every and spark.read.parquet(f"{path}/all_0.5/pool_trials").count() == 90
+        store.delete(spark, f"{path}/all_0.5/manifest/features")  # as if it had broken off
+        assert run(fraction=0.5)[1] == ["features"]
+        spark.createDataFrame(rows[:2], ["label", "sessionnum", "blocknum", "blockpos", *names]).coalesce(1).write.mode("append").parquet(source)
+        assert run(fraction=0.5)[1] == every
+        with pytest.raises(ValueError):
+            phases.run(spark, source, path, "lda", fraction=0.5)
+    finally:
+        phases.Manifest = keep
+
+
 def test_bad_channels_give_no_features(spark, recorded, tmp_path):
     trials, signals = recorded
     dead = signals.where("channel = 0").withColumns({"channel": F.lit(2), "signal": F.array_repeat(F.lit(0.0), 64)})

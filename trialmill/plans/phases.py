@@ -1,6 +1,6 @@
 """The phases of a run, each a function of DataFrames; Parquet stands between them.
 
-A phase whose table is there already is skipped, unless `force` is given. Data
+A phase whose table was made from the same inputs and parameters is skipped, unless `force` is given. Data
 and fitted parameters lie under the tag of variant and fraction, models and
 results under that, stage and model.
 """
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, features, models, permute, robust, spectral, split
+from ..operators import acquire, artifacts, features, models, permute, robust, spectral, split
 from ..operators.evaluate import confusion, metrics, permutation_summary, val_test_gap
-from ..sources import store
+from ..sources import order, store, wide
+from .manifest import Manifest, source_version
 
 SHUFFLES, SHUFFLED_ROWS = 10, 5000  # of the shuffled-label test of classical models
 
@@ -124,6 +125,72 @@ def evaluate_test(test: DataFrame, name: str, stage: str, path: str, variant_tag
     return val_test_gap(run_results(spark, path, variant_tag, stage, name))
 
 
+def cap_of(per_class: int | None, fraction: float) -> int | None:
+    """Pairs of each class to acquire: all of them, or the fraction of what the whole source has of each."""
+    if fraction >= 1:
+        return None
+    if per_class is None:
+        raise ValueError("a fraction needs the number of pairs that each class has in the whole source")
+    return int(per_class * fraction)
+
+
+def ordered(spark: SparkSession, source: DataFrame | str) -> DataFrame:
+    """Raw rows with a dense `seq`: those of Parquet files under a path in order of the files, or a table that has one."""
+    rows = order.in_file_order(spark, source) if isinstance(source, str) else source
+    return rows.withColumn("label", F.col("label").cast("int"))
+
+
+def pool_trials(raw: DataFrame, cap: int | None, multiplier: int = 5) -> DataFrame:
+    """The balanced pool of raw rows: trial_id in writing order, seq, labels and recording position."""
+    x = acquire.acquire(raw.select("seq", "label"), cap, multiplier, guard=cap is not None)
+    place = raw.select("seq", *[F.col(c).cast("long").alias(c) for c in ("sessionnum", "blocknum", "blockpos")])
+    return x.join(place, "seq").select(F.col("position").alias("trial_id"), "seq", "label_digit", "label_binary", "sessionnum", "blocknum", "blockpos")
+
+
+def pool_signals(raw: DataFrame, pool: DataFrame) -> DataFrame:
+    """trial_id, channel, signal of the pool's rows."""
+    rows = raw.drop("trial_id").join(pool.select("seq", "trial_id"), "seq")
+    return wide.to_signals(rows).select("trial_id", "channel", "signal")
+
+
+def run(
+    spark: SparkSession,
+    source: DataFrame | str,
+    path: str,
+    model: str = "random_forest",
+    stage: str = "stage1",
+    bands=spectral.BANDS,
+    nperseg: int = spectral.SEGMENT,
+    *,
+    test_source: DataFrame | str | None = None,
+    per_class: int | None = None,
+    test_per_class: int | None = None,
+    multiplier: int = 5,
+    variant: str = "all",
+    fraction: float = 1.0,
+    seed: int = 42,
+    permutations: int = SHUFFLES,
+    force: bool = False,
+) -> DataFrame:
+    """From raw wide rows to results: acquisition of the pool and of the test set, and all that main() does. The result rows of the run.
+
+    A source is a path of Parquet files, whose rows are taken in order of the files, or a table with a dense seq; either has
+    label, sessionnum, blocknum, blockpos and a column `{channel}_{i}` for each sample. per_class and test_per_class:
+    pairs that each class has in the whole source; with a fraction below 1 the pool is capped at that share of them.
+    """
+    base = f"{path}/{store.variant_tag(variant, fraction)}"
+    pools = {}
+    for name, src, whole in (("", source, per_class), ("test_", test_source, test_per_class)):
+        if src is None:
+            continue
+        raw, cap = ordered(spark, src), cap_of(whole, fraction)
+        m = Manifest(spark, base, {"raw": source_version(spark.read.parquet(src) if isinstance(src, str) else src)}, force)
+        pool = m.phase(f"{name}pool_trials", lambda: pool_trials(raw, cap, multiplier), ["raw"], cap=cap, multiplier=multiplier)  # noqa: B023
+        signals = m.phase(f"{name}pool_signals", lambda: pool_signals(raw, pool), ["raw", f"{name}pool_trials"])  # noqa: B023
+        pools[name] = (pool, signals)
+    return main(spark, *pools[""], path, model, stage, bands, nperseg, test=pools.get("test_"), variant=variant, fraction=fraction, seed=seed, permutations=permutations, force=force)
+
+
 def main(
     spark: SparkSession,
     trials: DataFrame,
@@ -141,19 +208,23 @@ def main(
     permutations: int = SHUFFLES,
     force: bool = False,
 ) -> DataFrame:
-    """Split, preprocess, features, model, and the test set (its trials and signals) if one is given: the result rows of one run."""
+    """Split, preprocess, features, model, and the test set (its trials and signals) if one is given: the result rows of one run.
+
+    A phase is skipped if its table was made from the same tables with the same parameters (Manifest).
+    """
     tag = store.variant_tag(variant, fraction)
     base = f"{path}/{tag}"
-    step = lambda name, make: store.once(spark, f"{base}/{name}", make, force)
-    parted = step("trials", lambda: split.split_pool(trials, test[0] if test else None, seed=seed))
-    flagged = step("trial_flags", lambda: preprocess(spark, parted, signals, base))
-    vectors = step("features", lambda: raw_features(spark, signals, base, bands, nperseg))
-    done = f"{base}/runs/{stage}/{model}"
-    if force or not store.exists(spark, f"{done}/_SUCCESS"):
-        rows = run_model(stage_data(parted, vectors, stage, flagged), model, stage, path, tag, seed, permutations)
-        rows.write.mode("overwrite").parquet(done)
+    sources = {"given_trials": source_version(trials), "given_signals": source_version(signals)}
+    sources |= {"test_trials": source_version(test[0]), "test_signals": source_version(test[1])} if test else {}
+    m = Manifest(spark, base, sources, force)
+    parted = m.phase("trials", lambda: split.split_pool(trials, test[0] if test else None, seed=seed), ["given_trials", *(["test_trials"] if test else [])], seed=seed)
+    flagged = m.phase("trial_flags", lambda: preprocess(spark, parted, signals, base), ["trials", "given_signals"])
+    bins = {"bands": [list(b) for b in bands], "nperseg": nperseg}
+    vectors = m.phase("features", lambda: raw_features(spark, signals, base, bands, nperseg), ["trial_flags", "given_signals"], **bins)
+    done = f"runs/{stage}/{model}"
+    m.phase(done, lambda: run_model(stage_data(parted, vectors, stage, flagged), model, stage, path, tag, seed, permutations), ["trials", "trial_flags", "features"], seed=seed, permutations=permutations)
     if test:
-        own_flags = step("test_flags", lambda: apply_fitted(spark, test[1], base))
-        own = step("test_features", lambda: raw_features(spark, test[1], base, bands, nperseg))
-        evaluate_test(stage_data(test[0], own, stage, own_flags), model, stage, path, tag)
+        own_flags = m.phase("test_flags", lambda: apply_fitted(spark, test[1], base), ["trial_flags", "test_signals"])
+        own = m.phase("test_features", lambda: raw_features(spark, test[1], base, bands, nperseg), ["trial_flags", "test_signals"], **bins)
+        m.phase(f"tests/{stage}/{model}", lambda: evaluate_test(stage_data(test[0], own, stage, own_flags), model, stage, path, tag), [done, "test_trials", "test_flags", "test_features"])
     return run_results(spark, path, tag, stage, model)

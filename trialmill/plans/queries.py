@@ -912,6 +912,36 @@ def results_sink(spark, sf):
     return round_all(back.where("variant_tag = 'all' AND stage = 'stage1'").select("variant_tag", "stage", "model", "split", "metric", "value"))
 
 
+RAW = f"""{TRIALS}, ra AS (SELECT *, trial_id AS seq, lag(label_digit) OVER (ORDER BY trial_id) AS label_before FROM t),
+pa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label_digit ORDER BY seq) AS taken FROM ra WHERE label_digit <> -1 AND label_before = -1) WHERE taken <= 4 AND seq < 4 * 10 * 5),
+na AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM pa), pool AS (SELECT 2 * k AS trial_id, seq FROM na UNION ALL SELECT 2 * k + 1, seq - 1 FROM na)"""
+
+
+def raw_files(spark: SparkSession, sf: str) -> str:
+    """The wide rows in several files, without a number of their own."""
+    path = store.scratch(spark, "raw")
+    binding.wide(binding.table(spark, sf, "embeddings")).repartitionByRange(4, "trial_id").sortWithinPartitions("trial_id").drop("trial_id").write.parquet(path)
+    return path
+
+
+@query(f"WITH {RAW}, {SAMPLES} SELECT p.trial_id, p.seq, ra.label_digit, CASE x.channel WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS channel, round(avg(v), 6) + 0.0 AS mean FROM pool p JOIN ra USING (seq) JOIN x ON x.trial_id = p.seq GROUP BY ALL")
+def raw_pool(spark, sf):
+    """A capped pool from raw files: rows by order of files, pairs, signals of what was accepted."""
+    raw = phases.ordered(spark, raw_files(spark, sf))
+    pool = store.write(phases.pool_trials(raw, 4), store.scratch(spark, "pool"))
+    x = phases.pool_signals(raw, pool).join(pool, "trial_id")
+    mean = F.aggregate("signal", F.lit(0.0), lambda a, v: a + v) / F.size("signal")
+    return round_all(x.select("trial_id", "seq", "label_digit", "channel", mean.alias("mean")))
+
+
+@query()
+def whole_run(spark, sf):
+    """Raw rows to results: pool, split, filter, fits, flags, features, a model and its shuffled-label test."""
+    raw = binding.wide(binding.table(spark, sf, "embeddings")).withColumnRenamed("trial_id", "seq")
+    long_rows = raw.select("seq", "label", "sessionnum", "blocknum", "blockpos", *[F.col(f"{n}_{i}").alias(f"all_{c * 16 + i}") for c, n in enumerate(binding.WIDE) for i in range(16)])
+    return phases.run(spark, long_rows, store.scratch(spark, "whole"), "lda", bands=BANDS, nperseg=N, permutations=SHUFFLES_OF_A_MODEL)
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
