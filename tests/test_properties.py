@@ -8,7 +8,7 @@ from trialmill.functions import radix
 from trialmill.functions.design import Recursion, bandpass_matrix, butterworth_bandpass, matrix, notch, zero_phase
 from trialmill.functions.quantiles import exact_quantiles
 from trialmill.functions.ranks import places, with_previous
-from trialmill.operators import acquire, artifacts, evaluate, features, models, permute, robust, spectral, split
+from trialmill.operators import acquire, artifacts, evaluate, features, kernel, models, permute, robust, spectral, split
 from trialmill.plans import phases, queries
 from trialmill.sources import order, store, wide
 
@@ -148,6 +148,56 @@ def test_all_permutations_of_a_discriminant_are_those_of_a_loop(spark):
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want) and len(set(got.values())) > 2
 
 
+def by_pairs_of_multipliers(k, sign, cost=1.0, close=1e-6):
+    """The dual, two multipliers at a time: coefficients and offset."""
+    n = len(sign)
+    a, slope = np.zeros(n), -np.ones(n)
+    q = k * np.outer(sign, sign)
+    while True:
+        up, low = ((sign > 0) & (a < cost)) | ((sign < 0) & (a > 0)), ((sign > 0) & (a > 0)) | ((sign < 0) & (a < cost))
+        v = -sign * slope
+        i, j = np.flatnonzero(up)[v[up].argmax()], np.flatnonzero(low)[v[low].argmin()]
+        if v[i] - v[j] < close:
+            return a * sign, (v[i] + v[j]) / 2
+        step = (v[i] - v[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        step = min(step, cost - a[i] if sign[i] > 0 else a[i], a[j] if sign[j] > 0 else cost - a[j])
+        a[i] += sign[i] * step
+        a[j] -= sign[j] * step
+        slope += q[:, i] * sign[i] * step - q[:, j] * sign[j] * step
+
+
+def test_kernel_machine_is_the_exact_one(spark):
+    """Decision values and support vectors of a plain dual solver; passes over tasks give what passes here give."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5))
+    y = np.where(np.sin(2 * x[:, 0]) + x[:, 1] * x[:, 2] + 0.5 * rng.normal(size=400) > 0, 1, 0)
+    beta, offset = by_pairs_of_multipliers(kernel.rbf(x, x, 0.2), np.where(y == 1, 1.0, -1.0))
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(y, x)], "y int, x array<double>").repartition(3)
+    found = kernel.fit(rows, 0.2)
+    new = rng.normal(size=(200, 5))
+    want = kernel.rbf(new, x, 0.2) @ beta + offset
+    assert np.abs(found.decide(new)[:, 0] - want).max() < 2e-3 and abs(len(found.landmarks) - (np.abs(beta) > 1e-7).sum()) <= 2
+    step = lambda: kernel.Step(0.2, x[:40], np.eye(40), np.full(41, 0.1), 0.5, np.ones(41))
+    signed = rows.select("x", (2 * F.col("y") - 1).cast("double").alias("sign"))
+    for what in ("slope", "losses"):
+        assert np.allclose(kernel.over_rows(signed)(step(), what), kernel.over_arrays(x, 2.0 * y - 1, step())(step(), what))
+
+
+def test_kernel_machine_on_fewer_landmarks_and_more_classes(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] ** 2 + x[:, 1] ** 2 > 1.2).astype(int) + (x[:, 0] > 0.3)
+    rows = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(y, x))], "trial_id long, y int, features array<double>")
+    few = kernel.fit(rows.where("y < 2").select("y", F.col("features").alias("x")), 0.5, landmarks=60)
+    own = y < 2
+    assert len(few.landmarks) <= 60 and (few.vote(x[own]) == y[own]).mean() > 0.9
+    fitted = models.fit("svm_rbf", rows)
+    said = {r.trial_id: r.yhat for r in fitted(rows).collect()}
+    assert np.mean([said[i] == y[i] for i in range(300)]) > 0.93
+    models.save_model(fitted, str(tmp_path / "m"))
+    assert {r.trial_id: r.yhat for r in models.load_model(spark, str(tmp_path / "m"))(rows.drop("y")).collect()} == said
+
+
 def test_nearest_centres_are_those_of_a_loop(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x, c = rng.normal(size=(30, 4)), rng.normal(size=(5, 3, 4))

@@ -14,11 +14,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel
 from .evaluate import confusion, metrics
+from .kernel import Kernel
 
 NAMES = ("lda", "svm", "svm_cheap", "svm_rbf", "random_forest")
-#: Random Fourier features that stand for the RBF kernel.
-FOURIER = 256
 
 
 @dataclass
@@ -30,6 +30,7 @@ class Fitted:
     std: list[float]  # population spread; 1 where there is none
     model: Model | None = None  # Spark's, if it is one
     numbers: dict[str, list[float]] = field(default_factory=dict)  # all else that it needs
+    kernel: Kernel | None = None
 
     def scaled(self) -> Column:
         """(features - mean) / std; the arrays stay in the plan once."""
@@ -44,26 +45,13 @@ class Fitted:
             score = lambda w: F.aggregate(F.zip_with("_scaled", F.lit([float(v) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
             best = F.array_max(F.array(*[F.struct((score(w) + F.lit(o)).alias("s"), F.lit(-int(y)).alias("y")) for y, w, o in zip(labels, weights, offsets, strict=True)]))
             return x.withColumn("yhat", -best["y"]).drop("_scaled")
-        if self.name == "svm_rbf":
-            d, gamma, seed = (self.numbers[k][0] for k in ("d", "gamma", "seed"))
-            x = x.withColumn("_scaled", fourier(int(d), gamma, int(seed))("_scaled"))
+        if self.kernel is not None:
+            return x.withColumn("yhat", self.kernel.predicted("_scaled")).drop("_scaled")
         given = x.withColumn("v", array_to_vector("_scaled"))
         given = given if "y" in data.columns else given.withColumn("y", F.lit(0))
         return self.model.transform(given.withColumn("label", F.col("y").cast("double"))).select(*data.columns, F.col("prediction").cast("int").alias("yhat"))
 
 
-def fourier(d: int, gamma: float, seed: int) -> Callable[[str], Column]:
-    """Random Fourier features: inner products come near the values of an RBF kernel. The same for the same seed."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (d, FOURIER)), rng.uniform(0, 2 * np.pi, FOURIER)
-
-    @F.pandas_udf("array<double>")
-    def map_rows(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2 / FOURIER) * np.cos(np.stack(x) @ w + b))) if len(x) else pd.Series([], dtype=object)
-
-    return map_rows
-
-
 def scale(train: DataFrame) -> tuple[list[float], list[float]]:
     """Mean and population spread of each feature, in one pass."""
     v = train.select(array_to_vector("features").alias("v"))
@@ -183,7 +171,7 @@ def lda_hits(rows: DataFrame, weights: np.ndarray, offsets: np.ndarray, labels:
 
 def estimator(name: str, seed: int = 42, classes: int = 2) -> Estimator:
     """The Spark estimator of a name; svm is linear, svm_cheap its short form for shuffled runs. Trees grow to Spark's greatest depth."""
-    if name in ("svm", "svm_rbf", "svm_cheap"):
+    if name in ("svm", "svm_cheap"):
         svc = LinearSVC(featuresCol="v", maxIter=300, tol=1e-2) if name == "svm_cheap" else LinearSVC(featuresCol="v", maxIter=100)
         return svc if classes == 2 else OneVsRest(classifier=svc, featuresCol="v")
     if name == "random_forest":
@@ -202,18 +190,23 @@ def fit(name: str, train: DataFrame, seed: int = 42) -> Fitted:
         fitted.numbers = lda(x, d)
         return fitted
     if name == "svm_rbf":  # gamma is 1 over features and their variance, which is 1 after scaling
-        fitted.numbers = {"d": [float(d)], "gamma": [1.0 / d], "seed": [float(seed)]}
-        x = x.withColumn("_scaled", fourier(d, 1.0 / d, seed)("_scaled"))
+        fitted.kernel = kernel.fit(x.select("y", F.col("_scaled").alias("x")), 1.0 / d)
+        return fitted
     rows = x.withColumn("v", array_to_vector("_scaled")).withColumn("label", F.col("y").cast("double"))
     fitted.model = Pipeline(stages=[estimator(name, seed, train.select("y").distinct().count())]).fit(rows)
     return fitted
 
 
 def save_model(fitted: Fitted, path: str) -> None:
-    """The scale and all numbers as a table, and Spark's model beside it."""
+    """The scale and all numbers as a table; beside it Spark's model, or a kernel machine's support vectors with their coefficients."""
     spark = SparkSession.getActiveSession()
     rows = [("mean", fitted.mean), ("std", fitted.std), *fitted.numbers.items()]
     spark.createDataFrame([(fitted.name, k, [float(x) for x in v]) for k, v in rows], "model string, part string, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+    if fitted.kernel is not None:
+        k = fitted.kernel
+        rows = [("offsets", None, [float(v) for v in k.offsets]), ("labels", None, [float(v) for v in k.labels]), ("gamma", None, [k.gamma])]
+        rows += [("support", x.tolist(), b.tolist()) for x, b in zip(k.landmarks, k.betas.T, strict=True)]
+        spark.createDataFrame(rows, "part string, x array<double>, numbers array<double>").write.mode("overwrite").parquet(f"{path}/kernel")
     if fitted.model is not None:
         fitted.model.write().overwrite().save(f"{path}/spark")
 
@@ -223,7 +216,15 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
     rows = spark.read.parquet(f"{path}/numbers").collect()
     numbers = {r.part: list(r.numbers) for r in rows}
     name = rows[0].model
-    return Fitted(name, numbers.pop("mean"), numbers.pop("std"), None if name == "lda" else PipelineModel.load(f"{path}/spark"), numbers)
+    fitted = Fitted(name, numbers.pop("mean"), numbers.pop("std"), None, numbers)
+    if name == "svm_rbf":
+        parts = spark.read.parquet(f"{path}/kernel").toPandas()
+        of = lambda part: np.array(parts[parts.part == part].numbers.iloc[0])
+        support = parts[parts.part == "support"]
+        fitted.kernel = Kernel(float(of("gamma")[0]), np.stack(support.x), [int(v) for v in of("labels")], np.stack(support.numbers).T, of("offsets"))
+    elif name != "lda":
+        fitted.model = PipelineModel.load(f"{path}/spark")
+    return fitted
 
 
 def evaluate(name: str, train: DataFrame, val: DataFrame, average: str = "binary", seed: int = 42) -> tuple[DataFrame, DataFrame]:
