@@ -803,7 +803,27 @@ def predicted(name: str) -> Query:
     return run
 
 
-@query()
+def elimination(d: int) -> str:
+    """Gauss-Jordan steps over e0(i, j, v), a square of d columns and right sides behind it: the solutions are what e{d} has behind it."""
+    step = """e{n} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v FROM e{k} a
+  JOIN e{k} p ON p.i = {k} AND p.j = {k} JOIN e{k} r ON r.i = {k} AND r.j = a.j JOIN e{k} c ON c.i = a.i AND c.j = {k})"""
+    return ", ".join(step.format(k=k, n=k + 1) for k in range(d))
+
+
+D = len(NAMES)
+LDA = f"""{ALL_FEATURES}, {TRAIN}, fv AS (SELECT trial_id, unnest(range({D})) AS j, unnest([{', '.join(NAMES)}]) AS v FROM al),
+sc AS (SELECT j, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END AS d FROM fv WHERE trial_id IN (SELECT trial_id FROM tr) GROUP BY j),
+z AS MATERIALIZED (SELECT trial_id, j, (v - m) / d AS v, label_binary AS y, trial_id IN (SELECT trial_id FROM tr) AS is_train FROM fv JOIN sc USING (j) JOIN t USING (trial_id)),
+lc AS MATERIALIZED (SELECT y, j, avg(v) AS v, count(*) AS n FROM z WHERE is_train GROUP BY y, j),
+lp AS MATERIALIZED (SELECT a.j AS i, b.j, sum((a.v - ca.v) * (b.v - cb.v)) / count(*) AS v FROM z a JOIN z b USING (trial_id) JOIN lc ca ON ca.y = a.y AND ca.j = a.j JOIN lc cb ON cb.y = a.y AND cb.j = b.j WHERE a.is_train GROUP BY a.j, b.j),
+e0 AS MATERIALIZED (SELECT i, j, v + CASE WHEN i = j THEN (SELECT 1e-6 * greatest(sum(v) FILTER (i = j) / {D}, 1e-12) FROM lp) ELSE 0 END AS v FROM lp UNION ALL SELECT j, {D} + y, v FROM lc),
+{elimination(D)},
+ow AS (SELECT y, -0.5 * sum(e.v * lc.v) + ln(max(n) / (SELECT sum(n) FROM lc WHERE j = 0)) AS o FROM e{D} e JOIN lc ON e.i = lc.j AND e.j = {D} + lc.y GROUP BY y),
+sd AS (SELECT trial_id, ow.y AS yhat, sum(z.v * e.v) + max(o) AS score FROM z JOIN e{D} e ON e.i = z.j AND e.j >= {D} JOIN ow ON e.j = {D} + ow.y WHERE NOT is_train GROUP BY trial_id, ow.y),
+pr AS (SELECT trial_id, max(label_binary) AS y, arg_max(yhat, {{s: score, y: -yhat}}) AS yhat FROM sd JOIN t USING (trial_id) GROUP BY trial_id)"""
+
+
+@query(f"WITH {LDA} SELECT trial_id, y, yhat FROM pr")
 def lda_predict(spark, sf):
     return predicted("lda")(spark, sf)
 
@@ -829,6 +849,13 @@ def evaluate_model(spark, sf):
     return models.evaluate("svm", data.where("split = 'train'"), data.where("split = 'val'"))[0]
 
 
+@query(f"WITH {LDA}, {CONFUSION} SELECT 'lda' AS model, round({ACCURACY}, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pf WHERE label = 1")
+def evaluate_lda(spark, sf):
+    """Fit and val metrics of a discriminant."""
+    data = model_data(spark, sf)
+    return round_all(models.evaluate("lda", data.where("split = 'train'"), data.where("split = 'val'"))[0])
+
+
 @query()
 def rf_importance(spark, sf):
     data = model_data(spark, sf)
