@@ -2,16 +2,20 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from trialmill.functions import radix
 from trialmill.functions.design import Recursion, bandpass_matrix, butterworth_bandpass, matrix, notch, zero_phase
 from trialmill.functions.quantiles import exact_quantiles
 from trialmill.functions.ranks import places, with_previous
-from trialmill.operators import acquire, artifacts, evaluate, features, kernel, models, permute, robust, spectral, split
+from trialmill.operators import acquire, artifacts, evaluate, features, forest, kernel, models, permute, robust, spectral, split
 from trialmill.plans import phases, queries
 from trialmill.sources import order, store, wide
 
+LEAVES = StructType([StructField("y", IntegerType()), StructField("x", ArrayType(DoubleType())), StructField("leaf", VectorUDT())])
+
 
 def paired_by_loop(labels, cap):
     pending, out, taken = None, [], {}
@@ -148,6 +152,48 @@ def test_all_permutations_of_a_discriminant_are_those_of_a_loop(spark):
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want) and len(set(got.values())) > 2
 
 
+def test_grown_trees_tell_every_distinct_row():
+    rng = np.random.default_rng(11)
+    x, y = np.round(rng.normal(size=(400, 5)), 1), rng.integers(0, 3, 400)
+    first = {tuple(r): i for i, r in reversed(list(enumerate(x.tolist())))}
+    y = np.array([y[first[tuple(r)]] for r in x.tolist()])  # rows that are alike are of one class
+    assert (forest.grow(x, y, 1).ends(x) == y).all()
+    deep = np.arange(200.0)[:, None]
+    t = forest.grow(deep, np.arange(200) % 2, 1)
+    assert (t.ends(deep) == np.arange(200) % 2).all() and (t.feature < 0).sum() == 200
+    alike = forest.grow(np.zeros((5, 2)), np.array([1, 0, 1, 1, 0]), 1)
+    assert alike.ends(np.zeros((1, 2))).tolist() == [1] and len(alike.feature) == 1
+
+
+@pytest.mark.parametrize("most", [50_000, 60])
+def test_leaves_are_grown_to_purity(spark, most):
+    """Trees that end at once leave everything to what lies below, in one piece or in many; alike rows go with most of them."""
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(500, 4)), rng.integers(-1, 2, 500)
+    x[400:450], y[400:450] = x[400], [1] * 30 + [0] * 20
+    leaf = np.stack([np.zeros(500), (x[:, 0] > 0.5).astype(float), np.arange(500.0)], axis=1)
+    rows = spark.createDataFrame([(int(a), b.tolist(), Vectors.dense(c)) for a, b, c in zip(y, x, leaf)], LEAVES).repartition(3)
+    found = forest.finish(rows, most=most, some=40)
+    want = y.copy()
+    want[400:450] = 1
+    for tree in (0, 1):
+        for one in np.unique(leaf[:, tree]).astype(int):
+            mine = leaf[:, tree] == one
+            assert (found.end_of(tree, one, x[mine]) == want[mine]).all()
+    assert (found.leaves[2] == y).all() and len(found.grown) == (3 if most > 500 else len(found.grown)) and (most > 500 or len(found.grown) > 10)
+
+
+def test_a_forest_goes_beyond_sparks_depth(spark, tmp_path):
+    """Two classes in turn along one feature: a tree has to part every pair of neighbours."""
+    n = 150
+    data = spark.createDataFrame([(i, i % 2, [float(2.0 ** (i / 4)), 0.0]) for i in range(n)], "trial_id long, y int, features array<double>")
+    fitted = models.fit("random_forest", data, 3)
+    said = {r.trial_id: r.yhat for r in fitted(data).collect()}
+    assert fitted.deep.grown and np.mean([said[i] == i % 2 for i in range(n)]) > 0.99
+    models.save_model(fitted, str(tmp_path / "m"))
+    assert {r.trial_id: r.yhat for r in models.load_model(spark, str(tmp_path / "m"))(data.drop("y")).collect()} == said
+
+
 def by_pairs_of_multipliers(k, sign, cost=1.0, close=1e-6):
     """The dual, two multipliers at a time: coefficients and offset."""
     n = len(sign)

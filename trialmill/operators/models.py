@@ -14,8 +14,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import forest, kernel
 from .evaluate import confusion, metrics
+from .forest import Deep
 from .kernel import Kernel
 
 NAMES = ("lda", "svm", "svm_cheap", "svm_rbf", "random_forest")
@@ -31,12 +32,17 @@ class Fitted:
     model: Model | None = None  # Spark's, if it is one
     numbers: dict[str, list[float]] = field(default_factory=dict)  # all else that it needs
     kernel: Kernel | None = None
+    deep: Deep | None = None  # below a forest's leaves
 
     def scaled(self) -> Column:
         """(features - mean) / std; the arrays stay in the plan once."""
         pair = F.arrays_zip(F.col("features").alias("x"), F.lit(self.mean).alias("m"), F.lit(self.std).alias("s"))
         return F.transform(pair, lambda p: (p["x"] - p["m"]) / p["s"])
 
+    def forest(self) -> Model:
+        """Spark's forest, set to give nothing but the leaf that a row reaches in each tree."""
+        return self.model.stages[-1].setLeafCol("_leaf").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("")
+
     def __call__(self, data: DataFrame) -> DataFrame:
         x = data.withColumn("_scaled", self.scaled())
         if self.name == "lda":
@@ -48,6 +54,8 @@ class Fitted:
         if self.kernel is not None:
             return x.withColumn("yhat", self.kernel.predicted("_scaled")).drop("_scaled")
         given = x.withColumn("v", array_to_vector("_scaled"))
+        if self.deep is not None:
+            return self.forest().transform(given).withColumn("yhat", self.deep.predicted("_scaled", "_leaf")).select(*data.columns, "yhat")
         given = given if "y" in data.columns else given.withColumn("y", F.lit(0))
         return self.model.transform(given.withColumn("label", F.col("y").cast("double"))).select(*data.columns, F.col("prediction").cast("int").alias("yhat"))
 
@@ -170,7 +178,7 @@ def lda_hits(rows: DataFrame, weights: np.ndarray, offsets: np.ndarray, labels:
 
 
 def estimator(name: str, seed: int = 42, classes: int = 2) -> Estimator:
-    """The Spark estimator of a name; svm is linear, svm_cheap its short form for shuffled runs. Trees grow to Spark's greatest depth."""
+    """The Spark estimator of a name; svm is linear, svm_cheap its short form for shuffled runs. Trees grow to Spark's greatest depth, and fit() grows their mixed leaves on."""
     if name in ("svm", "svm_cheap"):
         svc = LinearSVC(featuresCol="v", maxIter=300, tol=1e-2) if name == "svm_cheap" else LinearSVC(featuresCol="v", maxIter=100)
         return svc if classes == 2 else OneVsRest(classifier=svc, featuresCol="v")
@@ -194,6 +202,9 @@ def fit(name: str, train: DataFrame, seed: int = 42) -> Fitted:
         return fitted
     rows = x.withColumn("v", array_to_vector("_scaled")).withColumn("label", F.col("y").cast("double"))
     fitted.model = Pipeline(stages=[estimator(name, seed, train.select("y").distinct().count())]).fit(rows)
+    if name == "random_forest":
+        reached = fitted.forest().transform(rows).select(F.col("y").cast("int").alias("y"), F.col("_scaled").alias("x"), F.col("_leaf").alias("leaf"))
+        fitted.deep = forest.finish(reached, seed)
     return fitted
 
 
@@ -207,6 +218,8 @@ def save_model(fitted: Fitted, path: str) -> None:
         rows = [("offsets", None, [float(v) for v in k.offsets]), ("labels", None, [float(v) for v in k.labels]), ("gamma", None, [k.gamma])]
         rows += [("support", x.tolist(), b.tolist()) for x, b in zip(k.landmarks, k.betas.T, strict=True)]
         spark.createDataFrame(rows, "part string, x array<double>, numbers array<double>").write.mode("overwrite").parquet(f"{path}/kernel")
+    if fitted.deep is not None:
+        fitted.deep.save(spark, f"{path}/deep")
     if fitted.model is not None:
         fitted.model.write().overwrite().save(f"{path}/spark")
 
@@ -224,6 +237,8 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
         fitted.kernel = Kernel(float(of("gamma")[0]), np.stack(support.x), [int(v) for v in of("labels")], np.stack(support.numbers).T, of("offsets"))
     elif name != "lda":
         fitted.model = PipelineModel.load(f"{path}/spark")
+    if name == "random_forest":
+        fitted.deep = Deep.load(spark, f"{path}/deep")
     return fitted
 
 
