@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from trialmill.llm import bpe, cotrain, htmlmain, langid, lm, mixing, quality_rules, simhash, topk, warc
+from trialmill.llm.common import sampled_by
 from trialmill.llm.dom import Page
 from trialmill.llm.queries import tokenizer_path
 
@@ -494,10 +495,34 @@ def test_language_id_learns_rare_languages(spark):
         assert sum(mine) / len(mine) > 0.95, code
 
 
-def test_too_many_languages_are_refused(spark):
-    table = spark.range(1100).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
-    with pytest.raises(ValueError):
-        langid.fit(table)
+def test_any_number_of_languages_is_learned(spark):
+    """1200 languages of a few rows each, two families of several among them."""
+    rng = np.random.default_rng(21)
+    codes = [*"de nl fr es".split(), *[f"x{i}" for i in range(1196)]]
+    stems = {c: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(3)] for c in codes}
+    rows = [(n, " ".join(rng.choice(stems[c], 8)), c) for n, c in enumerate(c for c in codes for _ in range(3))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, dims=256, sample_rows=2000)
+    assert sum(map(len, model.families.values())) == 1200 and model.families["germanic"] == ["de", "nl"] and ("de", "nl") in model.pair_weights
+    some = rows[::40]
+    assert np.mean([model.predict([t])[0][0] == c for _, t, c in some]) > 0.8
+    few = sampled_by(table, "doc_id", "lang", 1000, 100, 1500).groupBy("lang").count().collect()
+    assert len(few) == 1200 and {r["count"] for r in few} == {1}
+
+
+def test_paths_of_archives(spark, tmp_path):
+    assert warc.opened("/a/b")[1] == warc.opened("file:/a/b")[1] == warc.opened("file:///a/b")[1] == "/a/b"
+    assert warc.qualified(spark, "/a/b") == "file:/a/b" and warc.qualified(spark, "s3://x/y") == "s3://x/y"
+    with pytest.raises(ValueError, match="dbfs"):
+        warc.opened("dbfs:/a/b")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.default.link./shared", f"file://{tmp_path}")
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs:///")
+        assert warc.qualified(spark, "/shared/x").startswith("viewfs:/")
+    finally:
+        conf.set("fs.defaultFS", before)
 
 
 def test_mixing(spark, empty):

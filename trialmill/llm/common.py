@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,8 +23,6 @@ WORDS = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Values that a sample may be dealt over.
-MOST_VALUES = 1000
 #: Bytes of text, about, that a task turns into Python objects at once. Spark bounds an Arrow batch by bytes already.
 AT_ONCE = 4 << 20
 
@@ -72,27 +70,30 @@ def sampled(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     return df if n <= rows else df.where(share(key, seed=seed) < rows / n)
 
 
-def sampled_by(df: DataFrame, key: str, by: str, rows: int, least: int, seed: int = 42) -> DataFrame:
+def sampled_by(df: DataFrame, key: str, by: str, rows: int, least: int, most: int, seed: int = 42) -> DataFrame:
     """About `rows` rows of df, dealt evenly over the values of `by`: all rows of a value that has no more than its part.
 
     What small values leave goes to larger ones. A part is never below `least`,
-    so that no value is left out where there are many: rows are then `least` for
-    each value at most. Rows are chosen by a hash of the key and the text. More
-    than MOST_VALUES values are an error: each would be learned.
+    so that no value is left out where there are many, nor so large that all come to over `most` rows, unless
+    there are more values than that: each gives one row at least. Rows are chosen by a hash of the key and the text. A count for
+    each value comes to the driver. Null values are left out.
     """
-    sizes = sorted((r["count"], r[by]) for r in df.groupBy(by).count().limit(MOST_VALUES + 1).collect())
-    if len(sizes) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} values of {by}")
-    rates, left = {}, rows
+    df = df.where(F.col(by).isNotNull())
+    sizes = sorted((r["count"], r[by]) for r in df.groupBy(by).count().collect())
+    rates, left = [], rows
+    least = max(1, min(least, most // max(len(sizes), 1)))
     for i, (n, value) in enumerate(sizes):
         part = max(left // (len(sizes) - i), least)
         left = max(left - min(n, part), 0)
         if n > part:
-            rates[value] = part / n
+            rates.append((value, part, (part + 6 * part**0.5 + 6) / n))  # so many that the part is there, whatever the chance
     if not rates:
         return df
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col(by)]
-    return df.where(share(key, "text", seed=seed) < F.coalesce(rate, F.lit(1.0)))
+    table = df.sparkSession.createDataFrame(rates, f"_by {df.schema[by].dataType.simpleString()}, _part long, _rate double")
+    met = df.join(F.broadcast(table) if len(rates) <= 100_000 else table, F.col(by) == F.col("_by"), "left").withColumn("_share", share(key, "text", seed=seed))
+    drawn = met.where(F.col("_rate").isNull() | (F.col("_share") < F.col("_rate")))
+    placed = drawn.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("_share")))
+    return placed.where(F.col("_rate").isNull() | (F.col("_place") <= F.col("_part"))).select(*df.columns)
 
 
 def apart(docs: DataFrame, used: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

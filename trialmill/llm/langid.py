@@ -41,6 +41,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 LETTER = regex.compile(r"\p{L}")
 LETTER_IN_JAVA = r"\p{L}"
 LEAST_ROWS = 100  # of a language in the sample, where it has as many
+MOST_ROWS = 40_000  # of the sample, unless there are more languages
+MOST_OTHERS = 8000  # rows of other families that a family's machine learns from
 
 
 @dataclass
@@ -82,11 +84,10 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
     """Fits on about sample_rows rows of docs(doc_id, text, lang), dealt evenly over languages and chosen by a hash.
 
     Rows with a null language or without a letter don't count. A rare language
-    gives all its rows, and none gets a part below LEAST_ROWS, so every language
-    is learned at any size. The sample is the only thing that comes to the
-    driver, besides a count for each language: sample_rows * dims floats, or
-    LEAST_ROWS * dims for each language if that is more. Each pair of languages,
-    and each family, is a machine of dims weights.
+    gives all its rows, and none gets a part below LEAST_ROWS while MOST_ROWS rows suffice for that, nor below one row, so every language
+    is learned at any size and any number of languages. The sample is the only thing that comes to the
+    driver, besides a count for each language: sample_rows * dims floats, MOST_ROWS * dims where there are hundreds of languages. Each pair of
+    related languages, and each family, is a machine of dims weights; executors fit them, so many to a task.
     """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
             yield pd.DataFrame({"lang": b.lang, "x": [byte_grams(t, dims).tobytes() for t in b.text]})
 
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER_IN_JAVA)).select("doc_id", "text", "lang")
-    rows = sampled_by(labelled, "doc_id", "lang", sample_rows, LEAST_ROWS, seed).select("text", "lang").mapInPandas(features, "lang string, x binary").toPandas()
+    rows = sampled_by(labelled, "doc_id", "lang", sample_rows, LEAST_ROWS, MOST_ROWS, seed).select("text", "lang").mapInPandas(features, "lang string, x binary").toPandas()
     if rows.empty:
         return Model(dims, {}, {}, {})
     rows = rows.sort_values(["lang", "x"], kind="stable")
@@ -107,12 +108,29 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
         families.setdefault(FAMILY_OF.get(code.lower().split("-")[0], code), []).append(code)
     of = {code: f for f, codes in families.items() for code in codes}
     family = np.array([of[c] for c in lang])
-    return Model(
-        dims,
-        families,
-        {f: svm(x, np.where(family == f, 1, -1)) for f in families} if len(families) > 1 else {},
-        {(a, b): svm(x[m], np.where(lang[m] == a, 1, -1)) for codes in families.values() for a, b in combinations(codes, 2) for m in [(lang == a) | (lang == b)]},
-    )
+    spark = docs.sparkSession
+    names = list(families) if len(families) > 1 else []
+    tasks = [(f, "") for f in names] + [p for codes in families.values() for p in combinations(codes, 2)]
+    shared = spark.sparkContext.broadcast((x, lang, family))  # the sample, bounded as it is
+
+    def machines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, lang, family = shared.value
+        for b in batches:
+            for one, other in zip(b.one, b.other, strict=True):
+                if other:
+                    rows, sign = np.flatnonzero((lang == one) | (lang == other)), lang
+                else:
+                    rest = np.flatnonzero(family != one)
+                    rows = np.sort(np.concatenate([np.flatnonzero(family == one), rest if len(rest) <= MOST_OTHERS else np.random.default_rng(seed).permutation(rest)[:MOST_OTHERS]]))
+                    sign = family
+                own = x if len(rows) == len(x) else x[rows]
+                yield pd.DataFrame({"one": [one], "other": [other], "w": [svm(own, np.where(sign[rows] == one, 1, -1)).tobytes()]})
+
+    parts = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
+    listed = spark.createDataFrame(tasks, "one string, other string").repartition(parts) if tasks else None
+    found = {(r.one, r.other): np.frombuffer(r.w) for r in listed.mapInPandas(machines, "one string, other string, w binary").collect()} if tasks else {}
+    shared.unpersist()
+    return Model(dims, families, {f: found[f, ""] for f in names}, {p: w for p, w in found.items() if p[1]})
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

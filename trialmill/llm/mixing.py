@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import places
 from .common import WORD, apart, save
 
 UNIT = 1 << 32
-#: Sources that one task may sort: a hundred bytes each.
-MOST_SOURCES = 5_000_000
 
 
 def n_words(text: Column | str) -> Column:
@@ -36,21 +35,26 @@ def offset_units(source: Column, seed: int) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
     """sizes(source, source_size) to (source, source_size, target): one small row for each source.
 
-    All sources meet in one task, which sorts them: MOST_SOURCES at most, or ValueError. Sources in code-point order, null last, take the weights in turn. A target
-    is min(cap * size, level * weight); the level spends the budget exactly.
+    Sources in code-point order, null last, take the weights in turn; their places are found by range, so any number of sources will do. A target
+    is min(cap * size, level * weight); the level spends the budget exactly. It is found in rounds:
+    the sources that are full below a level free the rest for a higher one, until no more are full.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    given = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
-    x = sizes.withColumn("w", given).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    x = x.withColumn("full_at", F.col("most") / F.col("w"))
-    by_level = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = x.withColumn("spend", F.sum("source_size").over(Window.partitionBy()) * F.lit(float(budget)))
-    #: if exactly the sources before this one are full, the level would be:
-    x = x.withColumn("level", (F.col("spend") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    found = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy())
-    return x.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("most", F.coalesce(found, F.lit(float("inf"))) * F.col("w"))).alias("target"))
+    spark = sizes.sparkSession
+    placed = places(sizes.withColumn("_none", F.col("source").isNull()), [], ["_none", "source"], "_place")
+    given = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_place", F.lit(len(weights))) + 1).cast("int"))
+    x = placed.withColumn("w", given).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    x = save(x.select("source", "source_size", "w", "most", (F.col("most") / F.col("w")).alias("full_at")), "levels")
+    spend = (x.agg(F.sum("source_size")).first()[0] or 0) * float(budget)
+    level, full = -1.0, None
+    while True:
+        is_full = F.col("full_at") < F.lit(level)
+        row = x.agg(F.coalesce(F.sum(F.when(is_full, F.col("most"))), F.lit(0.0)).alias("most"), F.sum(F.when(~is_full, F.col("w"))).alias("w"), F.count_if(is_full).alias("n")).first()
+        if row.n == full or row.w is None:
+            break
+        level, full = (spend - row.most) / row.w, row.n
+    level = float("inf") if row.w is None else level
+    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("most", F.lit(level) * F.col("w")))
+    return x.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
@@ -67,8 +71,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     size = F.col("size").cast("long") if "size" in docs.columns else n_words("text")
     parts = docs.select(*keep, F.coalesce(size, F.lit(0)).alias("size"))
     thin = save(parts.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    if thin.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     targets = save(source_targets(thin, weights, budget, cap), "targets")
     units = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(F.lit(0)).cast("decimal(20,0)")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -1,6 +1,6 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
-Reading plans partitions of whole files, packed to about `partition_bytes`.
+Reading plans partitions of whole files, packed to about `partition_bytes`: a file, of whatever size, is read by one task.
 Filters on record_type and on header columns are pushed down: a record's
 header is parsed first, and the payload of a record that fails, or of any
 record if no payload column is asked for, is skipped by seeking past it.
@@ -51,8 +51,25 @@ VERSION = b"WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Other names of schemes that pyarrow knows.
+ALIASES = {"s3a": "s3", "s3n": "s3"}
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """pyarrow's file system for a URI, and the path in it. A bare path is a local one: qualified() tells what Spark takes it for."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.FileSystem.from_uri(f"file://{path}")
+    try:
+        return fs.FileSystem.from_uri(f"file:///{rest.lstrip('/')}" if scheme == "file" else f"{ALIASES.get(scheme, scheme)}:{rest}")
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"WARC files can't be opened at {path}: {error}; mount the store, or give a URI that pyarrow knows") from error
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it: a bare one is of the default file system, not of each executor's disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString() if "://" not in path else path
 
 
 def block(row: dict) -> bytes:
@@ -306,13 +323,13 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
 def archive(records: DataFrame, path: str, compression: str = "none") -> None:
     """Writes rows of SCHEMA as WARC files under path."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").option("compression", compression).save(path)
+    records.write.format("warc").mode("append").option("compression", compression).save(qualified(records.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, on_error: str = "raise") -> DataFrame:
     """Rows of SCHEMA; without payloads, each is skipped by its length, never read."""
     register(spark)
-    return spark.read.format("warc").options(payload=str(payload).lower(), on_error=on_error).load(path)
+    return spark.read.format("warc").options(payload=str(payload).lower(), on_error=on_error).load(qualified(spark, path))
 
 
 def resolved(records: DataFrame) -> DataFrame:
