@@ -29,7 +29,9 @@ WALLS = set("ul ol dl table menu div section article body".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXTUAL = {"p", "pre", "blockquote", "td", "dd", "figcaption"} | HEADINGS
 MAIN = {"article", "main"}
-ASIDE = set("nav aside footer header form menu dialog".split())
+ASIDE = set("nav aside footer header form menu dialog noscript".split())
+#: Of those, what holds none of an article: a header may have the headline, and a form the whole page.
+PARTS = ASIDE - {"header", "form"}
 # Words in class, id and role that tell of a node's part.
 GOOD_WORDS = set("article articlebody body content entry main maincontent news page paragraph post prose story text".split())
 BAD_WORDS = set(
@@ -37,12 +39,14 @@ BAD_WORDS = set(
     "hidden legal links login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup privacy promo promoted promotion recommended related replies reply respond reviews rail search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription tags teaser toolbar top topbar widget widgets".split()
 )
+#: Of those, the ones that hardly ever stand on an article's containers.
+PART_WORDS = set("ads adv advert advertisement breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr login masthead menu nav navbar navigation newsletter pagination popup recommended replies reply respond reviews sidebar signup sponsored subscribe subscription".split())
 TOKENS = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?]")
 
 FEATURES = (
     "depth log_chars log_own_chars link_share density marks_per_word words_per_run page_share starts_at ends_at children siblings place same_tag before after parent_density "
-    "textual heading list_item main_tag aside_tag nearest_part aside_above bad_words good_words bad_above good_above digits links"
+    "textual heading list_item main_tag aside_tag nearest_part aside_above bad_words good_words bad_above good_above digits links main_above header_above form_above part_above part_words_above"
 ).split()
 
 
@@ -256,19 +260,19 @@ def features(page: Page) -> np.ndarray:
     tags = [Counter([nodes[c].tag for c in node.children]) for node in nodes]
     bad, good = [len(node.words & BAD_WORDS) for node in nodes], [len(node.words & GOOD_WORDS) for node in nodes]
     out = []
-    above = [(0, 0, 0, 0)] * n  # nearest part, aside above, bad words above, good words above
+    above = [(0,) * 9] * n  # nearest part, aside above, bad words above, good words above; an article, a header, a form, another part, words of one above
     for i, node in enumerate(nodes):
         p, tag = node.parent, node.tag
         peers, place, same = [i], 0, 1.0
         if p >= 0:
             peers, place, name = nodes[p].children, node.place, nodes[p].tag
             same = tags[p][tag] / len(peers)
-            part, aside, n_bad, n_good = above[p]
-            above[i] = (1 if name in MAIN else -1 if name in ASIDE else part, aside or name in ASIDE, n_bad + bad[p], n_good + good[p])
+            part, aside, n_bad, n_good, main, header, form, other, named = above[p]
+            above[i] = (1 if name in MAIN else -1 if name in ASIDE else part, aside or name in ASIDE, n_bad + bad[p], n_good + good[p], main or name in MAIN, header or name == "header", form or name == "form", other or name in PARTS, named or bool(node.words & PART_WORDS))
         some = max(chars[i], 1)
         out.append((
             node.depth, log(chars[i]), log(own[i]), linked[i] / some, density[i], marks[i] / max(words[i], 1), words[i] / max(runs[i], 1), chars[i] / total, (start[i] if start[i] >= 0 else total) / total, end[i] / total,
             len(node.children), len(peers), place / len(peers), same, log(chars[peers[place - 1]]) if place else 0, log(chars[peers[place + 1]]) if place + 1 < len(peers) else 0, density[p] if p >= 0 else 0,
-            tag in TEXTUAL, tag in HEADINGS, tag == "li", tag in MAIN, tag in ASIDE, *above[i][:2], bad[i], good[i], *above[i][2:], digits[i] / some, links[i],
+            tag in TEXTUAL, tag in HEADINGS, tag == "li", tag in MAIN, tag in ASIDE, *above[i][:2], bad[i], good[i], *above[i][2:4], digits[i] / some, links[i], *above[i][4:],
         ))
     return np.array(out, dtype=float)
