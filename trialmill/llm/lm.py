@@ -26,18 +26,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, forget, release, save, small_batches
+from .common import forget, release, save, small_batches
 
 HELD, COUNTED, TUNING = 0, 1, 2
-BLOCK = 800_000
+BLOCK = 400_000
 #: Tokens of the corpus to a key range: bounds what a task holds of it.
-RANGE = 1_500_000
+RANGE = 1_000_000
 BLOCK_FIELDS = "block long, role int, doc_ids array<long>, n_tokens array<int>, tokens binary, words binary"
 #: Stand for the end of a text and for its start as a context; no word holds white space.
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"\n")
@@ -63,49 +64,65 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype="u8")
 
 
-class Vocabulary(dict):
-    """Numbers words as they come; 0 is the end."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self) + 1
-        return n
-
-
 def role_of(doc_id: int | None) -> int:
     rest = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
     return HELD if rest % 5 == 1 else TUNING if rest % 5 == 0 else COUNTED
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, A-Z in lower case, and how many each text has. Arrow's ASCII white space is the six of WORD."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end gives an empty one
+    before = np.concatenate([[0], np.cumsum(full)])
+    offsets = lists.offsets.to_numpy()
+    return (words if full.all() else words.filter(pa.array(full))), before[offsets[1:]] - before[offsets[:-1]]
+
+
 def tokenised(docs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
     """Blocks of documents of one role: their token numbers, and the hash of each number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        held: dict[int, list] = {}
+        held: dict[int, tuple[list, list, list]] = {}  # of each role: ids, token counts, words
+        size: dict[int, int] = {}
 
         def block(role: int) -> pa.RecordBatch:
             nonlocal made
-            ids, counts, tokens, vocabulary, _ = held.pop(role)
-            words = np.array([END, *[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in vocabulary]], "u8")
-            order = np.argsort(words, kind="stable")  # words are numbered anew in order of their hash, which packs well
-            number = np.empty(len(words), np.int32)
-            number[order] = np.arange(len(words), dtype=np.int32)
+            ids, counts, words = held.pop(role)
+            counts, coded = np.concatenate(counts), pc.dictionary_encode(pa.concat_arrays(words))
+            hashes = np.array([END, *map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist())], "u8")
+            order = np.argsort(hashes)  # words are numbered in order of their hash, which packs well
+            number = np.empty(len(hashes), np.int32)
+            number[order] = np.arange(len(hashes), dtype=np.int32)
+            tokens, is_word = np.full(counts.sum(), number[0]), np.ones(counts.sum(), bool)
+            is_word[np.cumsum(counts) - 1] = False  # the ends
+            tokens[is_word] = number[coded.indices.to_numpy() + 1]
             made += 1
-            row = {"block": [(part << 32) | made], "role": [role], "doc_ids": [ids], "n_tokens": [counts], "tokens": [pack(number[np.concatenate(tokens)])], "words": [pack_sorted(words[order])]}
+            row = {"block": [(part << 32) | made], "role": [role], "doc_ids": [np.concatenate(ids).tolist()], "n_tokens": [counts.tolist()], "tokens": [pack(tokens)], "words": [pack_sorted(hashes[order])]}
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                role = role_of(doc_id)
-                if role in held and held[role][4] >= block_tokens:
-                    yield block(role)
-                ids, counts, tokens, vocabulary, _ = held.setdefault(role, [[], [], [], Vocabulary(), 0])
-                words = WORDS.findall((text or "").translate(LOWER))
-                tokens.append(np.array([*map(vocabulary.__getitem__, words), 0], np.int32))
-                ids.append(doc_id)
-                counts.append(len(words) + 1)
-                held[role][4] += len(words) + 1
+            ids = np.array(b.column(0).to_pylist(), dtype=object)
+            roles = np.array([role_of(i) for i in ids], np.int8)
+            words, n = split(b.column(1))
+            for role in np.unique(roles).tolist():
+                mine = roles == role
+                own, counts, own_ids = words.filter(pa.array(np.repeat(mine, n))), n[mine] + 1, ids[mine]
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                at = 0
+                while at < len(counts):  # a block takes texts until it is full
+                    parts = held.setdefault(role, ([], [], []))
+                    room = block_tokens - size.get(role, 0)
+                    to = min(int(np.searchsorted(ends, ends[at] + room)), len(counts))
+                    for x, more in zip(parts, (own_ids[at:to], counts[at:to], own.slice(ends[at] - at, ends[to] - ends[at] - (to - at))), strict=True):
+                        x.append(more)
+                    size[role] = size.get(role, 0) + int(ends[to] - ends[at])
+                    at = to
+                    if size[role] >= block_tokens:
+                        size[role] = 0
+                        yield block(role)
         for role in list(held):
             yield block(role)
 
@@ -129,12 +146,13 @@ class Grams:
         before = np.concatenate([[-1], tokens[:-1]]).astype(np.int64)
         before[firsts(n_tokens)] = -1
         size = len(words)
-        pairs, pair_of = np.unique((before + 1) * size + tokens, return_inverse=True)
+        pair_of, pairs = pd.factorize((before + 1) * size + tokens)
+        pair_of = pair_of.astype(np.int32)
         context, word = pairs // size - 1, pairs % size
         hashes = together(np.where(context < 0, np.uint64(START), words[context]), words[word])
         one = np.uint64(1)  # the last bit tells bigrams from unigrams
         keys = np.concatenate([words & ~one, hashes | one])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         return cls(tokens, pair_of, context, hashes, keys[order], order, size)
 
     def counts(self) -> np.ndarray:
@@ -168,12 +186,12 @@ class Triples:
         before = np.concatenate([[-1], g.pair_of[:-1]]).astype(np.int64)
         before[firsts(n_tokens)] = -1
         some = before >= 0
-        triples, found = np.unique(before[some] * g.size + g.tokens[some], return_inverse=True)
+        found, triples = pd.factorize(before[some] * g.size + g.tokens[some])
         triple_of = np.full(len(before), -1, np.int64)
         triple_of[some] = found
         context, word = triples // g.size, triples % g.size
         keys = together(g.hashes[context], words[word]) | np.uint64(1)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         return cls(triple_of, context, keys[order], order)
 
     def counts(self) -> np.ndarray:
@@ -214,7 +232,7 @@ def totalled(parts: DataFrame, ranges: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(k) for k in rows["keys"]]
         cuts = np.cumsum([0, *map(len, keys)])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at, distinct = pd.factorize(np.concatenate(keys))
         totals = np.zeros((2, len(distinct)), np.int64)
         for role, a, z, counts in zip(rows.role, cuts, cuts[1:], rows["counts"], strict=False):
             if role != HELD:
@@ -287,7 +305,9 @@ def tuning_cells(joined: DataFrame, start_count: int) -> DataFrame:
                 key = np.zeros(len(at), "u8")
                 for c in columns.values():
                     key = together(key, c.astype("u8"))
-                _, one, of = np.unique(key, return_index=True, return_inverse=True)
+                of, distinct = pd.factorize(key)
+                one = np.zeros(len(distinct), np.int64)
+                one[of[::-1]] = np.arange(len(of))[::-1]  # the first place of each
                 yield pd.DataFrame({c: x[one] for c, x in columns.items()} | {"n": np.bincount(of, weights=n).astype(np.int64)})
 
     cells = joined.mapInPandas(run, ", ".join(f"{c} long" for c in [*names, "n"]))
@@ -318,12 +338,13 @@ def settled(cells: DataFrame, at: str, given: list[Column], mix: np.ndarray, clo
     """
     seen: set[int] = set()
     path = [mix]
+    some = [F.col(f"p{i}") for i in range(len(given))]
     for _ in range(rounds):
         if len(path) == 3:
             path = [leap(*path)]
         now = path[-1]
-        x = cells.select(F.col(at).alias("b"), "n", F.array(*[weight(now, at, i) * e for i, e in enumerate(given)]).alias("p")).withColumn("all", sum((F.col("p")[i] for i in range(1, len(given))), F.col("p")[0]))
-        sums = x.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] / F.col("all")).alias(f"s{i}") for i in range(len(given))]).collect()
+        x = cells.select(F.col(at).alias("b"), "n", *[(weight(now, at, i) * e).alias(f"p{i}") for i, e in enumerate(given)]).withColumn("each", F.col("n") / sum(some[1:], some[0]))
+        sums = x.groupBy("b").agg(F.sum("n").alias("n"), *[F.sum(F.col("each") * p).alias(f"s{i}") for i, p in enumerate(some)]).collect()
         new = now.copy()
         for r in sums:
             seen.add(r.b)
@@ -451,10 +472,16 @@ def _score(docs: DataFrame, block_tokens: int, range_tokens: int, close: float)
     known = totals.where("block < 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     cells = save(tuning_cells(beside(blocks.where(F.col("role") == TUNING), totals, triples, "counted"), d[COUNTED]), "cells")
     given = estimates(n[COUNTED], known)
-    mix = settled(cells, "bucket", given, weights(rounded(cells, n[COUNTED], known).toPandas()), close)
+    few = save(cells.groupBy("bucket", "context", "pair", "word").agg(F.sum("n").alias("n")), "lower")  # what the lower three depend on
+    mix = settled(few, "bucket", given, weights(rounded(few, n[COUNTED], known).toPandas()), close)
+    forget(few)
     lower = sum((weight(mix, "bucket", i) * e for i, e in enumerate(given)), F.lit(0.0))
-    more = settled(cells.where("more >= 0"), "more", [F.col("triple") / F.greatest("two", F.lit(1)), lower], np.array([[0.0, 1.0], *[[0.5, 0.5]] * 63]), close)
+    upper = cells.where("more >= 0").select("more", (F.col("triple") / F.greatest("two", F.lit(1))).alias("high"), lower.alias("low"), "n")
+    upper = save(upper, "upper")
     forget(cells)
+    start = np.array([[0.0, 1.0], *[[0.5, 0.5]] * 63])
+    more = settled(upper, "more", [F.col("high"), F.col("low")], start, close)
+    forget(upper)
     train = n[COUNTED] + n[TUNING]
     out = save(scores(beside(blocks, totals, triples, "all"), mix, more, d[COUNTED] + d[TUNING], train, known), "scores")
     for x in (blocks, totals, triples):
