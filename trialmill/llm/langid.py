@@ -42,6 +42,7 @@ LETTER = regex.compile(r"\p{L}")
 LETTER_IN_JAVA = r"\p{L}"
 LEAST_ROWS = 100  # of a language in the sample, where it has as many
 MOST_ROWS = 40_000  # of the sample, unless there are more languages
+FEW_MACHINES = 64  # are fitted on the driver, which has the sample; more on executors, to which it is sent
 MOST_OTHERS = 8000  # rows of other families that a family's machine learns from
 
 
@@ -80,6 +81,17 @@ class Model:
         return out
 
 
+def machine(x: np.ndarray, lang: np.ndarray, family: np.ndarray, one: str, other: str, seed: int) -> np.ndarray:
+    """Weights that tell a language from another, or (other empty) a family from the rest."""
+    if other:
+        rows, sign = np.flatnonzero((lang == one) | (lang == other)), lang
+    else:
+        rest = np.flatnonzero(family != one)
+        rows = np.sort(np.concatenate([np.flatnonzero(family == one), rest if len(rest) <= MOST_OTHERS else np.random.default_rng(seed).permutation(rest)[:MOST_OTHERS]]))
+        sign = family
+    return svm(x if len(rows) == len(x) else x[rows], np.where(sign[rows] == one, 1, -1))
+
+
 def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int = 42) -> Model:
     """Fits on about sample_rows rows of docs(doc_id, text, lang), dealt evenly over languages and chosen by a hash.
 
@@ -87,7 +99,7 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
     gives all its rows, and none gets a part below LEAST_ROWS while MOST_ROWS rows suffice for that, nor below one row, so every language
     is learned at any size and any number of languages. The sample is the only thing that comes to the
     driver, besides a count for each language: sample_rows * dims floats, MOST_ROWS * dims where there are hundreds of languages. Each pair of
-    related languages, and each family, is a machine of dims weights; executors fit them, so many to a task.
+    related languages, and each family, is a machine of dims weights; executors fit them where there are more than FEW_MACHINES.
     """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,24 +123,18 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
     spark = docs.sparkSession
     names = list(families) if len(families) > 1 else []
     tasks = [(f, "") for f in names] + [p for codes in families.values() for p in combinations(codes, 2)]
+    if len(tasks) <= FEW_MACHINES:  # the sample is here already
+        found = {t: machine(x, lang, family, *t, seed) for t in tasks}
+        return Model(dims, families, {f: found[f, ""] for f in names}, {p: w for p, w in found.items() if p[1]})
     shared = spark.sparkContext.broadcast((x, lang, family))  # the sample, bounded as it is
 
     def machines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, lang, family = shared.value
         for b in batches:
             for one, other in zip(b.one, b.other, strict=True):
-                if other:
-                    rows, sign = np.flatnonzero((lang == one) | (lang == other)), lang
-                else:
-                    rest = np.flatnonzero(family != one)
-                    rows = np.sort(np.concatenate([np.flatnonzero(family == one), rest if len(rest) <= MOST_OTHERS else np.random.default_rng(seed).permutation(rest)[:MOST_OTHERS]]))
-                    sign = family
-                own = x if len(rows) == len(x) else x[rows]
-                yield pd.DataFrame({"one": [one], "other": [other], "w": [svm(own, np.where(sign[rows] == one, 1, -1)).tobytes()]})
-
-    parts = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
-    listed = spark.createDataFrame(tasks, "one string, other string").repartition(parts) if tasks else None
-    found = {(r.one, r.other): np.frombuffer(r.w) for r in listed.mapInPandas(machines, "one string, other string, w binary").collect()} if tasks else {}
+                yield pd.DataFrame({"one": [one], "other": [other], "w": [machine(*shared.value, one, other, seed).tobytes()]})
+
+    listed = spark.createDataFrame(tasks, "one string, other string").repartition(min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
+    found = {(r.one, r.other): np.frombuffer(r.w) for r in listed.mapInPandas(machines, "one string, other string, w binary").collect()}
     shared.unpersist()
     return Model(dims, families, {f: found[f, ""] for f in names}, {p: w for p, w in found.items() if p[1]})
 
