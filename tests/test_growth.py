@@ -44,3 +44,54 @@ def test_importances_count_splits_below_sparks_leaves():
         mine = root == one
         assert (t.ends(x[mine]) == y[mine]).all()
         assert np.isclose(t.gain.sum(), forest.impurity(np.bincount(y[mine], weights=w[mine])))
+
+
+def test_many_sessions_share_a_state(spark, tmp_path):
+    """Hundreds of sessions in few states, over three batches, the last with late rows; null sessions and labels keep their place."""
+    from trialmill.streaming import pairing, stream
+
+    schema = "seq long, label int, sessionnum long, ts timestamp"
+    rng = np.random.default_rng(23)
+    label, session = rng.choice([-1, 0, 1], 3000), rng.integers(-150, 150, 3000)
+    rows = [(i, None if i % 50 == 7 else int(a), None if s == 3 else int(s), None) for i, (a, s) in enumerate(zip(label, session))]
+    held = [r for r in rows[:1500] if r[0] % 11 == 5]
+    path, at = str(tmp_path / "in"), str(tmp_path / "out")
+    seen: dict = {}
+    want = []
+    for part in ([r for r in rows[:1500] if r not in held], rows[1500:], held):
+        passed = {s: p[0] for s, p in seen.items()}
+        for seq, lab, s, _ in part:
+            if s in passed and seq <= passed[s]:
+                want += [("late", seq, lab, None, s)] if lab != -1 else []
+                continue
+            before = seen.get(s)
+            if lab != -1:
+                want.append(("pair", seq, lab, before[0], s) if before and before[1] == -1 else ("unpaired", seq, lab, None, s))
+            seen[s] = (seq, lab)
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(path)
+        got = stream.drain(pairing.by_session(stream.read_rows(spark, path, schema), states=7), "s", at)
+    assert sorted(map(str, want)) == sorted(str((r.kind, r.seq, r.label, r.blank_seq, r.sessionnum)) for r in got.collect())
+    assert spark.read.format("statestore").option("stateVarName", "last").load(f"{at}-state").count() == 7
+
+
+def test_a_rows_place_is_sent_once(spark, tmp_path):
+    """Only the last row of a key stands under the next key too; times and nulls come back as they were."""
+    from datetime import datetime, timedelta
+
+    from trialmill.streaming import pairing, stream
+
+    schema = "seq long, label int, sessionnum long, ts timestamp"
+    rng = np.random.default_rng(24)
+    start = datetime(2024, 3, 1, 5, 6, 7, 123456)
+    rows = [(i, int(a), None if i % 9 == 0 else i % 4, None if i % 13 == 0 else start + timedelta(hours=i)) for i, a in enumerate(rng.choice([-1, 0, 1], 900))]
+    mixed = [rows[i] for i in rng.permutation(900)]
+    path = str(tmp_path / "in")
+    for i in range(0, 900, 300):
+        spark.createDataFrame(mixed[i : i + 300], schema).coalesce(1).write.mode("append").parquet(path)
+    at = str(tmp_path / "out")
+    got = stream.drain(pairing.by_place(stream.read_rows(spark, path, schema, 1), places=64), "p", at)
+    pair = lambda i: i > 0 and rows[i - 1][1] == -1
+    want = [("pair" if pair(i) else "unpaired", i, a, i - 1 if pair(i) else None, s, t) for i, a, s, t in rows if a != -1]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(f"{at}-state").count() == 1
+    assert pairing.placed(spark.read.parquet(path), 64).count() == 900 + 900 // 64
