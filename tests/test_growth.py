@@ -95,3 +95,17 @@ def test_a_rows_place_is_sent_once(spark, tmp_path):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
     assert spark.read.format("statestore").option("stateVarName", "waiting").load(f"{at}-state").count() == 1
     assert pairing.placed(spark.read.parquet(path), 64).count() == 900 + 900 // 64
+
+
+def test_rows_are_not_mapped_one_by_one(spark):
+    """What tasks add up over kernel values, mapped once, is what mapped rows add up to."""
+    from trialmill.operators import kernel
+
+    rng = np.random.default_rng(25)
+    x, sign, onto = rng.normal(size=(90, 3)), rng.choice([-1.0, 1.0], 90), rng.normal(size=(20, 7))
+    step = lambda onto: kernel.Step(0.3, x[:20], onto, rng_point, 0.7, rng_point[::-1])
+    rng_point = rng.normal(size=8)
+    rows = spark.createDataFrame([(v.tolist(), float(s)) for v, s in zip(x, sign)], "x array<double>, sign double").repartition(3)
+    for what in ("slope", "losses"):
+        assert np.allclose(kernel.over_rows(rows)(step(onto), what), kernel.over_arrays(x, sign, step(onto))(step(onto), what))
+    assert step(None).mapped(x).shape == (90, 21)
