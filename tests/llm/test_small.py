@@ -1,6 +1,7 @@
 """Operators of the pipeline against brute force in plain Python, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import json
 import math
 import re
 import time
@@ -626,6 +627,65 @@ def test_cuts_may_fall_anywhere():
         assert tree.grown(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+class Counted:
+    """A tokenizer, and the characters that it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_words_once(docs):
+    texts = [r.text for r in docs.collect() if r.text] * 5
+    t, tree = library(), bpe.Bpe(tokenizer_path())
+    counted = [x for x in ("whole", "words") if hasattr(tree, x)]
+    for x in counted:
+        setattr(tree, x, Counted(getattr(tree, x)))
+    assert tree.grown(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(getattr(tree, x).given for x in counted) < sum(map(len, texts)) / 4
+    before = tree.whole.given
+    assert tree.grown(["Yes, "])[0] == t.encode("Yes, ", add_special_tokens=False).ids and tree.whole.given == before
+
+
+@pytest.mark.parametrize("rules", ["as they are", "cased", "no special tokens"])
+def test_remembered_words(monkeypatch, tmp_path, rules):
+    """Letters and marks of all kinds, pieces that hold the mark or parts of it, and a memo that is full all the time."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    if rules != "as they are":
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if rules == "cased":
+            spec["normalizer"]["normalizers"].pop()
+        else:
+            spec["added_tokens"] = []
+        path = str(tmp_path / "tokenizer.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec, f)
+    t = Tokenizer.from_file(path)
+    tree, rng = bpe.Bpe(path), np.random.default_rng(8)
+    assert tree.ruled == (rules != "cased") and bool(tree.mark) == (rules != "no special tokens")
+    chars = [chr(c) for c in range(33, 384)] + list("œŒſΣσςİıﬁ日가\u0301\u1161\u00ad\u0085\u00a0\u2028\r\t\f")
+    texts = [c for c in chars] + [f"{a}{c}{b} {c}{c}, {c}." for c in chars for a, b in (("a", ""), ("", "Z!?"), ("É", "ß"))]
+    pieces = ["<", "<|", "<|endoftext|", "|>", "endoftext|>", "<|endoftext|>", "<|startoftext|>", "</w>", "a</w>", "Don't", "it's,", "A" * 48, "b" * 49, "Éa" * 40 + ".", "." * 9, "!?" * 50, "x" * 3000, ""]
+    for memo in (1, 40, 1 << 17):
+        monkeypatch.setattr(bpe, "MEMO", memo)
+        monkeypatch.setattr(bpe, "CALL", int(rng.integers(1, 70)))
+        for _ in range(6):
+            some = texts + [" ".join(rng.choice(pieces + chars, int(rng.integers(1, 30)))) for _ in range(60)]
+            some = [some[i] for i in rng.permutation(len(some))]
+            for i in range(0, len(some), 199):
+                assert tree.grown(some[i : i + 199]) == [t.encode(x, add_special_tokens=False).ids for x in some[i : i + 199]]
+        assert all(len(p) <= bpe.KEPT for p in tree.memo)
+
+
 def test_cotraining(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i < 160)) for i in [*range(0, 160, 2), *range(160, 172)]] + [(0, None), (1000, 1)], "doc_id long, quality int")
     model = cotrain.fit(docs, labels)

@@ -10,6 +10,14 @@ ends as the right side does; until then it grows. It reaches from white space
 to white space, which no token of such a tokenizer spans, so nothing outside
 it can change.
 
+Leaves and windows repeat words, and most of the library's time goes into them.
+So these are parted at spaces and line feeds, a piece that was encoded lately is
+remembered, and only the others are encoded: many in one call, with a special
+token between them, at which the library parts a text before all else. Where the
+tokenizer's rules are RULES, a piece of Latin letters with marks behind them has
+the tokens of the letters in lower case and those of the marks: such words need
+the model alone.
+
 A cut that would fall into a piece of more than `leaf` characters without white
 space goes around it. Such a piece has a tree of its own, over its symbols and
 without the word end: a window is right once its first token is the one that
@@ -36,36 +44,63 @@ from .common import map_text
 LEAF = 2048
 #: Characters to either side of a cut that a window holds at least, at first.
 REACH = 16
-#: Texts whose trees grow side by side: their leaves, and then their windows, are encoded in one call.
+#: Texts whose trees grow side by side: their leaves, and then their windows, are encoded together.
 TOGETHER = 256
+#: Leaves or windows whose new pieces are encoded together.
+RUN = 512
+#: Pieces of a text that the library gets.
+CALL = 64
+#: Pieces that a worker remembers; as many older ones stay until they are met again or give way. Longer ones than KEPT characters aren't remembered.
+MEMO, KEPT = 1 << 17, 64
+#: Rules (normalizer, pre-tokenizer) that lower-case letters one by one and part them from marks. They change nothing else in the pieces that WORD finds, which are shorter than KEPT.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+WORD = re.compile(f"^(([{LETTERS}]{{1,48}})([{MARKS}]{{0,8}}))$", re.MULTILINE)
 
 
 class Bpe:
     """The tokenizer of one file, in one task."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")  # the halves of a text are encoded by two threads
-        os.environ.setdefault("RAYON_NUM_THREADS", "2")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.path, self.suffix = path, self.whole.model.end_of_word_suffix
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.names = [self.whole.id_to_token(i) or "" for i in range(size)]
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        added = self.whole.get_added_tokens_decoder()
+        special = [t.content for t in added.values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # a mark goes between pieces that don't hold its first character: no special token can then reach over an end of it
+        self.mark, self.mark_id = next(((t.content, i) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word or any(t.content[0] in x[1:] for x in special))), (None, -1))
+        self.symbol = {ord(c): self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if re.match(f"[{LETTERS}{MARKS}]", c)} if (self.spec["normalizer"], self.spec["pre_tokenizer"]) == RULES else {}
+        # without a word end or a token for each symbol, tokens don't tell where a word ends
+        self.ruled = bool(self.symbol and self.suffix) and all(self.whole.token_to_id(x + end) is not None for x in "".join(self.symbol.values()) for end in ("", self.suffix))
+        self.ends = np.array([bool(self.suffix) and x.endswith(self.suffix) for x in self.names])
         self.leaf, self.joins = leaf, 0
+        self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def bare(self, suffix: str | None):
+    def bare(self, suffix: str | None, parts: dict | None = None):
         """The model alone: symbols in, tokens out, the last with the word end if a suffix is given."""
         from tokenizers import Tokenizer
 
-        with open(self.path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec["model"]["end_of_word_suffix"] = suffix
-        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "truncation": None, "padding": None}))
+        model = self.spec["model"] | {"end_of_word_suffix": suffix}
+        return Tokenizer.from_str(json.dumps(self.spec | {"model": model, "normalizer": None, "pre_tokenizer": parts, "added_tokens": [], "truncation": None, "padding": None}))
 
     @cached_property
     def inner(self):
@@ -75,6 +110,10 @@ class Bpe:
     def last(self):
         return self.bare(self.suffix) if self.suffix else self.inner
 
+    @cached_property
+    def words(self):
+        return self.bare(self.suffix, {"type": "WhitespaceSplit"})
+
     def symbols(self, ids: list[int]) -> str:
         """The symbols that the tokens stand for, without a word end."""
         text = "".join(self.names[i] for i in ids)
@@ -128,8 +167,56 @@ class Bpe:
             todo += [(cut, end), (start, cut)]
         return sorted(out)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The tokens of each text, as little-endian 32-bit integers."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), RUN):
+            pieces = [t.replace("\n", " ").split(" ") for t in texts[i : i + RUN]]
+            long = self.learn(set().union(*pieces))
+            out += [b"".join(map(self.memo.__getitem__, x)) for x in pieces]
+            for piece in long:
+                del self.memo[piece]
+        return out
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Sees that the memo holds all these pieces; returns those that are too long to stay."""
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {"": b""}, self.memo
+        new = self.unmet(pieces)
+        apart = [(p, w.lower(), marks) for p, w, marks in WORD.findall("\n".join(new))] if self.ruled else []
+        words = self.unmet({w for _, w, _ in apart} | {marks for _, _, marks in apart})
+        others = new.difference([p for p, _, _ in apart])
+        marked = [p for p in others if self.mark and self.mark[0] not in p]
+        calls = [marked[i : i + CALL] for i in range(0, len(marked), CALL)] + [[p] for p in others.difference(marked)]
+        found = self.whole.encode_batch_fast([(self.mark or "").join(x) for x in calls], add_special_tokens=False)
+        for call, e in zip(calls, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.mark_id) if len(call) > 1 else ids[:0]
+            self.remember(call, ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
+        calls = list(words)
+        calls = [calls[i : i + CALL] for i in range(0, len(calls), CALL)]
+        found = self.words.encode_batch_fast([" ".join(x).translate(self.symbol) for x in calls], add_special_tokens=False) if calls else []
+        for call, e in zip(calls, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            self.remember(call, ids, [0, *at[:-1]], at)
+        memo = self.memo
+        for p, w, marks in apart:
+            if p != w:
+                memo[p] = memo[w] + memo[marks]
+        return [p for p in others if len(p) > KEPT]
+
+    def remember(self, pieces: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        held = ids.tobytes()
+        self.memo.update(zip(pieces, [held[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], strict=True))
+
+    def unmet(self, pieces: set[str]) -> set[str]:
+        """The pieces that aren't remembered; those from before the memo was last full are taken over."""
+        new = pieces.difference(self.memo)
+        met = [p for p in new if p in self.older]
+        self.memo.update((p, self.older[p]) for p in met)
+        new.difference_update(met)
+        return new
 
     def window(self, text: str, start: int, cut: int, end: int, reach: int) -> tuple[int, int]:
         """From white space to white space around a cut, `reach` characters to either side at least if the pieces there aren't long."""
@@ -138,9 +225,9 @@ class Bpe:
         b = b if b - cut <= reach + self.leaf else space_after(text, cut, end)
         return a, b
 
-    def joined(self, jobs: list[tuple[str, int, int, int, list[int], list[int]]]) -> list[list[int]]:
+    def joined(self, jobs: list[tuple[str, int, int, int, bytes, bytes]]) -> list[bytes]:
         """The tokens of text[start:end] for each (text, start, cut, end, left tokens, right tokens)."""
-        out: list[list[int]] = [[]] * len(jobs)
+        out = [b""] * len(jobs)
         self.joins += len(jobs)
         todo, reach = list(range(len(jobs))), REACH
         while todo:
@@ -150,7 +237,7 @@ class Bpe:
             for n, (i, (a, b)) in enumerate(zip(todo, spans, strict=True)):
                 _, start, _, end, left, right = jobs[i]
                 inside, before, after = found[3 * n : 3 * n + 3]
-                agree = (a == start or inside[:1] == before[:1]) and (b == end or inside[-1:] == after[-1:])
+                agree = (a == start or inside[:4] == before[:4]) and (b == end or inside[-4:] == after[-4:])
                 if agree or reach > end - start:
                     out[i] = left[: len(left) - len(before)] + inside + right[len(after) :]
                 else:
@@ -160,21 +247,24 @@ class Bpe:
 
     def grown(self, texts: list[str]) -> list[list[int]]:
         """The tokens of each text, by halves."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.grown_bytes(texts)]
+
+    def grown_bytes(self, texts: list[str]) -> list[bytes]:
         levels = [self.parts(t) for t in texts]
         short = self.ids([t[a:b] for t, parts in zip(texts, levels, strict=True) for a, b, long in parts if not long])
         at = iter(short)
-        trees = [[(a, b, self.long_piece(t[a:b]) if long else next(at)) for a, b, long in parts] for t, parts in zip(texts, levels, strict=True)]
+        trees = [[(a, b, np.array(self.long_piece(t[a:b]), "<u4").tobytes() if long else next(at)) for a, b, long in parts] for t, parts in zip(texts, levels, strict=True)]
         while any(len(x) > 1 for x in trees):
             jobs = [(t, x[i][0], x[i][1], x[i + 1][1], x[i][2], x[i + 1][2]) for t, x in zip(texts, trees, strict=True) for i in range(0, len(x) - 1, 2)]
             done = iter(self.joined(jobs))
             trees = [[(x[i][0], x[i + 1][1], next(done)) if i + 1 < len(x) else x[i] for i in range(0, len(x), 2)] for x in trees]
-        return [x[0][2] if x else [] for x in trees]
+        return [x[0][2] if x else b"" for x in trees]
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Of each text, the ids as little-endian 32-bit integers and the decoded text."""
         for i in range(0, len(texts), TOGETHER):
-            for ids in self.grown([t or "" for t in texts[i : i + TOGETHER]]):
-                yield np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
+            for ids in self.grown_bytes([t or "" for t in texts[i : i + TOGETHER]]):
+                yield ids, " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def space_before(text: str, start: int, at: int) -> int:
