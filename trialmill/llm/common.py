@@ -110,6 +110,11 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """Gives the system what Arrow has freed but keeps: workers live on from stage to stage, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[..., Sequence[Sequence]], fields: str, column: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """The columns `keep` of df as they are, and new `fields` (DDL) that fn makes of a batch of texts, one sequence for each field.
 
@@ -133,6 +138,9 @@ def map_text(df: DataFrame, keep: Sequence[str], fn: Callable[..., Sequence[Sequ
                 b = whole.slice(start, rows)
                 made = fn(b.column(at).to_pylist(), *more(b))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=schema.names)
+                del b, made
+            del whole
+            give_back()
 
     text = [F.col(column).cast("string").alias("_text_")] if at == len(keep) else []
     return df.select(*keep, *text, *[F.col(c).alias(f"_{i}_") for i, c in enumerate(beside)]).mapInArrow(run, schema)

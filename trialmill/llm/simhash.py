@@ -12,12 +12,14 @@ Variants are dealt by their first `key_bits` bits. A fingerprint has variants
 under 1 + b + b(b-1)/2 keys of b bits (79 of 12), and a row for each key stands
 for all of its variants under it: the receiving task lists them again. The
 variants themselves never cross the network. The more fingerprints there are,
-the longer the keys, so that a key has about PER_KEY of them at any size.
+the longer the keys, so that a key has about PER_KEY of them at any size. A task
+lists AT_ONCE variants at a time; a key with more is dealt again, by its next bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, apart, forget, map_text, save
+from .common import LOWER, WORDS, apart, forget, give_back, map_text, save
 
 RADIUS = 4
-#: Variants that a task lists at once.
-AT_ONCE = 4_000_000
+#: Variants that a task lists at once, at some 60 bytes each. Workers that other stages have left large list them too.
+AT_ONCE = 1_000_000
+#: Bits by which a key with more variants is dealt again.
+MORE_BITS = 4
 #: Fingerprints under a key, on average, at most.
 PER_KEY = 8000
 
@@ -57,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_text(rows, ["doc_id", "text_hash"], lambda texts: [np.array([fingerprint(t, shingle) for t in texts], "u8").view("i8")], "fp long")
 
 
+@lru_cache(maxsize=256)
 def masks(bits: range, most: int) -> np.ndarray:
     """All words with at most `most` of the given bits set."""
     return np.array([sum(1 << b for b in x) for n in range(most + 1) for x in combinations(bits, n)], "u8")
@@ -105,6 +110,59 @@ def meet(key: np.ndarray, fp: np.ndarray, key_bits: int, half: int) -> np.ndarra
     return np.unique(np.stack([fp[label[linked]], fp[linked]], axis=1), axis=0)
 
 
+def spent_on(key: np.ndarray, fp: np.ndarray, key_bits: int) -> np.ndarray:
+    """Bits in which each fingerprint's first key_bits differ from its key."""
+    return np.bitwise_count((fp >> np.uint64(64 - key_bits)) ^ key.astype("u8"))
+
+
+def meet_bounded(key: np.ndarray, fp: np.ndarray, key_bits: int, half: int, most: int) -> Iterator[np.ndarray]:
+    """The links of meet(), in parts, for rows in order of their keys: as many keys at once as have `most` variants; of a key that has more, as many parts."""
+    spent = spent_on(key, fp, key_bits)
+    total = np.cumsum(np.array([len(masks(range(64 - key_bits), half - n)) for n in range(half + 1)])[spent])
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    start, n = 0, 0
+    while start < len(key):
+        fit = int(np.searchsorted(total[ends - 1], (total[start - 1] if start else 0) + most, side="right"))
+        alone = fit <= n and key_bits < 64
+        n = max(fit, n + 1)
+        rows = slice(start, int(ends[n - 1]))
+        start = rows.stop
+        if not alone:
+            yield meet(key[rows], fp[rows], key_bits, half)
+            continue
+        bits = min(key_bits + MORE_BITS, 64)
+        low = np.uint64((1 << (64 - key_bits)) - 1)
+        top = key[rows].astype("u8") << np.uint64(64 - key_bits)
+        longer, owners = [], []
+        for k in range(half + 1):
+            flips, mine = masks(range(64 - bits, 64 - key_bits), half - k), np.flatnonzero(spent[rows] == k)
+            longer.append(((fp[rows][mine] & low | top[mine])[:, None] ^ flips).ravel() >> np.uint64(64 - bits))
+            owners.append(np.repeat(fp[rows][mine], len(flips)))
+        keys, fps = np.concatenate(longer), np.concatenate(owners)
+        order = np.argsort(keys)
+        yield from meet_bounded(keys[order], fps[order], bits, half, most)
+
+
+def meet_all(batches: Iterable[tuple[np.ndarray, np.ndarray]], key_bits: int, half: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """The links of meet(), in parts, for batches of (key, fp) in order of the keys, that hold all fingerprints of their keys."""
+    most = AT_ONCE if most is None else most
+    each = np.array([len(masks(range(64 - key_bits), half - n)) for n in range(half + 1)])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for key, fp in batches:
+        held.append((key, fp))
+        size += int(each[spent_on(key, fp, key_bits)].sum())
+        if size < most:
+            continue
+        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        end = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if end:
+            yield from meet_bounded(key[:end], fp[:end], key_bits, half, most)
+        held, size = [(key[end:], fp[end:])], int(each[spent_on(key[end:], fp[end:], key_bits)].sum())
+    if held:
+        yield from meet_bounded(*(np.concatenate(x) for x in zip(*held, strict=True)), key_bits, half, most)
+
+
 def bits_for(fingerprints: int, half: int = RADIUS // 2, per_key: int = PER_KEY) -> int:
     """Key bits with which so many fingerprints come to per_key under a key, on average."""
     return next(b for b in range(12, 41) if b == 40 or fingerprints * len(masks(range(b), half)) <= per_key << b)
@@ -114,36 +172,18 @@ def links(fps: DataFrame, radius: int = RADIUS, key_bits: int | None = None) ->
     """(a, b): links among distinct fingerprints whose components are those of all pairs within the radius.
 
     Every link joins fingerprints of one component; fps(fp) holds each
-    fingerprint once. Tasks take whole keys, about AT_ONCE variants at a time. The radius
+    fingerprint once. Tasks take whole keys, AT_ONCE variants at a time. The radius
     is even: two balls of half an odd one don't meet for every pair.
     """
     if radius < 0 or radius % 2:
         raise ValueError(f"the radius must be even, not {radius}")
     key_bits = bits_for(fps.count(), radius // 2) if key_bits is None else key_bits
     half = radius // 2
-    each = len(masks(range(64), half)) / len(masks(range(64 - key_bits, 64), half))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def done(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-            found = meet(key, fp, key_bits, half).view("i8")
-            return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-        for batch in batches:
-            key, fp = batch.key.to_numpy(), batch.fp.to_numpy().view("u8")
-            held.append((key, fp))
-            size += len(key)
-            if size * each < AT_ONCE:
-                continue
-            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if end:
-                yield done(key[:end], fp[:end])
-            held, size = [(key[end:], fp[end:])], len(key) - end
-        if size:
-            yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for found in meet_all(((b.key.to_numpy(), b.fp.to_numpy().view("u8")) for b in batches), key_bits, half):
+            yield pd.DataFrame({"a": found[:, 0].view("i8"), "b": found[:, 1].view("i8")})
+        give_back()
 
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = keyed(fps, key_bits, half).repartition(n, "key").sortWithinPartitions("key")
