@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from trialmill.llm import simhash
+from trialmill.llm import langid, simhash
+from trialmill.llm.linear import byte_grams, expanded, packed_grams, svm
 
 
 @pytest.fixture
@@ -85,3 +86,26 @@ def test_links_are_those_of_all_pairs(task, monkeypatch, at_once):
     while (after := np.where(near, label, len(fps)).min(axis=1)).tolist() != label.tolist():
         label = after
     assert [int(fps[i]) for i in label] == [roots.get(int(f), int(f)) for f in fps]
+
+
+def test_packed_features_are_the_features():
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "Der Fluß", "b" * 300, "é" * 40_000, "xy" * 80_000, " ".join(map(str, rng.integers(0, 9999, 700)))]
+    got = expanded([packed_grams(t, 512) for t in texts], 512)
+    assert got.dtype == np.float32 and got.tobytes() == b"".join(byte_grams(t, 512).tobytes() for t in texts)
+
+
+def test_the_language_sample_comes_to_the_driver_small(spark, monkeypatch):
+    """A few hundred kilobytes in place of a float for each row and feature; the machines are those of the floats."""
+    rng = np.random.default_rng(10)
+    words = {c: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)] for c in ("de", "nl", "fr")}
+    rows = [(i, " ".join(rng.choice(words[c], 150)), c) for i, c in enumerate(["de", "nl", "fr"] * 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    came, kind = [], type(docs)
+    whole = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda df: came.append(whole(df)) or came[-1])
+    model = langid.fit(docs)
+    assert len(came) == 1 and len(came[0]) == len(rows) and sum(map(len, came[0].x)) < len(rows) * model.dims
+    x, lang = (np.stack(a) for a in zip(*sorted(((byte_grams(t, model.dims), c) for _, t, c in rows), key=lambda r: (r[1], r[0].tobytes())), strict=True))
+    assert np.array_equal(model.family_weights["romance"], svm(x, np.where(lang == "fr", 1, -1)))
+    assert np.array_equal(model.pair_weights["de", "nl"], svm(x[lang != "fr"], np.where(lang[lang != "fr"] == "de", 1, -1)))

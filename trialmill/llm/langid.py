@@ -10,7 +10,7 @@ sample of labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_text, sampled_by
-from .linear import byte_grams, decide, sigmoid, svm
+from .common import crc_mod, give_back, map_text, sampled_by
+from .linear import byte_grams, decide, expanded, packed_grams, sigmoid, svm
 
 # ISO 639-1 codes by language family. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -42,7 +42,7 @@ LETTER = regex.compile(r"\p{L}")
 LETTER_IN_JAVA = r"\p{L}"
 LEAST_ROWS = 100  # of a language in the sample, where it has as many
 MOST_ROWS = 40_000  # of the sample, unless there are more languages
-FEW_MACHINES = 64  # are fitted on the driver, which has the sample; more on executors, to which it is sent
+FEW_MACHINES = 64  # are fitted on the driver, which has the sample; more on executors, to which it is sent packed
 MOST_OTHERS = 8000  # rows of other families that a family's machine learns from
 
 
@@ -81,15 +81,15 @@ class Model:
         return out
 
 
-def machine(x: np.ndarray, lang: np.ndarray, family: np.ndarray, one: str, other: str, seed: int) -> np.ndarray:
-    """Weights that tell a language from another, or (other empty) a family from the rest."""
+def machine(rows_of: Callable[[np.ndarray], np.ndarray], lang: np.ndarray, family: np.ndarray, one: str, other: str, seed: int) -> np.ndarray:
+    """Weights that tell a language from another, or (other empty) a family from the rest; rows_of gives the features of rows of the sample."""
     if other:
         rows, sign = np.flatnonzero((lang == one) | (lang == other)), lang
     else:
         rest = np.flatnonzero(family != one)
         rows = np.sort(np.concatenate([np.flatnonzero(family == one), rest if len(rest) <= MOST_OTHERS else np.random.default_rng(seed).permutation(rest)[:MOST_OTHERS]]))
         sign = family
-    return svm(x if len(rows) == len(x) else x[rows], np.where(sign[rows] == one, 1, -1))
+    return svm(rows_of(rows), np.where(sign[rows] == one, 1, -1))
 
 
 def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int = 42) -> Model:
@@ -98,25 +98,31 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
     Rows with a null language or without a letter don't count. A rare language
     gives all its rows, and none gets a part below LEAST_ROWS while MOST_ROWS rows suffice for that, nor below one row, so every language
     is learned at any size and any number of languages. The sample is the only thing that comes to the
-    driver, besides a count for each language: sample_rows * dims floats, MOST_ROWS * dims where there are hundreds of languages. Each pair of
-    related languages, and each family, is a machine of dims weights; executors fit them where there are more than FEW_MACHINES.
+    driver, besides a count for each language: sample_rows packed rows of a fraction of dims bytes, MOST_ROWS where there are hundreds of languages. Each pair of
+    related languages, and each family, is a machine of dims weights. Few machines are fitted on the driver, on sample_rows * dims floats; where there are more
+    than FEW_MACHINES, executors unpack the sample, a larger one than MOST_OTHERS rows for each machine as far as it learns from it.
     """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[[bool(LETTER.search(t)) for t in b.text]]
-            yield pd.DataFrame({"lang": b.lang, "x": [byte_grams(t, dims).tobytes() for t in b.text]})
+            yield pd.DataFrame({"lang": b.lang, "x": [packed_grams(t, dims) for t in b.text]})
 
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER_IN_JAVA)).select("doc_id", "text", "lang")
     rows = sampled_by(labelled, "doc_id", "lang", sample_rows, LEAST_ROWS, MOST_ROWS, seed).select("text", "lang").mapInPandas(features, "lang string, x binary").toPandas()
     if rows.empty:
         return Model(dims, {}, {}, {})
-    rows = rows.sort_values(["lang", "x"], kind="stable")
-    x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), dims)
-    lang = rows.lang.to_numpy()
-    del rows
+    packed: list[bytes] = []
+    counts: dict[str, int] = {}
+    for code, mine in rows.groupby("lang", sort=True).x:  # in order of language and features, whatever the order of arrival
+        floats = expanded(list(mine), dims)
+        packed += mine.iloc[np.argsort(floats.view(f"S{4 * dims}").ravel(), kind="stable")].tolist()
+        counts[code] = len(mine)
+    lang = np.repeat(np.array(list(counts), object), list(counts.values()))
+    del rows, mine, floats
+    give_back()
     families: dict[str, list[str]] = {}
-    for code in sorted(set(lang)):
+    for code in counts:
         families.setdefault(FAMILY_OF.get(code.lower().split("-")[0], code), []).append(code)
     of = {code: f for f, codes in families.items() for code in codes}
     family = np.array([of[c] for c in lang])
@@ -124,14 +130,18 @@ def fit(docs: DataFrame, dims: int = 2048, sample_rows: int = 8000, seed: int =
     names = list(families) if len(families) > 1 else []
     tasks = [(f, "") for f in names] + [p for codes in families.values() for p in combinations(codes, 2)]
     if len(tasks) <= FEW_MACHINES:  # the sample is here already
-        found = {t: machine(x, lang, family, *t, seed) for t in tasks}
+        x = expanded(packed, dims)
+        found = {t: machine(lambda at: x if len(at) == len(x) else x[at], lang, family, *t, seed) for t in tasks}
         return Model(dims, families, {f: found[f, ""] for f in names}, {p: w for p, w in found.items() if p[1]})
-    shared = spark.sparkContext.broadcast((x, lang, family))  # the sample, bounded as it is
+    shared = spark.sparkContext.broadcast((packed, lang, family))  # the sample, bounded as it is
 
     def machines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed, lang, family = shared.value
+        x = expanded(packed, dims) if len(packed) <= MOST_OTHERS else None  # a larger sample is unpacked for each machine, as far as it learns from it
+        rows_of = lambda at: expanded([packed[i] for i in at], dims) if x is None else x if len(at) == len(x) else x[at]
         for b in batches:
             for one, other in zip(b.one, b.other, strict=True):
-                yield pd.DataFrame({"one": [one], "other": [other], "w": [machine(*shared.value, one, other, seed).tobytes()]})
+                yield pd.DataFrame({"one": [one], "other": [other], "w": [machine(rows_of, lang, family, one, other, seed).tobytes()]})
 
     listed = spark.createDataFrame(tasks, "one string, other string").repartition(min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
     found = {(r.one, r.other): np.frombuffer(r.w) for r in listed.mapInPandas(machines, "one string, other string, w binary").collect()}

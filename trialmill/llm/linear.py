@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
+
 import numpy as np
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def byte_grams(text: str, dims: int, orders: tuple[int, ...] = (1, 2, 3), case: bool = False) -> np.ndarray:
-    """Counts of the byte n-grams of a whole text, hashed to dims buckets, on a log scale and of unit length."""
+def gram_counts(text: str, dims: int, orders: tuple[int, ...] = (1, 2, 3), case: bool = False) -> np.ndarray:
+    """Counts of the byte n-grams of a whole text, hashed to dims buckets."""
     data = np.frombuffer((text if case else text.lower()).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
     total = np.zeros(dims)
     for n in orders:
@@ -20,10 +23,35 @@ def byte_grams(text: str, dims: int, orders: tuple[int, ...] = (1, 2, 3), case:
             for i in range(n):
                 code = (code << np.uint64(8)) | part[i : len(part) - n + 1 + i]
             total += np.bincount(((code * ODD) >> np.uint64(40)).astype(np.int64) % dims, minlength=dims)
-    total = np.log1p(total)
+    return total
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts on a log scale and of unit length."""
+    total = np.log1p(counts.astype(np.float64))
     return (total / max(np.linalg.norm(total), 1e-12)).astype(np.float32)
 
 
+def byte_grams(text: str, dims: int, orders: tuple[int, ...] = (1, 2, 3), case: bool = False) -> np.ndarray:
+    """Counts of the byte n-grams of a whole text, hashed to dims buckets, on a log scale and of unit length."""
+    return scaled(gram_counts(text, dims, orders, case))
+
+
+def packed_grams(text: str, dims: int) -> bytes:
+    """What expanded() makes byte_grams() of: the counts as whole numbers of the fewest bytes, compressed."""
+    counts = gram_counts(text, dims).astype(np.uint64)
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes(), 1)
+
+
+def expanded(packed: Sequence[bytes], dims: int) -> np.ndarray:
+    """The byte_grams() of texts, a row each, from their packed_grams()."""
+    out = np.empty((len(packed), dims), np.float32)
+    for i, p in enumerate(packed):
+        raw = zlib.decompress(p)
+        out[i] = scaled(np.frombuffer(raw, f"u{len(raw) // dims}"))
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
